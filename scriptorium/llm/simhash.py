@@ -38,6 +38,8 @@ SEED = 42
 BUCKET = 4096
 #: Cost of comparing two fingerprints, as a part of the cost of one shuffled probe.
 COMPARE = 0.05
+#: Buckets with so few free bits aren't split.
+FEW = 10
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -158,36 +160,44 @@ def probes(fps: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
     return fps.select("fp", F.explode(F.concat(*rows)).alias("p")).select(F.col("p.used").alias("used"), F.xxhash64("p.used", "p.key").alias("key"), "fp")
 
 
+def free_bits(used: int) -> list[int]:
+    return [b for b in range(BITS) if not used >> b & 1]
+
+
+def _finer(rows: DataFrame) -> DataFrame:
+    """A row for each of RADIUS + 1 groups of the free bits, keyed by the group's value too; `used` null: no free bits to split."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            used, key, fp = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            for u in np.unique(used):
+                own, free = used == u, free_bits(int(u))
+                if len(free) <= FEW:
+                    yield pa.RecordBatch.from_arrays([pa.nulls(own.sum(), pa.int64()), pa.array(key[own]), pa.array(fp[own])], ["used", "key", "fp"])
+                    continue
+                for k in range(RADIUS + 1):
+                    mask = _signed(_mask(free[k :: RADIUS + 1]))
+                    keys = [xxhash.xxh64_intdigest(x.tobytes(), k) for x in np.stack([key[own], fp[own] & mask], axis=1)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(own.sum(), int(u) | mask)), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(fp[own])], ["used", "key", "fp"])
+
+    return rows.select("used", "key", "fp").mapInArrow(run, "used long, key long, fp long")
+
+
 def split_large(rows: DataFrame, most: int = BUCKET) -> DataFrame:
     """Split buckets of more than `most` members by the values of RADIUS + 1 groups of their free bits.
 
-    Members that link agree on one such group at least.  A bucket of FEW free bits has at most 2 ** FEW members of
-    each probe's value and isn't split.
+    Members that link agree on one such group at least.  Buckets of FEW free bits stay as they are: each has at
+    most 2 ** FEW fingerprints for each of its probes' values.
     """
-    few, done = 10, []
+    done = []
     while True:
         large = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("key"))
         if large.isEmpty():
             break
         done.append(rows.join(large, "key", "left_anti"))
-        kinds = [r.used for r in rows.join(large, "key", "left_semi").select("used").distinct().collect()]  # at most 5 at first, 5 times as many with each step
-        finer = None
-        for used in kinds:
-            free = [b for b in range(BITS) if not used >> b & 1]
-            if len(free) <= few:
-                continue
-            groups = [_signed(_mask(free[k :: RADIUS + 1])) for k in range(RADIUS + 1)]
-            value = F.explode(F.array(*[F.struct(F.lit(_signed(used & (2**64 - 1) | g & (2**64 - 1))).alias("used2"), F.lit(g).alias("g")) for g in groups]))
-            part = rows.filter(F.col("used") == used).join(large, "key", "left_semi").select("key", "fp", value.alias("v"))
-            part = part.select(F.col("v.used2").alias("used"), F.xxhash64("key", "v.g", F.col("fp").bitwiseAND(F.col("v.g"))).alias("key"), "fp")
-            finer = part if finer is None else finer.unionByName(part)
-        small = [k for k in kinds if bin(k & (2**64 - 1)).count("0") - 1 + BITS - len(bin(k & (2**64 - 1))) + 2 <= few]
-        if small:
-            done.append(rows.filter(F.col("used").isin(small)).join(large, "key", "left_semi"))
-        if finer is None:
-            rows = rows.limit(0)
-            break
-        rows = cut(finer)
+        finer = cut(_finer(rows.join(large, "key", "left_semi")))
+        done.append(finer.filter("used is null"))
+        rows = finer.filter("used is not null")
     for d in done:
         rows = rows.unionByName(d)
     return rows
