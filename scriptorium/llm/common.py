@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,3 +62,14 @@ def lookup(left: DataFrame, right: DataFrame, key: str, spread: str, total: int)
     )
     joined = salted.join(rest, (F.col(key) == F.col("_lk")) & (F.col("_salt") == F.col("_ls")), "left")
     return joined.select(*left.columns, *[F.coalesce(F.col(f"_h_{c}"), F.col(f"_l_{c}")).alias(c) for c in values])
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` written as Parquet in the shared folder and read again."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def n_chars(docs: DataFrame) -> Column:
+    return F.length(F.coalesce(docs["text"].cast("string"), F.lit(""))).cast(docs.schema["n_chars"].dataType)

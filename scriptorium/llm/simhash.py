@@ -149,14 +149,19 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+def _probe(own):
+    return lambda flip: F.struct(own["used"].alias("used"), own["own"].bitwiseXOR(flip).alias("key"))
+
+
 def probes(fps: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
     """(used, key, fp): a row for each value within T_i bits of fp's value in partition i; used: the partition's bits."""
     rows = []
     for part, t in parts:
-        flips = [0]
+        flips, mask = [0], F.lit(_signed(_mask(part)))
         for _ in range(t):
             flips = sorted({f ^ x for f in flips for x in (0, *(1 << b for b in part))})
-        rows.append(F.transform(F.array(*[F.lit(_signed(f)) for f in flips]), lambda f, k=_signed(_mask(part)): F.struct(F.lit(k).alias("used"), F.col("fp").bitwiseAND(F.lit(k)).bitwiseXOR(f).alias("key"))))
+        own = F.struct(mask.alias("used"), F.col("fp").bitwiseAND(mask).alias("own"))
+        rows.append(F.transform(F.array(*[F.lit(_signed(f)) for f in flips]), _probe(own)))
     return fps.select("fp", F.explode(F.concat(*rows)).alias("p")).select(F.col("p.used").alias("used"), F.xxhash64("p.used", "p.key").alias("key"), "fp")
 
 
