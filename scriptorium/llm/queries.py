@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import chunks, packing, pii, quality, simhash
+from scriptorium.llm import chunks, packing, pii, quality, simhash, toxicity, url_rules, winnowing
 from scriptorium.llm.common import table
 
 
@@ -12,6 +12,18 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judged(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.report(table(spark, sf_dir, "documents"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -28,5 +40,5 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op6_pii": op6_pii, "op8_simhash": op8_simhash, "op9_quality": op9_quality, "op10_substrings": op10_substrings}
-ORACLE = {"op9_quality": quality.ORACLE}
+QUERIES = {"op1_packing": op1_packing, "op2_url_rules": op2_url_rules, "op3_winnowing": op3_winnowing, "op4_toxicity": op4_toxicity, "op6_pii": op6_pii, "op8_simhash": op8_simhash, "op9_quality": op9_quality, "op10_substrings": op10_substrings}
+ORACLE = {"op2_url_rules": url_rules.oracle(), "op9_quality": quality.ORACLE}
