@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import chunks, packing, pii, quality, simhash, toxicity, url_rules, winnowing
+from scriptorium.llm import chunks, packing, pieces, pii, quality, simhash, token_scan, toxicity, url_rules, winnowing
 from scriptorium.llm.common import table
 
 
@@ -24,10 +24,18 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.with_model(spark, table(spark, sf_dir, "documents"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op7_token_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_scan.counted(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", simhash.hexed().alias("fingerprint"), "component_id")
 
@@ -40,5 +48,16 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_url_rules": op2_url_rules, "op3_winnowing": op3_winnowing, "op4_toxicity": op4_toxicity, "op6_pii": op6_pii, "op8_simhash": op8_simhash, "op9_quality": op9_quality, "op10_substrings": op10_substrings}
+QUERIES = {
+    "op1_packing": op1_packing,
+    "op2_url_rules": op2_url_rules,
+    "op3_winnowing": op3_winnowing,
+    "op4_toxicity": op4_toxicity,
+    "op5_pieces": op5_pieces,
+    "op6_pii": op6_pii,
+    "op7_token_scan": op7_token_scan,
+    "op8_simhash": op8_simhash,
+    "op9_quality": op9_quality,
+    "op10_substrings": op10_substrings,
+}
 ORACLE = {"op2_url_rules": url_rules.oracle(), "op9_quality": quality.ORACLE}
