@@ -96,15 +96,18 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
 
 
+def around(text: str, span: Column) -> Column:
+    """The distinct lower-cased terms of the REACH words on either side of a span, sorted."""
+    reach = 40 * REACH  # characters that hold REACH words, or else those that there are
+    before = F.slice(F.reverse(terms(F.substring(F.col(text), F.greatest(span["start"] - reach + 1, F.lit(1)), F.least(span["start"], F.lit(reach))))), 1, REACH)
+    after = F.slice(terms(F.substring(F.col(text), span["end"] + 1, F.lit(reach))), 1, REACH)
+    return F.array_sort(F.array_distinct(F.filter(F.transform(F.concat(before, after), lambda x: F.lower(x)), lambda x: F.length(x) >= LEAST_LETTERS)))
+
+
 def contexts(found: DataFrame) -> DataFrame:
-    """(entity, terms): the distinct contexts of each entity; terms: the distinct lower-cased terms of a context."""
+    """(entity, terms): the distinct contexts of each entity."""
     one = found.select("t", F.explode("spans").alias("s"))
-    reach = 40 * REACH  # characters that hold REACH words, or else those that there are
-    before = F.slice(F.reverse(terms(F.substring(F.col("t"), F.greatest(F.col("s.start") - reach + 1, F.lit(1)), F.least(F.col("s.start"), F.lit(reach))))), 1, REACH)
-    after = F.slice(terms(F.substring(F.col("t"), F.col("s.end") + 1, F.lit(reach))), 1, REACH)
-    around = F.transform(F.array_sort(F.array_distinct(F.concat(before, after))), lambda x: F.lower(x))
-    entity = F.concat_ws(":", "s.kind", F.lower("s.value"))
-    return one.select(entity.alias("entity"), F.array_distinct(F.filter(around, lambda x: F.length(x) >= LEAST_LETTERS)).alias("terms")).distinct()
+    return one.select(F.concat_ws(":", "s.kind", F.lower("s.value")).alias("entity"), around("t", F.col("s")).alias("terms")).distinct()
 
 
 def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
@@ -116,11 +119,13 @@ def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
     ctx = contexts(found)
     pairs = ctx.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).filter(F.col("n_both") >= SUPPORT)
     held = ctx.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).filter(F.col("n_entity") >= SUPPORT)
-    pairs.join(held, "entity").write.parquet(f"{folder}/pairs")
+    # a term is in at least as many documents as have it near an entity: what can't disclose even so is no candidate
+    near = found.select("key", "t", F.explode("spans").alias("s")).select("key", F.explode(around("t", F.col("s"))).alias("term")).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
+    n_docs = docs.count()
+    pairs.join(held, "entity").join(near, "term").filter(strength(F.col("n_near"), n_docs) >= GENERALISE).select("entity", "term", "n_both", "n_entity").write.parquet(f"{folder}/pairs")
     pairs = spark.read.parquet(f"{folder}/pairs")
     pairs.select("term").distinct().write.parquet(f"{folder}/terms")
     wanted = spark.read.parquet(f"{folder}/terms")
-    n_docs = docs.count()
     if wanted.isEmpty():
         return spark.createDataFrame([], "entity string, term string, strength double")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -128,10 +133,14 @@ def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
     if wanted.count() <= FEW_TERMS:
         seen = seen.join(F.broadcast(wanted), "term", "left_semi")
     df = seen.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    pmi = F.log2((F.col("n_both") / F.col("n_entity")) / (F.col("n_term") / F.lit(n_docs)))
+    return pairs.join(df, "term").select("entity", "term", strength(F.col("n_term"), n_docs).alias("strength")).filter(F.col("strength") >= GENERALISE)
+
+
+def strength(n_term: Column, n_docs: int) -> Column:
+    """PMI / IC of a pair (n_both, n_entity) whose term is in n_term of n_docs documents, at most 1; null if there is nothing to disclose."""
+    pmi = F.log2((F.col("n_both") / F.col("n_entity")) / (n_term / F.lit(n_docs)))
     ic = -F.log2(F.least(F.col("n_entity"), F.lit(n_docs)) / F.lit(n_docs))
-    strength = F.when(ic > 0, F.least(pmi / ic, F.lit(1.0)))
-    return pairs.join(df, "term").select("entity", "term", strength.alias("strength")).filter(F.col("strength") >= GENERALISE)
+    return F.when(ic > 0, F.least(pmi / ic, F.lit(1.0)))
 
 
 def found_spans(docs: DataFrame) -> DataFrame:
