@@ -1,6 +1,6 @@
 """Queries that apply the operators to the test tables, with their SQL for DuckDB."""
 
-from scriptorium.plans import layouts, relations, scalars
+from scriptorium.plans import extras, layouts, relations, scalars
 
-QUERIES = scalars.QUERIES | relations.QUERIES | layouts.QUERIES
-ORACLE = scalars.ORACLE | relations.ORACLE | layouts.ORACLE
+QUERIES = scalars.QUERIES | relations.QUERIES | layouts.QUERIES | extras.QUERIES
+ORACLE = scalars.ORACLE | relations.ORACLE | layouts.ORACLE | extras.ORACLE
