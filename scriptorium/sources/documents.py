@@ -15,10 +15,11 @@ from scriptorium.sinks.docbook import HEAD, Book, add
 from scriptorium.sources import parse as parser
 
 RUN = "struct<text:string,style:int>"
-PARAGRAPH = f"struct<seq:int,list_id:string,kind:string,istd:int,alignment:int,left_twips:int,before_twips:int,after_twips:int,list_index:int,list_level:int,runs:array<{RUN}>,cells:array<string>,widths:array<int>>"
+PARAGRAPH = f"struct<seq:int,list_id:string,kind:string,istd:int,alignment:int,left_twips:int,before_twips:int,after_twips:int,list_index:int,list_level:int,label:string,runs:array<{RUN}>,cells:array<string>,widths:array<int>>"
 PIECE = "struct<seq:int,file_offset:bigint,char_pos:bigint,length:bigint,is_unicode:boolean,prop_mod:int>"
-SUMMARY = "struct<title:string,subject:string,author:string,app_name:string,manager:string,company:string,created:bigint,last_saved:bigint,lid:int>"
-SCHEMA = f"path string, guess int, version int, old_mac boolean, fast_saved boolean, error_code string, error_msg string, paragraphs array<{PARAGRAPH}>, pieces array<{PIECE}>, summary {SUMMARY}"
+SUMMARY = "struct<title:string,subject:string,author:string,app_name:string,manager:string,company:string,created:bigint,last_saved:bigint,lid:int,hdrftr_spec:int,default_tab:int,created_dttm:bigint,revised_dttm:bigint>"
+SECTION = "struct<char_pos:bigint,new_page:boolean>"
+SCHEMA = f"path string, guess int, version int, old_mac boolean, fast_saved boolean, error_code string, error_msg string, paragraphs array<{PARAGRAPH}>, pieces array<{PIECE}>, summary {SUMMARY}, sections array<{SECTION}>"
 #: Larger files aren't loaded: a row can't hold them.
 MOST_BYTES = 1 << 30
 
@@ -49,10 +50,10 @@ def parsed(rows: DataFrame, show_hidden: bool = False, show_removed: bool = Fals
 
 def arrow_schema() -> pa.Schema:
     run = pa.struct([("text", pa.string()), ("style", pa.int32())])
-    paragraph = pa.struct([("seq", pa.int32()), ("list_id", pa.string()), ("kind", pa.string()), *[(n, pa.int32()) for n in ("istd", "alignment", "left_twips", "before_twips", "after_twips", "list_index", "list_level")], ("runs", pa.list_(run)), ("cells", pa.list_(pa.string())), ("widths", pa.list_(pa.int32()))])
+    paragraph = pa.struct([("seq", pa.int32()), ("list_id", pa.string()), ("kind", pa.string()), *[(n, pa.int32()) for n in ("istd", "alignment", "left_twips", "before_twips", "after_twips", "list_index", "list_level")], ("label", pa.string()), ("runs", pa.list_(run)), ("cells", pa.list_(pa.string())), ("widths", pa.list_(pa.int32()))])
     piece = pa.struct([("seq", pa.int32()), ("file_offset", pa.int64()), ("char_pos", pa.int64()), ("length", pa.int64()), ("is_unicode", pa.bool_()), ("prop_mod", pa.int32())])
-    summary = pa.struct([(n, pa.string()) for n in ("title", "subject", "author", "app_name", "manager", "company")] + [("created", pa.int64()), ("last_saved", pa.int64()), ("lid", pa.int32())])
-    return pa.schema([("path", pa.string()), ("guess", pa.int32()), ("version", pa.int32()), ("old_mac", pa.bool_()), ("fast_saved", pa.bool_()), ("error_code", pa.string()), ("error_msg", pa.string()), ("paragraphs", pa.list_(paragraph)), ("pieces", pa.list_(piece)), ("summary", summary)])
+    summary = pa.struct([(n, pa.string()) for n in ("title", "subject", "author", "app_name", "manager", "company")] + [("created", pa.int64()), ("last_saved", pa.int64()), ("lid", pa.int32()), ("hdrftr_spec", pa.int32()), ("default_tab", pa.int32()), ("created_dttm", pa.int64()), ("revised_dttm", pa.int64())])
+    return pa.schema([("path", pa.string()), ("guess", pa.int32()), ("version", pa.int32()), ("old_mac", pa.bool_()), ("fast_saved", pa.bool_()), ("error_code", pa.string()), ("error_msg", pa.string()), ("paragraphs", pa.list_(paragraph)), ("pieces", pa.list_(piece)), ("summary", summary), ("sections", pa.list_(pa.struct([("char_pos", pa.int64()), ("new_page", pa.bool_())])))])
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
@@ -75,6 +76,19 @@ def metadata(docs: DataFrame) -> DataFrame:
     return docs.select("path", "guess", "version", "old_mac", "fast_saved", "error_code", "error_msg", *[s[c].alias(c) for c in ("title", "subject", "author", "app_name", "manager", "company")], F.timestamp_seconds(s["created"]).alias("created"), F.timestamp_seconds(s["last_saved"]).alias("last_saved"), language(s["lid"]).alias("lang"))
 
 
+def sections(docs: DataFrame) -> DataFrame:
+    return docs.select("path", F.posexplode("sections").alias("section", "s")).select("path", "section", "s.*")
+
+
+def properties(docs: DataFrame) -> DataFrame:
+    """Default tab in millipoints and the times of creation and revision in the document's own properties."""
+    from scriptorium.functions.dates import dttm
+    from scriptorium.functions.units import tab_width
+
+    s = F.col("summary")
+    return docs.select("path", tab_width(s["default_tab"]).alias("tab"), dttm(s["created_dttm"]).alias("created"), dttm(s["revised_dttm"]).alias("revised"), s["hdrftr_spec"].alias("hdrftr_spec"))
+
+
 def table_rows(docs: DataFrame) -> DataFrame:
     return paragraphs(docs).filter("kind = 'row'").select("path", "seq", "cells", "widths")
 
@@ -110,9 +124,15 @@ def text_of(found: list[dict], width: int = 76, formatted: bool = False) -> str:
             if p["before_twips"] * 50 >= 6000:
                 out.append("")
             line = "".join(marks(r["text"], r["style"]) if formatted else r["text"] for r in p["runs"])
+            label = p.get("label") or ""
             pad = " " * (p["left_twips"] * 50 // 6400)
-            for part in line.split("\n"):
+            first = " " * max(0, (p["left_twips"] * 50 - 6400 * len(label)) // 6400) + label if label else pad
+            for k, part in enumerate(line.split("\n")):
                 lines = wrap(part, width, len(pad)) if width else [part]
+                if label and not k:
+                    out.append(first + lines[0])
+                    out += [pad + x for x in lines[1:]]
+                    continue
                 if p["alignment"] in (1, 2) and width:
                     room = [width - len(x.rstrip()) for x in lines]
                     lines = [" " * max(0, r // 2 if p["alignment"] == 1 else r) + x if x.strip() else x for x, r in zip(lines, room, strict=True)]
@@ -136,7 +156,8 @@ def book_of(found: list[dict], summary: dict | None) -> str:
         if 1 <= p["istd"] <= 9:
             add(book, f"h{p['istd']}", text)
         elif p["list_index"]:
-            add(book, "item:bullet", text)
+            kind = {".": "arabic"}.get(p["label"][-2:-1], "bullet") if p["label"][:-2] else "bullet"
+            add(book, f"item:{kind}", text)
         else:
             add(book, "para", text)
     return HEAD + book.finish()

@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 import struct
 from bisect import bisect_right
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import cache
 
 from scriptorium.functions import codepages
+from scriptorium.sources import tables8
 from scriptorium.sources.container import Container, Damaged
 
 LISTS = ("text", "footnote", "hdrftr", "macro", "annotation", "endnote", "textbox", "hdrtextbox")
@@ -53,6 +55,7 @@ class Parsed:
     paragraphs: list[dict] = field(default_factory=list)
     pieces: list[dict] = field(default_factory=list)
     summary: dict = field(default_factory=dict)
+    sections: list[dict] = field(default_factory=list)
 
 
 def u16(raw: bytes, at: int) -> int:
@@ -172,8 +175,9 @@ def signed(x: int) -> int:
     return x - 0x10000 if x >= 0x8000 else x
 
 
-def paragraph_run(istd: int, raw: bytes, ver: int) -> Run:
-    run = Run(istd=istd)
+def paragraph_run(istd: int, raw: bytes, ver: int, run: Run | None = None) -> Run:
+    """Properties of a paragraph on top of those of its style."""
+    run = replace(run, istd=istd) if run else Run(istd=istd)
     for op, arg in (steps8 if ver >= 8 else steps6)(raw):
         b, w = (arg[0] if arg else 0), u16(arg, 0)
         name = {0x2403: "jc", 0x260A: "ilvl", 0x460B: "ilfo", 0x840F: "left", 0xA413: "before", 0xA414: "after", 0x2416: "intable", 0x2417: "ttp", 0x244B: "intable", 0x244C: "ttp", 0xD608: "def"}.get(op) if ver >= 8 else {5: "jc", 17: "left", 21: "before", 22: "after", 24: "intable", 25: "ttp", 190: "def"}.get(op)
@@ -341,7 +345,7 @@ class Assembler:
 
     def append(self, kind: str, run: Run, list_id: str, runs: list[dict]) -> None:
         cells, self.cells = (self.cells, []) if kind == "row" else ([], self.cells)
-        self.out.append({"seq": len(self.out), "list_id": list_id, "kind": kind, "istd": run.istd, "alignment": run.alignment, "left_twips": run.left, "before_twips": run.before, "after_twips": run.after, "list_index": run.list_index, "list_level": run.level, "runs": runs, "cells": cells, "widths": list(run.widths)})
+        self.out.append({"seq": len(self.out), "list_id": list_id, "kind": kind, "istd": run.istd, "alignment": run.alignment, "left_twips": run.left, "before_twips": run.before, "after_twips": run.after, "list_index": run.list_index, "list_level": run.level, "label": "", "runs": runs, "cells": cells, "widths": list(run.widths)})
 
 
 def small_roman(n: int) -> str:
@@ -359,7 +363,7 @@ def cleaned(text: str) -> str:
     return text.translate(_DROP).replace("\x0b", "\n").replace("\x1e", "-")
 
 
-def assemble(stream: bytes, pieces: list[tuple[int, int, bool, int]], lengths: list[int], page: str, paragraphs=((), ()), characters=((), ()), notes=(set(), set()), keep: int = 0) -> tuple[list[dict], list[dict]]:
+def assemble(stream: bytes, pieces: list[tuple[int, int, bool, int]], lengths: list[int], page: str, paragraphs=((), ()), characters=((), ()), notes=(set(), set()), keep: int = 0, style_of=None) -> tuple[list[dict], list[dict]]:
     """Paragraphs and pieces.  Pieces are cut wherever a list ends or a property run begins, so each segment has one set of properties."""
     asm, listed, cp, total = Assembler(notes), [], 0, 0
     ends, known = [], 0
@@ -388,7 +392,7 @@ def assemble(stream: bytes, pieces: list[tuple[int, int, bool, int]], lengths: l
                     asm.end(*last)
                 asm.count = {"footnote": 0, "endnote": 0}  # notes count anew before their own lists
             run = at_or_before(*paragraphs, a, Run())
-            style = at_or_before(*characters, a, 0)
+            style = style_of(run.istd, at_or_before(*characters, a, b"")) if style_of else 0
             if skipping:
                 m = re.search("[\x14\x15]", text)
                 text, skipping = (text[m.end() :], False) if m else ("", True)
@@ -408,6 +412,36 @@ def assemble(stream: bytes, pieces: list[tuple[int, int, bool, int]], lengths: l
     return asm.out, listed
 
 
+def number_lists(paragraphs: list[dict], levels: dict, overrides: list[int]) -> None:
+    """Labels of list paragraphs: each level counts by itself and, unless it says otherwise, makes deeper ones of its list begin anew."""
+    values: dict[tuple[int, int], int] = {}
+    for p in paragraphs:
+        index, depth = p["list_index"], p["list_level"]
+        level = tables8.level_of(levels, overrides, index, depth)
+        if level is None or 1 <= p["istd"] <= 9:
+            continue
+        values[index, depth] = values[index, depth] + 1 if (index, depth) in values else level.start_at
+        if not level.no_restart:
+            values = {k: v for k, v in values.items() if k[0] != index or k[1] <= depth}
+        p["left_twips"] = p["left_twips"] or level.left
+        if p["left_twips"] > 0:
+            p["label"] = number_text(values[index, depth], level.nfc) + level.mark[:3] + " "
+
+
+def number_text(n: int, nfc: int) -> str:
+    if nfc in (1, 2):
+        text = small_roman(n)
+        return text.upper() if nfc == 1 else text
+    if nfc in (3, 4):
+        text, k = "", n
+        while 0 < k and n <= 26 + 26**2 + 26**3:
+            text, k = chr(97 + (k - 1) % 26) + text, (k - 1) // 26
+        return text.upper() if nfc == 3 else text
+    if nfc == 5:
+        return str(n) + ({1: "st", 2: "nd", 3: "rd"}.get(n % 10, "th") if n not in (11, 12, 13) else "th")
+    return f"{n:02d}" if nfc == 22 else "" if nfc in (23, 255) else str(n)
+
+
 def note_places(stream: bytes, at: int, n: int) -> set[int]:
     count = (n - 4) // 6
     return {u32(stream, at + 4 * i) for i in range(count)} if n >= 10 else set()
@@ -448,23 +482,45 @@ def parse_ole(raw: bytes, out: Parsed, keep: int) -> None:
         wide = ver < 8 and u16(head, 0) in FAR_EAST
         pieces = [(u32(head, 0x18), sum(lengths) * (2 if wide else 1), wide, 0)]
 
+    styles = tables8.stylesheet(part(table, 0xA2)) if ver >= 8 else {}
+
+    @cache
+    def base_run(istd: int) -> Run:
+        run = Run(istd=istd)
+        for style in tables8.chain(styles, istd):
+            run = paragraph_run(istd, style.paragraph, ver, run)
+        return run
+
+    @cache
+    def style_of(istd: int, raw: bytes) -> int:
+        base = 0
+        for style in tables8.chain(styles, istd):
+            base = character_style(style.character, ver, base)
+        return character_style(raw, ver, base)
+
     def paragraph(p: bytes, at: int) -> Run:
         if at <= 0 or at >= 511:
-            return Run()
+            return base_run(0)
         n = 2 * p[at]
         if ver >= 8 and n == 0:
             at += 1
             n = 2 * p[at]
         istd = u16(p, at + 1) if ver >= 8 else p[at + 1]
-        return paragraph_run(istd, p[at + 3 : at + 1 + n] if ver >= 8 else p[at + 3 : at + 1 + n], ver)
+        return paragraph_run(istd, p[at + 3 : at + 1 + n], ver, base_run(istd))
 
-    def character(p: bytes, at: int) -> int:
-        return character_style(p[at + 1 : at + 1 + p[at]], ver) if 0 < at < 511 else 0
+    def character(p: bytes, at: int) -> bytes:
+        return bytes(p[at + 1 : at + 1 + p[at]]) if 0 < at < 511 else b""
 
     paragraphs = run_list(pages(main, paps, ver, *extra[0]), stride, paragraph)
     characters = run_list(pages(main, chps, ver, *extra[1]), 1, character)
-    out.paragraphs, out.pieces = assemble(main, pieces, lengths, page, paragraphs, characters, notes, keep)
+    out.paragraphs, out.pieces = assemble(main, pieces, lengths, page, paragraphs, characters, notes, keep, style_of)
+    if ver >= 8:
+        levels = tables8.list_levels(table, u32(head, 0x2E2), u32(head, 0x2E6))
+        number_lists(out.paragraphs, levels, tables8.list_overrides(part(table, 0x2EA)))
+        out.sections = tables8.sections(part(table, 0xCA), main)
     out.summary = property_set(box.stream("\x05SummaryInformation"), SUMMARY) | property_set(box.stream("\x05DocumentSummaryInformation"), MORE)
+    if ver >= 8:
+        out.summary |= tables8.document_properties(part(table, 0x192))
     out.summary["lid"] = u16(head, 0x3C) if ver >= 8 and flags & 0x4000 else u16(head, 6)
 
 
@@ -510,5 +566,5 @@ def parse(raw: bytes | None, show_hidden: bool = False, show_removed: bool = Fal
     except (Damaged, struct.error, IndexError, ValueError) as e:
         out.error_code, out.error_msg = "damaged", str(e)
     if out.error_code:
-        out.paragraphs, out.pieces = [], []
+        out.paragraphs, out.pieces, out.sections = [], [], []
     return out

@@ -95,7 +95,7 @@ def page(runs: list[tuple[int, int, bytes]], stride: int, paragraph: bool) -> by
     return bytes(out)
 
 
-def word8(pieces: list[tuple[bytes, bool]], lengths: list[int], flags: int = 0, paragraphs=(), characters=(), footnotes=(), endnotes=(), mods: bytes = b"", order=None, extra: dict | None = None) -> bytes:
+def word8(pieces: list[tuple[bytes, bool]], lengths: list[int], flags: int = 0, paragraphs=(), characters=(), footnotes=(), endnotes=(), mods: bytes = b"", order=None, extra: dict | None = None, tables: dict | None = None, sizes: dict | None = None) -> bytes:
     """A version 8 document.  pieces: (bytes, 16-bit) in text order; order: their order in the file.  Runs count from the text's start."""
     head = bytearray(1024)
     struct.pack_into("<2H", head, 0, 0xA5EC, 193)
@@ -132,6 +132,10 @@ def word8(pieces: list[tuple[bytes, bool]], lengths: list[int], flags: int = 0,
     for where, refs in ((0xAA, footnotes), (0x20A, endnotes)):
         if refs:
             place(where, struct.pack(f"<{len(refs) + 1}I", *refs, cps[-1]) + struct.pack(f"<{len(refs)}H", *range(len(refs))))
+    for where, raw in (tables or {}).items():
+        place(where, raw)
+        if where in (sizes or {}):
+            struct.pack_into("<I", main, where + 4, sizes[where])
     main += b"\0" * max(0, 4096 - len(main))
     return container({"WordDocument": bytes(main), "1Table": bytes(table)} | (extra or {}))
 

@@ -131,3 +131,36 @@ def test_streaming(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r.text for r in spark.sql("select text from streamed").collect()] == ["dos text\n"]
+
+
+def test_stylesheet_and_lists():
+    def std(base, paragraph=b"", character=b""):
+        body = struct.pack("<4H", 0, base * 16 + 1, 2, 0) + b"\0\0" + struct.pack("<H", 1) + "x".encode("utf-16-le") + b"\0\0"
+        upx = struct.pack("<H", 0) + paragraph
+        for x in (upx, character):
+            body += struct.pack("<H", len(x)) + x + b"\0" * (len(x) % 2)
+        return struct.pack("<H", len(body)) + body
+
+    sheet = struct.pack("<9H", 18, 12, 10, 0, 0, 0, 0, 0, 0) + b"\0\0"
+    sheet += std(0xFFF, sprm(0x2403, 1), sprm(0x0835, 1)) + b"\0\0" * 9 + std(0, sprm(0x840F, 720, "h")) + std(10, b"", sprm(0x0836, 1))
+    level = lambda start, nfc, text, places=b"\1": struct.pack("<IBB", start, nfc, 0) + places.ljust(9, b"\0") + b"\0" * 9 + b"\0\0\0\0" + struct.pack("<H", len(text)) + text.encode("utf-16-le")
+    lst = struct.pack("<H", 1) + struct.pack("<I", 77) + b"\0" * 22 + b"\0\0"
+    levels = b"".join(level(4 if i == 0 else 1, 0 if i == 0 else 2, "\0)") for i in range(9))
+    text = b"a\rb\rc\rd\re\r"
+    item = lambda ilvl: struct.pack("<H", 10) + sprm(0x260A, ilvl) + sprm(0x460B, 1, "H")
+    runs = [(0, 2, item(0)), (2, 4, item(1)), (4, 6, item(1)), (6, 8, item(0)), (8, 10, struct.pack("<H", 11))]
+    lfo = struct.pack("<I", 1) + struct.pack("<I", 77) + b"\0" * 12
+    p = parse.parse(word8([(text, False)], [10], paragraphs=runs, tables={0xA2: sheet, 0x2E2: lst + levels, 0x2EA: lfo}, sizes={0x2E2: len(lst)}))
+    assert p.error_code is None
+    assert [x["label"] for x in p.paragraphs] == ["4) ", "i) ", "ii) ", "5) ", ""]
+    assert [x["alignment"] for x in p.paragraphs] == [1] * 5 and [x["left_twips"] for x in p.paragraphs] == [720] * 5
+    assert p.paragraphs[4]["runs"][0]["style"] == parse.BOLD | parse.ITALIC and p.paragraphs[0]["runs"][0]["style"] == parse.BOLD
+
+
+def test_document_properties():
+    dop = bytearray(28)
+    struct.pack_into("<H", dop, 0x0A, 720)
+    struct.pack_into("<I", dop, 0x14, 30 | 14 << 6 | 7 << 11 | 3 << 16 | 105 << 20)
+    sect = struct.pack("<2I", 0, 2) + struct.pack("<HIHI", 0, 0xFFFFFFFF, 0, 0)
+    p = parse.parse(word8([(b"x\r", False)], [2], tables={0x192: bytes(dop), 0xCA: sect}))
+    assert p.summary["default_tab"] == 720 and p.summary["created_dttm"] and p.sections == [{"char_pos": 0, "new_page": True}]
