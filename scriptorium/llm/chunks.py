@@ -1,9 +1,9 @@
 """Substring dedup by content-defined chunking.
 
 A gear hash rolls over the code points, h' = 2 h + G[c]; its bits from 40 on depend on the last WINDOW characters
-only.  A chunk ends after a blank whose hash has DIVISOR - 1 as its masked bits, from LEAST characters on; without such a
-blank within MOST characters it ends where the hash is largest.  Both rules read the text around the cut alone, so cuts find
-back after an insertion.  Chunks are compared by a digest of 96 bits.  A chunk is a duplicate if an earlier one, by doc_id
+only.  A candidate is a blank whose hash has DIVISOR - 1 as its masked bits; a chunk ends after each candidate whose hash is the
+largest of those less than LEAST characters away, of equal ones the first.  So cuts depend on the text around them alone, and an
+insertion moves none but its neighbours.  Without a cut within MOST characters a chunk ends where the hash is largest.  Chunks are compared by a digest of 96 bits.  A chunk is a duplicate if an earlier one, by doc_id
 and then by position, has its digest.  Runs of adjacent duplicates of at least RUN characters are cut from the text; shorter
 ones are phrases that any two texts may share.
 
@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOW = 16
-DIVISOR = 4
-LEAST, MOST = 24, 512
+DIVISOR = 2
+LEAST, MOST = 20, 512
 RUN = 80
 #: Chunks that a task holds at once.
 HELD = 2_000_000
@@ -47,7 +47,7 @@ GEAR = _gear()
 def gear_hashes(points: np.ndarray) -> np.ndarray:
     """At each position the gear hash of the last WINDOW characters, by doubling."""
     h, k = GEAR[points & 0xFF], 1
-    while k < WINDOW:
+    while k < min(WINDOW, len(points)):
         more = h.copy()
         more[k:] += h[:-k] << np.uint64(k)
         h, k = more, 2 * k
@@ -57,20 +57,24 @@ def gear_hashes(points: np.ndarray) -> np.ndarray:
 def cuts(points: np.ndarray) -> list[int]:
     """Ends of the chunks, exclusive; the last is the text's end."""
     n = len(points)
-    if n <= LEAST:
-        return [n] if n else []
+    if not n:
+        return []
     h = gear_hashes(points) >> np.uint64(40)
-    ends = (np.flatnonzero((points <= 32) & ((h & np.uint64(DIVISOR - 1)) == DIVISOR - 1)) + 1).tolist()
-    out, at, end_of_last = [], 0, n
-    for e in [*ends, n]:
-        while e - at > MOST:  # no blank to cut at
-            at += LEAST + int(np.argmax(h[at + LEAST : at + MOST])) + 1
-            out.append(at)
-        if e - at >= LEAST and e != end_of_last:
+    at = np.flatnonzero((points <= 32) & ((h & np.uint64(DIVISOR - 1)) == DIVISOR - 1))
+    value, keep, k = h[at], np.ones(len(at), bool), 1
+    while k < len(at) and (near := at[k:] - at[:-k] < LEAST).any():
+        left, right = value[:-k], value[k:]
+        keep[k:] &= ~(near & (left >= right))
+        keep[:-k] &= ~(near & (right > left))
+        k += 1
+    out, last = [], 0
+    for e in [*(at[keep] + 1).tolist(), n]:
+        while e - last > MOST:  # no blank to cut at
+            last += LEAST + int(np.argmax(h[last + LEAST : last + MOST])) + 1
+            out.append(last)
+        if e > last:
             out.append(e)
-            at = e
-    if at < n:
-        out.append(n)
+            last = e
     return out
 
 
@@ -78,7 +82,7 @@ def chunk_digests(text: str) -> tuple[list[int], list[bytes]]:
     """Ends of a text's chunks and their digests of 12 bytes."""
     raw = text.encode("utf-32-le", "surrogatepass")
     ends, digest = cuts(np.frombuffer(raw, np.uint32)), xxhash.xxh3_128_digest
-    return ends, [digest(raw[4 * a : 4 * b])[:12] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    return ends, [digest(raw[4 * a : 4 * b])[:12] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 def chunk_rows(docs: DataFrame) -> DataFrame:
