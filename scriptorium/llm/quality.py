@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import SPACE, cut, lookup, words
+from scriptorium.llm.common import SALTS, SPACE, cut, lookup, words
 
 LEAST_WORDS = 50
 #: A document fails if 100 * n_repeat_words > MOST_REPEATED * n_words.
@@ -26,6 +26,8 @@ SYMBOLS = "[#*$%&|<>]"
 HOST_RATE = 0.8
 #: Bits of a packed long that hold a window's place; the others hold the head of its hash.
 PLACE_BITS = 26
+#: So many rejected hosts are broadcast to the documents.
+FEW_HOSTS = 10_000
 
 
 def repeated_words(w: Column) -> Column:
@@ -119,10 +121,13 @@ def judged(docs: DataFrame, host_rate: float = HOST_RATE) -> DataFrame:
 def keep_good(docs: DataFrame, host_rate: float = HOST_RATE) -> DataFrame:
     """The rows that pass the rules and whose host does; their rules are measured where they are, only hosts' rates are joined."""
     rates = host_rates(cut(measured(docs).select("host", "base_failed")))
-    bad = rates.filter(F.col("rate") >= host_rate).select(F.coalesce(F.concat(F.lit("="), "host"), F.lit("")).alias("_host"))
-    good = docs.filter(~fails(F.col("text").cast("string")))
-    # an anti join keeps Spark free to broadcast the few hosts rejected, or to split a hot one
-    return good.withColumn("_host", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))).join(cut(bad), "_host", "left_anti").select(*docs.columns)
+    bad = cut(rates.filter(F.col("rate") >= host_rate).select(F.coalesce(F.concat(F.lit("="), "host"), F.lit("")).alias("_host")))
+    good = docs.filter(~fails(F.col("text").cast("string"))).withColumn("_host", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")))
+    if bad.count() <= FEW_HOSTS:
+        return good.join(F.broadcast(bad), "_host", "left_anti").select(*docs.columns)
+    # too many to broadcast: each rejected host under all salts, a document under one, so that no host's documents meet in a task
+    salted = bad.select("_host", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    return good.withColumn("_salt", F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int")).join(salted, ["_host", "_salt"], "left_anti").select(*docs.columns)
 
 
 ORACLE = rf"""
