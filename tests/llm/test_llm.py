@@ -13,7 +13,7 @@ import helpers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from scriptorium.llm import chunks, common, packing, pieces, pii, quality, simhash, token_scan, toxicity, url_rules, winnowing
+from scriptorium.llm import chunks, common, near_copies, packing, pieces, pii, quality, simhash, token_scan, toxicity, url_rules, winnowing
 
 SF = "/root/testdata/sf0.001"
 
@@ -476,6 +476,51 @@ def test_pipeline_odd(spark, odd, empty):
             assert out.count() <= df.count()
 
 
+def plain_groups(rows):
+    """The smallest id of each row's group, by comparing all pairs of sets."""
+    sets = {i: frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) for i, t in rows for w in [t.lower().split()]}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in sets:
+        for j in sets:
+            if i < j and len(sets[i] & sets[j]) * 5 >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {i: find(i) for i in sets}
+
+
+def test_near_copies(spark):
+    rng = np.random.default_rng(4)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
+    line, texts = word(40), []
+    for k in range(60):
+        base = word(int(rng.integers(50, 200))) + (line if k % 2 else [])
+        texts.append(" ".join(base))
+        for edits in range(1, 6):  # Jaccard from 0.98 down to 0.6
+            copy = list(base)
+            for at in rng.choice(len(base), edits, replace=False):
+                copy[at] = word(1)[0]
+            texts.append(" ".join(copy))
+    rows = list(enumerate(rng.permutation(texts).tolist()))
+    out = near_copies.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    expected = {i for i, least in plain_groups(rows).items() if i == least}
+    assert 60 < len(expected) < 300 and sorted(r.doc_id for r in out.collect()) == sorted(expected)
+
+
+def test_pipeline_drops_edited_copies(spark):
+    base = [f"w{k * k % 997}" for k in range(150)]
+    edited = [f"new{k}" if k in (40, 90) else w for k, w in enumerate(base)]
+    other = [f"w{k * k % 991 + 7}" for k in range(150)]
+    rows = [(i, " ".join(w), "en", "a", 0) for i, w in enumerate((base, edited, other))]
+    out = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), SF)
+    assert sorted(r.doc_id for r in out.collect()) == [0, 2]
+
+
 def test_lookup_salts(spark):
     left = spark.createDataFrame([(i, 1 if i < 900 else i) for i in range(1000)], "doc_id long, k long")
     right = left.groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("v", F.col("k") * 2)
