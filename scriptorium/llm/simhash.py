@@ -298,9 +298,3 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
 def hexed(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
-
-
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows whose doc_id is its component's; repeated rows of that document stay as they are."""
-    keep = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi")

@@ -521,6 +521,19 @@ def test_pipeline_drops_edited_copies(spark):
     assert sorted(r.doc_id for r in out.collect()) == [0, 2]
 
 
+def test_near_copies_without_ids(spark):
+    one, two, three = (" ".join(f"{x}{k * k % 97}" for k in range(60)) for x in "abc")
+    rows = [(None, one), (None, one), (None, two), (7, three), (7, three), (None, three), (9, three + " end"), (None, None), (None, "")]
+    out = near_copies.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.text or "") for r in out) == sorted([("None", one), ("None", two), ("7", three), ("7", three), ("None", "")])
+
+
+def test_near_copies_odd_rows(odd):
+    kept = collections.Counter((r.doc_id, r.text) for r in near_copies.drop_near_copies(odd).collect())
+    assert {i for i, _ in kept} == {None, 1, 4, 6, 8, 10, 11, 12, 13, 14, 15}  # 9 has the passage of 8
+    assert kept[(None, "no id at all")] == 1 and (None, None) not in kept and (7, "tie " * 60) not in kept
+
+
 def test_lookup_salts(spark):
     left = spark.createDataFrame([(i, 1 if i < 900 else i) for i in range(1000)], "doc_id long, k long")
     right = left.groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("v", F.col("k") * 2)
