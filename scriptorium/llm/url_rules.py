@@ -4,13 +4,14 @@ Listed rules (host, path) come first: a rule fits its host and all its subdomain
 longest that fits wins, of equally long ones that of the longer host.
 
 The method judges the others.  FP-growth mines the token combinations of labelled urls, where `block` is one more token of those
-with a bad label.  A combination of at most ANTECEDENT tokens becomes a rule if it holds at least SUPPORT urls (SUPPORT_SHARE of
+with a bad label.  A combination of tokens becomes a rule if it holds at least SUPPORT urls (SUPPORT_SHARE of
 the labelled ones, if that is more), of which the part CONFIDENCE at least is bad, LIFT times the part among all labelled urls.
 Rules stand in an inverted index under their rarest token, so frequent tokens have few of them; a url's tokens look up their rules,
 and a rule matches if the url has all its tokens.
 
-A url has at most 1 + 4 + 2 + 4 tokens by definition: scheme, the last four labels of its host, two path segments with numbers as
-`#`, four query keys.  Labels carry a page's number.
+A url's tokens are its scheme, the labels of its host, the path segments with numbers as `#` and the query keys, all of them.
+Tokens that the same labelled urls hold are mined as one: any choice of them makes equal rules, so the least one stands for
+all, in urls too, and their combinations aren't listed.  Labels carry a page's number.
 
 Defined results: a null url, or one without `://`, has an empty host and path, no rule, no tokens and is allowed; null labels
 count as none; repeated rows get equal results; with no labels there are no mined rules; other columns aren't read.
@@ -25,7 +26,6 @@ from pyspark.sql import functions as F
 from scriptorium.llm.common import cut, lower_ascii
 
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
-ANTECEDENT = 3
 SUPPORT, SUPPORT_SHARE = 20, 0.002
 CONFIDENCE, LIFT = 0.5, 1.5
 BAD = "label:block"
@@ -56,13 +56,29 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     keys = F.filter(F.split(F.regexp_extract(url, r"^[^?#]*[?]([^#]*)", 1), "&"), lambda x: x != "")
     found = F.concat(
         F.array(F.concat(F.lit("scheme:"), lower_ascii(F.regexp_extract(url, r"^(.*?)://", 1)))),
-        F.transform(F.slice(F.reverse(labels), 1, 4), lambda x: F.concat(F.lit("host:"), x)),
-        F.transform(F.slice(segments, 1, 2), lambda x: F.concat(F.lit("path:"), F.regexp_replace(x, "[0-9]+", "#"))),
-        F.transform(F.slice(keys, 1, 4), lambda x: F.concat(F.lit("query:"), F.regexp_extract(x, "^[^=]*", 0))),
+        F.transform(F.reverse(labels), lambda x: F.concat(F.lit("host:"), x)),
+        F.transform(segments, lambda x: F.concat(F.lit("path:"), F.regexp_replace(x, "[0-9]+", "#"))),
+        F.transform(keys, lambda x: F.concat(F.lit("query:"), F.regexp_extract(x, "^[^=]*", 0))),
     )
     return F.when(F.contains(url, F.lit("://")), F.array_distinct(found)).otherwise(F.expr("cast(array() as array<string>)"))
 
 
+def classes(labelled: DataFrame) -> DataFrame:
+    """One row, `same`: tokens that stand in the same rows of (tokens, bad) as a lesser one, with the least of those; rarer ones than rules need are left out."""
+    total = labelled.count()
+    each = labelled.select(F.monotonically_increasing_id().alias("id"), F.explode("tokens").alias("token"))
+    held = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("h"), F.min("id").alias("first")).filter(F.col("n") >= max(SUPPORT, total * SUPPORT_SHARE) * CONFIDENCE)
+    least = held.groupBy("n", "h", "first").agg(F.min("token").alias("least"), F.collect_list("token").alias("tokens"))
+    pairs = least.select(F.explode("tokens").alias("token"), "least").filter("token != least")
+    return cut(pairs.agg(F.map_from_entries(F.collect_list(F.struct("token", "least"))).alias("same")))  # frequent tokens only
+
+
+def merged(rows: DataFrame, same: DataFrame) -> DataFrame:
+    """`rows` with the tokens' classes for their tokens."""
+    new = F.array_distinct(F.transform("tokens", lambda x: F.coalesce(F.try_element_at("same", x), x)))
+    return rows.crossJoin(F.broadcast(same)).withColumn("tokens", new).drop("same")
+
+
 def mined(labelled: DataFrame) -> DataFrame:
     """(antecedent, anchor, n, confidence): rules from (tokens, bad)."""
     labelled = cut(labelled)
@@ -75,7 +91,7 @@ def mined(labelled: DataFrame) -> DataFrame:
         return empty
     items = labelled.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items"))
     # combinations with the label may be as rare as CONFIDENCE allows
-    freq = cut(FPGrowth(itemsCol="items", minSupport=least * CONFIDENCE / total).fit(items).freqItemsets.select(F.array_sort("items").alias("items"), "freq").filter(F.size("items") <= ANTECEDENT + 1))
+    freq = cut(FPGrowth(itemsCol="items", minSupport=least * CONFIDENCE / total).fit(items).freqItemsets.select(F.array_sort("items").alias("items"), "freq"))
     with_label = freq.filter(F.array_contains("items", BAD) & (F.size("items") > 1)).select(F.array_remove("items", BAD).alias("antecedent"), F.col("freq").alias("n_bad"))
     rules = with_label.join(freq.select(F.col("items").alias("antecedent"), F.col("freq").alias("n")), "antecedent").filter(F.col("n") >= least)
     rules = rules.withColumn("confidence", F.col("n_bad") / F.col("n")).filter((F.col("confidence") >= CONFIDENCE) & (F.col("confidence") * total >= LIFT * bad))
@@ -91,8 +107,10 @@ def judged(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]] = R
     rows = rows.withColumn("tokens", tokens(F.col("url"), F.col("host"), F.col("path")))
     # one label for each page: any bad one makes it bad
     marks = labels.filter("quality is not null").groupBy(F.col("doc_id").cast("long").alias("page_id")).agg((F.min("quality") == 0).alias("bad"))
-    index = mined(rows.filter(F.size("tokens") > 0).join(marks, "page_id").select("tokens", "bad"))
-    urls = rows.select("url", "tokens").distinct()
+    labelled = cut(rows.filter(F.size("tokens") > 0).join(marks, "page_id").select("tokens", "bad"))
+    same = classes(labelled)
+    index = mined(merged(labelled, same))
+    urls = merged(rows.select("url", "tokens").distinct(), same)
     hits = urls.select("url", "tokens", F.explode("tokens").alias("anchor")).join(index, "anchor").filter(F.size(F.array_except("antecedent", "tokens")) == 0)
     best = hits.groupBy("url").agg(F.max("confidence").alias("mined_confidence"))
     fixed = listed(F.col("host"), F.col("path"), rules)

@@ -107,6 +107,24 @@ def test_mined_rules(spark, monkeypatch):
     assert [d[0] for d in q.description] == out.columns and sorted(q.fetchall()) == got
 
 
+def test_rules_reach_the_whole_url(spark, monkeypatch):
+    monkeypatch.setattr(url_rules, "SUPPORT", 5)
+    rows, marks = [], []
+    for i in range(486):
+        digits = [i // 3**k % 3 for k in range(4)]  # bad only if all four are 2
+        path = "/".join(n + "xyz"[d] for n, d in zip("pqrs", digits, strict=True))
+        rows.append((i, f"http://a.b.c.example.org/{path}/{i}"))
+        marks.append((i, 0 if digits == [2] * 4 else 1, 0))
+    deep = [(1000 + i, u) for i, u in enumerate(("http://x.y/en/a/casino/1", "http://bad.a.b.c.d/", "http://h/?a&b&c&d&e"))]
+    more = [(2000 + 10 * k + i, u) for k in range(10) for i, (_, u) in enumerate(deep)]
+    pages = spark.createDataFrame(rows + more, "page_id long, url string")
+    labels = spark.createDataFrame(marks + [(i, 0, 0) for i, _ in more], "doc_id long, quality int, toxic int")
+    unseen = [(5000, "http://u.v/x/y/casino/z"), (5001, "http://bad.q.w.e.r/"), (5002, "http://k/?v&w&x&y&e"), (5003, "http://k/?v&w&x&y")]
+    out = {r.page_id: r.verdict for r in url_rules.judged(pages.union(spark.createDataFrame(unseen, pages.schema)), labels, []).collect()}
+    assert [i for i in range(486) if out[i] == "block"] == [i for i in range(486) if i % 81 == 80]
+    assert [out[i] for i, _ in unseen] == ["block", "block", "block", "allow"]
+
+
 # 3 fingerprints
 
 
