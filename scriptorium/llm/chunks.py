@@ -2,17 +2,22 @@
 
 A gear hash rolls over the code points, h' = 2 h + G[c]; its bits from 40 on depend on the last WINDOW characters
 only.  A candidate is a blank whose hash has DIVISOR - 1 as its masked bits; a chunk ends after each candidate whose hash is the
-largest of those less than LEAST characters away, of equal ones the first.  So cuts depend on the text around them alone, and an
-insertion moves none but its neighbours.  Without a cut within MOST characters a chunk ends where the hash is largest.  Chunks are compared by a digest of 96 bits.  A chunk is a duplicate if an earlier one, by doc_id
-and then by position, has its digest.  Runs of adjacent duplicates of at least RUN characters are cut from the text; shorter
-ones are phrases that any two texts may share.
+largest of those less than LEAST characters away, of equal ones the first.  Text without blanks (Chinese, Japanese, encoded lines)
+has none: characters FAR or more from any such end, or from the text's own ends, are all candidates, under the same rule.  So cuts
+depend on the text around them alone, chunks are of about 40 characters in any script, and an insertion moves none but its
+neighbours.  Only where the hash itself repeats, as in a run of one sign, a chunk ends after MOST characters.
+
+Chunks are compared by a digest of 96 bits.  A chunk is a duplicate if an earlier one, by doc_id, the text's digest and position,
+has its digest.  Runs of adjacent duplicates of at least RUN characters are cut from the text; shorter ones are phrases that any
+two texts may share.
 
 Each task first compares the chunks of its own rows, so a digest leaves a task once at most, however frequent it is, and the
 shuffle by digest gets no hot group.  The result doesn't depend on how rows are dealt to tasks.
 
-Defined results: null and empty texts have no chunks and stay as they are; of repeated rows under one doc_id all stay, since
-an equal doc_id and position isn't earlier; ties go to the smaller doc_id, then the smaller position; rows without a doc_id
-count as later than all others; other columns are left alone.
+Defined results: a row is known by its doc_id and its text's digest, so other texts under one doc_id, or without any, are rows of
+their own; null and empty texts have no chunks and stay as they are; of repeated rows (one doc_id, or none, and one text) all stay,
+since an equal place isn't earlier; ties go to the smaller doc_id, then the smaller digest, then the smaller position; rows without
+a doc_id count as later than all others; other columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
@@ -22,15 +27,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOW = 16
 DIVISOR = 2
-LEAST, MOST = 20, 512
+LEAST, FAR, MOST = 20, 64, 512
 RUN = 80
 #: Chunks that a task holds at once.
 HELD = 2_000_000
+#: A row: whether it has no doc_id, the doc_id, the digest of its text.
+ROW = np.dtype([("none", "?"), ("id", "<i8"), ("th", "<i8")])
 
 
 def _gear() -> np.ndarray:
@@ -54,6 +61,17 @@ def gear_hashes(points: np.ndarray) -> np.ndarray:
     return h
 
 
+def largest(at: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Of sorted candidates those whose value is the largest of all less than LEAST away, of equal ones the first."""
+    keep, k = np.ones(len(at), bool), 1
+    while k < len(at) and (near := at[k:] - at[:-k] < LEAST).any():
+        left, right = value[:-k], value[k:]
+        keep[k:] &= ~(near & (left >= right))
+        keep[:-k] &= ~(near & (right > left))
+        k += 1
+    return at[keep]
+
+
 def cuts(points: np.ndarray) -> list[int]:
     """Ends of the chunks, exclusive; the last is the text's end."""
     n = len(points)
@@ -61,16 +79,15 @@ def cuts(points: np.ndarray) -> list[int]:
         return []
     h = gear_hashes(points) >> np.uint64(40)
     at = np.flatnonzero((points <= 32) & ((h & np.uint64(DIVISOR - 1)) == DIVISOR - 1))
-    value, keep, k = h[at], np.ones(len(at), bool), 1
-    while k < len(at) and (near := at[k:] - at[:-k] < LEAST).any():
-        left, right = value[:-k], value[k:]
-        keep[k:] &= ~(near & (left >= right))
-        keep[:-k] &= ~(near & (right > left))
-        k += 1
+    ends = largest(at, h[at]) + 1
+    bounds = np.concatenate([[0], ends, [n]])
+    bare = [np.arange(a + FAR, b - FAR) for a, b in zip(bounds[:-1], bounds[1:], strict=True) if b - a > 2 * FAR]
+    if bare:
+        ends = np.sort(np.concatenate([ends, *(largest(x, h[x]) + 1 for x in bare)]))
     out, last = [], 0
-    for e in [*(at[keep] + 1).tolist(), n]:
-        while e - last > MOST:  # no blank to cut at
-            last += LEAST + int(np.argmax(h[last + LEAST : last + MOST])) + 1
+    for e in [*ends.tolist(), n]:
+        while e - last > MOST:
+            last += MOST
             out.append(last)
         if e > last:
             out.append(e)
@@ -86,32 +103,28 @@ def chunk_digests(text: str) -> tuple[list[int], list[bytes]]:
 
 
 def chunk_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, end, d1, d2, later): a task's first chunk of each digest, and with `later` those that follow it there."""
-    last = np.iinfo(np.int64).max
+    """(doc_id, th, start, end, d1, d2, later): a task's first chunk of each digest, and with `later` those that follow it there."""
 
     def out(doc: list, start: list, end: list, digests: list) -> pa.RecordBatch:
         d = np.frombuffer(b"".join(digests), np.dtype([("a", "<i8"), ("b", "<i4")]))
         doc, start, end = np.concatenate(doc), np.concatenate(start), np.concatenate(end)
-        order = np.lexsort((start, doc, d["b"], d["a"]))
+        order = np.lexsort((start, doc["th"], doc["id"], doc["none"], d["b"], d["a"]))
         doc, start, end, d = doc[order], start[order], end[order], d[order]
-        first = np.append(True, (d["a"][1:] != d["a"][:-1]) | (d["b"][1:] != d["b"][:-1]))
+        first = np.append(True, d[1:] != d[:-1])
         holder = np.maximum.accumulate(np.where(first, np.arange(len(d)), 0))
         later = ~first & ((doc != doc[holder]) | (start != start[holder]))
-        show = first | later  # a repeated row's chunk goes as its first does
-        again = ~show
-        show |= again
-        later_key = np.where(later, np.arange(len(d)) * np.int64(0x9E3779B97F4A7C15 - 2**64), d["a"])  # spread: nothing is compared with these
-        return pa.RecordBatch.from_arrays([pa.array(np.where(doc == last, 0, doc), mask=doc == last), pa.array(start), pa.array(end), pa.array(later_key), pa.array(np.where(later, 0, d["b"]).astype(np.int32)), pa.array(later)], ["doc_id", "start", "end", "d1", "d2", "later"])
+        key = np.where(later, np.arange(len(d)) * np.int64(0x9E3779B97F4A7C15 - 2**64), d["a"])  # spread: nothing is compared with these
+        columns = [pa.array(doc["id"], mask=doc["none"]), doc["th"], start, end, key, np.where(later, 0, d["b"]).astype(np.int32), later]
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], ["doc_id", "th", "start", "end", "d1", "d2", "later"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, start, end, digests, n = [], [], [], [], 0
         for b in batches:
-            ids = b.column(0).fill_null(last).to_numpy(zero_copy_only=False)
-            for i, t in zip(ids, b.column(1), strict=True):
+            for i, th, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 ends, d = chunk_digests(t.as_py() or "")
                 if ends:
                     e = np.array(ends, np.int32)
-                    doc.append(np.full(len(e), i))
+                    doc.append(np.full(len(e), np.array((i is None, i or 0, th), ROW)))
                     start.append(np.append(np.int32(0), e[:-1]))
                     end.append(e)
                     digests += d
@@ -122,21 +135,31 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
         if n:
             yield out(doc, start, end, digests)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, start int, end int, d1 long, d2 int, later boolean")
+    rows = docs.select(F.col("doc_id").cast("long"), digest_of(docs), F.col("text").cast("string"))
+    return rows.mapInArrow(run, "doc_id long, th long, start int, end int, d1 long, d2 int, later boolean")
+
+
+def digest_of(docs: DataFrame) -> Column:
+    return F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))).alias("th")
 
 
 def repeats(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """(doc_id, spans): runs of at least `run` characters of chunks that an earlier place has, as array<struct<start, end>>."""
-    w = Window.partitionBy("d1", "d2").orderBy(F.col("doc_id").asc_nulls_last(), "start")
+    """(doc_id, th, spans): runs of at least `run` characters of chunks that an earlier place has, as array<struct<start, end>>."""
+    w = Window.partitionBy("d1", "d2").orderBy(F.col("doc_id").asc_nulls_last(), "th", "start")
     rows = chunk_rows(docs).withColumn("_k", F.rank().over(w))
-    dup = rows.filter(F.col("later") | (F.col("_k") > 1)).select("doc_id", F.struct("start", "end").alias("c"))
-    sorted_chunks = dup.groupBy("doc_id").agg(F.sort_array(F.collect_set("c")).alias("cs"))
-    merged = F.aggregate(
-        "cs",
-        F.expr("cast(array() as array<struct<start:int,end:int>>)"),
-        lambda acc, c: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] == c["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), c["end"].alias("end"))))).otherwise(F.concat(acc, F.array(c))),
-    )
-    return sorted_chunks.select("doc_id", F.filter(merged, lambda s: s["end"] - s["start"] >= run).alias("spans")).filter(F.size("spans") > 0)
+    dup = rows.filter(F.col("later") | (F.col("_k") > 1)).select("doc_id", "th", F.struct("start", "end").alias("c"))
+    sorted_chunks = dup.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("c")).alias("cs"))
+    # neighbours meet: a run starts where no chunk ends, and ends where none starts
+    starts, ends = F.transform("cs", lambda c: c["start"]), F.transform("cs", lambda c: c["end"])
+    open_at, close_at = F.array_sort(F.array_except(starts, ends)), F.array_sort(F.array_except(ends, starts))
+    runs = F.zip_with(open_at, close_at, lambda a, b: F.struct(a.alias("start"), b.alias("end")))
+    return sorted_chunks.select("doc_id", "th", F.filter(runs, lambda s: s["end"] - s["start"] >= run).alias("spans")).filter(F.size("spans") > 0)
+
+
+def with_spans(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(row, th, spans): `rows`, a struct and its text's digest, with the spans of its doc_id and digest, if any."""
+    found = found.select(F.col("doc_id").alias("id"), F.col("th").alias("own"), "spans")
+    return rows.join(found, F.col("row.doc_id").cast("long").eqNullSafe(F.col("id")) & (F.col("th") == F.col("own")), "left").select("row", "spans")
 
 
 def without(text, spans):
@@ -147,17 +170,16 @@ def without(text, spans):
 
 def dedup_substrings(docs: DataFrame, run: int = RUN) -> DataFrame:
     """`docs` with later repeats cut from the text."""
-    found = repeats(docs, run).select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"))
-    joined = docs.join(found, F.col("doc_id") == F.col("_id"), "left")
-    new = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(without(F.col("text"), F.col("_spans")))
-    return joined.select(*[new.alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    joined = with_spans(docs.select(F.struct("*").alias("row"), digest_of(docs)), repeats(docs, run))
+    text = F.col("row.text")
+    new = F.when(F.col("spans").isNull(), text).otherwise(without(text, F.col("spans")))
+    return joined.select(*[(new if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def report(docs: DataFrame, run: int = RUN) -> DataFrame:
     """For each row doc_id, n_chars, dup_chars, n_spans and spans (`start:end`, comma-joined, code points, end exclusive)."""
-    found = repeats(docs, run).select(F.col("doc_id").alias("_id"), F.col("spans").alias("_s"))
-    rows = docs.select(F.col("doc_id").cast("long"), F.length(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("long").alias("n_chars"))
-    cut_chars = F.coalesce(F.aggregate("_s", F.lit(0).cast("long"), lambda a, s: a + (s["end"] - s["start"])), F.lit(0).cast("long"))
-    return rows.join(found, F.col("doc_id") == F.col("_id"), "left").select(
-        "doc_id", "n_chars", cut_chars.alias("dup_chars"), F.coalesce(F.size("_s"), F.lit(0)).alias("n_spans"), F.coalesce(F.array_join(F.transform("_s", lambda s: F.concat_ws(":", s["start"], s["end"])), ","), F.lit("")).alias("spans")
-    )
+    n_chars = F.length(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("long")
+    joined = with_spans(docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), n_chars.alias("n_chars")).alias("row"), digest_of(docs)), repeats(docs, run))
+    cut_chars = F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + (s["end"] - s["start"])), F.lit(0).cast("long"))
+    listed = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return joined.select("row.*", cut_chars.alias("dup_chars"), F.coalesce(F.size("spans"), F.lit(0)).alias("n_spans"), F.coalesce(listed, F.lit("")).alias("spans"))

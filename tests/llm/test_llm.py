@@ -7,6 +7,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+import xxhash
 
 sys.path.insert(0, str(Path(__file__).parent))
 import helpers
@@ -412,23 +413,29 @@ def test_rejected_hosts(spark, monkeypatch, few):
 # 10 substring dedup
 
 
+def xx(text):
+    return xxhash.xxh64_intdigest((text or "").encode(), 42) ^ 1 << 63  # in the order of signed longs
+
+
 def plain_chunks(rows):
+    """Spans of each (doc_id, text): every chunk compared with all before it, runs of neighbours merged."""
     seen, dup = {}, collections.defaultdict(set)
-    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
-        ends, digests = chunks.chunk_digests(t or "")
-        for a, b, d in zip([0, *ends], ends, digests, strict=False):
-            if seen.setdefault(d, (i, a)) != (i, a):
-                dup[i].add((a, b))
+    for i, t in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, xx(r[1]))):
+        last = 0
+        for e in chunks.cuts(np.array(list(map(ord, t or "")), np.uint32)):
+            if seen.setdefault(t[last:e], (i, t, last)) != (i, t, last):
+                dup[i, t].add((last, e))
+            last = e
     out = {}
-    for i, own in dup.items():
+    for row, own in dup.items():
         merged = []
         for a, b in sorted(own):
             if merged and merged[-1][1] == a:
                 merged[-1] = (merged[-1][0], b)
             else:
                 merged.append((a, b))
-        out[i] = [s for s in merged if s[1] - s[0] >= chunks.RUN]
-    return {i: s for i, s in out.items() if s}
+        out[row] = [s for s in merged if s[1] - s[0] >= chunks.RUN]
+    return {row: s for row, s in out.items() if s}
 
 
 def test_chunks_cover_texts(docs):
@@ -437,16 +444,44 @@ def test_chunks_cover_texts(docs):
         assert ends == sorted(set(ends)) and (ends[-1] if ends else 0) == len(t or "")
 
 
-def test_substrings(docs, odd, empty):
-    for df in (docs, odd.filter("doc_id is not null"), empty):
-        rows = rows_of(df)
-        expected = plain_chunks(rows)
-        out = chunks.report(df.repartition(3)).collect()
-        assert len(out) == len(rows)
-        assert {r.doc_id: r.spans for r in out if r.n_spans} == {i: ",".join(f"{a}:{b}" for a, b in s) for i, s in expected.items()}
+SHARED = [(5, "a short text of its own"), (5, f"{helpers.PASSAGE} first under five"), (None, f"without id {helpers.PASSAGE}"), (None, f"none either {helpers.PASSAGE} x"), (None, "alone"), (3, "y" * 900), (4, "y" * 900)]
+
+
+@pytest.mark.parametrize("which", ["docs", "odd", "empty", "shared"])
+def test_substrings(which, request, spark):
+    df = helpers.frame(spark, SHARED) if which == "shared" else request.getfixturevalue(which)
+    rows = rows_of(df)
+    expected = plain_chunks(rows)
+    want = lambda i, t: ",".join(f"{a}:{b}" for a, b in expected.get((i, t), []))
+    out = chunks.report(df.repartition(3)).collect()
+    assert collections.Counter((r.doc_id, r.n_chars, r.spans) for r in out) == collections.Counter((i, len(t or ""), want(i, t)) for i, t in rows)
+    assert all(r.dup_chars == sum(b - a for a, b in (map(int, s.split(":")) for s in r.spans.split(",") if s)) for r in out)
+
+
+def test_cut_texts(spark, odd):
     cut = {r.doc_id: r.text for r in chunks.dedup_substrings(odd).collect()}
     assert "word7 of the passage" in cut[8] and "word7 of the passage" not in cut[9] and cut[9].startswith("begin other") and cut[9].endswith("end two")
-    assert chunks.dedup_substrings(odd).columns == odd.columns
+    clash = helpers.frame(spark, SHARED).select("*", *[F.lit("clash").alias(c) for c in ("_id", "_spans", "spans", "row", "th", "own", "id", "start")])
+    out = chunks.dedup_substrings(clash)
+    assert out.columns == clash.columns and {r["spans"] for r in out.collect()} == {"clash"}
+    texts = collections.Counter((r.doc_id, r.text) for r in out.collect())
+    assert texts[5, SHARED[0][1]] == texts[5, SHARED[1][1]] == texts[None, "alone"] == 1
+    assert sum(i is None and helpers.PASSAGE not in t for i, t in texts) == 3
+
+
+def test_passages_without_blanks():
+    rng = np.random.default_rng(5)
+    word = lambda n: "".join(map(chr, rng.integers(0x4E00, 0x9FA5, n)))
+    found = collections.Counter()
+    for _ in range(100):
+        for n in (200, 300, 400):
+            shared = word(n)
+            a, b = set(chunks.chunk_digests(word(300) + shared + word(300))[1]), chunks.chunk_digests(word(401) + shared + word(77))
+            known = sum(e - s for s, e, d in zip([0, *b[0]], b[0], b[1], strict=False) if d in a)
+            found[n] += known >= chunks.RUN
+    assert found[200] >= 80 and found[300] >= 97 and found[400] >= 99
+    sizes = np.diff([0, *chunks.cuts(np.array(rng.integers(0x4E00, 0x9FA5, 20000), np.uint32))])
+    assert 30 < sizes.mean() < 50
 
 
 def test_shift():
@@ -469,14 +504,12 @@ def test_pipeline(spark, docs, tmp_path):
             ids = {i for i, t in rows if not ((q := helpers.quality(t))[0] < 50 or 100 * q[4] > 50 * q[0])}
             assert {r.doc_id for r in out.collect()} == ids
         elif name == "near_duplicates":
-            fps = [(i, helpers.simhash(t)) for i, t in rows]
-            least = helpers.components(fps)
-            assert {r.doc_id for r in out.collect()} == {i for i, f in fps if least[f] == i}
+            assert {r.doc_id for r in out.collect()} == {i for i, least in plain_groups(rows).items() if i == least}
         elif name == "repeated_passages":
             spans = plain_chunks(rows)
             for r in out.collect():
                 text = dict(rows)[r.doc_id]
-                for a, b in reversed(spans.get(r.doc_id, [])):
+                for a, b in reversed(spans.get((r.doc_id, text), [])):
                     text = text[:a] + text[b:]
                 assert r.text == text and r.n_chars == len(text)
         elif name == "personal_data":
