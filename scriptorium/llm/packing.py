@@ -1,8 +1,9 @@
 """Packing into length buckets of least padding.
 
-The lengths' histogram is collected on a grid: exact up to EXACT, then STEPS cells an octave, so that it has at most
-EXACT + 25 * STEPS cells however many rows there are.  A dynamic program over the cells chooses the boundaries that
-minimise the padding of all rows; a boundary is the largest length in its cell, so the cost is exact.  Inside a bucket
+The histogram holds every length there is, however many rows: k different lengths need k (k + 1) / 2 tokens at least, so 100 TB of
+bytes have at most 14 million and the driver's share stays small.  A dynamic program over all of them chooses the boundaries that
+minimise the padding of all rows; the best predecessor of a boundary is found on the lower hull of lines, in linear time a bucket, with
+whole numbers.  Inside a bucket
 rows are numbered without gathering the bucket in one task: SHARDS shards by hash are counted, a prefix sum over at
 most buckets * SHARDS counts gives each shard its offset, and rows are numbered inside (bucket, shard).  A batch takes
 as many rows as fit the token budget at the bucket's padded length.
@@ -13,7 +14,9 @@ of its own; ties in length share a bucket; repeated rows take a place each; no r
 
 from __future__ import annotations
 
-import numpy as np
+from itertools import accumulate
+from operator import mul
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +25,6 @@ from scriptorium.llm.common import cut
 BUCKETS = 16
 #: Padded tokens in a batch.
 BUDGET = 262_144
-EXACT, STEPS = 256, 128
 SHARDS = 1024
 
 
@@ -31,48 +33,50 @@ def byte_tokens(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
 
 
-def cell(length: str) -> Column:
-    """The grid's cell of a length: larger lengths have no smaller cells."""
-    octave, low, fine = f"(length(bin({length})) - 1)", EXACT.bit_length() - 1, STEPS.bit_length() - 1
-    return F.expr(f"if({length} <= {EXACT}, {length}, {EXACT} + ({octave} - {low}) * {STEPS} + shiftright({length}, {octave} - {fine}) - {STEPS} + 1)")
-
-
-def boundaries(top: np.ndarray, count: np.ndarray, total: np.ndarray, buckets: int) -> list[int]:
-    """Upper bounds of at most `buckets` buckets, of least padding; top, count, total: largest length, rows and sum of lengths of each cell."""
-    n = len(top)
+def boundaries(length: list[int], count: list[int], buckets: int) -> list[int]:
+    """Upper bounds of at most `buckets` buckets, of least padding; length: the different lengths, ascending; count: their rows."""
+    n = len(length)
     if not n:
         return []
-    c, s = np.append(0, np.cumsum(count)).astype(float), np.append(0, np.cumsum(total)).astype(float)
-    least, came = np.full(n + 1, np.inf), []
-    least[0] = 0
+    rows, tokens = [0, *accumulate(count)], [0, *accumulate(map(mul, length, count))]
+    # the last bucket of lengths i to j - 1 costs length[j - 1] * (rows[j] - rows[i]) - (tokens[j] - tokens[i])
+    least: list[int | None] = [0] + [None] * n
+    came = []
     for _ in range(min(buckets, n)):
-        now, back = np.full(n + 1, np.inf), np.zeros(n + 1, int)
-        now[0] = 0
-        for j in range(1, n + 1):  # the last bucket: cells i to j - 1
-            cost = least[:j] + top[j - 1] * (c[j] - c[:j]) - (s[j] - s[:j])
-            back[j] = int(np.argmin(cost))
-            now[j] = cost[back[j]]
+        now: list[int | None] = [0] + [None] * n
+        back, hull, best = [0] * (n + 1), [], 0  # hull: (slope, intercept, i) of the lines that are least somewhere
+        for j in range(1, n + 1):
+            if least[j - 1] is not None:
+                line = (-rows[j - 1], least[j - 1] + tokens[j - 1], j - 1)
+                while len(hull) - best > 1 and (line[1] - hull[-2][1]) * (hull[-2][0] - hull[-1][0]) <= (hull[-1][1] - hull[-2][1]) * (hull[-2][0] - line[0]):
+                    hull.pop()
+                hull.append(line)
+            x = length[j - 1]
+            while best + 1 < len(hull) and hull[best + 1][0] * x + hull[best + 1][1] <= hull[best][0] * x + hull[best][1]:
+                best += 1
+            if hull:
+                slope, intercept, back[j] = hull[best]
+                now[j] = slope * x + intercept + x * rows[j] - tokens[j]
         least = now
         came.append(back)
     out, j = [], n
     for back in reversed(came):
         if not j:
             break
-        out.append(int(top[j - 1]))
+        out.append(length[j - 1])
         j = back[j]
     return out[::-1]
 
 
 def pack(rows: DataFrame, key: str = "doc_id", length: str = "n_tokens", buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """`rows` with bucket, bucket_len, batch (numbered in its bucket), place (in its batch) and padding."""
-    rows = rows.withColumn("_cell", cell(length))
-    grid = rows.groupBy("_cell").agg(F.max(length).alias("top"), F.count(F.lit(1)).alias("n"), F.sum(length).alias("s")).orderBy("_cell").collect()  # at most EXACT + 25 * STEPS rows
-    ends = boundaries(np.array([r.top for r in grid]), np.array([r.n for r in grid]), np.array([r.s for r in grid]), buckets)
+    found = rows.groupBy(F.col(length).cast("long").alias("length")).agg(F.count(F.lit(1)).alias("n")).orderBy("length").toArrow()  # a row for each different length
+    ends = boundaries(found["length"].to_pylist(), found["n"].to_pylist(), buckets)
     bucket = F.lit(0)
     for e in ends:
         bucket = bucket + (F.col(length) > e).cast("int")
     ends_column = F.array(*[F.lit(e).cast("long") for e in ends]) if ends else F.array(F.lit(1).cast("long"))
-    dealt = rows.drop("_cell").withColumn("bucket", bucket).withColumn("_shard", F.pmod(F.xxhash64(key, length), F.lit(SHARDS)).cast("int"))
+    dealt = rows.withColumn("bucket", bucket).withColumn("_shard", F.pmod(F.xxhash64(key, length), F.lit(SHARDS)).cast("int"))
     counts = dealt.groupBy("bucket", "_shard").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("bucket").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cut(counts.select("bucket", "_shard", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))  # at most buckets * SHARDS rows

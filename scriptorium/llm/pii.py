@@ -4,17 +4,19 @@ Base spans come from four patterns.  Positions, which Spark's functions don't re
 the gaps that split() leaves between them.  The patterns are the contract's, written so that long runs of one kind of character
 take linear time and no recursion.
 
-The method measures disclosure.  A protected entity is the value of a base span; a context is the REACH words on either side of
-one.  Over the distinct contexts of an entity e (copies of a passage count once) and over all words of all documents,
-PMI(e; t) = log2(p(t | e) / p(t)), where p(t | e) is the part of e's contexts that hold the term t and p(t) the part of the
-documents that do.  IC(e) = -log2 p(e) is what there is to disclose.  A term discloses e if it is in at least SUPPORT contexts of
-e and PMI / IC is at least GENERALISE; from REMOVE on it is removed, below it is generalised to the shape of the term.  Terms are
-words of letters only, and of LEAST_LETTERS at least.  A document that holds e has every occurrence of e's disclosing terms as a
-span of kind `term`.
+The method measures disclosure.  A protected entity e is the value of a base span; a context of it is the REACH words on either side
+of one.  All counts are of distinct texts, so copies of a text count once: n, of those that hold e, those with a term t in a
+context of e, and those that hold t anywhere.  PMI(e; t) = log2(p(t | e) / p(t)), where p(t | e) is the part of e's texts with t in a
+context and p(t) the part of all texts that hold t.  IC(e) = -log2 p(e) is what there is to disclose.  A term discloses e if
+SUPPORT texts at least have it in a context of e and PMI / IC is at least GENERALISE; from REMOVE on it is removed, below it is
+generalised to the shape of the term.  Terms are words of letters only, and of LEAST_LETTERS at least.  A text that holds e has
+every occurrence of e's disclosing terms as a span of kind `term`.
+
+Only texts with disclosing terms are shuffled, by their digest, frequent ones under salts; all others stay where they are.
 
 Defined results: a null or empty text has no spans; of overlapping spans the earlier kind in the list, then the earlier start is
 the one that a text's replacement uses; repeated rows get equal results; rows of one doc_id with other texts are kept apart by a
-digest of the text; no rows give no rows; other columns are left alone.
+digest of the text; no rows give no rows; other columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import shared_folder
+from scriptorium.llm.common import lookup, shared_folder
 
 KINDS = ("email", "ip", "card", "phone")
 #: With `\\G` a match may start where the last one ended, else only where no earlier start of the same run was tried.
@@ -43,6 +45,8 @@ GENERALISE, REMOVE = 0.85, 0.97
 LEAST_LETTERS = 4
 #: So many candidate terms are broadcast to the words of all documents; more are joined with the words' counts by shuffle.
 FEW_TERMS = 20_000
+#: The digests of so many texts with disclosing terms are broadcast; with more, all texts are joined under salts.
+FEW_TEXTS = 1_000_000
 
 
 def digits(x: Column) -> Column:
@@ -104,63 +108,74 @@ def around(text: str, span: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.transform(F.concat(before, after), lambda x: F.lower(x)), lambda x: F.length(x) >= LEAST_LETTERS)))
 
 
-def contexts(found: DataFrame) -> DataFrame:
-    """(entity, terms): the distinct contexts of each entity."""
-    one = found.select("t", F.explode("spans").alias("s"))
-    return one.select(F.concat_ws(":", "s.kind", F.lower("s.value")).alias("entity"), around("t", F.col("s")).alias("terms")).distinct()
+def entities(spans: str) -> Column:
+    """The distinct entities of base spans."""
+    return F.array_distinct(F.transform(spans, entity))
+
+
+def entity(span: Column) -> Column:
+    return F.concat_ws(":", span["kind"], F.lower(span["value"]))
 
 
 def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """(entity, term, strength): terms that disclose an entity; found: (t, spans, ...) of all documents with a base span.
+    """(entity, term, strength): terms that disclose an entity; found: (key, t, spans) of all documents with a base span, key: the text's digest.
 
     Candidates are written to the shared folder, so that their number is known before the documents' words are joined with them.
     """
     spark, folder = docs.sparkSession, f"{shared_folder(docs.sparkSession)}/pii-{uuid.uuid4().hex}"
-    ctx = contexts(found)
-    pairs = ctx.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).filter(F.col("n_both") >= SUPPORT)
-    held = ctx.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).filter(F.col("n_entity") >= SUPPORT)
-    # a term is in at least as many documents as have it near an entity: what can't disclose even so is no candidate
-    near = found.select("key", "t", F.explode("spans").alias("s")).select("key", F.explode(around("t", F.col("s"))).alias("term")).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
-    n_docs = docs.count()
-    pairs.join(held, "entity").join(near, "term").filter(strength(F.col("n_near"), n_docs) >= GENERALISE).select("entity", "term", "n_both", "n_entity").write.parquet(f"{folder}/pairs")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    held = found.select("key", F.explode(entities("spans")).alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).filter(F.col("n_entity") >= SUPPORT)
+    near = found.select("key", "t", F.explode("spans").alias("s")).select("key", entity(F.col("s")).alias("entity"), F.explode(around("t", F.col("s"))).alias("term")).distinct()
+    pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).filter(F.col("n_both") >= SUPPORT)
+    # a term is in at least as many texts as have it near an entity: what can't disclose even so is no candidate
+    least = near.select("key", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near")).filter(F.col("n_near") >= SUPPORT)
+    n = docs.select(F.xxhash64(text).alias("key")).distinct().count()
+    pairs.join(held, "entity").join(least, "term").filter(strength(F.col("n_near"), n) >= GENERALISE).select("entity", "term", "n_both", "n_entity").write.parquet(f"{folder}/pairs")
     pairs = spark.read.parquet(f"{folder}/pairs")
     pairs.select("term").distinct().write.parquet(f"{folder}/terms")
     wanted = spark.read.parquet(f"{folder}/terms")
     if wanted.isEmpty():
         return spark.createDataFrame([], "entity string, term string, strength double")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    seen = docs.select(F.explode(F.array_distinct(F.transform(terms(text), lambda x: F.lower(x)))).alias("term"))
+    seen = docs.select(F.xxhash64(text).alias("key"), F.explode(F.array_distinct(F.transform(terms(text), lambda x: F.lower(x)))).alias("term"))
     if wanted.count() <= FEW_TERMS:
         seen = seen.join(F.broadcast(wanted), "term", "left_semi")
-    df = seen.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    return pairs.join(df, "term").select("entity", "term", strength(F.col("n_term"), n_docs).alias("strength")).filter(F.col("strength") >= GENERALISE)
+    df = seen.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    return pairs.join(df, "term").select("entity", "term", strength(F.col("n_term"), n).alias("strength")).filter(F.col("strength") >= GENERALISE)
 
 
-def strength(n_term: Column, n_docs: int) -> Column:
-    """PMI / IC of a pair (n_both, n_entity) whose term is in n_term of n_docs documents, at most 1; null if there is nothing to disclose."""
-    pmi = F.log2((F.col("n_both") / F.col("n_entity")) / (n_term / F.lit(n_docs)))
-    ic = -F.log2(F.least(F.col("n_entity"), F.lit(n_docs)) / F.lit(n_docs))
+def strength(n_term: Column, n: int) -> Column:
+    """PMI / IC of a pair (n_both, n_entity) whose term is in n_term of n texts, at most 1; null if there is nothing to disclose."""
+    pmi = F.log2((F.col("n_both") / F.col("n_entity")) / (n_term / F.lit(n)))
+    ic = -F.log2(F.col("n_entity") / F.lit(n))
     return F.when(ic > 0, F.least(pmi / ic, F.lit(1.0)))
 
 
 def found_spans(docs: DataFrame) -> DataFrame:
-    """`docs` with `_spans`: base spans and terms, as array<struct<kind, start, end, value, strength>>, by kind as listed, then start."""
+    """(row, spans): rows as structs, with base spans and terms as array<struct<kind, start, end, value, strength>>, by kind as listed, then start."""
     spark, folder = docs.sparkSession, f"{shared_folder(docs.sparkSession)}/pii-{uuid.uuid4().hex}"
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     # one pass finds the base spans; only rows with some are written, with their texts
     docs.select(text.alias("t"), base_spans(text).alias("spans")).filter(F.size("spans") > 0).withColumn("key", F.xxhash64("t")).write.parquet(f"{folder}/found")
     found = spark.read.parquet(f"{folder}/found")
-    told = disclosing(found, docs)
-    entities = found.select("key", F.explode(F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))).alias("entity")).distinct()
-    by_text = entities.join(told, "entity").groupBy("key", "term").agg(F.max("strength").alias("strength")).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "strength"))).alias("told"))
-    by_text.write.parquet(f"{folder}/told")
-    by_text = spark.read.parquet(f"{folder}/told").select(F.col("key").alias("_key"), F.col("told").alias("_told"))
-    rows = docs.withColumn("_key", F.xxhash64(text)).join(by_text, "_key", "left")
-    own = matches(text, TERM, "term", lambda m: F.map_contains_key(F.col("_told"), F.lower(m)))
-    base = F.transform(base_spans(text), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.lit(1.0).alias("strength")))
-    clear = F.filter(own, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    more = F.transform(clear, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.element_at(F.col("_told"), F.lower(s["value"])).alias("strength")))
-    return rows.withColumn("_spans", F.when(F.col("_told").isNull(), base).otherwise(F.concat(base, more))).drop("_key", "_told")
+    disclosing(found, docs).write.parquet(f"{folder}/told")
+    told = spark.read.parquet(f"{folder}/told")
+    rows = docs.select(F.struct("*").alias("row"), text.alias("t"), F.xxhash64(text).alias("key"))
+    base = F.transform(base_spans(F.col("t")), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.lit(1.0).alias("strength")))
+    if told.isEmpty():
+        return rows.select("row", base.alias("spans"))
+    by_text = found.select("key", F.explode(entities("spans")).alias("entity")).groupBy("key", "entity").agg(F.count(F.lit(1)).alias("n")).join(told, "entity")
+    by_text = by_text.groupBy("key", "term").agg(F.max("strength").alias("strength"), F.max("n").alias("n"))
+    by_text.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "strength"))).alias("told"), F.max("n").alias("n")).write.parquet(f"{folder}/by_text")
+    by_text = spark.read.parquet(f"{folder}/by_text")
+    own = matches(F.col("t"), TERM, "term", lambda m: F.map_contains_key(F.col("told"), F.lower(m)))
+    clear = F.filter(own, lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    more = F.transform(clear, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.element_at(F.col("told"), F.lower(s["value"])).alias("strength")))
+    keys, total = by_text.select("key"), found.count()
+    if by_text.count() > FEW_TEXTS:
+        return lookup(rows, by_text, "key", "row.doc_id", total).withColumn("base", base).select("row", F.when(F.col("told").isNull(), F.col("base")).otherwise(F.concat("base", more)).alias("spans"))
+    plain = rows.join(F.broadcast(keys), "key", "left_anti").select("row", base.alias("spans"))  # FEW_TEXTS longs at most
+    telling = lookup(rows.join(F.broadcast(keys), "key", "left_semi"), by_text, "key", "row.doc_id", total)
+    return plain.unionByName(telling.withColumn("base", base).select("row", F.concat("base", more).alias("spans")))
 
 
 def sanitised(text: Column, spans: Column) -> Column:
@@ -181,7 +196,8 @@ def sanitised(text: Column, spans: Column) -> Column:
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """`docs` with personal data and disclosing terms replaced in the text."""
-    return found_spans(docs).select(*[sanitised(F.col("text").cast("string"), F.col("_spans")).alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    text = F.col("row.text").cast("string")
+    return found_spans(docs).select(*[(sanitised(text, F.col("spans")) if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def of_kind(spans: Column, kind: str) -> Column:
@@ -194,7 +210,6 @@ def listed(spans: Column) -> Column:
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, the four counts, the digest of the base spans and all spans of each row."""
-    rows = found_spans(docs)
-    base = F.filter("_spans", lambda s: s["kind"] != "term")
-    counts = [F.size(of_kind(F.col("_spans"), k)).cast("long").alias(f"n_{k}") for k in KINDS]
-    return rows.select(F.col("doc_id").cast("long"), *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("_spans")).alias("spans"))
+    base = F.filter("spans", lambda s: s["kind"] != "term")
+    counts = [F.size(of_kind(F.col("spans"), k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found_spans(docs).select(F.col("row.doc_id").cast("long").alias("doc_id"), *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))

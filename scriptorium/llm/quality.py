@@ -1,7 +1,9 @@
 """Host-level quality rules, in DataFrame functions only.
 
-Two rules judge each document: fewer than 50 words, or more than half its words in 3-word windows that its text has twice or
-more.  Failures are counted by host (the column `source`).  Host rates are shrunk with an empirical beta prior, whose mean and
+Two rules reject a document by themselves: fewer than 50 words, or more than half its words in 3-word windows that its text has twice
+or more.  Three more are too coarse for that and only speak of hosts: words of a mean length outside WORD_LENGTH, more than one symbol to SYMBOL_WORDS words, and
+more than DUP_LINES of the lines equal to an earlier one.  Failures of any rule are counted by host (the column `source`).  Host
+rates are shrunk with an empirical beta prior, whose mean and
 weight come from the hosts' rates by the method of moments: a host of few documents keeps near the mean of all.  A host is
 rejected if its shrunk rate is at least HOST_RATE; its verdict is joined back to its documents.
 
@@ -22,10 +24,12 @@ LEAST_WORDS = 50
 #: A document fails if 100 * n_repeat_words > MOST_REPEATED * n_words.
 MOST_REPEATED = 50
 SYMBOLS = "[#*$%&|<>]"
+#: Least and greatest mean length of words; one symbol to so many words; parts in a hundred of the lines.
+WORD_LENGTH, SYMBOL_WORDS, DUP_LINES = (3, 10), 10, 30
 #: Shrunk failure rate from which a host is rejected as a whole.
 HOST_RATE = 0.8
 #: Bits of a packed long that hold a window's place; the others hold the head of its hash.
-PLACE_BITS = 26
+PLACE_BITS = 31
 #: So many rejected hosts are broadcast to the documents.
 FEW_HOSTS = 10_000
 
@@ -75,21 +79,24 @@ def let(value: Column, body) -> Column:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """(doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed) of each row."""
+    """(doc_id, host, n_words, word_chars, n_symbols, n_repeat_words, n_dup_lines, base_failed, any_failed) of each row."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string").alias("host"), text.alias("t")).withColumn("w", words(F.col("t")))
     lines = F.filter(F.split("t", "\n"), lambda x: F.trim(x, F.lit(" \t\x0b\x0c\r")) != "")
+    sizes = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), F.size(F.array_distinct(x)).cast("long").alias("distinct")))
     out = rows.select(
         "doc_id",
         "host",
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.regexp_count("t", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        sizes.alias("lines"),
         repeated_words(F.col("w")).alias("n_repeat_words"),
     )
+    out = out.withColumn("n_dup_lines", F.col("lines.n") - F.col("lines.distinct"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    return out.withColumn("base_failed", failed)
+    odd = ~F.col("word_chars").between(WORD_LENGTH[0] * F.col("n_words"), WORD_LENGTH[1] * F.col("n_words")) | (SYMBOL_WORDS * F.col("n_symbols") > F.col("n_words")) | (100 * F.col("n_dup_lines") > DUP_LINES * F.col("lines.n"))
+    return out.withColumn("base_failed", failed).withColumn("any_failed", failed | odd).drop("lines")
 
 
 def host_rates(rows: DataFrame) -> DataFrame:
@@ -98,7 +105,7 @@ def host_rates(rows: DataFrame) -> DataFrame:
     With mean m and variance v of the hosts' rates, each weighted by its documents, the prior is beta(m k, (1 - m) k),
     k = m (1 - m) / v - 1.  With one host, or hosts all alike, v is 0 and there is nothing to shrink between: all get m.
     """
-    by_host = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
+    by_host = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("any_failed").cast("long")).alias("failed"))
     raw = F.col("failed") / F.col("n")
     # one row: sums over the hosts, whose rates are exact ratios of counts
     prior = by_host.agg(F.sum("n").alias("N"), F.sum("failed").alias("A"), F.sum(F.col("failed") * raw).alias("Q"))
@@ -120,14 +127,17 @@ def judged(docs: DataFrame, host_rate: float = HOST_RATE) -> DataFrame:
 
 def keep_good(docs: DataFrame, host_rate: float = HOST_RATE) -> DataFrame:
     """The rows that pass the rules and whose host does; their rules are measured where they are, only hosts' rates are joined."""
-    rates = host_rates(cut(measured(docs).select("host", "base_failed")))
+    rates = host_rates(cut(measured(docs).select("host", "any_failed")))
     bad = cut(rates.filter(F.col("rate") >= host_rate).select(F.coalesce(F.concat(F.lit("="), "host"), F.lit("")).alias("_host")))
-    good = docs.filter(~fails(F.col("text").cast("string"))).withColumn("_host", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")))
+    host = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
+    good = docs.filter(~fails(F.col("text").cast("string"))).select(F.struct("*").alias("row"), host.alias("_host"))
     if bad.count() <= FEW_HOSTS:
-        return good.join(F.broadcast(bad), "_host", "left_anti").select(*docs.columns)
-    # too many to broadcast: each rejected host under all salts, a document under one, so that no host's documents meet in a task
-    salted = bad.select("_host", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    return good.withColumn("_salt", F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int")).join(salted, ["_host", "_salt"], "left_anti").select(*docs.columns)
+        kept = good.join(F.broadcast(bad), "_host", "left_anti")
+    else:
+        # too many to broadcast: each rejected host under all salts, a document under one, so that no host's documents meet in a task
+        salted = bad.select("_host", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+        kept = good.withColumn("_salt", F.pmod(F.xxhash64("row.text"), F.lit(SALTS)).cast("int")).join(salted, ["_host", "_salt"], "left_anti")
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 ORACLE = rf"""
@@ -141,11 +151,12 @@ m AS (
   SELECT w.doc_id, w.source, CAST(len(w.w) AS BIGINT) AS n_words,
     CAST(length(array_to_string(w.w, '')) AS BIGINT) AS word_chars,
     CAST(length(t) - length(regexp_replace(t, '{SYMBOLS}', '', 'g')) AS BIGINT) AS n_symbols,
-    CAST(len(l.l) - len(list_distinct(l.l)) AS BIGINT) AS n_dup_lines,
+    CAST(len(l.l) - len(list_distinct(l.l)) AS BIGINT) AS n_dup_lines, len(l.l) AS n_lines,
     CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words
   FROM w JOIN lines l USING (doc_id) LEFT JOIN cov USING (doc_id)),
 f AS (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed FROM m),
-h AS (SELECT source, count(*) AS n, sum(CAST(base_failed AS INT)) AS failed FROM f GROUP BY source),
+o AS (SELECT *, base_failed OR word_chars < {WORD_LENGTH[0]} * n_words OR word_chars > {WORD_LENGTH[1]} * n_words OR {SYMBOL_WORDS} * n_symbols > n_words OR 100 * n_dup_lines > {DUP_LINES} * n_lines AS any_failed FROM f),
+h AS (SELECT source, count(*) AS n, sum(CAST(any_failed AS INT)) AS failed FROM o GROUP BY source),
 p AS (SELECT sum(failed) / sum(n) AS mean, greatest(sum(failed * (failed / n)) / sum(n) - (sum(failed) / sum(n)) * (sum(failed) / sum(n)), 0) AS var FROM h),
 r AS (SELECT source, CASE WHEN var > 1e-12 THEN (failed + mean * greatest(mean * (1 - mean) / var - 1, 0)) / (n + greatest(mean * (1 - mean) / var - 1, 0)) ELSE mean END AS rate FROM h, p)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate < {HOST_RATE} AS kept

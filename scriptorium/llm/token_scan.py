@@ -7,11 +7,14 @@ follow its last.  A prefix scan over the blocks' summaries (one row for each blo
 and numbers them.
 
 `write_tokens` makes such files from texts with Spark's text writer: a row is the document's bytes, the line separator is the
-identifier.  Tokens there are words hashed to 16 bits, 0 being the separator: a stand-in for a tokenizer that costs little; the scan
-doesn't depend on it.
+identifier.  Files get as many rows as stay below FILE_BYTES even if all are as long as the longest, since a reader holds one file.
+Tokens there are words hashed to 16 bits, 0 being the separator: a stand-in for a tokenizer that costs little; the scan doesn't
+depend on it.  A document begins with KEY tokens that spell its doc_id, so that the scan can say whose length it found; blocks
+overlap by as many tokens, for documents that begin at a block's end.
 
 Defined results: a document without tokens (null, empty or blank text) has length 0; tokens after the last separator of a file are a
-document that has no end (`ended` false); an empty file has no documents; a file that ends inside a token is an error.
+document that has no end (`ended` false); an empty file has no documents; a file that ends inside a token is an error; repeated rows
+are documents of their own; a null doc_id comes back as null; no rows give no rows; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -30,80 +33,112 @@ from scriptorium.llm.common import shared_folder
 WIDTH = 2
 BLOCK = 1 << 19
 EOD = 0
-#: Rows in a file, so that files stay well below the 2 GB that a row can hold.
-FILE_ROWS = 100_000
+#: Bytes in a file, unless a single document has more.
+FILE_BYTES = 1 << 30
+#: Tokens that spell a doc_id: digits to the base 65,535, each as its value plus 1.
+KEY, BASE = 5, 65_535
 
 
 def word_tokens(text: str | None) -> bytes:
     """Words hashed to 1 .. 65535, as little-endian bytes."""
     crc = zlib.crc32
-    return np.array([crc(w) % 65535 + 1 for w in (text or "").encode("utf-8", "surrogatepass").split()], "<u2").tobytes()
+    return np.array([crc(w) % BASE + 1 for w in (text or "").encode("utf-8", "surrogatepass").split()], "<u2").tobytes()
+
+
+def key_tokens(doc_id: int | None) -> bytes:
+    value = 0 if doc_id is None else doc_id + (1 << 63) + 1
+    return np.array([value // BASE**k % BASE + 1 for k in range(KEY)], "<u2").tobytes()
+
+
+def doc_id_of(tokens: np.ndarray) -> int | None:
+    """The doc_id that the first KEY tokens of a document spell."""
+    value = sum((int(t) - 1) * BASE**k for k, t in enumerate(tokens[:KEY]))
+    return value - (1 << 63) - 1 if value else None
 
 
 def write_tokens(docs: DataFrame, path: str) -> None:
-    """Token files of the documents' texts under `path`."""
+    """Token files of the documents under `path`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([word_tokens(t.as_py()) for t in b.column(0)], pa.binary())], ["tokens"])
+            tokens = [key_tokens(i) + word_tokens(t.as_py()) for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.binary())], ["tokens"])
 
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(run, "tokens binary")
-    rows.select(F.col("tokens").cast("string").alias("value")).write.option("lineSep", "\0" * WIDTH).option("maxRecordsPerFile", FILE_ROWS).option("compression", "none").text(path)
+    text = F.col("text").cast("string")
+    longest = docs.agg(F.coalesce(F.max(F.octet_length(text)), F.lit(0))).first()[0]  # a word has a byte and, but for the last, a blank: no more bytes as tokens
+    rows = docs.select(F.col("doc_id").cast("long"), text).mapInArrow(run, "tokens binary")
+    most = max(1, FILE_BYTES // (longest + 2 * (KEY + 2)))
+    rows.select(F.col("tokens").cast("string").alias("value")).write.option("lineSep", "\0" * WIDTH).option("maxRecordsPerFile", most).option("compression", "none").text(path)
 
 
 def blocks(spark: SparkSession, path: str, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
-    """(file, block, tokens): the files' bytes in blocks of `block` tokens."""
+    """(file, block, tokens, after): the files' bytes in blocks of `block` tokens, and the KEY tokens that follow each."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).filter("length > 0")
     step = width * block
     number = F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / step).cast("int")))
-    return files.select(F.regexp_extract("path", "[^/]*$", 0).alias("file"), "content", number.alias("block")).select("file", "block", F.expr(f"substring(content, block * {step} + 1, {step})").alias("tokens"))
+    cells = files.select(F.regexp_extract("path", "[^/]*$", 0).alias("file"), "content", number.alias("block"))
+    return cells.select("file", "block", F.expr(f"substring(content, block * {step} + 1, {step})").alias("tokens"), F.expr(f"substring(content, (block + 1) * {step} + 1, {width * KEY})").alias("after"))
+
 
+def scan(spark: SparkSession, path: str, width: int = WIDTH, block: int = BLOCK, eod: int = EOD, keyed: bool = False) -> DataFrame:
+    """(file, document, start, n_tokens, ended, doc_id) of each document; start: its first token's place in the file.
 
-def scan(spark: SparkSession, path: str, width: int = WIDTH, block: int = BLOCK, eod: int = EOD) -> DataFrame:
-    """(file, document, start, n_tokens, ended) of each document; start: its first token's place in the file."""
+    doc_id: what the first tokens of a document spell if the files are `keyed`, else null.
+    """
     kind = {1: "<u1", 2: "<u2", 4: "<u4", 8: "<u8"}[width]
+    schema = "file string, block int, n long, n_ends int, head long, tail long, starts array<int>, lengths array<int>, ids array<long>, leads long, opens long"
     whole = pa.list_(pa.int32())
-    schema = pa.schema([("file", pa.string()), ("block", pa.int32()), ("n", pa.int64()), ("n_ends", pa.int32()), ("head", pa.int64()), ("tail", pa.int64()), ("starts", whole), ("lengths", whole)])
+    types = [pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), whole, whole, pa.list_(pa.int64()), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for file, number, raw in zip(*b.columns, strict=True):
+            for file, number, raw, after in zip(*b.columns, strict=True):
                 data = raw.as_buffer()
                 if data.size % width:
                     raise ValueError(f"{file}: {data.size} bytes end inside a token")
                 tokens = np.frombuffer(data, kind)
                 ends = np.flatnonzero(tokens == eod)
                 head, tail = (int(ends[0]), int(len(tokens) - 1 - ends[-1])) if len(ends) else (len(tokens), len(tokens))
-                row = [file.as_py()], [number.as_py()], [len(tokens)], [len(ends)], [head], [tail], [(ends[:-1] + 1).astype(np.int32)], [(np.diff(ends) - 1).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
-
-    found = blocks(spark, path, width, block).mapInArrow(run, "file string, block int, n long, n_ends int, head long, tail long, starts array<int>, lengths array<int>")
+                begins = ends + 1 if number.as_py() else np.append(0, ends + 1)  # documents that begin here, the last perhaps at the block's end
+                ids: list[int | None] = [None] * len(begins)
+                if keyed:
+                    more = np.concatenate([tokens, np.frombuffer(after.as_py(), kind)])
+                    ids = [doc_id_of(more[k : k + KEY]) if k < len(more) else None for k in begins.tolist()]
+                inner = ids[:-1] if number.as_py() else ids[1:-1]
+                leads, opens = None if number.as_py() else ids[0], ids[-1] if ids else None
+                row = file.as_py(), number.as_py(), len(tokens), len(ends), head, tail, ends[:-1] + 1, np.diff(ends) - 1, inner, leads, opens
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], [c.split()[0] for c in schema.split(", ")])
+
+    found = blocks(spark, path, width, block).mapInArrow(run, schema)
     order = Window.partitionBy("file").orderBy("block")
     before, zero = order.rowsBetween(Window.unboundedPreceding, -1), F.lit(0).cast("long")
+    begins = (F.col("n_ends") > 0) | (F.col("block") == 0)
     placed = (
         found.withColumn("at", F.coalesce(F.sum("n").over(before), zero))  # tokens before the block
         .withColumn("k", F.coalesce(F.sum("n_ends").over(before), zero))  # documents that ended before it
-        .withColumn("open", F.coalesce(F.max(F.when(F.col("n_ends") > 0, F.col("at") + F.col("n") - F.col("tail"))).over(before), zero))  # where the document that reaches into it starts
+        # the document that reaches into it: where it starts, and its doc_id
+        .withColumn("open", F.coalesce(F.max(F.when(F.col("n_ends") > 0, F.col("at") + F.col("n") - F.col("tail"))).over(before), zero))
+        .withColumn("own", F.when(F.col("block") == 0, F.col("leads")).otherwise(F.max_by("opens", F.when(begins, F.col("block"))).over(before)))
         .withColumn("last", F.lead("block").over(order).isNull())
     )
 
-    def document(k, start, n, ended: bool):
-        return F.struct(k.cast("long").alias("document"), start.cast("long").alias("start"), n.cast("long").alias("n_tokens"), F.lit(ended).alias("ended"))
+    def document(k, start, n, ended: bool, doc_id):
+        size = F.greatest(n - KEY, F.lit(0)) if keyed else n
+        return F.struct(k.cast("long").alias("document"), start.cast("long").alias("start"), size.cast("long").alias("n_tokens"), F.lit(ended).alias("ended"), doc_id.alias("doc_id"))
 
-    none = F.expr("cast(array() as array<struct<document:bigint,start:bigint,n_tokens:bigint,ended:boolean>>)")
+    none = F.expr("cast(array() as array<struct<document:bigint,start:bigint,n_tokens:bigint,ended:boolean,doc_id:bigint>>)")
     some = F.col("n_ends") > 0
-    first = F.when(some, F.array(document(F.col("k"), F.col("open"), F.col("at") + F.col("head") - F.col("open"), True))).otherwise(none)
-    pairs = F.zip_with("starts", "lengths", lambda s, n: F.struct(s.alias("s"), n.alias("n")))
-    inner = F.transform(pairs, lambda x, i: document(F.col("k") + 1 + i, F.col("at") + x["s"], x["n"], True))
+    first = F.when(some, F.array(document(F.col("k"), F.col("open"), F.col("at") + F.col("head") - F.col("open"), True, F.col("own")))).otherwise(none)
+    inner = F.transform(F.arrays_zip("starts", "lengths", "ids"), lambda x, i: document(F.col("k") + 1 + i, F.col("at") + x["starts"], x["lengths"], True, x["ids"]))
     begun = F.when(some, F.col("at") + F.col("n") - F.col("tail")).otherwise(F.col("open"))
     left = F.col("at") + F.col("n") - begun
-    rest = F.when(F.col("last") & (left > 0), F.array(document(F.col("k") + F.col("n_ends"), begun, left, False))).otherwise(none)
+    rest = F.when(F.col("last") & (left > 0), F.array(document(F.col("k") + F.col("n_ends"), begun, left, False, F.when(some, F.col("opens")).otherwise(F.col("own"))))).otherwise(none)
     return placed.select("file", F.explode(F.concat(first, inner, rest)).alias("d")).select("file", "d.*")
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """(shard, document, start, n_tokens, ended): token files are made of the texts in the shared folder, then scanned."""
+    """(doc_id, n_tokens, ended) of each document: token files are made of the texts in the shared folder, then scanned."""
     spark = docs.sparkSession
     path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     write_tokens(docs, path)
-    return scan(spark, path).select(F.regexp_extract("file", "^part-([0-9]+)", 1).cast("int").alias("shard"), F.regexp_extract("file", "-c([0-9]+)", 1).cast("int").alias("piece"), "document", "start", "n_tokens", "ended")
+    return scan(spark, path, keyed=True).select("doc_id", "n_tokens", "ended")

@@ -1,10 +1,13 @@
 """Toxicity with noisy-channel deobfuscation.
 
 A disguised word is a lattice: each character may stand for letters (leetspeak, other signs), a repeated one or a separator for
-nothing.  The Viterbi decode finds the reading of the greatest probability under a bigram model of letters, times the channel's
-costs.  The model counts letter pairs of all documents: 28 * 28 sums.  Words of plain letters, and of no letter three times
-running, have a single reading and need no decode; so each word takes the shortest way to the same result.  Runs of three or more single letters, with
-blanks or other separators between, are one lattice.
+nothing, and signs at either end for punctuation.  The Viterbi decode finds the reading of the greatest probability under a model of
+letters, times the channel's costs.  The model is of order ORDER inside words, with interpolated back-off (Witten and Bell): its
+n-grams are counted in all documents and their table grows with the texts, up to the LETTERS ** ORDER that there can be.  A state of
+the decode is the last ORDER - 1 letters; all states that a lattice reaches are kept.
+
+Words of plain letters, no two equal ones running, have a single reading and need no decode; all other words get one, distinct
+words of a task once.  Runs of three or more single characters, with blanks or other separators between, are one lattice.
 
 Restored texts are scored by a logistic regression on the words, and beginnings of words, that labels show to be toxic.  It is fitted on labelled rows
 whose crc32(doc_id as text) mod 3 isn't 1, on FIT_ROWS of them at most, taken by the hash of doc_id.
@@ -16,175 +19,258 @@ every score is 0; repeated rows get equal scores; a null doc_id isn't held out a
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.llm.common import written
+
 FIT_ROWS = 20_000
-#: A toxic word is in at least so many of the rows with the label, and its share there is RATIO times that in the others.
-WORD_ROWS, RATIO, WORDS = 8, 8.0, 2000
-PREFIX = 6
+#: A toxic word is in at least so many of the rows with the label, its share there is RATIO times that in the others, and its
+#: likelihood ratio G2 is at least twice the logarithm of the number of rows.
+WORD_ROWS, RATIO = 4, 8.0
+#: Lengths of the beginnings of words that are features too: compounds of a toxic beginning are too many to be known each.
+BEGINNINGS = range(4, 9)
 THRESHOLD = 0.7
+ORDER = 5
 LETTERS = 28  # 0: word boundary, 1 to 26: a to z, 27: another letter
 #: Readings of signs, most likely first.
 READINGS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "(": "c", "*": "aeiou", "€": "e", "£": "l", "%": "o", "#": "h", "&": "e"}
-SEPARATORS = " .-_'`~,:;/\\^=\"?"
-#: Natural logarithms: a sign read as a letter; a separator, a letter of three or more running, one of two running, or any other sign
-#: read as nothing.
-READ, SKIP, REPEAT, TWICE, DROP = -1.0, -0.5, -0.7, -6.0, -20.0
-EDGE = ".,;:?!\"'()[]{}<>«»“”…#%&*~=+^|-_/\\"
-SPACED = re.compile(r"(?:(?<=\s)|^)[^\W\d_](?:[\s.\-_*]{1,2}[^\W\d_]){2,}(?=[\s.,;:?!]|$)")
-AGAIN = re.compile(r"([^\W\d_])\1\1")
-
-_READ = np.full((256, LETTERS), -np.inf, np.float32)
-_SKIP = np.full(256, -np.inf, np.float32)
+#: Natural logarithms: a sign read as a letter, and less for each further reading; a separator or other sign, a letter of three or
+#: more running, one of two running, or a sign at the word's end read as nothing.
+READ, FURTHER, SKIP, REPEAT, TWICE, END = -1.0, -0.3, -0.5, -0.7, -6.0, -0.3
+#: Signs at the ends of words that never stand for letters.
+EDGE = ".,;:?\"')[]{}<>«»“”…~=^-_/\\"
+_SIGNS = re.escape("".join(READINGS).replace("*", ""))
+SPACED = re.compile(rf"(?<!\S)(?:[^\W\d_]|[{_SIGNS}])(?:[\s.\-_*]{{1,2}}(?:[^\W\d_]|[{_SIGNS}])){{2,}}(?=[\s.,;:?!]|$)")
+TWO = re.compile(r"([^\W\d_])\1")
+#: Readings that a worker keeps.
+KEPT = 500_000
+#: Symbols that are counted at once.
+STEP = 1 << 22
 
+_SYMBOL = np.zeros(256, np.uint8)
+_SYMBOL[97:123] = np.arange(1, 27)
+_SYMBOL[192:] = 27  # the first byte of a character beyond ASCII
 
-def _code(c: str) -> int:
-    """The lattice's class of a character."""
-    o = ord(c)
-    return o if o < 128 else {"€": 129, "£": 130}.get(c, 128 if c.isalpha() else 131)
 
+def grams_of(text: str) -> np.ndarray:
+    """Codes of the n-grams that end at each letter, or end of a word, of a lower-cased text; what is before the word counts as boundary."""
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    s = np.concatenate([[0], _SYMBOL[raw[(raw & 0xC0) != 0x80]], [0]]).astype(np.int32)
+    code, place, before = s.copy(), 1, np.ones(len(s), bool)
+    for k in range(1, ORDER):
+        place *= LETTERS
+        at = np.zeros(len(s), np.int32)
+        at[k:] = s[:-k] if k < len(s) else 0
+        before &= at > 0
+        code += np.where(before, at, 0) * place
+    return code[code > 0]
 
-for _c in map(chr, range(97, 123)):
-    _READ[ord(_c), ord(_c) - 96] = 0
-_READ[128, 27] = 0
-for _c, _to in READINGS.items():
-    for _k, _x in enumerate(_to):
-        _READ[_code(_c), ord(_x) - 96] = READ - 0.3 * _k
-    _SKIP[_code(_c)] = DROP
-for _c in SEPARATORS:
-    _SKIP[ord(_c)] = SKIP
-for _i in range(256):
-    if np.isinf(_SKIP[_i]) and np.isinf(_READ[_i]).all():
-        _SKIP[_i] = SKIP  # other signs say nothing
 
+def summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal codes as one, with the sum of their counts."""
+    order = np.argsort(codes, kind="stable")
+    codes, counts = codes[order], counts[order]
+    starts = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.zeros(0, int)
+    return codes[starts], np.add.reduceat(counts, starts) if len(codes) else counts
 
-def letters_of(text: str) -> np.ndarray:
-    """Symbols of a lower-cased text in UTF-8, runs of others as one boundary each byte."""
-    return _SYMBOL[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
 
+def letter_counts(docs: DataFrame) -> DataFrame:
+    """(gram, n): how often each n-gram of letters occurs in all documents."""
 
-_SYMBOL = np.zeros(256, np.uint8)
-_SYMBOL[97:123] = np.arange(1, 27)
-_SYMBOL[128:] = 27
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, counts = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
-def letter_model(docs: DataFrame) -> np.ndarray:
-    """Log probabilities of a letter after another, from all documents."""
+        def add(parts: list[np.ndarray]) -> None:
+            nonlocal codes, counts
+            x = np.sort(np.concatenate(parts))
+            starts = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+            codes, counts = summed(np.append(codes, x[starts]), np.append(counts, np.diff(np.append(starts, len(x)))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(LETTERS * LETTERS, np.int64)
+        parts, n = [], 0
         for b in batches:
             for t in b.column(0):
-                s = letters_of((t.as_py() or "").lower())
-                for k in range(0, len(s), 1 << 20):
-                    x = s[k : k + (1 << 20) + 1].astype(np.int32)
-                    counts += np.bincount(x[:-1] * LETTERS + x[1:], minlength=LETTERS * LETTERS)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(LETTERS * LETTERS)), pa.array(counts)], ["pair", "n"])
-
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()  # LETTERS ** 2 rows
-    counts = np.ones((LETTERS, LETTERS))
-    for r in rows:
-        counts[r.pair // LETTERS, r.pair % LETTERS] += r.n
-    return np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
-
-
-def decode(tokens: list[str], model: np.ndarray) -> list[str]:
-    """The most likely readings of tokens, lower-cased and without blanks at their ends."""
-    out: list[str] = [""] * len(tokens)
-    order = sorted(range(len(tokens)), key=lambda i: len(tokens[i]))
-    while order:
-        n = len(tokens[order[0]])
-        k = 1
-        while k < len(order) and k < max(1, 100_000 // max(n, 1)) and len(tokens[order[k]]) == n:
-            k += 1
-        group, order = order[:k], order[k:]
-        for i, x in zip(group, _decode_equal([tokens[i] for i in group], model), strict=True):
-            out[i] = x
+                text = (t.as_py() or "").lower()
+                for k in range(0, len(text), STEP):  # longer texts are cut: a word there counts as two
+                    if len(g := grams_of(text[k : k + STEP])):
+                        parts.append(g)
+                        n += len(g)
+                    if n >= STEP:
+                        add(parts)
+                        parts, n = [], 0
+        if parts:
+            add(parts)
+        yield pa.RecordBatch.from_arrays([pa.array(codes.astype(np.int64)), pa.array(counts)], ["gram", "n"])
+
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+class Letters:
+    """Log probabilities of a letter after those before it in its word.
+
+    `base`: of all n-grams one shorter than ORDER; `seen`: of the n-grams that occur; `less`: what a context leaves for the others.
+    """
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray):
+        grams, counts = summed(grams.astype(np.int64), counts.astype(float))
+        p = np.full(LETTERS, 1 / LETTERS)
+        for order in range(1, ORDER):
+            n = np.zeros((LETTERS ** (order - 1), LETTERS))
+            np.add.at(n.reshape(-1), grams % LETTERS**order, counts)
+            total, kinds = n.sum(axis=1, keepdims=True), (n > 0).sum(axis=1, keepdims=True)
+            lower = np.tile(p.reshape(-1, LETTERS), (len(n) // max(1, p.size // LETTERS), 1))
+            p = np.where(total > 0, (n + kinds * lower) / np.maximum(total + kinds, 1), lower)
+        self.base = np.log(p).astype(np.float32).reshape(-1)
+        context, short = grams // LETTERS, grams % LETTERS ** (ORDER - 1)
+        at, whole = np.unique(context, return_inverse=True)
+        total, kinds = np.bincount(whole, counts, len(at)), np.bincount(whole, minlength=len(at))
+        lower = p.reshape(-1)[short]
+        self.grams, self.seen = grams, np.log((counts + kinds[whole] * lower) / (total + kinds)[whole]).astype(np.float32) if len(grams) else np.zeros(0, np.float32)
+        self.contexts, self.less = at, np.log(kinds / (total + kinds)).astype(np.float32)
+        self.key = xxhash.xxh64_hexdigest(self.grams.tobytes() + counts.tobytes())
+        self._known = None
+
+    def of(self, context: int, letter: int) -> float:
+        """The log probability of a letter after the code of the ORDER - 1 before it."""
+        if self._known is None:  # once in each worker
+            self._known = dict(zip(self.grams.tolist(), self.seen.tolist(), strict=True))
+            self._less = dict(zip(self.contexts.tolist(), self.less.tolist(), strict=True))
+        code = context * LETTERS + letter
+        p = self._known.get(code)
+        if p is None:
+            p = self._known[code] = self._less.get(context, 0.0) + float(self.base[code % LETTERS ** (ORDER - 1)])
+        return p
+
+
+def letter_model(docs: DataFrame) -> Letters:
+    table = letter_counts(docs).toArrow()  # LETTERS ** ORDER rows at most, however many documents
+    return Letters(table["gram"].to_numpy(), table["n"].to_numpy())
+
+
+def options(c: str) -> list[tuple[str, int, float]]:
+    """The readings of a character as (letter, symbol, cost); none: it says nothing."""
+    if "a" <= c <= "z":
+        return [(c, ord(c) - 96, 0.0)]
+    if c in READINGS:
+        return [(x, ord(x) - 96, READ + FURTHER * k) for k, x in enumerate(READINGS[c])]
+    return [(c, 27, 0.0)] if c.isalpha() else []
+
+
+_PLAIN = {c: (options(c), None) for c in map(chr, range(97, 123))}
+
+
+def lattice(token: str) -> list[tuple[list[tuple[str, int, float]], float | None]]:
+    """Each character's readings and the cost of reading it as nothing (None: it can't be); at its ends signs cost END."""
+    out, n = [], len(token)
+    head = next((k for k, c in enumerate(token) if c.isalnum()), n)
+    tail = n - next((k for k, c in enumerate(reversed(token)) if c.isalnum()), n)
+    last = twice = ""
+    for k, c in enumerate(token):
+        if c != last:
+            if c in _PLAIN:
+                out.append(_PLAIN[c])
+            elif found := options(c):
+                out.append((found, END if (k < head or k >= tail) and not c.isalnum() else None))
+            else:
+                out.append(([], SKIP))
+        elif c.isalpha():  # a letter once more
+            out.append((options(c), REPEAT if twice == c or token[k + 1 : k + 2] == c else TWICE))
+        elif twice == c or not options(c):  # of a sign that runs on two at most are read
+            out.append(([], SKIP))
+        else:
+            out.append((options(c), END if k < head or k >= tail else None))
+        last, twice = c, last
     return out
 
 
-def _decode_equal(tokens: list[str], model: np.ndarray) -> list[str]:
-    count, n = len(tokens), len(tokens[0])
-    if not n:
-        return [""] * count
-    codes = np.array([[_code(c) for c in t] for t in tokens], np.uint8)
-    same = np.zeros((count, n), bool)
-    points = np.array([[ord(c) for c in t] for t in tokens], np.uint32)
-    same[:, 1:] = points[:, 1:] == points[:, :-1]
-    thrice = same.copy()  # in a run of three or more
-    thrice[:, 1:-1] &= same[:, :-2] | same[:, 2:]
-    thrice[:, :1] = False
-    if n > 1:
-        thrice[:, -1] &= same[:, -2]
-    less = np.where(same & (codes >= 97), np.where(thrice, REPEAT, TWICE), -np.inf).astype(np.float32)
-    dp = np.full((count, LETTERS), -np.inf, np.float32)
-    dp[:, 0] = 0
-    came = np.full((n, count, LETTERS), -1, np.int8)  # -1: the character says nothing
-    rows = np.arange(count)
-    for k in range(n):
-        step = dp[:, :, None] + model[None]
-        prev = step.argmax(axis=1)
-        read = np.take_along_axis(step, prev[:, None, :], axis=1)[:, 0] + _READ[codes[:, k]]
-        skip = dp + np.maximum(_SKIP[codes[:, k]], less[:, k])[:, None]
-        better = read >= skip
-        came[k] = np.where(better & np.isfinite(read), prev, -1)
-        dp = np.where(better, read, skip)
-    at = (dp + model[:, 0]).argmax(axis=1)
-    chosen = np.full((count, n), -1, np.int16)
-    for k in range(n - 1, -1, -1):
-        prev = came[k, rows, at]
-        chosen[:, k] = np.where(prev >= 0, at, -1)
-        at = np.where(prev >= 0, prev, at)
-    return ["".join(t[j] if s == 27 else chr(96 + s) for j, s in enumerate(c) if s > 0) for t, c in zip(tokens, chosen.tolist(), strict=True)]
-
-
-def restored(texts: list[str], model: np.ndarray) -> list[list[str]]:
+def decode_one(token: str, model: Letters) -> str:
+    states: dict[int, tuple[float, str]] = {0: (0.0, "")}
+    of, low = model.of, LETTERS ** (ORDER - 2)
+    for readings, skip in lattice(token):
+        if skip is None:
+            now: dict[int, tuple[float, str]] = {}
+        elif readings:
+            now = {context: (score + skip, word) for context, (score, word) in states.items()}
+        else:  # costs all states the same
+            continue
+        for context, (score, word) in states.items():
+            to = (context % low) * LETTERS
+            for letter, symbol, cost in readings:
+                s = score + cost + of(context, symbol)
+                if to + symbol not in now or s > now[to + symbol][0]:
+                    now[to + symbol] = (s, word + letter)
+        states = now
+    return max(((score + of(context, 0), word) for context, (score, word) in states.items()), key=lambda x: x[0])[1]
+
+
+def decode(tokens: list[str], model: Letters) -> list[str]:
+    """The most likely readings of lower-cased tokens."""
+    return [decode_one(t, model) for t in tokens]
+
+
+_READ: dict[str, str] = {}
+
+
+def reading(token: str, model: Letters) -> str:
+    """decode_one, remembered."""
+    known = _READ.get(token)
+    if known is None:
+        known = _READ[token] = decode_one(token, model)
+    return known
+
+
+def restored(texts: list[str], model: Letters) -> list[list[str]]:
     """The words of each text as they read once restored."""
-    kept, odd = [], {}
+    if len(_READ) >= KEPT or _READ.get("") != model.key:  # no token is empty
+        _READ.clear()
+        _READ[""] = model.key
+    out = []
     for t in texts:
         t = t.lower()
-        repeats = bool(AGAIN.search(t))
-        more = [m.group() for m in SPACED.finditer(t)]
         words = []
-        for w in t.split():
+        for w, n in Counter(t.split()).items():
             w = w.strip(EDGE)
-            if w.isalpha() and not (repeats and AGAIN.search(w)):
-                words.append(w)
-            elif w and any(c.isalpha() for c in w):
-                more.append(w.rstrip("$") if w.endswith("$$") else w)
-        odd.update(dict.fromkeys(more))
-        kept.append((words, more))
-    keys = list(odd)
-    reading = dict(zip(keys, decode(keys, model), strict=True))
-    return [words + [reading[m] for m in more] for words, more in kept]
+            if w and (not w.isalpha() or TWO.search(w)):
+                w = reading(w, model)
+            if w:
+                words += [w] * n
+        words += [w for m in SPACED.finditer(t) if any(c.isalpha() for c in m.group()) and any(c.isspace() for c in m.group()) and (w := reading(m.group().replace("*", " "), model))]
+        out.append(words)
+    return out
 
 
 def split_of(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3
 
 
-def named(word: str) -> str:
-    """The feature of a word's first PREFIX letters: compounds of a toxic beginning are too many to be known each."""
-    return "^" + word[:PREFIX]
+def features(word: str) -> list[str]:
+    """The word, and its beginnings."""
+    return [word, *("^" + word[:k] for k in BEGINNINGS if len(word) > k)]
 
 
-def toxic_in(words: list[str], weights: dict[str, float]) -> list[str]:
-    return [w for w in words if w in weights] + [x for w in words if len(w) > PREFIX and (x := named(w)) in weights]
+def toxic_in(words: list[str], weights: dict[str, float]) -> dict[str, tuple[int, float]]:
+    """The toxic words: how often each occurs, and the weight of its most telling feature."""
+    found = {}
+    for w, n in Counter(words).items():
+        most = max((weights[x] for x in features(w) if x in weights), default=0.0)
+        if most:
+            found[w] = n, most
+    return found
 
 
-def hits(rows: list[list[str]], weights: dict[str, float]) -> np.ndarray:
-    """Features: different toxic words, all of them (log), their weights' sum, and their share of the words."""
-    out = np.zeros((len(rows), 4))
-    for i, words in enumerate(rows):
-        found = toxic_in(words, weights)
+def hits(rows: list[dict[str, tuple[int, float]]], sizes: list[int]) -> np.ndarray:
+    """Measures of toxic words: different ones, all of them (log), their weights' sum, the greatest, and their share of the words."""
+    out = np.zeros((len(rows), 5))
+    for i, (found, n) in enumerate(zip(rows, sizes, strict=True)):
         if found:
-            different = set(found)
-            out[i] = len(different), np.log1p(len(found)), sum(weights[w] for w in sorted(different)) / 5, 100 * len(found) / len(words)
+            count, weight = sum(k for k, _ in found.values()), [w for _, w in found.values()]
+            out[i] = len(found), np.log1p(count), sum(sorted(weight)) / 5, max(weight), 100 * count / n
     return np.minimum(out, 10)
 
 
@@ -202,7 +288,7 @@ def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return b
 
 
-def learn(docs: DataFrame, labels: DataFrame, model: np.ndarray, fit_rows: int = FIT_ROWS) -> tuple[dict[str, float], np.ndarray]:
+def learn(docs: DataFrame, labels: DataFrame, model: Letters, fit_rows: int = FIT_ROWS) -> tuple[dict[str, float], np.ndarray]:
     """Toxic words with their weights, and the regression's coefficients."""
     usable = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("y")).filter(split_of() != 1)
     n = usable.count()
@@ -211,32 +297,47 @@ def learn(docs: DataFrame, labels: DataFrame, model: np.ndarray, fit_rows: int =
         usable = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(usable), "doc_id")  # at most fit_rows
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found: dict[str, list[int]] = {}
-            y = b.column(1).to_pylist()
-            for words, toxic in zip(restored(b.column(0).to_pylist(), model), y, strict=True):
-                for w in (own := set(words)) | {named(x) for x in own if len(x) > PREFIX}:
-                    found.setdefault(w, [0, 0])[toxic == 1] += 1
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array([v[0] for v in found.values()]), pa.array([v[1] for v in found.values()])], ["word", "clean", "toxic"])
-
-    counts = rows.select("text", "y").mapInArrow(counted, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+            yield pa.RecordBatch.from_arrays([pa.array(restored(b.column(0).to_pylist(), model), pa.list_(pa.string())), b.column(1)], ["words", "y"])
+
+    rows = written(rows.select("text", "y").mapInArrow(restore, "words array<string>, y int"), "restored")
+
+    def count(wanted: set[str] | None):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                found: Counter[str] = Counter()
+                for words in b.column(0).to_pylist():
+                    found.update({x for w in set(words) for x in features(w) if wanted is None or x in wanted})
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
+
+        return lambda part: part.select("words").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
     total = rows.agg(F.coalesce(F.sum((F.col("y") == 1).cast("long")), F.lit(0)).alias("toxic"), F.count(F.lit(1)).alias("n")).first()
     if not total.toxic or total.toxic == total.n:
-        return {}, np.zeros(5)
-    ratio = ((F.col("toxic") + 0.5) / (total.toxic + 1)) / ((F.col("clean") + 0.5) / (total.n - total.toxic + 1))
-    chosen = counts.filter((F.col("toxic") >= WORD_ROWS) & (ratio >= RATIO)).select("word", F.log(ratio).alias("w"), "toxic").orderBy(F.desc("toxic"), "word").limit(WORDS).collect()
-    weights = {r.word: r.w for r in chosen}
+        return {}, np.zeros(6)
+    toxic = {r.word: r.n for r in count(None)(rows.filter("y = 1")).filter(F.col("n") >= WORD_ROWS).collect()}  # features of fit_rows texts at most
+    clean = {r.word: r.n for r in count(set(toxic))(rows.filter("y <> 1")).collect()}
+    weights = {w: x for w, k in toxic.items() if (x := weight(k, clean.get(w, 0), total.toxic, total.n - total.toxic))}
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = hits(restored(b.column(0).to_pylist(), model), weights)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in x.T] + [b.column(1)], ["a", "b", "c", "d", "y"])
+            words = b.column(0).to_pylist()
+            x = hits([toxic_in(w, weights) for w in words], [len(w) for w in words])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in x.T] + [b.column(1)], ["a", "b", "c", "d", "e", "y"])
 
-    fit = rows.select("text", "y").mapInArrow(featured, "a double, b double, c double, d double, y int").toPandas()  # about fit_rows small rows
+    fit = rows.mapInArrow(featured, "a double, b double, c double, d double, e double, y int").toPandas()  # about fit_rows small rows
     fit = fit.sort_values(list(fit.columns))
-    return weights, fitted(fit[["a", "b", "c", "d"]].to_numpy(), (fit["y"] == 1).to_numpy(float))
+    return weights, fitted(fit[["a", "b", "c", "d", "e"]].to_numpy(), (fit["y"] == 1).to_numpy(float))
+
+
+def weight(toxic: int, clean: int, n_toxic: int, n_clean: int) -> float:
+    """The logarithm of how much more often toxic rows have a feature, or 0 if that isn't sure."""
+    ratio = (toxic + 0.5) / (n_toxic + 1) / ((clean + 0.5) / (n_clean + 1))
+    n, g2 = n_toxic + n_clean, 0.0
+    for seen, mean in ((toxic, n_toxic * (toxic + clean) / n), (clean, n_clean * (toxic + clean) / n), (n_toxic - toxic, n_toxic * (n - toxic - clean) / n), (n_clean - clean, n_clean * (n - toxic - clean) / n)):
+        g2 += 2 * seen * np.log(seen / mean) if seen else 0.0
+    return float(np.log(ratio)) if ratio >= RATIO and g2 >= 2 * np.log(n) else 0.0
 
 
 def scored(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -247,10 +348,11 @@ def scored(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = restored([t or "" for t in batch.column(1).to_pylist()], model)
-            x = hits(rows, weights)
+            found = [toxic_in(r, weights) for r in rows]
+            x = hits(found, [len(r) for r in rows])
             score = np.zeros(len(x)) if not weights else 1 / (1 + np.exp(-np.clip(b[0] + x @ b[1:], -30, 30)))
-            words = [",".join(sorted(set(toxic_in(r, weights)))) for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32)), pa.array(words)], ["doc_id", "held_out", "score", "predicted", "toxic_words"])
+            words = [",".join(sorted(f)) for f in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32)), pa.array(words, pa.string())], ["doc_id", "held_out", "score", "predicted", "toxic_words"])
 
     held = F.coalesce(split_of() == 1, F.lit(False))
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), held.alias("held_out")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, toxic_words string")

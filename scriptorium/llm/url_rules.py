@@ -23,12 +23,14 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import cut, lower_ascii
+from scriptorium.llm.common import cut, lookup, lower_ascii
 
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 SUPPORT, SUPPORT_SHARE = 20, 0.002
 CONFIDENCE, LIFT = 0.5, 1.5
 BAD = "label:block"
+#: So many rules are broadcast to the urls; more are joined by shuffle on their anchor.
+FEW_RULES = 10_000
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -110,11 +112,13 @@ def judged(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]] = R
     labelled = cut(rows.filter(F.size("tokens") > 0).join(marks, "page_id").select("tokens", "bad"))
     same = classes(labelled)
     index = mined(merged(labelled, same))
-    urls = merged(rows.select("url", "tokens").distinct(), same)
-    hits = urls.select("url", "tokens", F.explode("tokens").alias("anchor")).join(index, "anchor").filter(F.size(F.array_except("antecedent", "tokens")) == 0)
-    best = hits.groupBy("url").agg(F.max("confidence").alias("mined_confidence"))
+    urls = merged(rows.groupBy("url", "tokens").agg(F.count(F.lit(1)).alias("n_rows")), same)
+    few = index.count() <= FEW_RULES
+    each = urls.select("url", "n_rows", "tokens", F.explode("tokens").alias("anchor"))
+    hits = each.join(F.broadcast(index) if few else index, "anchor").filter(F.size(F.array_except("antecedent", "tokens")) == 0)
+    best = cut(hits.groupBy("url").agg(F.max("n_rows").alias("n"), F.max("confidence").alias("mined_confidence")))
     fixed = listed(F.col("host"), F.col("path"), rules)
-    out = rows.join(best, "url", "left").withColumn("_r", fixed)
+    out = lookup(rows, best, "url", "page_id", rows.count()).withColumn("_r", fixed)
     method = F.when(F.col("mined_confidence").isNotNull(), "block").otherwise("allow")
     return out.select("page_id", "host", "path", F.col("_r.rule").alias("rule"), F.coalesce(F.col("_r.verdict"), method).alias("verdict"), "mined_confidence")
 
@@ -130,9 +134,9 @@ WITH u AS (SELECT page_id, coalesce(url, '') AS url, CASE WHEN instr(url, '://')
 p AS (SELECT page_id, url, {lower.format("regexp_extract(rest, '^[^/?#]*', 0)")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 t AS (SELECT *, CASE WHEN instr(url, '://') = 0 THEN [] ELSE list_distinct(list_concat(
     ['scheme:' || {lower.format("regexp_extract(url, '^(.*?)://', 1)")}],
-    list_transform(list_reverse(list_filter(string_split(host, '.'), lambda x: x <> ''))[1:4], lambda x: 'host:' || x),
-    list_transform(list_filter(string_split(path, '/'), lambda x: x <> '')[1:2], lambda x: 'path:' || regexp_replace(x, '[0-9]+', '#', 'g')),
-    list_transform(list_filter(string_split(regexp_extract(url, '^[^?#]*[?]([^#]*)', 1), '&'), lambda x: x <> '')[1:4], lambda x: 'query:' || regexp_extract(x, '^[^=]*', 0)))) END AS tokens FROM p),
+    list_transform(list_reverse(list_filter(string_split(host, '.'), lambda x: x <> '')), lambda x: 'host:' || x),
+    list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: 'path:' || regexp_replace(x, '[0-9]+', '#', 'g')),
+    list_transform(list_filter(string_split(regexp_extract(url, '^[^?#]*[?]([^#]*)', 1), '&'), lambda x: x <> ''), lambda x: 'query:' || regexp_extract(x, '^[^=]*', 0)))) END AS tokens FROM p),
 m AS (SELECT doc_id AS page_id, min(quality) = 0 AS bad FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
 l AS (SELECT row_number() OVER () AS id, tokens, bad FROM t JOIN m USING (page_id) WHERE len(tokens) > 0),
 n AS (SELECT count(*) AS total, sum(CAST(bad AS INT)) AS bad, greatest({SUPPORT}, ceil(count(*) * {SUPPORT_SHARE})) AS least FROM l),
