@@ -270,38 +270,73 @@ def test_toxicity_odd(odd, empty, spark):
 # 5 pieces
 
 
-@pytest.mark.parametrize("most", [500_000, 20])
-def test_pieces(docs, odd, most):
+@pytest.fixture(scope="module")
+def model():
+    return pieces.Model(pieces.public_model())
+
+
+@pytest.fixture(scope="module")
+def library(model):
     import sentencepiece
 
-    model = pieces.Model(pieces.public_model())
-    sp = sentencepiece.SentencePieceProcessor(model_proto=model.proto)
-    df = docs.select("doc_id", "text").filter("doc_id < 12").union(odd.select(F.col("doc_id") + 100_000, "text")).filter("doc_id is not null").dropDuplicates()
-    near, far = pieces.encode(df, model, most)
-    found = collections.defaultdict(dict)
-    for r in near.unionByName(far).collect():
-        found[r.doc_id][r["at"]] = r.ids
-        assert r.exact
-    for i, t in rows_of(df):
-        assert [x for k in sorted(found[i]) for x in found[i][k]] == sp.encode(t or "")
+    return sentencepiece.SentencePieceProcessor(model_file=pieces.public_model())
 
 
-def test_pieces_report(odd, empty):
-    import sentencepiece
+RUNS = ["=" * 37, "a" * 50, "-" * 300, " " * 70 + "x", "\n\n \n", "日本語。" * 20 + "〇𠀀", "\u2581a\u2581\u2581b", "tab\there\r\nend", "x" * 2000]
 
-    model = pieces.Model(pieces.public_model())
-    sp = sentencepiece.SentencePieceProcessor(model_proto=model.proto)
-    out = pieces.report(odd, model).collect()
-    assert collections.Counter((r.doc_id, r.n_tokens) for r in out) == collections.Counter((i, len(sp.encode(t or ""))) for i, t in helpers.AWKWARD)
-    assert pieces.report(empty, model).count() == 0
+
+def test_encoding(docs, odd, model, library):
+    rows = docs.select("doc_id", "text").filter("doc_id < 12").union(odd.select(F.col("doc_id") + 100_000, "text").filter("doc_id is not null"))
+    rows = rows.union(docs.sparkSession.createDataFrame([(200_000 + k, t) for k, t in enumerate(RUNS)], "doc_id long, text string"))
+    found = {r.doc_id: r.ids for r in pieces.encode(rows, model).collect()}
+    for i, t in rows_of(rows):
+        assert found.get(i, []) == library.encode(t or ""), i
+    back = {r.doc_id: r.text for r in pieces.decode_ids(pieces.encode(rows, model), model, "doc_id").collect()}
+    assert all(back[i] == " " + t.replace("\u2581", " ") for i, t in rows_of(rows) if t)
+
+
+@pytest.mark.parametrize("which, most", [("odd", 200_000), ("odd", 5), ("docs", 300), ("empty", 5)])
+def test_pieces_report(which, most, request, model, library):
+    df = request.getfixturevalue(which)
+    out = pieces.report(df, model, most).collect()
+    assert collections.Counter((r.doc_id, r.n_tokens, r.exact) for r in out) == collections.Counter((i, len(library.encode(t or "")), True) for i, t in rows_of(df))
+    # equal texts have equal checksums, others don't
+    assert len({r.checksum for r in out if r.n_tokens}) == len({t for _, t in rows_of(df) if t})
+
+
+def test_every_place_has_one_allowed_token(model):
+    """The fold's premise, and its path, by plain Python over random strings of pieces' parts."""
+    rng = np.random.default_rng(2)
+    table = {p: (rank, right, left) for p, _, rank, _, right, left in model.table()}
+    parts = [p for p in table if p.isascii() and len(p) < 5]
+    assert len(table) == len(model.pieces)
+    for _ in range(300):
+        u = "".join(rng.choice(parts, 4))
+        best = [[]]
+        for e in range(1, len(u) + 1):
+            able = []
+            for s in range(max(0, e - model.longest), e):
+                if u[s:e] in table:
+                    left, before = table[u[s:e]][2], best[s]
+                    right = table[before[-1]][1] if before else []
+                    apart = [1 for a in range(s - len(right) + 1, s) for b in range(s + 1, e + 1) if u[a:b] in table and table[u[a:b]][0] < right[s - a] and table[u[a:b]][0] <= left[b - s]]
+                    able += [] if apart else [[*before, u[s:e]]]
+            assert len(able) == 1, u
+            best.append(able[0])
+        words = list(u)
+        while len(words) > 1:  # the encoder: the best merge, of equal ones the leftmost, until none is left
+            rank, k = min((table[a + b][0] if a + b in table else pieces.NEVER, k) for k, (a, b) in enumerate(zip(words, words[1:], strict=False)))
+            if rank == pieces.NEVER:
+                break
+            words[k : k + 2] = [words[k] + words[k + 1]]
+        assert words == best[-1]
 
 
 def test_unigram_path(spark):
     scores = {"▁a": -1.0, "a": -2.0, "b": -2.5, "▁": -3.0, "ab": -3.2, "ba": -2.2, "bab": -6.0}
 
-    class Unigram:
-        pieces = [(p, i, s) for i, (p, s) in enumerate(scores.items())]
-        longest, bpe, bytes_at, proto = 3, False, 100, b""
+    unigram = object.__new__(pieces.Model)
+    unigram.pieces, unigram.bpe, unigram.bytes_at = [(p, i, s) for i, (p, s) in enumerate(scores.items())], False, 100
 
     def best(u):
         table = [(0.0, [])] + [None] * len(u)
@@ -309,11 +344,12 @@ def test_unigram_path(spark):
             table[e] = max((table[s][0] + scores[u[s:e]], table[s][1] + [u[s:e]]) for s in range(e) if u[s:e] in scores and table[s])
         return table[-1]
 
-    words = ["▁abab", "▁ba", "▁babab", "▁aab", "▁"]
-    types = spark.createDataFrame([(w, 1) for w in words], "unit string, n long")
+    words = ["▁abab", "▁ba", "▁babab", "▁aab", "▁", "▁aéb"]
     index = list(scores)
-    for r in pieces.encode_units(types.filter(F.length("unit") <= 60), Unigram).collect():
-        assert abs(sum(scores[index[i]] for i in r.ids) - best(r.unit)[0]) < 1e-9 and "".join(index[i] for i in r.ids) == r.unit
+    out = {r.unit: r.ids for r in pieces.encode_units(spark.createDataFrame([(w,) for w in words], "unit string"), unigram).collect()}
+    assert out.pop("▁aéb") == [0, 100 + 0xC3, 100 + 0xA9, 2]
+    for u, ids in out.items():
+        assert abs(sum(scores[index[i]] for i in ids) - best(u)[0]) < 1e-9 and "".join(index[i] for i in ids) == u
 
 
 # 6 personal data
