@@ -304,6 +304,13 @@ def test_pieces_report(which, most, request, model, library):
     assert len({r.checksum for r in out if r.n_tokens}) == len({t for _, t in rows_of(df) if t})
 
 
+def test_keys_of_words(spark):
+    texts = ["one two", " lead", "trail ", "a\nb c\n\nd", "a \n b", "a  b", "\n", " ", "x\0y \0z", "\0", "p\nq", "\u2581u\u2581v w"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select("text", pieces.words(F.col("text")).alias("w"))
+    for r in df.collect():
+        assert [k[1:] if k[0] == pieces.ALONE else " " + k for k in pieces.keys(r.text)] == r.w, r.text
+
+
 def test_every_place_has_one_allowed_token(model):
     """The fold's premise, and its path, by plain Python over random strings of pieces' parts."""
     rng = np.random.default_rng(2)
