@@ -209,6 +209,23 @@ def decode_one(token: str, model: Letters) -> str:
     return max(((score + of(context, 0), word) for context, (score, word) in states.items()), key=lambda x: x[0])[1]
 
 
+def halved(word: str, k: int, model: Letters) -> bool:
+    """Whether decode_one reads the only two equal letters running of a plain word, at k and k + 1, as one: its lattice has two paths."""
+    low, of = LETTERS ** (ORDER - 2), model.of
+    symbols = [ord(c) - 96 if "a" <= c <= "z" else 27 for c in word]
+    twice = 0
+    for x in symbols[max(0, k + 2 - ORDER) : k + 1]:
+        twice = (twice % low) * LETTERS + x
+    once, gain = twice, TWICE - of(twice, symbols[k])
+    twice = (twice % low) * LETTERS + symbols[k]
+    for x in [*symbols[k + 2 :], 0]:
+        gain += of(once, x) - of(twice, x)
+        once, twice = (once % low) * LETTERS + x, (twice % low) * LETTERS + x
+        if once == twice:  # from here on the paths are the same
+            break
+    return gain > 0
+
+
 def decode(tokens: list[str], model: Letters) -> list[str]:
     """The most likely readings of lower-cased tokens."""
     return [decode_one(t, model) for t in tokens]
@@ -221,10 +238,21 @@ def reading(token: str, model: Letters) -> str:
     """decode_one, remembered."""
     known = _READ.get(token)
     if known is None:
-        known = _READ[token] = decode_one(token, model)
+        known = _READ[token] = plain(token, model) if token.isalpha() else decode_one(token, model)
     return known
 
 
+def plain(word: str, model: Letters) -> str:
+    """decode_one of a word of letters."""
+    found = TWO.search(word)
+    if not found:
+        return word
+    k = found.start()
+    if word[k + 2 : k + 3] == word[k] or TWO.search(word, k + 2):
+        return decode_one(word, model)
+    return word[:k] + word[k + 1 :] if halved(word, k, model) else word
+
+
 def restored(texts: list[str], model: Letters) -> list[list[str]]:
     """The words of each text as they read once restored."""
     if len(_READ) >= KEPT or _READ.get("") != model.key:  # no token is empty

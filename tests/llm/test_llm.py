@@ -248,6 +248,12 @@ def test_viterbi_against_all_readings(letters):
         assert abs(scores[toxicity.decode([token], letters)[0]] - max(scores.values())) < 1e-4
 
 
+def test_doubled_letters(docs, letters):
+    """The shortcut for words of one doubled letter reads as the decode does."""
+    words = {w for _, t in rows_of(docs) for w in (t or "").lower().split() if w.isalpha() and toxicity.TWO.search(w)} | {"iddiot", "clowwn", "stuupid", "aa", "baa", "aab", "éé", "moronn", "llooser", "aaa"}
+    assert len(words) > 500 and [toxicity.plain(w, letters) for w in words] == toxicity.decode(list(words), letters)
+
+
 @pytest.mark.parametrize("sf, recall", [("sf0.01", 0.7), ("sf0.1", 0.9)])
 def test_toxicity(spark, sf, recall):
     """Held-out recall; the labels of sf0.01 show 33 toxic rows, too few to learn all words from."""
