@@ -715,14 +715,16 @@ def plain_groups(rows):
     return {i: find(i) for i in sets}
 
 
-def test_near_copies(spark):
+@pytest.mark.parametrize("block", [4096, 3])
+def test_near_copies(spark, monkeypatch, block):
+    monkeypatch.setattr(near_copies, "BLOCK", block)
     rng = np.random.default_rng(4)
     word = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
     line, texts = word(40), []
     for k in range(60):
         base = word(int(rng.integers(50, 200))) + (line if k % 2 else [])
         texts.append(" ".join(base))
-        for edits in range(1, 6):  # Jaccard from 0.98 down to 0.6
+        for edits in range(1, 30 if k == 0 else 6):  # Jaccard from 0.98 down to 0.6
             copy = list(base)
             for at in rng.choice(len(base), edits, replace=False):
                 copy[at] = word(1)[0]
