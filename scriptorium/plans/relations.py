@@ -174,7 +174,7 @@ def hdrftr(table):
 
 @add("W11_stylesheet_fixpoint", """
 WITH RECURSIVE s AS (SELECT p_partkey AS k, p_partkey // 2 AS b, CASE WHEN p_size % 3 = 0 THEN CAST(p_size AS BIGINT) END AS v FROM part),
-r AS (SELECT k, b, v FROM s UNION ALL SELECT r.k, s.b, s.v FROM r JOIN s ON r.b = s.k WHERE r.v IS NULL)
+r AS (SELECT k, b, v FROM s UNION SELECT r.k, s.b, s.v FROM r JOIN s ON r.b = s.k WHERE r.v IS NULL AND r.b <> r.k)
 SELECT s.k, max(r.v) AS v FROM s LEFT JOIN r ON s.k = r.k AND r.v IS NOT NULL GROUP BY s.k""")
 def stylesheet(table):
     rows = table("part").select(F.col("p_partkey").alias("k"), F.floor(F.col("p_partkey") / 2).alias("b"), F.when(F.col("p_size") % 3 == 0, F.col("p_size").cast("long")).alias("v"))
