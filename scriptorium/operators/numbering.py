@@ -1,7 +1,5 @@
-"""Counters of lists and headings: folds over a document's paragraphs in order.
-
-A fold needs its key's rows in one task, in order; the state is a small array, and Spark's aggregate() folds the sorted rows of a
-key inside the JVM.
+"""Counters of lists and headings as running sums: a counter is the rows of its level since it last began anew.  One sort of a key's
+rows serves all levels, and Spark spills a window's rows, so no key has to fit in memory.
 """
 
 from __future__ import annotations
@@ -14,23 +12,23 @@ from scriptorium.functions.numbers import heading_part
 LEVELS = 9
 
 
-def list_values(df: DataFrame, key: list[str], order: str, list_index: str, level: str, start_at: str, no_restart: str) -> DataFrame:
-    """(key, order, value): first start_at, then one more each time; unless no_restart, deeper levels of the list begin anew.
+def running(column: Column, window, how=F.sum) -> Column:
+    return how(column).over(window.rowsBetween(Window.unboundedPreceding, 0))
 
-    Lists don't touch each other, so each (key, list) is folded by itself: the state has a counter for each level, null if new.
-    """
-    step = F.struct(F.col(order).alias("o"), F.col(level).cast("int").alias("l"), F.col(start_at).cast("long").alias("s"), F.col(no_restart).alias("r"))
-    rows = df.groupBy(*key, list_index).agg(F.sort_array(F.collect_list(step)).alias("rows"))
-    new = F.expr(f"transform(sequence(1, {LEVELS}), x -> cast(null as bigint))")
-    zero = F.struct(new.alias("c"), F.expr("cast(array() as array<bigint>)").alias("v"))
 
-    def fold(a: Column, x: Column) -> Column:
-        value = F.coalesce(F.get(a["c"], x["l"]) + 1, x["s"])
-        counters = F.transform(a["c"], lambda c, i: F.when(i == x["l"], value).when((i > x["l"]) & ~x["r"], F.lit(None).cast("long")).otherwise(c))
-        return F.struct(counters.alias("c"), F.concat(a["v"], F.array(value)).alias("v"))
+def list_values(df: DataFrame, key: list[str], order: str, list_index: str, level: str, start_at: str, no_restart: str) -> DataFrame:
+    """(key, list, order, level, value): first start_at, then one more each time; unless no_restart, deeper levels of the list begin anew.
 
-    done = rows.withColumn("v", F.aggregate("rows", zero, fold)["v"])
-    return done.select(*key, list_index, F.posexplode(F.zip_with("rows", "v", lambda r, v: F.struct(r["o"].alias("o"), r["l"].alias("l"), v.alias("v"))))).select(*key, list_index, F.col("col.o").alias(order), F.col("col.l").cast("long").alias(level), F.col("col.v").alias("value"))
+    A level's epoch is the number of restarting rows of higher levels before it; inside, values count on from the first start_at.
+    """
+    w = Window.partitionBy(*key, list_index).orderBy(order)
+    depth = F.col("_l")
+    rows = df.select(*key, list_index, order, F.col(level).cast("long").alias("_l"), F.col(start_at).cast("long").alias("_s"), F.col(no_restart).alias("_r"))
+    higher = [F.when(depth > n, running(((depth == n) & ~F.col("_r")).cast("long"), w)).otherwise(0) for n in range(LEVELS)]
+    rows = rows.withColumn("_epoch", sum(higher, F.lit(0).cast("long")))
+    own = Window.partitionBy(*key, list_index, "_l", "_epoch").orderBy(order)
+    value = running(F.col("_s"), own, F.first) + F.row_number().over(own) - 1
+    return rows.select(*key, list_index, order, depth.alias(level), value.alias("value"))
 
 
 def old_list_values(df: DataFrame, key: list[str], order: list[str], sequence: str, is_sequence: str, pause: str, start_at: str) -> DataFrame:
@@ -50,19 +48,17 @@ def heading_numbers(df: DataFrame, key: list[str], order: str, istd: str, with_p
     """(key, order, istd, number) of heading paragraphs (istd 1 to 9).
 
     The own level counts one up, deeper ones go to 0, higher ones that are 0 become 1.  The number shows the own level, after the
-    higher ones if with_prefix.
+    higher ones if with_prefix.  A level's counter is thus what it gained since the last higher heading: one for each of its own
+    headings, and one where a deeper heading came first.
     """
-    step = F.struct(F.col(order).alias("o"), F.col(istd).cast("int").alias("i"), with_prefix.alias("p"), nfc.alias("f"))
-    rows = df.filter(F.col(istd).between(1, LEVELS)).groupBy(*key).agg(F.sort_array(F.collect_list(step)).alias("rows"))
-    zero = F.struct(F.expr(f"transform(sequence(1, {LEVELS}), x -> 0L)").alias("c"), F.expr("cast(array() as array<array<bigint>>)").alias("v"))
-
-    def fold(a: Column, x: Column) -> Column:
-        c = F.transform(a["c"], lambda n, k: F.when(k + 1 == x["i"], n + 1).when(k + 1 > x["i"], F.lit(0).cast("long")).when(n == 0, F.lit(1).cast("long")).otherwise(n))
-        return F.struct(c.alias("c"), F.concat(a["v"], F.array(c)).alias("v"))
-
-    def number(r: Column, v: Column) -> Column:
-        parts = F.transform(F.slice(v, 1, r["i"]), lambda n: heading_part(n, r["f"]))
-        return F.when(r["p"], F.array_join(parts, ".")).otherwise(F.element_at(parts, -1))
-
-    done = rows.withColumn("v", F.aggregate("rows", zero, fold)["v"])
-    return done.select(*key, F.explode(F.zip_with("rows", "v", lambda r, v: F.struct(r["o"].alias("o"), r["i"].cast("long").alias("i"), number(r, v).alias("n")))).alias("x")).select(*key, F.col("x.o").alias(order), F.col("x.i").alias(istd), F.col("x.n").alias("number"))
+    w = Window.partitionBy(*key).orderBy(order)
+    i, before = F.col("_i"), F.col("_before")
+    rows = df.filter(F.col(istd).between(1, LEVELS)).select(*key, order, F.col(istd).cast("long").alias("_i"), with_prefix.alias("_p"), nfc.alias("_f"))
+    rows = rows.withColumn("_before", F.coalesce(F.lag("_i").over(w), F.lit(0)))
+    levels = range(1, LEVELS + 1)
+    gain = {k: (i == k) | ((i > k) & (before < k)) for k in levels}
+    rows = rows.select("*", *[running(gain[k].cast("long"), w).alias(f"_n{k}") for k in levels])
+    rows = rows.select("*", *[running(F.when(i < k, F.col(f"_n{k}")), w, F.max).alias(f"_z{k}") for k in levels])
+    counters = F.array(*[F.col(f"_n{k}") - F.coalesce(F.col(f"_z{k}"), F.lit(0)) for k in levels])
+    parts = F.transform(F.slice(counters, 1, i.cast("int")), lambda n: heading_part(n, F.col("_f")))
+    return rows.select(*key, order, i.alias(istd), F.when(F.col("_p"), F.array_join(parts, ".")).otherwise(F.element_at(parts, -1)).alias("number"))

@@ -51,13 +51,13 @@ def font_names(table):
 
 
 @add("J10_section_at_break", """
-WITH s AS (SELECT l_orderkey AS k, CAST(l_linenumber * 2 AS BIGINT) AS p, max(l_partkey) AS v FROM lineitem WHERE l_suppkey % 2 = 0 GROUP BY ALL),
+WITH s AS (SELECT l_orderkey AS k, CAST(l_linenumber * 3 AS BIGINT) AS p, max(l_partkey) AS v FROM lineitem GROUP BY ALL),
 b AS (SELECT DISTINCT l_orderkey AS k, CAST(l_linenumber * 2 - l_linenumber % 2 AS BIGINT) AS p FROM lineitem),
 j AS (SELECT b.k, b.p, coalesce(x.v, y.v) AS v FROM b LEFT JOIN s x ON b.k = x.k AND b.p = x.p LEFT JOIN s y ON b.k = y.k AND b.p + 1 = y.p)
 SELECT k, p, last_value(v IGNORE NULLS) OVER (PARTITION BY k ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v FROM j""")
 def section_at_break(table):
     line = F.col("l_linenumber")
-    sections = table("lineitem").filter("l_suppkey % 2 = 0").groupBy(F.col("l_orderkey").alias("k"), (line * 2).cast("long").alias("p")).agg(F.max("l_partkey").alias("v"))
+    sections = table("lineitem").groupBy(F.col("l_orderkey").alias("k"), (line * 3).cast("long").alias("p")).agg(F.max("l_partkey").alias("v"))
     breaks = table("lineitem").select(F.col("l_orderkey").alias("k"), (line * 2 - line % 2).cast("long").alias("p")).distinct()
     return lists.section_at(breaks, sections, ["k"], "p", "p", "v")
 

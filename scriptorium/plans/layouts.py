@@ -48,9 +48,9 @@ def table_cells(table):
     return rows.select("n_regionkey", F.size(found).cast("long").alias("n_cells"), F.array_join(found, "|").alias("cells"))
 
 
-@add("L12_unmatched_rows", "SELECT l_orderkey, count(*) AS n_cells, max(CAST(l_linenumber AS BIGINT)) AS n_columns FROM (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey % 5 <> 0) GROUP BY l_orderkey HAVING count(*) <> max(l_linenumber)")
+@add("L12_unmatched_rows", "SELECT l_orderkey, count(DISTINCT l_returnflag) AS n_cells, max(CAST(l_linenumber AS BIGINT)) AS n_columns FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_returnflag) <> max(l_linenumber)")
 def unmatched(table):
-    rows = table("lineitem").filter("l_partkey % 5 <> 0").groupBy("l_orderkey").agg(F.collect_list("l_linenumber").alias("cells"), F.max(F.col("l_linenumber").cast("long")).alias("n_columns"))
+    rows = table("lineitem").groupBy("l_orderkey").agg(F.collect_set("l_returnflag").alias("cells"), F.max(F.col("l_linenumber").cast("long")).alias("n_columns"))
     return layout.unmatched(rows, "cells", "n_columns").select("l_orderkey", F.size("cells").cast("long").alias("n_cells"), "n_columns")
 
 
@@ -81,8 +81,7 @@ def table_font(table):
 
 @add("A3_max_run_size", "SELECT l_orderkey, CAST(greatest(8, max(l_linenumber * 3)) AS BIGINT) AS size FROM lineitem GROUP BY l_orderkey")
 def max_run_size(table):
-    rows = table("lineitem").groupBy("l_orderkey").agg(F.collect_list((F.col("l_linenumber") * 3).cast("long")).alias("sizes"))
-    return rows.select("l_orderkey", F.greatest(F.lit(8).cast("long"), F.array_max("sizes")).alias("size"))
+    return table("lineitem").groupBy("l_orderkey").agg(F.greatest(F.lit(8).cast("long"), F.max((F.col("l_linenumber") * 3).cast("long"))).alias("size"))
 
 
 @add("A7_holes", "SELECT doc_id, CAST(len(regexp_extract_all(text, '[\\t-\\r ]+')) AS BIGINT) AS holes FROM documents")

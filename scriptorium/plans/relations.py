@@ -87,10 +87,11 @@ def near_match(table):
 
 
 @add("J7_first_match_default", """
-SELECT c_custkey, coalesce(v, 'none') AS first_supplier FROM customer LEFT JOIN (SELECT s_nationkey, arg_min(s_name, s_suppkey) AS v FROM supplier WHERE s_suppkey % 3 = 0 GROUP BY s_nationkey) ON c_nationkey = s_nationkey""")
+SELECT c_custkey, coalesce(v, 'none') AS first_supplier FROM customer LEFT JOIN (SELECT s_nationkey, CAST(s_acctbal > 5000 AS INT) AS high, arg_min(s_name, s_suppkey) AS v FROM supplier GROUP BY ALL) ON c_nationkey = s_nationkey AND CAST(c_acctbal > 5000 AS INT) = high""")
 def first_match(table):
-    right = table("supplier").filter("s_suppkey % 3 = 0").select(F.col("s_nationkey").alias("c_nationkey"), "s_suppkey", F.col("s_name").alias("first_supplier"))
-    return ops.first_match(table("customer").select("c_custkey", "c_nationkey"), right, ["c_nationkey"], ["s_suppkey"], "first_supplier", "none").select("c_custkey", "first_supplier")
+    high = lambda c: (F.col(c) > 5000).alias("high")
+    right = table("supplier").select(F.col("s_nationkey").alias("c_nationkey"), high("s_acctbal"), "s_suppkey", F.col("s_name").alias("first_supplier"))
+    return ops.first_match(table("customer").select("c_custkey", "c_nationkey", high("c_acctbal")), right, ["c_nationkey", "high"], ["s_suppkey"], "first_supplier", "none").select("c_custkey", "first_supplier")
 
 
 @add("J9_note_kind", """
@@ -205,7 +206,7 @@ def list_lengths(table):
 
 @add("A6_section_count", "SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_sections FROM documents")
 def section_count(table):
-    return table("documents").select("doc_id", F.explode(F.split("text", "\n"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sections"))
+    return table("documents").select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("n_sections"))
 
 
 @add("A9_good_files", "SELECT source, count(*) AS n_files, CAST(sum(CAST(regexp_matches(text, '[^ \\t-\\r]') AS INT)) AS BIGINT) AS n_good FROM documents GROUP BY source")
