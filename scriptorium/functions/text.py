@@ -20,10 +20,32 @@ CORNERS = "┌┐└┘├┤┬┴┼╔╗╚╝╠╣╦╩╬"
 #: Characters without a width or a likeness, dropped in 8-bit output.
 DROPPED = " ​‌‍‎‏‪‫‬‭‮﻿™"
 ELLIPSIS = "…"
-#: East Asian wide characters as a regular expression class (BMP and the second plane).
-WIDE = r"[ᄀ-ᅟ⺀-〉「-〙〜-〾぀-꓏가-힣豈-﫿︰-﹯＀-｟￠-￦\x{20000}-\x{2ffff}]"
-#: Characters of no width: marks, formats and medial Hangul.
-ZERO = r"[\p{Mn}\p{Me}ᅠ-ᇿ​-‏‪-‮⁪-⁯﻿￹-￻]"
+#: First and last characters that take two columns.
+WIDE_RANGES = (
+    (0x1100, 0x115F), (0x2E80, 0x3009), (0x300C, 0x3019), (0x301C, 0x303E), (0x3040, 0xA4CF), (0xAC00, 0xD7A3),
+    (0xF900, 0xFAFF), (0xFE30, 0xFE6F), (0xFF00, 0xFF5F), (0xFFE0, 0xFFE6), (0x20000, 0x2FFFF),
+)
+#: First and last characters of no width beside marks: soft hyphen, formats and medial Hangul.
+ZERO_RANGES = ((0x1160, 0x11FF), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0xFEFF, 0xFEFF), (0xFFF9, 0xFFFB))
+
+
+def ranges(pairs: tuple, code: str) -> str:
+    """Ranges as the inside of a regular expression's class; `code` formats a character."""
+    return "".join(code.format(a) + "-" + code.format(z) for a, z in pairs)
+
+
+WIDE = "[" + ranges(WIDE_RANGES, "\\x{{{:x}}}") + "]"
+ZERO = r"[\p{Mn}\p{Me}" + ranges(ZERO_RANGES, "\\x{{{:x}}}") + "]"
+
+
+def upper_of(c: str) -> str | None:
+    """The one capital of a character, if there is one: sharp s, y with diaeresis and the micro sign have none in 8 bits."""
+    found = c.upper() if len(c.upper()) == 1 else c.title()
+    return found if len(found) == 1 and found != c and c not in "ßÿµ" else None
+
+
+#: Capitals of the basic plane by their small letters, from the Unicode data.
+UPPER = {n: up for n in range(0x10000) if not 0xD800 <= n < 0xE000 and (up := upper_of(chr(n)))}
 
 
 def strip_fields(text: Column) -> Column:
@@ -41,8 +63,8 @@ def lookalikes(text: Column) -> Column:
 
 
 def upper(text: Column) -> Column:
-    """Upper case in which sharp s and y with diaeresis stay."""
-    return F.translate(F.upper(F.translate(text, "ßÿ", "")), "", "ßÿ")
+    """Upper case, one character for one."""
+    return F.translate(text, "".join(map(chr, UPPER)), "".join(UPPER.values()))
 
 
 def nbsp_to_space(text: Column) -> Column:
