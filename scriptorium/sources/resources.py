@@ -10,6 +10,35 @@ MAPPING_ROWS = 256
 #: Mapping files whose characters are of another encoding than Latin 1.
 LATIN_2 = ("cp852.txt", "cp1250.txt", "8859-2.txt")
 CYRILLIC = ("koi8-r.txt", "koi8-u.txt", "cp866.txt", "cp1251.txt", "8859-5.txt")
+#: Mapping files of code sets by their normal names.
+MAPPINGS = {
+    "iso88591": "8859-1.txt",
+    "iso88592": "8859-2.txt",
+    "iso88593": "8859-3.txt",
+    "iso88594": "8859-4.txt",
+    "iso88595": "8859-5.txt",
+    "iso88596": "8859-5.txt",
+    "iso88597": "8859-7.txt",
+    "iso88598": "8859-8.txt",
+    "iso88599": "8859-9.txt",
+    "iso885910": "8859-10.txt",
+    "iso885913": "8859-13.txt",
+    "iso885914": "8859-14.txt",
+    "iso885915": "8859-15.txt",
+    "iso885916": "8859-16.txt",
+    "koi8r": "koi8-r.txt",
+    "koi8u": "koi8-u.txt",
+    "utf8": "UTF-8.txt",
+    "cp437": "cp437.txt",
+    "cp850": "cp850.txt",
+    "cp852": "cp852.txt",
+    "cp862": "cp862.txt",
+    "cp864": "cp864.txt",
+    "cp866": "cp866.txt",
+    "cp1250": "cp1250.txt",
+    "cp1251": "cp1251.txt",
+    "cp1252": "cp1252.txt",
+}
 #: Default output fonts in plain, bold, italic and bold italic.
 SERIF = ("Times-Roman", "Times-Bold", "Times-Italic", "Times-BoldItalic")
 SANS = ("Helvetica", "Helvetica-Bold", "Helvetica-Oblique", "Helvetica-BoldOblique")
@@ -40,10 +69,8 @@ def encoding(mapping: Column) -> Column:
 
 
 def default_mapping(codeset: Column) -> Column:
-    """Mapping file of a code set's normal name; Arabic gets the Cyrillic one, as it always has."""
-    iso = F.regexp_extract(codeset, "^iso8859([0-9]+)$", 1)
-    known = F.when(iso == "6", "8859-5.txt").when(iso.isin(*map(str, [*range(1, 11), *range(13, 17)])), F.concat(F.lit("8859-"), iso, F.lit(".txt")))
-    return known.when(codeset == "koi8r", "koi8-r.txt").when(codeset == "koi8u", "koi8-u.txt").when(codeset == "utf8", "UTF-8.txt").when(codeset.rlike("^cp(437|85[02]|86[246]|125[012])$"), F.concat(codeset, F.lit(".txt"))).otherwise("8859-1.txt")
+    """Mapping file of a code set's normal name, else that of Latin 1."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in MAPPINGS.items() for x in pair]), codeset), F.lit("8859-1.txt"))
 
 
 def default_font(ffn: Column, emphasis: Column) -> Column:
