@@ -9,6 +9,7 @@ from dataclasses import dataclass, field, replace
 from functools import cache
 
 from scriptorium.functions import codepages
+from scriptorium.functions.text import UPPER
 from scriptorium.sources import tables8
 from scriptorium.sources.container import Container, Damaged
 
@@ -37,8 +38,13 @@ class Run:
     left: int = 0
     before: int = 0
     after: int = 0
+    right: int = 0
     list_index: int = 0
     level: int = 0
+    nfc: int = 0
+    mark: int = 0
+    start_at: int = 0
+    pause: bool = False
     in_table: bool = False
     row_end: bool = False
     widths: tuple[int, ...] = ()
@@ -151,54 +157,93 @@ def steps8(raw: bytes):
         at += size
 
 
-#: Lengths of one-byte opcodes of versions 6 and 7 that aren't two bytes; 0: a length byte follows.
-SIZES6 = {2: 0, 16: 3, 17: 3, 18: 3, 19: 3, 20: 5, 21: 3, 22: 3, 26: 3, 27: 3, 28: 3, 30: 3, 31: 3, 32: 3, 33: 3, 34: 3, 35: 3, 36: 3, 38: 3, 39: 3, 40: 3, 41: 3, 42: 3, 43: 3, 45: 3, 46: 3, 47: 3, 48: 3, 49: 3,
-          69: 3, 72: 3, 80: 3, 93: 3, 96: 3, 97: 3, 99: 3, 101: 3, 105: 3, 107: 3, 109: 3, 110: 3, 121: 3, 122: 3, 123: 3, 124: 3, 140: 3, 141: 3, 144: 3, 145: 3, 148: 3, 149: 3, 154: 3, 155: 3, 160: 3, 161: 3,
-          164: 3, 165: 3, 166: 3, 167: 3, 168: 3, 169: 3, 170: 3, 171: 3, 182: 3, 183: 3, 184: 3, 189: 3, 195: 3, 197: 3, 198: 3, 68: 5, 95: 3, 70: 4, 191: 5, 193: 5, 194: 5, 196: 5, 200: 4, 112: 4,
-          3: 0, 12: 0, 15: 0, 81: 0, 103: 0, 108: 0, 188: 0, 190: 0, 192: 0, 133: 0, 187: 0, 23: 0, 74: 0, 82: 0, 120: 0}
+#: Bytes that follow an opcode of versions 6 and 7.  Those not named have one.
+TWO = (2, 16, 17, 18, 19, 21, 22, 26, 27, 28, 30, 31, 32, 33, 34, 35, 36, 38, 39, 40, 41, 42, 43, 45, 46, 47, 48, 49, 69, 72, 80, 93, 96, 97, 99, 101, 105, 106, 107, 109, 110, 121, 122, 123, 124,
+       140, 141, 144, 145, 148, 149, 154, 155, 156, 157, 160, 161, 164, 165, 166, 167, 168, 169, 170, 171, 182, 183, 184, 189, 195, 197, 198)
+THREE = (73, 95, 136, 137)
+FOUR = (20, 70, 74, 192, 194, 196, 200)
+FIVE = (68, 193, 199)
+TWELVE = (120, 187)
+#: The next byte says how many follow it; of 23 it is 255 if counts of tabs say so.
+COUNTED, TABS = (3, 12, 15, 81, 103, 108, 188, 190, 191), 23
+OPERANDS6 = {op: n for n, ops in ((2, TWO), (3, THREE), (4, FOUR), (5, FIVE), (12, TWELVE)) for op in ops}
+
+
+def byte(raw: bytes, at: int) -> int:
+    return raw[at] if at < len(raw) else 0
 
 
 def steps6(raw: bytes):
+    """(opcode, what follows) of a property list of versions 6 and 7."""
     at = 0
     while at < len(raw):
         op = raw[at]
-        size = SIZES6.get(op, 2)
-        if op in (190, 188):
-            size = 2 + u16(raw, at + 1)
-        elif size == 0:
-            size = 2 + (raw[at + 1] if at + 1 < len(raw) else 0)
-        yield op, raw[at + 1 : at + size]
-        at += max(1, size)
+        n = OPERANDS6.get(op, 1)
+        if op in COUNTED or op == TABS:
+            n = 1 + byte(raw, at + 1)
+        if op == TABS and n == 256:
+            gone = byte(raw, at + 2)
+            n = 3 + 4 * gone + 3 * byte(raw, at + 3 + 4 * gone)
+        yield op, raw[at + 1 : at + 1 + n]
+        at += 1 + n
 
 
 def signed(x: int) -> int:
     return x - 0x10000 if x >= 0x8000 else x
 
 
+#: What paragraph opcodes of version 8 and of versions 6 and 7 set.
+PARAGRAPH8 = {0x2403: "alignment", 0x260A: "level", 0x460B: "list_index", 0x840E: "right", 0x840F: "left", 0x4610: "nest", 0xA413: "before", 0xA414: "after", 0x2416: "in_table", 0x2417: "row_end", 0x244B: "in_table", 0x244C: "row_end", 0xD608: "widths"}
+PARAGRAPH6 = {5: "alignment", 12: "number", 13: "old_level", 16: "right", 17: "left", 18: "nest", 21: "before", 22: "after", 24: "in_table", 25: "row_end", 190: "widths"}
+#: The number format of bullets, those without a number, and the level bytes of lists that go on and that pause.
+BULLET, UNNUMBERED, SEQUENCE, PAUSE = 23, (8, 23, 255), 11, 12
+#: Symbol-font codes of list marks as Unicode.
+MARKS = {
+    0x0000: "\u2022", 0x0096: "\u2013", 0x00A8: "\u2666", 0x00B7: "\u2022", 0x00DE: "\u21d2", 0x00E0: "\u25ca", 0x00E1: "\u2329", 0x00FE: "\u2022",
+    0xF020: " ", 0xF021: "\u2022", 0xF02D: "\u2013", 0xF041: "\u270c", 0xF043: "\u2022", 0xF066: "\u03d5", 0xF06C: "\u2022", 0xF06E: "\u25a0",
+    0xF06F: "\u25a1", 0xF070: "\u25a1", 0xF071: "\u2751", 0xF074: "\u25ca", 0xF075: "\u25c6", 0xF076: "\u2756", 0xF077: "\u25c6", 0xF093: "\u2022",
+    0xF0A7: "\u25aa", 0xF0A8: "\u25a1", 0xF0B7: "\u2022", 0xF0D8: "\u27a2", 0xF0E5: "\u2199", 0xF0F0: "\u21e8", 0xF0FC: "\u2713",
+}
+
+
+def old_number(run: Run, body: bytes) -> None:
+    """The number description of versions 6 and 7: format, length of the text before, start and mark; short ones leave the rest as it is."""
+    if body:
+        run.nfc = body[0]
+    ahead = body[1] if len(body) >= 2 and run.nfc != BULLET else 0
+    if len(body) >= 12:
+        run.start_at = u16(body, 10)
+    if len(body) >= ahead + 21:
+        run.mark = body[ahead + 20]
+
+
 def paragraph_run(istd: int, raw: bytes, ver: int, run: Run | None = None) -> Run:
     """Properties of a paragraph on top of those of its style."""
     run = replace(run, istd=istd) if run else Run(istd=istd)
-    for op, arg in (steps8 if ver >= 8 else steps6)(raw):
-        b, w = (arg[0] if arg else 0), u16(arg, 0)
-        name = {0x2403: "jc", 0x260A: "ilvl", 0x460B: "ilfo", 0x840F: "left", 0xA413: "before", 0xA414: "after", 0x2416: "intable", 0x2417: "ttp", 0x244B: "intable", 0x244C: "ttp", 0xD608: "def"}.get(op) if ver >= 8 else {5: "jc", 17: "left", 21: "before", 22: "after", 24: "intable", 25: "ttp", 190: "def"}.get(op)
-        if name == "jc":
-            run.alignment = b
-        elif name == "ilvl":
-            run.level = b
-        elif name == "ilfo":
+    steps, names = (steps8, PARAGRAPH8) if ver >= 8 else (steps6, PARAGRAPH6)
+    for op, arg in steps(raw):
+        name, b, w = names.get(op), byte(arg, 0), u16(arg, 0)
+        if name in ("alignment", "level"):
+            setattr(run, name, b)
+        elif name == "list_index":
             run.list_index = w
+        elif name == "number":
+            old_number(run, arg[1:])
+        elif name == "old_level":
+            run.level, run.pause = b, b == PAUSE
         elif name == "left":
             run.left = max(0, signed(w))
+        elif name == "nest":
+            run.left = max(0, run.left + signed(w))
+        elif name == "right":
+            run.right = signed(w)
         elif name in ("before", "after"):
             setattr(run, name, 0 if w > 0x7FFF else min(w, 2160))
-        elif name == "intable":
-            run.in_table = bool(b)
-        elif name == "ttp":
-            run.row_end = bool(b)
-        elif name == "def":
+        elif name in ("in_table", "row_end"):
+            setattr(run, name, bool(b))
+        elif name == "widths":
             body = arg[2:]
-            n = body[0] if body else 0
-            edges = [signed(u16(body, 1 + 2 * i)) for i in range(n + 1)]
+            edges = [signed(u16(body, 1 + 2 * i)) for i in range(byte(body, 0) + 1)]
             run.widths = tuple(max(0, z - a) for a, z in zip(edges, edges[1:], strict=False))
     return run
 
@@ -345,7 +390,17 @@ class Assembler:
 
     def append(self, kind: str, run: Run, list_id: str, runs: list[dict]) -> None:
         cells, self.cells = (self.cells, []) if kind == "row" else ([], self.cells)
-        self.out.append({"seq": len(self.out), "list_id": list_id, "kind": kind, "istd": run.istd, "alignment": run.alignment, "left_twips": run.left, "before_twips": run.before, "after_twips": run.after, "list_index": run.list_index, "list_level": run.level, "label": "", "runs": runs, "cells": cells, "widths": list(run.widths)})
+        self.out.append({"seq": len(self.out), "list_id": list_id, "kind": kind, "istd": run.istd, "alignment": run.alignment, "left_twips": run.left, "before_twips": run.before, "after_twips": run.after, "right_twips": min(0, run.right), "list_index": run.list_index, "list_level": run.level, "nfc": run.nfc, "mark": list_mark(run.nfc, run.mark), "start_at": run.start_at, "pause": run.pause, "label": "", "runs": runs, "cells": cells, "widths": list(run.widths)})
+
+
+def list_mark(nfc: int, code: int) -> str:
+    """The mark after a list's number, or its bullet."""
+    if 0x20 <= code < 0x7F:
+        return chr(code)
+    if nfc not in UNNUMBERED:
+        return "."
+    unknown = 0xE000 <= code < 0xF900 or code < 0x80
+    return MARKS.get(code) or ("\u2022" if nfc == BULLET else "\u2190") * unknown or chr(code)
 
 
 def small_roman(n: int) -> str:
@@ -358,6 +413,10 @@ def small_roman(n: int) -> str:
 _DROP = dict.fromkeys(map(ord, "\x00\x03\x04\x05\x08\x0a\x1f‧"))
 
 
+def upper(text: str) -> str:
+    return text.translate(UPPER)
+
+
 def cleaned(text: str) -> str:
     """Without characters that never show; hard line ends are line feeds, hard hyphens hyphens."""
     return text.translate(_DROP).replace("\x0b", "\n").replace("\x1e", "-")
@@ -403,7 +462,7 @@ def assemble(stream: bytes, pieces: list[tuple[int, int, bool, int]], lengths: l
             if style & (HIDDEN | DELETED) & ~keep:
                 text = "".join(c for c in text if c in "\r\x07\x0c\x0e")
             if style & CAPITALS:
-                text = text.upper()
+                text = upper(text)
             asm.add(cleaned(text), style, run, LISTS[number], at)
             last = run, LISTS[number]
         cp += n_bytes // width
@@ -428,6 +487,22 @@ def number_lists(paragraphs: list[dict], levels: dict, overrides: list[int]) ->
             p["label"] = number_text(values[index, depth], level.nfc) + level.mark[:3] + " "
 
 
+def number_old_lists(paragraphs: list[dict]) -> None:
+    """Labels of versions 6 and 7: a run of list paragraphs counts by ones, a list that goes on where the last one ended too."""
+    serial, last, value, inside = 0, 0, 0, False
+    for p in paragraphs:
+        listed = p["list_level"] != 0 and not 1 <= p["istd"] <= 9
+        serial += listed and not inside
+        inside = listed
+        if not listed or p["pause"]:
+            continue
+        p["list_index"] = serial
+        value = value + 1 if serial == last or serial == last + 1 and p["list_level"] == SEQUENCE else p["start_at"]
+        last = serial
+        if p["left_twips"] > 0:
+            p["label"] = number_text(value, p["nfc"]) + p["mark"] + " "
+
+
 def number_text(n: int, nfc: int) -> str:
     if nfc in (1, 2):
         text = small_roman(n)
@@ -439,7 +514,7 @@ def number_text(n: int, nfc: int) -> str:
         return text.upper() if nfc == 3 else text
     if nfc == 5:
         return str(n) + ({1: "st", 2: "nd", 3: "rd"}.get(n % 10, "th") if n not in (11, 12, 13) else "th")
-    return f"{n:02d}" if nfc == 22 else "" if nfc in (23, 255) else str(n)
+    return f"{n:02d}" if nfc == 22 else "" if nfc in UNNUMBERED else str(n)
 
 
 def note_places(stream: bytes, at: int, n: int) -> set[int]:
@@ -518,6 +593,8 @@ def parse_ole(raw: bytes, out: Parsed, keep: int) -> None:
         levels = tables8.list_levels(table, u32(head, 0x2E2), u32(head, 0x2E6))
         number_lists(out.paragraphs, levels, tables8.list_overrides(part(table, 0x2EA)))
         out.sections = tables8.sections(part(table, 0xCA), main)
+    else:
+        number_old_lists(out.paragraphs)
     out.summary = property_set(box.stream("\x05SummaryInformation"), SUMMARY) | property_set(box.stream("\x05DocumentSummaryInformation"), MORE)
     if ver >= 8:
         out.summary |= tables8.document_properties(part(table, 0x192))
