@@ -15,7 +15,8 @@ from scriptorium.sources import documents
 
 @dataclass(frozen=True)
 class Options:
-    """to: text, formatted, docbook, ps or pdf; width: characters a line, 0 for no breaks; show_hidden and show_removed: keep such text."""
+    """to: text, formatted, docbook, ps or pdf; width: characters a line, 0 for no breaks; show_hidden and show_removed: keep such text;
+    text_compat: only styles, not runs, hide, remove or capitalise text."""
 
     to: str = "text"
     width: int = 76
@@ -25,6 +26,7 @@ class Options:
     image_level: int = 2
     show_hidden: bool = False
     show_removed: bool = False
+    text_compat: bool = False
 
     def checked(self) -> Options:
         if self.to not in ("text", "formatted", "docbook", "ps", "pdf"):
@@ -57,7 +59,7 @@ def terminal_width() -> int:
 def convert(spark: SparkSession, path: str, options: Options = Options()) -> DataFrame:
     """(path, text), or (path, content) for ps and pdf, of the readable files under a path."""
     o = options.checked()
-    docs = documents.parsed(documents.files(spark, path), o.show_hidden, o.show_removed)
+    docs = documents.parsed(documents.files(spark, path), o.show_hidden, o.show_removed, o.text_compat)
     out = documents.rendered(docs, "text" if o.to in ("ps", "pdf") else o.to, o.line)
     return pages.printed(out, o.to, o.paper, o.landscape) if o.to in ("ps", "pdf") else out
 

@@ -118,7 +118,7 @@ def docbook_para(table):
 
 @add("K10_docbook_table", """
 SELECT n_regionkey, '<informaltable frame="all" colsep="1" rowsep="1"><tgroup cols="2"><colspec colwidth="36.00pt"/><colspec colwidth="72.00pt"/><tbody>' ||
-  string_agg('<row><entry><para>' || n_nationkey || '</para></entry><entry><para>' || n_name || '</para></entry></row>', '' ORDER BY n_nationkey) || '</tbody></tgroup></informaltable>' AS xml FROM nation GROUP BY n_regionkey""")
+  string_agg('<row><entry>' || n_nationkey || '</entry><entry>' || n_name || '</entry></row>', '' ORDER BY n_nationkey) || '</tbody></tgroup></informaltable>' AS xml FROM nation GROUP BY n_regionkey""")
 def docbook_table(table):
     rows = table("nation").select("n_regionkey", "n_nationkey", F.array(F.col("n_nationkey").cast("string"), F.col("n_name")).alias("cells"))
     return docbook.tables(rows, ["n_regionkey"], "n_nationkey", "cells", [720, 1440])

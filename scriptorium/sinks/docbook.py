@@ -17,7 +17,7 @@ SECTIONS = ("chapter", "sect1", "sect2", "sect3", "sect4", "sect5")
 
 def tables(rows: DataFrame, key: list[str], order: str, cells: str, widths: list[int]) -> DataFrame:
     """(key, xml): the rows of each key as a table; widths are in twips, columns at least a point wide."""
-    entries = F.array_join(F.transform(cells, lambda c: F.concat(F.lit("<entry><para>"), xml_escape(c), F.lit("</para></entry>"))), "")
+    entries = F.array_join(F.transform(cells, lambda c: F.concat(F.lit("<entry>"), xml_escape(c), F.lit("</entry>"))), "")
     row = F.concat(F.lit("<row>"), entries, F.lit("</row>"))
     specs = "".join(f'<colspec colwidth="{max(1.0, w / 20):.2f}pt"/>' for w in widths)
     body = rows.select(*key, F.struct(F.col(order).alias("o"), row.alias("r")).alias("x")).groupBy(*key).agg(F.sort_array(F.collect_list("x")).alias("rows"))
@@ -29,8 +29,18 @@ def escaped(text: str) -> str:
     return text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
 
 
+def inline(text: str, bold: bool = False, italic: bool = False, underline: bool = False, strike: bool = False, raised: bool = False, lowered: bool = False) -> str:
+    """A run; of several styles the first counts."""
+    body = escaped(text)
+    role = ' role="bold"' if bold else "" if italic else ' role="underline"' if underline else ' role="strikethrough"' if strike else None
+    if role is not None:
+        body = f"<emphasis{role}>{body}</emphasis>"
+    tag = "superscript" if raised else "subscript" if lowered else None
+    return f"<{tag}>{body}</{tag}>" if tag and text else body
+
+
 class Book:
-    """Builds a book from paragraphs; keeps what is open."""
+    """Builds a book from paragraphs, given as XML; keeps what is open."""
 
     def __init__(self, title: str = "", lang: str | None = None, info: dict[str, str] | None = None):
         self.out = [f'<book lang="{lang}">' if lang else "<book>", "<bookinfo>" if info else ""]
@@ -42,6 +52,7 @@ class Book:
         self.out.append("</bookinfo>" if info else "")
         self.open: list[str] = []  # sections, then a list
         self.filled = True  # whether the innermost section has a body
+        self.columns = 0  # of the open table
 
     def section(self, level: int, title: str) -> None:
         self.end_list()
@@ -72,16 +83,37 @@ class Book:
         self.body(f'<orderedlist numeration="{numeration}">' if numeration else '<itemizedlist mark="bullet">')
         self.open.append("orderedlist" if numeration else "itemizedlist")
 
-    def item(self, text: str) -> None:
-        self.out.append(f"<listitem><para>{escaped(text)}</para></listitem>")
+    def item(self, xml: str, numeration: str | None, marked: bool = True) -> None:
+        self.end_table()
+        if not (self.open and self.open[-1].endswith("list")):
+            self.start_list(numeration)
+        self.out.append(("<listitem>" if marked else '<listitem override="none">') + f"<para>{xml}</para></listitem>")
+
+    def row(self, cells: list[str], widths: list[int]) -> None:
+        """A table row; rows of another number of columns begin a new group of the same table."""
+        if self.columns and self.columns != len(cells):
+            self.out.append("</tbody></tgroup>")
+        elif not self.columns:
+            self.end_list()
+            self.body('<informaltable frame="none" colsep="0" rowsep="0">')
+        if self.columns != len(cells):
+            self.columns = len(cells)
+            self.out.append(f'<tgroup cols="{self.columns}">' + "".join(f'<colspec colwidth="{max(1.0, w / 20):.2f}pt"/>' for w in widths) + "<tbody>")
+        self.out.append("<row>" + "".join(f"<entry>{escaped(c)}</entry>" for c in cells) + "</row>")
+
+    def end_table(self) -> None:
+        if self.columns:
+            self.out.append("</tbody></tgroup></informaltable>")
+            self.columns = 0
 
     def end_list(self) -> None:
+        self.end_table()
         if self.open and self.open[-1].endswith("list"):
             self.out.append(f"</{self.open.pop()}>")
 
-    def paragraph(self, text: str) -> None:
+    def paragraph(self, xml: str) -> None:
         self.end_list()
-        self.body(f"<para>{escaped(text)}</para>" if text else "<para/>")
+        self.body(f"<para>{xml}</para>" if xml else "<para/>")
 
     def finish(self) -> str:
         self.end_list()
@@ -93,19 +125,16 @@ class Book:
 
 
 def add(book: Book, kind: str, text: str) -> None:
-    """kind: h1 to h9 (those from h7 on don't show), item:bullet, item:arabic and so on, table (cells between bells), or para."""
+    """kind: h1 to h9 (those from h7 on don't show), item:bullet, item:arabic and so on, or para."""
     if kind[:1] == "h" and kind[1:].isdigit():
         if int(kind[1:]) <= len(SECTIONS):
             book.section(int(kind[1:]), text)
         else:
-            book.paragraph(text)
+            book.paragraph(escaped(text))
     elif kind.startswith("item:"):
-        how = kind[5:]
-        if not (book.open and book.open[-1].endswith("list")):
-            book.start_list(None if how == "bullet" else how)
-        book.item(text)
+        book.item(escaped(text), None if kind == "item:bullet" else kind[5:])
     else:
-        book.paragraph(text)
+        book.paragraph(escaped(text))
 
 
 def documents(paragraphs: DataFrame, key: str, order: str, kind: str, text: str) -> DataFrame:

@@ -16,8 +16,18 @@ from scriptorium.sources.container import Container, Damaged
 LISTS = ("text", "footnote", "hdrftr", "macro", "annotation", "endnote", "textbox", "hdrtextbox")
 #: Lists that are printed, in order.
 PRINTED = ("text", "footnote", "endnote", "textbox", "hdrtextbox")
-BOLD, ITALIC, UNDERLINE, CAPITALS, SMALL_CAPS, STRIKE, HIDDEN, SUPER, SUB, DELETED = (1 << i for i in range(10))
+BOLD, ITALIC, UNDERLINE, CAPITALS, SMALL_CAPS, STRIKE, HIDDEN, SUPER, SUB, DELETED, NOTE = (1 << i for i in range(11))
+#: Headers and footers of a section, in their order in version 8.
+HEADERS = ("hdr_even", "hdr_odd", "ftr_even", "ftr_odd", "hdr_first", "ftr_first")
+#: Bits of a section's specification in versions 6 and 7 from the highest, and bits of the document's that come before.
+HEADER_BITS6, DOCUMENT_BITS6 = {7: "hdr_even", 6: "hdr_odd", 5: "ftr_even", 4: "ftr_odd", 3: "hdr_first", 2: "ftr_first"}, (7, 6, 5)
+#: Opcodes of versions 6 and 7 for the break before a section and for its headers and footers.
+BREAK6, HEADERS6 = 142, 153
+#: Twips that a heading has before and after it at least.
+HEADING_GAP = 120
 FAR_EAST = (0x8098, 0x8099, 0xA697, 0xA699)
+#: Stands for characters that don't show, so that the others keep their places.
+GONE = "\0"
 FIELD = re.compile("\x13[^\x14\x15]*[\x14\x15]?|[\x14\x15]")
 
 
@@ -62,6 +72,7 @@ class Parsed:
     pieces: list[dict] = field(default_factory=list)
     summary: dict = field(default_factory=dict)
     sections: list[dict] = field(default_factory=list)
+    headers: list[dict] = field(default_factory=list)
 
 
 def u16(raw: bytes, at: int) -> int:
@@ -335,6 +346,7 @@ class Assembler:
         self.runs: list[tuple[str, int]] = []
         self.cells: list[str] = []
         self.notes, self.count = notes, {"footnote": 0, "endnote": 0}
+        self.began = self.here = 0  # character positions: of the paragraph, and after what was read
 
     def note(self, kind: str | None) -> str:
         if kind is None:
@@ -347,12 +359,13 @@ class Assembler:
         at = 0
         for i, c in enumerate(text):
             if c in "\r\x07\x0c\x0e\x02\x01":
-                self.runs.append((text[at:i], style))
+                self.runs.append((cleaned(text[at:i]), style))
                 at = i + 1
+                self.here = cp + at
                 if c == "\x02":
                     foot, end = self.notes
                     kind = list_id if list_id in ("footnote", "endnote") else "footnote" if not end and foot else "endnote" if end and not foot else "footnote" if cp + i in foot else "endnote" if cp + i in end else None
-                    self.runs.append((self.note(kind), 0))
+                    self.runs.append((self.note(kind), NOTE if kind == "footnote" else 0))
                 elif c == "\x01":
                     self.runs.append(("[pic]", 0))
                 elif c == "\x07":
@@ -362,12 +375,13 @@ class Assembler:
                 else:
                     self.end(run, list_id)
         if text[at:]:
-            self.runs.append((text[at:], style))
+            self.runs.append((cleaned(text[at:]), style))
+        self.here = cp + len(text)
 
     def taken(self) -> list[dict]:
         out: list[dict] = []
         for t, s in self.runs:
-            if t and out and out[-1]["style"] == s:
+            if t and out and out[-1]["style"] == s != NOTE:
                 out[-1]["text"] += t
             elif t:
                 out.append({"text": t, "style": s})
@@ -390,7 +404,9 @@ class Assembler:
 
     def append(self, kind: str, run: Run, list_id: str, runs: list[dict]) -> None:
         cells, self.cells = (self.cells, []) if kind == "row" else ([], self.cells)
-        self.out.append({"seq": len(self.out), "list_id": list_id, "kind": kind, "istd": run.istd, "alignment": run.alignment, "left_twips": run.left, "before_twips": run.before, "after_twips": run.after, "right_twips": min(0, run.right), "list_index": run.list_index, "list_level": run.level, "nfc": run.nfc, "mark": list_mark(run.nfc, run.mark), "start_at": run.start_at, "pause": run.pause, "label": "", "runs": runs, "cells": cells, "widths": list(run.widths)})
+        gap = HEADING_GAP if 1 <= run.istd <= 9 else 0
+        self.out.append({"seq": len(self.out), "char_pos": self.began, "list_id": list_id, "kind": kind, "istd": run.istd, "alignment": run.alignment, "left_twips": run.left, "before_twips": max(run.before, gap), "after_twips": max(run.after, gap), "right_twips": min(0, run.right), "list_index": run.list_index, "list_level": run.level, "nfc": run.nfc, "mark": list_mark(run.nfc, run.mark), "start_at": run.start_at, "pause": run.pause, "label": "", "runs": runs, "cells": cells, "widths": list(run.widths)})
+        self.began = self.here
 
 
 def list_mark(nfc: int, code: int) -> str:
@@ -422,7 +438,7 @@ def cleaned(text: str) -> str:
     return text.translate(_DROP).replace("\x0b", "\n").replace("\x1e", "-")
 
 
-def assemble(stream: bytes, pieces: list[tuple[int, int, bool, int]], lengths: list[int], page: str, paragraphs=((), ()), characters=((), ()), notes=(set(), set()), keep: int = 0, style_of=None) -> tuple[list[dict], list[dict]]:
+def assemble(stream: bytes, pieces: list[tuple[int, int, bool, int]], lengths: list[int], page: str, paragraphs=((), ()), characters=((), ()), notes=(set(), set()), keep: int = 0, style_of=None, text_compat: bool = False) -> tuple[list[dict], list[dict]]:
     """Paragraphs and pieces.  Pieces are cut wherever a list ends or a property run begins, so each segment has one set of properties."""
     asm, listed, cp, total = Assembler(notes), [], 0, 0
     ends, known = [], 0
@@ -454,16 +470,18 @@ def assemble(stream: bytes, pieces: list[tuple[int, int, bool, int]], lengths: l
             style = style_of(run.istd, at_or_before(*characters, a, b"")) if style_of else 0
             if skipping:
                 m = re.search("[\x14\x15]", text)
-                text, skipping = (text[m.end() :], False) if m else ("", True)
+                end = m.end() if m else len(text)
+                text, skipping = GONE * end + text[end:], not m
             tail = text.rfind("\x13")
             if tail >= 0 and not re.search("[\x14\x15]", text[tail:]):
-                skipping, text = True, text[:tail]
-            text = FIELD.sub("", text)
-            if style & (HIDDEN | DELETED) & ~keep:
-                text = "".join(c for c in text if c in "\r\x07\x0c\x0e")
-            if style & CAPITALS:
+                skipping, text = True, text[:tail].ljust(len(text), GONE)
+            text = FIELD.sub(lambda m: GONE * len(m[0]), text)
+            counted = style_of(run.istd, b"") if style_of and text_compat else style
+            if counted & (HIDDEN | DELETED) & ~keep:
+                text = "".join(c if c in "\r\x07\x0c\x0e" else GONE for c in text)
+            if counted & CAPITALS:
                 text = upper(text)
-            asm.add(cleaned(text), style, run, LISTS[number], at)
+            asm.add(text, style, run, LISTS[number], at)
             last = run, LISTS[number]
         cp += n_bytes // width
     if "".join(t for t, _ in asm.runs):
@@ -480,6 +498,7 @@ def number_lists(paragraphs: list[dict], levels: dict, overrides: list[int]) ->
         if level is None or 1 <= p["istd"] <= 9:
             continue
         values[index, depth] = values[index, depth] + 1 if (index, depth) in values else level.start_at
+        p["nfc"] = level.nfc
         if not level.no_restart:
             values = {k: v for k, v in values.items() if k[0] != index or k[1] <= depth}
         p["left_twips"] = p["left_twips"] or level.left
@@ -494,9 +513,9 @@ def number_old_lists(paragraphs: list[dict]) -> None:
         listed = p["list_level"] != 0 and not 1 <= p["istd"] <= 9
         serial += listed and not inside
         inside = listed
+        p["list_index"] = serial * listed
         if not listed or p["pause"]:
             continue
-        p["list_index"] = serial
         value = value + 1 if serial == last or serial == last + 1 and p["list_level"] == SEQUENCE else p["start_at"]
         last = serial
         if p["left_twips"] > 0:
@@ -517,12 +536,51 @@ def number_text(n: int, nfc: int) -> str:
     return f"{n:02d}" if nfc == 22 else "" if nfc in UNNUMBERED else str(n)
 
 
+def sections6(plc: bytes, main: bytes) -> tuple[list[dict], list[int]]:
+    """(char_pos, new_page) of each section of versions 6 and 7, and which headers and footers it has."""
+    n = max(0, (len(plc) - 4) // 16)
+    out, named = [], []
+    for i in range(n):
+        at = u32(plc, 4 * (n + 1) + 12 * i + 2)
+        own = {op: byte(arg, 0) for op, arg in steps6(main[at + 2 : at + 2 + u16(main, at)])} if at != 0xFFFFFFFF else {}
+        out.append({"char_pos": u32(plc, 4 * i), "new_page": own.get(BREAK6) not in (0, 1)})
+        named.append(own.get(HEADERS6, 0))
+    return out, named
+
+
+def header_places(plc: bytes, ver: int, spec: int, sections: list[int]) -> list[tuple[int, str, int, int]]:
+    """(section, kind, from, to) of headers and footers, counted from the start of their own text.
+
+    Version 8 has twelve places a section, of which the first six count.  Before, a section has those that its specification
+    names; the document's come first."""
+    ends = [u32(plc, 4 * i) for i in range(len(plc) // 4 - 1)] if len(plc) >= 8 else []
+    ends.append(ends[-1] if ends else 0)
+    if len(ends) <= 2:
+        return []
+    named = []
+    if ver >= 8:
+        named = [(i // 12, HEADERS[i % 12], i) for i in range(len(ends) - 1) if i % 12 < 6]
+    else:
+        order = [(n, kind) for n, bits in enumerate(sections or [0]) for bit, kind in HEADER_BITS6.items() if bits >> bit & 1]
+        first = sum(spec >> bit & 1 for bit in DOCUMENT_BITS6)
+        named = [(n, kind, first + i) for i, (n, kind) in enumerate(order) if first + i < len(ends) - 1]
+    return [(n, kind, ends[i], ends[i + 1]) for n, kind, i in named]
+
+
+def header_texts(found: list[dict], places: list[tuple[int, str, int, int]]) -> list[dict]:
+    """Headers and footers as lines: the paragraphs of their list that begin inside each place; an empty place has no text."""
+    own = [(p["char_pos"], "".join(r["text"] for r in p["runs"]) or " ".join(p["cells"])) for p in found if p["list_id"] == "hdrftr"]
+    known = {(n, kind): "\n".join(t for cp, t in own if a <= cp < z) if a != z else None for n, kind, a, z in places}
+    last = max((n for n, _ in known), default=-1)
+    return [{"section": n, "kind": kind, "text": known.get((n, kind))} for n in range(last + 1) for kind in HEADERS]
+
+
 def note_places(stream: bytes, at: int, n: int) -> set[int]:
     count = (n - 4) // 6
     return {u32(stream, at + 4 * i) for i in range(count)} if n >= 10 else set()
 
 
-def parse_ole(raw: bytes, out: Parsed, keep: int) -> None:
+def parse_ole(raw: bytes, out: Parsed, keep: int, text_compat: bool) -> None:
     box = Container(raw)
     main = box.stream("WordDocument")
     if main is None:
@@ -588,20 +646,25 @@ def parse_ole(raw: bytes, out: Parsed, keep: int) -> None:
 
     paragraphs = run_list(pages(main, paps, ver, *extra[0]), stride, paragraph)
     characters = run_list(pages(main, chps, ver, *extra[1]), 1, character)
-    out.paragraphs, out.pieces = assemble(main, pieces, lengths, page, paragraphs, characters, notes, keep, style_of)
+    out.paragraphs, out.pieces = assemble(main, pieces, lengths, page, paragraphs, characters, notes, keep, style_of, text_compat)
     if ver >= 8:
         levels = tables8.list_levels(table, u32(head, 0x2E2), u32(head, 0x2E6))
         number_lists(out.paragraphs, levels, tables8.list_overrides(part(table, 0x2EA)))
         out.sections = tables8.sections(part(table, 0xCA), main)
+        properties, plc, named = tables8.document_properties(part(table, 0x192)), part(table, 0xF2), []
     else:
         number_old_lists(out.paragraphs)
+        out.sections, named = sections6(part(main, 0x88), main)
+        properties, plc = tables8.document_properties(part(main, 0x150)), part(main, 0xB0)
+    places = header_places(plc, ver, properties.get("hdrftr_spec", 0), named)
+    base = sum(lengths[:2])
+    out.headers = header_texts(out.paragraphs, [(n, kind, base + a, base + z) for n, kind, a, z in places])
     out.summary = property_set(box.stream("\x05SummaryInformation"), SUMMARY) | property_set(box.stream("\x05DocumentSummaryInformation"), MORE)
-    if ver >= 8:
-        out.summary |= tables8.document_properties(part(table, 0x192))
+    out.summary |= properties
     out.summary["lid"] = u16(head, 0x3C) if ver >= 8 and flags & 0x4000 else u16(head, 6)
 
 
-def parse_flat(raw: bytes, out: Parsed, keep: int) -> None:
+def parse_flat(raw: bytes, out: Parsed, keep: int, text_compat: bool) -> None:
     """DOS, Windows 1 and 2, and Macintosh files: one run of text in the file itself."""
     out.version, out.old_mac = version(raw)
     lengths: list[int] = []
@@ -628,8 +691,8 @@ def parse_flat(raw: bytes, out: Parsed, keep: int) -> None:
     out.paragraphs, out.pieces = assemble(raw, [(start, n, False, 0)], lengths or [n], codepages.code_page(out.version, out.old_mac), keep=keep)
 
 
-def parse(raw: bytes | None, show_hidden: bool = False, show_removed: bool = False) -> Parsed:
-    """Everything that is read from one file."""
+def parse(raw: bytes | None, show_hidden: bool = False, show_removed: bool = False, text_compat: bool = False) -> Parsed:
+    """Everything that is read from one file.  text_compat: only styles, not runs, hide, remove or capitalise text."""
     out, raw = Parsed(), raw or b""
     out.guess = guess(raw)
     keep = (HIDDEN if show_hidden else 0) | (DELETED if show_removed else 0)
@@ -637,11 +700,11 @@ def parse(raw: bytes | None, show_hidden: bool = False, show_removed: bool = Fal
         if out.guess < 0:
             kind = "rtf" if raw.startswith(b"{\\rtf1") else "wordperfect" if raw.startswith(b"\xffWPC") else "not_a_document"
             raise Refused(kind, {"rtf": "a rich text file", "wordperfect": "a WordPerfect file"}.get(kind, "not a document of a known kind"))
-        (parse_ole if out.guess == 6 else parse_flat)(raw, out, keep)
+        (parse_ole if out.guess == 6 else parse_flat)(raw, out, keep, text_compat)
     except Refused as e:
         out.error_code, out.error_msg = e.code, str(e)
     except (Damaged, struct.error, IndexError, ValueError) as e:
         out.error_code, out.error_msg = "damaged", str(e)
     if out.error_code:
-        out.paragraphs, out.pieces, out.sections = [], [], []
+        out.paragraphs, out.pieces, out.sections, out.headers = [], [], [], []
     return out

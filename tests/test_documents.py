@@ -4,7 +4,7 @@ import struct
 import xml.etree.ElementTree as ET
 
 import pytest
-from files import container, dos, mac, summary, win, word8
+from files import container, dos, mac, summary, win, word6, word8
 
 from scriptorium.sources import documents, parse
 
@@ -84,7 +84,7 @@ def test_headings_and_alignment():
     runs = [(0, 5, struct.pack("<H", 1)), (5, 13, struct.pack("<H", 0) + sprm(0x2403, 1))]
     p = parse.parse(word8([(text, False)], [len(text)], paragraphs=runs))
     assert [(x["istd"], x["alignment"]) for x in p.paragraphs] == [(1, 0), (0, 1)]
-    assert documents.text_of(p.paragraphs).split("\n")[1] == " " * 34 + "centred"
+    assert documents.text_of(p.paragraphs).split("\n") == ["", "Head", "", " " * 34 + "centred", ""]
     tree = ET.fromstring(documents.book_of(p.paragraphs, {"title": "A & B", "author": "C"}).split("\n", 2)[2])
     assert tree.find("chapter/title").text == "Head" and tree.find("chapter/para").text == "centred" and tree.find("title").text == "A & B"
 
@@ -164,3 +164,107 @@ def test_document_properties():
     sect = struct.pack("<2I", 0, 2) + struct.pack("<HIHI", 0, 0xFFFFFFFF, 0, 0)
     p = parse.parse(word8([(b"x\r", False)], [2], tables={0x192: bytes(dop), 0xCA: sect}))
     assert p.summary["default_tab"] == 720 and p.summary["created_dttm"] and p.sections == [{"char_pos": 0, "new_page": True}]
+
+
+def papx6(*steps):
+    """Style 0 and a property list of version 6, which follow each other after two more bytes of the paragraph's own."""
+    return b"\0\0" + b"".join(bytes([op]) + arg for op, arg in steps)
+
+
+#: An opcode of each length of versions 6 and 7 with operands that would be read as others if its length were wrong.
+LENGTHS = [(2, 2), (3, 1 + 4), (20, 4), (23, 1 + 6), (68, 5), (70, 4), (73, 3), (74, 4), (82, 1), (95, 3), (106, 2), (112, 1), (120, 12), (133, 1), (136, 3), (137, 3), (156, 2), (157, 2), (187, 12), (191, 1 + 3), (192, 4), (193, 5), (199, 5), (200, 4), (4, 1), (250, 1)]
+
+
+@pytest.mark.parametrize(("op", "n"), LENGTHS)
+def test_lengths_of_old_opcodes(op, n):
+    counted = op in (3, 23, 191)
+    body = (bytes([n - 1]) if counted else b"") + b"\x05" * (n - counted)
+    assert list(parse.steps6(bytes([op]) + body + b"\x05\x02")) == [(op, body), (5, b"\x02")]
+
+
+def test_tabs_of_old_opcodes():
+    body = b"\xff\x01" + b"\x05" * 4 + b"\x02" + b"\x05" * 6
+    assert [op for op, _ in parse.steps6(b"\x17" + body + b"\x05\x02")][0] == 23
+    assert len(list(parse.steps6(b"\x17" + body[:-2]))) == 1
+
+
+def test_word6_lists_and_indents():
+    anld = lambda nfc, start, mark: (12, bytes([21, nfc, 0]) + b"\0" * 8 + struct.pack("<H", start) + b"\0" * 8 + mark)
+    left, numbered = (17, struct.pack("<H", 720)), (13, b"\x0a")
+    text = b"one\rtwo\rplain\rthree\rpaused\rfour\rdot\r"
+    runs, at = [], 0
+    props = [papx6((74, b"\5\5\5\5"), left, anld(0, 4, b")"), numbered), papx6(left, anld(2, 4, b"."), numbered), b"", papx6(left, anld(1, 7, b"\0"), (13, b"\x0b")), papx6(left, anld(1, 7, b"\0"), (13, b"\x0c")), papx6(left, anld(1, 7, b"\0"), (13, b"\x0b")), papx6(left, anld(23, 1, b"\xb7"), (13, b"\x0b"))]
+    for line, p in zip(text.split(b"\r"), props, strict=False):
+        runs.append((at, at + len(line) + 1, p))
+        at += len(line) + 1
+    p = parse.parse(word6(text, [len(text)], runs))
+    assert p.error_code is None and p.version == 6
+    assert [x["label"] for x in p.paragraphs] == ["4) ", "v. ", "", "VI. ", "", "VII. ", "• "]
+    assert documents.text_of(p.paragraphs).split("\n")[:3] == ["  4) one", "  v. two", "plain"]
+    tree = ET.fromstring(documents.book_of(p.paragraphs, None).split("\n", 2)[2])
+    assert [(x.tag, x.get("numeration")) for x in tree.find("chapter")] == [("title", None), ("orderedlist", "arabic"), ("para", None), ("orderedlist", "upperroman")]
+    assert [x.get("override") for x in tree.iter("listitem")] == [None, None, None, "none", None, None]
+
+
+def test_justified_and_right_indent():
+    words = b"The quick brown fox jumps over the lazy dog, and after that it jumps over the dog again until evening.\r"
+    p = parse.parse(word8([(words, False)], [len(words)], paragraphs=[(0, len(words), struct.pack("<H", 0) + sprm(0x2403, 3) + sprm(0x840E, -1280, "h"))]))
+    first, second, _ = documents.text_of(p.paragraphs, 60).split("\n")[:3]
+    assert len(first) == 50 and "  " in first and first.split() + second.split() == words.decode().split()[: len(first.split() + second.split())]
+    p.paragraphs[0]["alignment"] = 0
+    plain = documents.text_of(p.paragraphs, 60).split("\n")[0]
+    assert "  " not in plain and plain.split() == first.split()
+
+
+def test_book_of_styles_tables_and_notes():
+    body = b"a\x02 bold up\rx\x07y\x07\x07z\r"
+    notes = b"\x02 the\tnote\rmore \r"
+    cell = struct.pack("<H", 0) + sprm(0x2416, 1)
+    row = cell + sprm(0x2417, 1) + struct.pack("<HHB", 0xD608, 8, 2) + struct.pack("<3h", 0, 1280, 2560)
+    raw = word8([(body + notes, False)], [len(body), len(notes)], paragraphs=[(0, 11, b""), (11, 13, cell), (13, 15, cell), (15, 16, row), (16, len(body + notes), b"")], characters=[(0, 2, b""), (2, 8, sprm(0x0835, 1)), (8, 10, sprm(0x2A48, 1)), (10, 30, b"")], footnotes=[1])
+    p = parse.parse(raw)
+    xml = documents.book_of(p.paragraphs, None)
+    assert '<para>a<footnote><para>the note</para><para>more</para></footnote><emphasis role="bold"> bold </emphasis><superscript>up</superscript></para>' in xml
+    assert '<informaltable frame="none" colsep="0" rowsep="0"><tgroup cols="2"><colspec colwidth="64.00pt"/><colspec colwidth="64.00pt"/><tbody><row><entry>x</entry><entry>y</entry></row></tbody></tgroup></informaltable><para>z</para>' in xml
+    ET.fromstring(xml.split("\n", 2)[2])
+
+
+def test_headers(spark, tmp_path):
+    body, texts = b"text\r", [b"even\r", b"", b"foot\r", b"", b"first\r", b""]
+    ends = [sum(map(len, texts[:i])) for i in range(7)]
+    total = ends[-1]
+    whole = body + b"".join(texts) + b"later\r"
+    plc = struct.pack("<20I", *ends, *[total] * 6, *[total + 6] * 7)  # the first place of section 1 has six characters
+    p = parse.parse(word8([(whole, False)], [len(body), 0, len(whole) - len(body)], tables={0xF2: plc}))
+    found = {(h["section"], h["kind"]): h["text"] for h in p.headers}
+    assert (found[0, "hdr_even"], found[0, "hdr_odd"], found[0, "ftr_even"], found[0, "hdr_first"]) == ("even", None, "foot", "first")
+    assert {k: v for k, v in found.items() if k[0] == 1 and v} == {(1, "hdr_even"): "later"}
+    (tmp_path / "a.doc").write_bytes(word8([(whole, False)], [len(body), 0, len(whole) - len(body)], tables={0xF2: plc}))
+    wide = documents.headers(documents.parsed(documents.files(spark, str(tmp_path)))).cache()
+    rows = {r.section: r for r in wide.collect()}
+    assert (rows[0].hdr_even, rows[0].hdr_odd, rows[0].ftr_odd, rows[1].hdr_even, rows[1].hdr_odd, rows[1].hdr_first) == ("even", "first", None, "later", "first", "first")
+    pages = wide.select("path").distinct().crossJoin(spark.createDataFrame([(0, 1, True), (0, 2, False), (7, 3, False)], "section int, page int, first_in_section boolean"))
+    assert [(r.header, r.footer) for r in documents.header_on_page(pages, wide).orderBy("page").collect()] == [("first", None), ("even", "foot"), ("first", None)]
+
+
+def test_word6_headers_and_sections():
+    body, head = b"text\r", b"sep\rodd\rfirst\r"
+    main_at = 768 + len(body + head)
+    sepx = struct.pack("<H", 6) + bytes([142, 0, 153, 1 << 6 | 1 << 3, 5, 0])
+    sect = struct.pack("<2I", 0, len(body)) + struct.pack("<HIHI", 0, main_at, 0, 0)
+    dop = bytearray(28)
+    struct.pack_into("<H", dop, 0, (1 << 7) << 8)
+    plc = struct.pack("<5I", 0, 4, 8, 14, 15)
+    p = parse.parse(word6(body + head, [len(body), 0, len(head)], tables={0x10: sepx, 0x88: sect, 0x150: bytes(dop), 0xB0: plc}))
+    assert p.sections == [{"char_pos": 0, "new_page": False}]
+    assert {h["kind"]: h["text"] for h in p.headers if h["text"]} == {"hdr_odd": "odd", "hdr_first": "first"}
+
+
+def test_text_compat():
+    raw = word8([(b"a secret\r", False)], [9], characters=[(0, 2, b""), (2, 9, sprm(0x083C, 1))])
+    assert lines(parse.parse(raw)) == ["a "] and lines(parse.parse(raw, text_compat=True)) == ["a secret"]
+
+
+def test_capitals():
+    raw = word8([("stra\xdfe \xff\r".encode("cp1252"), False)], [9], characters=[(0, 9, sprm(0x083B, 1))])
+    assert lines(parse.parse(raw)) == ["STRA\xdfE \xff"]
