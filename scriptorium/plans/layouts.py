@@ -12,8 +12,18 @@ from scriptorium.sinks import docbook, markup, text
 catalog = Catalog()
 add = catalog.add
 
-
-@add("L3_flagship_paragraph_lines")
+#: The lines of `p` (k, i, t) at 76 columns in SQL, one line of every paragraph a round; its characters take one column each.
+WRAPPED_SQL = """
+w AS (SELECT k, i, CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS line, t AS rest FROM p
+  UNION ALL SELECT k, i, n + 1, CASE WHEN length(rest) < 76 THEN rest WHEN place < 1 THEN head ELSE rtrim(substr(head, 1, CAST(place + CASE WHEN substr(head, CAST(place + 1 AS BIGINT), 1) = '-' THEN 1 ELSE 0 END AS BIGINT)), chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)) END,
+    CASE WHEN length(rest) < 76 THEN NULL WHEN place < 1 THEN substr(rest, 77) ELSE substr(rest, CAST(place + 2 AS BIGINT)) END
+  FROM (SELECT *, greatest(length(regexp_extract(head, '(?s)^(.+) ', 1)), length(regexp_extract(head, '(?s)^(.*[^ ])-', 1))) AS place FROM (SELECT *, substr(rest, 1, 76) AS head FROM w WHERE rest IS NOT NULL)))"""
+
+
+@add("L3_flagship_paragraph_lines", f"""
+WITH RECURSIVE p AS (SELECT doc_id AS k, i, string_split(text, chr(10))[i] AS t FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents) WHERE regexp_matches(t, '[^ \\t\\r\\x0b\\x0c]')),
+{WRAPPED_SQL}
+SELECT k AS doc_id, row_number() OVER (PARTITION BY k ORDER BY i, n) AS line_no, line FROM w WHERE n > 0""")
 def flagship(table):
     return layout.paragraph_lines(table("documents"))
 
@@ -30,7 +40,11 @@ def aligned(table):
     return table("part").select("p_partkey", layout.align(F.col("p_name"), "center").alias("centred"), layout.align(F.col("p_name"), "right").alias("flush_right"))
 
 
-@add("L5_justify_line")
+@add("L5_justify_line", f"""
+WITH RECURSIVE p AS (SELECT item_id AS k, i, string_split(text, chr(10))[i] AS t FROM (SELECT item_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM benchmark) WHERE regexp_matches(t, '[^ \\t\\r\\x0b\\x0c]')),
+{WRAPPED_SQL},
+l AS (SELECT k, i, n, line, n = max(n) OVER (PARTITION BY k, i) OR trim(line) = '' AS plain, 76 - length(rtrim(line)) AS lacking, len(regexp_extract_all(line, '[\\t-\\r ]+')) AS gaps, string_split_regex(line, ' +') AS words, regexp_extract_all(line, ' +') AS blanks FROM w WHERE n > 0)
+SELECT k AS item_id, row_number() OVER (PARTITION BY k ORDER BY i, n) AS line_no, CASE WHEN plain OR lacking <= 0 THEN line ELSE array_to_string(list_transform(range(1, len(words) + 1), lambda x: words[x] || CASE WHEN x < len(words) THEN blanks[x] || repeat(' ', CAST(lacking // greatest(gaps, 1) + CASE WHEN x > gaps - lacking % greatest(gaps, 1) THEN 1 ELSE 0 END AS INT)) ELSE '' END), '') END AS line FROM l""")
 def justify(table):
     return layout.justified(table("benchmark"), "item_id", "text")
 
@@ -61,7 +75,15 @@ def column_width(table):
     return table("part").select("p_partkey", units.column_chars(F.col("p_size").cast("long") * 60, F.col("p_partkey") % 160).alias("chars"))
 
 
-@add("L14_table_row_render")
+@add("L14_table_row_render", """
+WITH RECURSIVE w AS (SELECT conv_id, turn, 0 AS n, CAST(NULL AS VARCHAR) AS line, text AS rest FROM conversations
+  UNION ALL SELECT conv_id, turn, n + 1, CASE WHEN cut THEN substr(own, 1, place) ELSE own END,
+    nullif(ltrim(CASE WHEN length(cell) > 18 THEN CASE WHEN cut THEN substr(own, place + 2) ELSE '' END || substr(cell, 19) || chr(10) || more ELSE more END, ' '), '')
+  FROM (SELECT *, length(own) >= 18 AND length(cell) > 18 AND substr(cell, 19, 1) <> ' ' AND contains(own, ' ') AS cut, length(regexp_extract(own, '(?s)^(.*) ', 1)) AS place
+    FROM (SELECT *, rtrim(substr(cell, 1, 18), ' ') AS own FROM (SELECT *, regexp_extract(rest, '(?s)^([^\\n]*)', 1) AS cell, regexp_extract(rest, '(?s)^[^\\n]*\\n(.*)$', 1) AS more FROM w WHERE rest IS NOT NULL)))),
+d AS (SELECT conv_id, max(n) AS lines FROM w GROUP BY conv_id),
+r AS (SELECT DISTINCT conv_id, turn, unnest(range(1, lines + 1)) AS n FROM conversations JOIN d USING (conv_id))
+SELECT conv_id, CAST(n AS BIGINT) AS line_no, '|' || string_agg(rpad(coalesce(line, ''), 18, ' '), '|' ORDER BY turn) || '|' AS line FROM r LEFT JOIN w USING (conv_id, turn, n) GROUP BY conv_id, n""")
 def render(table):
     rows = table("conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("c"))
     return layout.table_lines(rows.select("conv_id", F.transform("c", lambda x: x["text"]).alias("texts"), F.transform("c", lambda x: F.lit(18)).alias("widths")), "conv_id", "texts", "widths")
@@ -124,7 +146,12 @@ def docbook_table(table):
     return docbook.tables(rows, ["n_regionkey"], "n_nationkey", "cells", [720, 1440])
 
 
-@add("K3_docbook_document")
+@add("K3_docbook_document", f"""
+WITH c AS (SELECT conv_id, turn, turn > 0 AND role = 'system' AS h2, replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS x FROM conversations),
+s AS (SELECT *, sum(CAST(h2 AS INT)) OVER (PARTITION BY conv_id ORDER BY turn) AS s FROM c),
+g AS (SELECT conv_id, s, max(s) OVER (PARTITION BY conv_id) AS last, string_agg(CASE WHEN x = '' THEN '<para/>' ELSE '<para>' || x || '</para>' END, '' ORDER BY turn) FILTER (turn > 0 AND NOT h2) AS body, coalesce(max(x) FILTER (turn = 0 OR h2), '') AS title FROM s GROUP BY conv_id, s),
+t AS (SELECT *, CASE WHEN title = '' THEN '<title/>' ELSE '<title>' || title || '</title>' END AS head FROM g)
+SELECT conv_id, '{docbook.HEAD}<book>' || string_agg(CASE WHEN s > 0 THEN '<sect1>' || head || coalesce(body, '<para/>') || '</sect1>' ELSE '<chapter>' || head || coalesce(body, CASE WHEN last = 0 THEN '<para/>' ELSE '' END) END, '' ORDER BY s) || '</chapter></book>' AS xml FROM t GROUP BY conv_id""")
 def docbook_document(table):
     kind = F.when(F.col("turn") == 0, "h1").when(F.col("role") == "system", "h2").otherwise("para")
     return docbook.documents(table("conversations").select("conv_id", "turn", kind.alias("kind"), "text"), "conv_id", "turn", "kind", "text")
