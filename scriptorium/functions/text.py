@@ -81,9 +81,20 @@ def xml_escape(text: Column) -> Column:
     return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
-def ps_escape(text: Column) -> Column:
-    """Parentheses and backslashes get a backslash, control characters are blanks."""
-    return F.regexp_replace(F.regexp_replace(text, r"([()\\])", r"\\$1"), "[\\x00-\\x1f\\x7f-\\x8b]", " ")
+#: Characters that are blanks in strings of PostScript and of PDF.
+PS_BLANK, PDF_BLANK = "[\\x00-\\x1f\\x7f-\\x8b]", "[\\x00-\\x1f\\x7f\\x81-\\x8b]"
+
+
+def ps_escape(text: Column, blank: str = PS_BLANK) -> Column:
+    """An 8-bit text as a string: parentheses and backslashes get a backslash, control characters are blanks, others beyond ASCII octal."""
+    plain = F.regexp_replace(F.regexp_replace(text, r"([()\\])", r"\\$1"), blank, " ")
+    octal = lambda c: F.when(F.ascii(c).between(0x80, 0xFF), F.concat(F.lit("\\"), F.lpad(F.conv(F.ascii(c), 10, 8), 3, "0"))).otherwise(c)
+    return F.when(F.regexp_like(plain, F.lit("[\\x80-\\xff]")), F.array_join(F.transform(F.split(plain, ""), octal), "")).otherwise(plain)
+
+
+def fold_full_width(text: Column) -> Column:
+    """Full-width ASCII as ASCII, for 8-bit output."""
+    return F.translate(text, "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F))))
 
 
 def display_width(text: Column) -> Column:

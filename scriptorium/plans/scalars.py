@@ -187,9 +187,19 @@ def xml_escape(table):
     return table("pages").select("page_id", text.xml_escape(F.col("html")).alias("xml"))
 
 
-@add("C28_ps_escape", "SELECT page_id, regexp_replace(regexp_replace(html, '([()\\\\])', '\\\\\\1', 'g'), '[\\x00-\\x1f\\x7f-\\x{8b}]', ' ', 'g') AS ps FROM pages")
+PS_SQL = "array_to_string(list_transform(string_split(regexp_replace(regexp_replace(html, '([()\\\\])', '\\\\\\1', 'g'), '[\\x00-\\x1f\\x7f{after}-\\x{{8b}}]', ' ', 'g'), ''), lambda c: CASE WHEN unicode(c) BETWEEN 128 AND 255 THEN chr(92) || printf('%o', unicode(c)) ELSE c END), '')"
+
+
+@add("C28_ps_escape", f"SELECT page_id, {PS_SQL.format(after='')} AS ps, {PS_SQL.format(after=chr(92) + 'x{81}')} AS pdf FROM pages")
 def ps_escape(table):
-    return table("pages").select("page_id", text.ps_escape(F.col("html")).alias("ps"))
+    return table("pages").select("page_id", text.ps_escape(F.col("html")).alias("ps"), text.ps_escape(F.col("html"), text.PDF_BLANK).alias("pdf"))
+
+
+@add("C1_full_width", "SELECT page_id, html AS plain, html AS folded FROM pages")
+def full_width(table):
+    """ASCII as its full-width likeness, and back."""
+    wide = F.translate("html", "".join(map(chr, range(0x21, 0x7F))), "".join(map(chr, range(0xFF01, 0xFF5F))))
+    return table("pages").select("page_id", F.col("html").alias("plain"), text.fold_full_width(wide).alias("folded"))
 
 
 @add("C30_leading", """

@@ -14,6 +14,8 @@ from scriptorium.functions.units import PAPERS
 MARGIN, SIZE, LEADING = 72, 10, 12
 #: Fixed width of a Courier character, in parts of the size.
 PITCH = 0.6
+#: The byte below 0x8C that PDF shows.
+EURO = b"\x80"
 
 
 def line_chars(paper: str, landscape: bool = False) -> int:
@@ -32,13 +34,13 @@ def paged(lines: list[str], height: int) -> list[list[str]]:
     return out
 
 
-def escaped(text: str) -> bytes:
-    """A string between parentheses: signs that mean something get a backslash, control characters are blanks, others octal."""
+def escaped(text: str, kept: bytes = b"") -> bytes:
+    """A string between parentheses: signs that mean something get a backslash, control characters but `kept` are blanks, others octal."""
     out = bytearray()
     for b in text.encode("cp1252", "replace"):
         if b in b"()\\":
             out += b"\\" + bytes([b])
-        elif b < 0x20 or 0x7F <= b <= 0x8B and b != 0x80:
+        elif b < 0x20 or 0x7F <= b <= 0x8B and b not in kept:
             out += b" "
         else:
             out += bytes([b]) if b < 0x80 else b"\\%03o" % b
@@ -58,9 +60,9 @@ def pdf(lines: list[str], paper: str = "a4", landscape: bool = False, info: dict
         w, h = h, w
     pages = paged(lines, h)
     objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [%s] /Count %d >>" % (b" ".join(b"%d 0 R" % (5 + 2 * i) for i in range(len(pages))), len(pages)), b"<< /Type /Font /Subtype /Type1 /BaseFont /Courier /Encoding /WinAnsiEncoding >>"]
-    objects.append(b"<< " + b" ".join(b"/%s (%s)" % (k.encode(), escaped(v)) for k, v in (info or {}).items()) + b" >>")
+    objects.append(b"<< " + b" ".join(b"/%s (%s)" % (k.encode(), escaped(v, EURO)) for k, v in (info or {}).items()) + b" >>")
     for i, page in enumerate(pages):
-        body = b"BT\n/F1 %d Tf\n%d TL\n%d %d Td\n" % (SIZE, LEADING, MARGIN, h - MARGIN - SIZE) + b"".join(b"(%s) Tj T*\n" % escaped(x) for x in page) + b"ET\n"
+        body = b"BT\n/F1 %d Tf\n%d TL\n%d %d Td\n" % (SIZE, LEADING, MARGIN, h - MARGIN - SIZE) + b"".join(b"(%s) Tj T*\n" % escaped(x, EURO) for x in page) + b"ET\n"
         objects.append(b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 %d %d] /Resources << /Font << /F1 3 0 R >> >> /Contents %d 0 R >>" % (w, h, 6 + 2 * i))
         objects.append(b"<< /Length %d >>\nstream\n%sendstream" % (len(body), body))
     out, places = bytearray(b"%PDF-1.3\n"), []
