@@ -21,10 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, one of our own."""
+    """The folder in spark.checkpoint.dir; where that is unset, one of our own, in local mode alone: a cluster's machines don't share it."""
     sc = spark.sparkContext
     known = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
     if not known:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         known = tempfile.mkdtemp(prefix="scriptorium-checkpoint-")
         sc.setCheckpointDir(known)
     return known

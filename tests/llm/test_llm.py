@@ -762,3 +762,20 @@ def test_lookup_salts(spark):
     right = left.groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("v", F.col("k") * 2)
     out = common.lookup(left, right, "k", "doc_id", 1000).collect()
     assert len(out) == 1000 and all(r.v == r.k * 2 for r in out)
+
+
+def test_no_folder_on_a_cluster():
+    class Context:
+        master = "spark://a:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(ValueError):
+        common.shared_folder(Session())
