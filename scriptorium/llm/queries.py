@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import chunks, packing, pieces, pii, quality, simhash, token_scan, toxicity, url_rules, winnowing
+from scriptorium.llm import chunks, packing, periodic, pieces, pii, quality, simhash, token_scan, toxicity, url_rules, winnowing
 from scriptorium.llm.common import table
 
 
@@ -48,6 +48,10 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.report(table(spark, sf_dir, "documents"))
 
 
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_url_rules": op2_url_rules,
@@ -59,5 +63,6 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
     "op10_substrings": op10_substrings,
+    "op12_periodic": op12_periodic,
 }
 ORACLE = {"op2_url_rules": url_rules.oracle(), "op9_quality": quality.ORACLE}
