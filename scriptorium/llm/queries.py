@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import chunks, packing, periodic, pieces, pii, quality, simhash, token_scan, toxicity, url_rules, winnowing
+from scriptorium.llm import chunks, importance, packing, periodic, pieces, pii, quality, simhash, token_scan, toxicity, url_rules, winnowing
 from scriptorium.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.report(table(spark, sf_dir, "documents"))
 
 
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_url_rules": op2_url_rules,
@@ -64,5 +68,6 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_substrings": op10_substrings,
     "op12_periodic": op12_periodic,
+    "op13_importance": op13_importance,
 }
-ORACLE = {"op2_url_rules": url_rules.oracle(), "op9_quality": quality.ORACLE}
+ORACLE = {"op2_url_rules": url_rules.oracle(), "op9_quality": quality.ORACLE, "op13_importance": importance.ORACLE}
