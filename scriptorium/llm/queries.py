@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import chunks, importance, packing, periodic, pieces, pii, quality, simhash, token_scan, toxicity, url_rules, winnowing
+from scriptorium.llm import chunks, importance, interpolation, packing, periodic, pieces, pii, quality, simhash, token_scan, toxicity, url_rules, winnowing
 from scriptorium.llm.common import table
 
 
@@ -48,6 +48,10 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.report(table(spark, sf_dir, "documents"))
 
 
+def op11_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolation.scored(table(spark, sf_dir, "documents"))
+
+
 def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.report(table(spark, sf_dir, "documents"))
 
@@ -67,6 +71,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
     "op10_substrings": op10_substrings,
+    "op11_interpolation": op11_interpolation,
     "op12_periodic": op12_periodic,
     "op13_importance": op13_importance,
 }
