@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.units import MAX_WIDTH, MIN_WIDTH, PAPERS
 from scriptorium.sinks import pages
+from scriptorium.sinks.docbook import HEAD
 from scriptorium.sources import documents
 
 
@@ -70,8 +71,15 @@ def errors(spark: SparkSession, path: str) -> DataFrame:
 
 
 def book_set(books: DataFrame) -> DataFrame:
-    """One DocBook set of several books, ordered by path; the books meet in one row, as the format wants."""
-    from scriptorium.sinks.docbook import HEAD
+    """(place, path, text): the parts of one DocBook set of several books: a prologue, the books by path, and an end.
 
-    inner = F.transform(F.sort_array(F.collect_list(F.struct("path", "text"))), lambda b: F.regexp_extract(b["text"], "(?s)(<book.*)$", 1))
-    return books.agg(F.concat(F.lit(HEAD.replace("DOCTYPE book", "DOCTYPE set") + "<set>"), F.array_join(inner, ""), F.lit("</set>")).alias("text"))
+    The parts in order make the set; no row holds more than a book.
+    """
+    prologue, end = HEAD.replace("DOCTYPE book", "DOCTYPE set") + "<set>", "</set>"
+    edges = books.sparkSession.createDataFrame([(0, None, prologue), (2, None, end)], "place int, path string, text string")
+    return edges.unionByName(books.select(F.lit(1).alias("place"), "path", F.regexp_extract("text", "(?s)(<book.*)$", 1).alias("text")))
+
+
+def save_set(books: DataFrame, folder: str) -> None:
+    """Write a set as files whose names are in its order: concatenated they are the set.  Books are dealt out by ranges of their paths."""
+    book_set(books).orderBy("place", "path").select(F.col("text").alias("value")).write.option("lineSep", "\n").text(folder)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions.numbers import BULLET, numbered
+from scriptorium.functions.text import display_width
 
 CHAR = 6400
 
@@ -26,6 +27,18 @@ def list_mark(code: Column) -> Column:
     return F.when(code.between(0x21, 0x7E), F.char(code)).otherwise(F.lit("."))
 
 
+def on_page(pages: DataFrame, sections: DataFrame, key: list[str], section: str, first: Column, odd: Column, kinds: list[str]) -> DataFrame:
+    """`pages` with the header and footer that each shows: `kinds` of its section, or of the last section if it has a later number.
+
+    sections: (key, section, a column for each of `kinds`, hdr_first to ftr_even); sections are numbered from 0.
+    """
+    last = sections.groupBy(*key).agg(F.max(section).alias("_last"))
+    held = sections.select(*key, F.col(section).alias("_section"), *[F.col(k).alias(f"_{k}") for k in kinds])
+    found = pages.join(last, key, "left").withColumn("_section", F.greatest(F.least(section, "_last"), F.lit(0))).join(held, [*key, "_section"], "left")
+    shown = lambda header: F.coalesce(*[F.when(shown_kind(first, odd, F.lit(header)) == k, F.col(f"_{k}")) for k in kinds if k.startswith("hdr") == header])
+    return found.select(*pages.columns, shown(True).alias("header"), shown(False).alias("footer"))
+
+
 def section_at(breaks: DataFrame, sections: DataFrame, key: list[str], position: str, char_pos: str, value: str) -> DataFrame:
     """At each break the section that begins there or right after it; else that of the break before."""
     a = sections.select(*key, F.col(char_pos).alias("_p"), F.col(value).alias("_here"))
@@ -48,6 +61,23 @@ def property_modifier(mod: Column, lists: DataFrame | None = None) -> tuple[Colu
     return kind, F.when(mod != 0, F.shiftright(mod, 1)).cast("long")
 
 
+def expanded(text: Column, tab_chars: int) -> Column:
+    """A text whose tabs are blanks up to the next stop, at least one each; wide characters take two columns, and each line begins anew."""
+
+    def line(value: Column) -> Column:
+        pieces = F.split(value, "\t")
+        first = F.struct(F.get(pieces, F.lit(0)).alias("text"), display_width(F.get(pieces, F.lit(0))).alias("column"))
+
+        def step(a: Column, piece: Column) -> Column:
+            blanks = expanded_tab(a["column"], tab_chars)
+            return F.struct(F.concat(a["text"], blanks, piece).alias("text"), (a["column"] + F.length(blanks) + display_width(piece)).alias("column"))
+
+        folded = F.aggregate(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), first, step, lambda a: a["text"])
+        return F.when(F.contains(value, F.lit("\t")), folded).otherwise(value)
+
+    return F.when(F.contains(text, F.lit("\t")), F.array_join(F.transform(F.split(text, "\n"), line), "\n")).otherwise(text)
+
+
 def expanded_tab(column: Column, tab_chars: int) -> Column:
     """Blanks from a column to the next multiple of a tab."""
     return F.repeat(F.lit(" "), (F.lit(tab_chars) - column % tab_chars).cast("int"))

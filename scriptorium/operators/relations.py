@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.operators.rounds import cut
+
 BLOCK = 512
 
 
@@ -131,17 +133,25 @@ def note_kind(found_in: Column, n_footnotes: Column, n_endnotes: Column) -> Colu
     return F.when((n_footnotes == 0) & (n_endnotes == 0), "unknown").when(n_endnotes == 0, "footnote").when(n_footnotes == 0, "endnote").otherwise(F.coalesce(found_in, F.lit("unknown")))
 
 
-def base_chain(styles: DataFrame, key: list[str], style: str, base: str, value: str, most: int = 25) -> DataFrame:
-    """Each style's value, or that of the nearest style it is based on; chains longer than `most` are cut.
+def base_chain(styles: DataFrame, key: list[str], style: str, base: str, value: str, circular: str | None = None) -> DataFrame:
+    """Each style's value, or that of the nearest style it is based on; null at the end of a chain without one.
 
-    A chain of length 2^k is followed by k self joins: pointers double.
+    Pointers double until none is left that could still find a value, so a chain of n styles takes log n rounds, whatever n is.  Styles whose bases
+    run in a circle without a value keep a pointer for ever: after enough rounds for a chain through all styles they are unresolved, and
+    the column `circular`, if named, says so.
     """
     df = styles.select(*key, style, F.col(base).alias("_b"), F.col(value).alias("_v"))
-    steps = max(1, (most - 1).bit_length())
-    for _ in range(steps):
+    on = [*key, "_b"]
+    n, reach = None, 1
+    while True:
         up = df.select(*key, F.col(style).alias("_b"), F.col("_b").alias("_b2"), F.col("_v").alias("_v2"))
-        df = df.join(up, [*key, "_b"], "left").select(*key, style, F.when(F.col("_v").isNull(), F.col("_b2")).otherwise(F.lit(None)).alias("_b"), F.coalesce("_v", "_v2").alias("_v"))
-    return df.select(*key, style, F.col("_v").alias(value))
+        joined = df.join(up, on, "left").select(*key, style, F.when(F.col("_v").isNull(), F.col("_b2")).alias("_b"), F.coalesce("_v", "_v2").alias("_v"))
+        df, reach = cut(joined.withColumn("_b", F.when(F.col("_v").isNull(), F.col("_b")))), reach * 2
+        state = df.agg(F.count(F.lit(1)).alias("n"), F.count("_b").alias("open")).first()
+        n = n or state.n
+        if not state.open or reach > n:
+            break
+    return df.select(*key, style, F.col("_v").alias(value), *([F.col("_b").isNotNull().alias(circular)] if circular else []))
 
 
 def concatenated(lists: list[tuple[str, DataFrame]]) -> DataFrame:

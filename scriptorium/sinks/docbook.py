@@ -1,12 +1,9 @@
-"""DocBook XML.  Tables and paragraphs are column expressions; a whole document needs a stack of open tags and is built in one pass
-over its paragraphs, a document at a time."""
+"""DocBook XML.  Tables, paragraphs and books of rows are column expressions and running values; `Book` keeps a stack of open tags for the
+renderer of parsed files, which has a document at a time."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import xml_escape
@@ -125,7 +122,7 @@ class Book:
 
 
 def add(book: Book, kind: str, text: str) -> None:
-    """kind: h1 to h9 (those from h7 on don't show), item:bullet, item:arabic and so on, or para."""
+    """Add a paragraph of one of the kinds of `tag_events` to a book."""
     if kind[:1] == "h" and kind[1:].isdigit():
         if int(kind[1:]) <= len(SECTIONS):
             book.section(int(kind[1:]), text)
@@ -137,18 +134,47 @@ def add(book: Book, kind: str, text: str) -> None:
         book.paragraph(escaped(text))
 
 
+def tag_events(paragraphs: DataFrame, key: str, order: str, kind: str, text: str) -> DataFrame:
+    """(key, order, seq, xml): the opening tags, closing tags and bodies that make each key's book, in their order.
+
+    kind: h1 to h9 (those from h7 on don't show), item:bullet, item:arabic and so on, or para.  What is open before a paragraph follows from the
+    last heading, so each paragraph's tags are known from running values over one sort; no stack is kept.  A level that a document skips gets
+    an empty title, a section without a body an empty paragraph.
+    """
+    k, body = F.coalesce(F.col(kind), F.lit("para")), xml_escape(F.coalesce(F.col(text), F.lit("")))
+    number = F.regexp_extract(k, "^h([0-9])$", 1)
+    w = Window.partitionBy(key).orderBy(order)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    rows = paragraphs.select(F.col(key), F.col(order), F.when(number.between("1", str(len(SECTIONS))), number.cast("int")).alias("_level"), F.when(k.startswith("item:"), F.substring(k, 6, 1 << 20)).alias("_item"), body.alias("_body"))
+    depth = F.coalesce(F.last("_level", ignorenulls=True).over(before), F.when(F.row_number().over(w) > 1, 1).otherwise(0))
+    rows = rows.withColumn("_depth", depth).withColumn("_after", F.lead(F.struct("_level", "_item")).over(w)).withColumn("_in_list", F.lag("_item").over(w).isNotNull())
+    rows = rows.withColumn("_list", F.last(F.when(~F.col("_in_list"), F.col("_item")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))  # the item that began the list
+    none, names = F.expr("cast(array() as array<string>)"), F.array(*map(F.lit, SECTIONS))
+    level, last = F.col("_level"), F.col("_after").isNull()
+    one = lambda c: F.array(c)
+    name = lambda i: F.element_at(names, i)
+    closing = lambda from_, to: F.when(from_ >= to, F.transform(F.sequence(from_, to, F.lit(-1)), lambda i: F.concat(F.lit("</"), name(i), F.lit(">")))).otherwise(none)
+    listed = F.when(F.col("_list") == "bullet", "itemizedlist").otherwise("orderedlist")
+    chapter = F.when(F.col("_depth") == 0, one(F.lit("<chapter><title/>"))).otherwise(none)
+    # a heading closes what is as deep as itself or deeper; of what is left the levels down to its own are opened
+    left = F.least(F.col("_depth"), level - 1)
+    skipped = F.when(left + 1 < level, F.transform(F.sequence(left + 1, level - 1), lambda i: F.concat(F.lit("<"), name(i), F.lit("><title/>")))).otherwise(none)
+    title = F.when(F.col("_body") == "", "<title/>").otherwise(F.concat(F.lit("<title>"), F.col("_body"), F.lit("</title>")))
+    heading = F.concat(closing(F.col("_depth"), level), skipped, one(F.concat(F.lit("<"), name(level), F.lit(">"), title)))
+    # the next row or the end closes it at once
+    bare = F.when(last | (F.col("_after._level") <= level), one(F.lit("<para/>"))).otherwise(none)
+    opened = F.when(F.col("_list") == "bullet", '<itemizedlist mark="bullet">').otherwise(F.concat(F.lit('<orderedlist numeration="'), F.col("_list"), F.lit('">')))
+    item = F.concat(F.when(F.col("_in_list"), none).otherwise(F.concat(chapter, one(opened))), one(F.concat(F.lit("<listitem><para>"), "_body", F.lit("</para></listitem>"))))
+    end_list = F.when(last | F.col("_after._item").isNull(), one(F.concat(F.lit("</"), listed, F.lit(">")))).otherwise(none)
+    para = F.concat(chapter, one(F.when(F.col("_body") == "", "<para/>").otherwise(F.concat(F.lit("<para>"), "_body", F.lit("</para>")))))
+    own = F.when(level.isNotNull(), F.concat(heading, bare)).when(F.col("_item").isNotNull(), F.concat(item, end_list)).otherwise(para)
+    now = F.when(level.isNotNull(), level).otherwise(F.greatest(F.col("_depth"), F.lit(1)))
+    ends = F.when(last, closing(now, F.lit(1))).otherwise(none)
+    return rows.select(key, order, F.posexplode(F.concat(own, ends)).alias("seq", "xml"))
+
+
 def documents(paragraphs: DataFrame, key: str, order: str, kind: str, text: str) -> DataFrame:
     """(key, xml): a book for each key."""
-    rows = paragraphs.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(kind).alias("k"), F.col(text).alias("t")))).alias("p"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for p in b.column(1).to_pylist():
-                book = Book()
-                for x in p:
-                    add(book, x["k"], x["t"] or "")
-                out.append(HEAD + book.finish())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], [key, "xml"])
-
-    return rows.select(F.col(key).cast("long"), "p").mapInArrow(run, f"{key} long, xml string")
+    events = tag_events(paragraphs, key, order, kind, text)
+    books = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "seq", "xml"))).alias("e"))  # a document is one row in the end
+    return books.select(F.col(key).cast("long").alias(key), F.concat(F.lit(HEAD + "<book>"), F.array_join(F.transform("e", lambda e: e["xml"]), ""), F.lit("</book>")).alias("xml"))

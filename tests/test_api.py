@@ -53,19 +53,11 @@ def test_bad_options(bad):
         api.Options(**bad).checked()
 
 
-def test_set(spark, folder):
+def test_set(spark, folder, tmp_path):
     books = api.convert(spark, folder, api.Options(to="docbook"))
-    text = api.book_set(books).first().text
+    parts = api.book_set(books).orderBy("place", "path").collect()
+    assert [p.place for p in parts] == [0, 1, 1, 2] and [p.path[-5:] for p in parts[1:3]] == ["a.doc", "b.doc"]
+    api.save_set(books, f"{tmp_path}/set")
+    text = "".join(p.read_text() for p in sorted((tmp_path / "set").glob("part-*")))
+    assert text == "".join(p.text + "\n" for p in parts)
     assert len(ET.fromstring(text.split("\n", 2)[2]).findall("book")) == 2
-
-
-def test_resources(spark, tmp_path):
-    (tmp_path / "x.txt").write_text("# head\n0x41\t0x0041\t# same\n0x80\t0x20AC\t# euro\n0x81\t0x0081\nbad line\n0x100\t0x1\n")
-    assert sorted((r.mapping, r.local, r.unicode) for r in resources.char_map(spark, str(tmp_path / "x.txt")).collect()) == [("x.txt", 0x80, 0x20AC), ("x.txt", 0x81, 0x81)]
-    (tmp_path / "fonts").write_text("# names\nArial, 0, 0, Helvetica, 0\nArial,1,0, Helvetica-Oblique, 0\nbroken, 1\n*, 0, 0, Times-Roman, 0\n")
-    names = resources.font_map(spark, str(tmp_path / "fonts"))
-    assert [(r.word_name, r.italic, r.our_name) for r in names.orderBy("line").collect()] == [("Arial", 0, "Helvetica"), ("Arial", 1, "Helvetica-Oblique"), ("*", 0, "Times-Roman")]
-    fonts = spark.createDataFrame([("ARIAL", None, 0, 0), ("Odd", "arial", 0, 2), ("Mono", None, 1, 0), ("Sans", None, 0x20, 0), ("Lost", None, 0, 3)], "name string, alt_name string, ffn int, emphasis int")
-    got = {r.name: r.our_name for r in resources.matched_fonts(fonts, names).collect()}
-    assert got == {"ARIAL": "Helvetica", "Odd": "Helvetica-Oblique", "Mono": "Courier", "Sans": "Helvetica", "Lost": None}
-    assert spark.range(1).select(resources.to_local(F.lit("a€"), [(0x80, 0x20AC)]).alias("x")).first().x == "a\x80"
