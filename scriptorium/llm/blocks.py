@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words from which a block is closed, and bytes of text that are looked at at once.
-BLOCK, PIECE = 1 << 20, 1 << 22
+BLOCK, PIECE = 1 << 20, 1 << 20
 #: Lower-case A-Z; all other bytes stay.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32

@@ -67,7 +67,7 @@ class Tokens:
         self.ends = np.ones(len(self.sizes), np.int64)
         self.ends[-1:] = t["ended"]
         self.tokens = self.sizes + self.ends
-        self.row = np.repeat(np.arange(len(self.sizes)), self.tokens)
+        self.row = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.tokens)
         last = np.cumsum(self.tokens)
         inside = np.ones(len(self.row), bool)
         inside[last[self.ends > 0] - 1] = False
@@ -75,10 +75,12 @@ class Tokens:
         h[inside] = words[lead:]
         place = np.arange(len(h)) - (last - self.tokens)[self.row]
         place[self.row == 0] += before
+        place = np.minimum(place, 2).astype(np.int8)  # only the first two differ from those after
         self.extra = 1 if lead else 0
         h = np.concatenate([np.full(3, BEGIN), words[:lead], h])  # two words before the first token, or places before the text
+        del words, inside
         n = len(self.row) + self.extra
-        place = np.concatenate([np.full(self.extra, before - 1), place])
+        place = np.concatenate([np.full(self.extra, min(before - 1, 2), np.int8), place])
         x, one, two = h[-n:] if n else h[:0], h[len(h) - n - 1 : -1], h[len(h) - n - 2 : -2]
         one = np.where(place < 1, BEGIN, one)
         two = np.where(place < 2, BEGIN, two)
@@ -94,8 +96,8 @@ class Tokens:
         s = keys[by]
         new = np.ones(len(s), bool)
         new[1:] = s[1:] != s[:-1]
-        at = np.empty(len(s), np.int64)
-        at[by] = np.cumsum(new) - 1
+        at = np.empty(len(s), np.int32)
+        at[by] = np.cumsum(new, dtype=np.int32) - 1
         starts = np.flatnonzero(new)
         counts = np.diff(np.append(starts, len(s)))
         if self.extra:
@@ -190,7 +192,7 @@ def looked_up(t: dict, answers: list[dict], bits: int, column: str) -> tuple[Tok
     return own, counts
 
 
-def parts(own: Tokens, counts: list[np.ndarray], n_tokens: int, n_texts: int) -> tuple[np.ndarray, ...]:
+def parts(own: Tokens, counts: list[np.ndarray], n_texts: int) -> tuple[np.ndarray, ...]:
     """Of each counted token: count, count and context of two words, count and context of three; where there is no such context 0 of 0."""
     one, two, three = counts
     before = lambda c: np.concatenate([np.zeros(1, np.int64), c[:-1]])
@@ -200,14 +202,21 @@ def parts(own: Tokens, counts: list[np.ndarray], n_tokens: int, n_texts: int) ->
     return tuple(x[own.extra :] for x in (one, two, after_one, three, after_two))
 
 
-def estimates(c1, c2, of1, c3, of2, n: int, words: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Context class, and the estimates after none, one and two words and the even share."""
-    even = np.full(len(c1), 1.0 / (words + 1))
-    p1 = c1 / n if n else even
-    p2 = np.where(of1 > 0, c2 / np.maximum(of1, 1), p1)
-    p3 = np.where(of2 > 0, c3 / np.maximum(of2, 1), p2)
-    size = np.frexp(np.where(of2 > 0, of2, of1).astype(float))[1]
-    return np.minimum(size, 63) + np.where(of2 > 0, 64, 0), [even, p1, p2, p3]
+def context_class(of1: np.ndarray, of2: np.ndarray) -> np.ndarray:
+    """The power of two of the count of the two words before, from 64 on, or of the one word."""
+    size = np.frexp(np.where(of2 > 0, of2, of1).astype(float))[1].astype(np.int32)
+    return np.minimum(size, 63) + np.where(of2 > 0, np.int32(64), np.int32(0))
+
+
+def estimates(c1, c2, of1, c3, of2, n: int, words: int) -> Iterator[np.ndarray]:
+    """The even share, and the estimates after none, one and two words."""
+    p = np.full(len(c1), 1.0 / (words + 1))
+    yield p
+    p = c1 / n if n else p
+    yield p
+    p = np.where(of1 > 0, c2 / np.maximum(of1, 1), p)
+    yield p
+    yield np.where(of2 > 0, c3 / np.maximum(of2, 1), p)
 
 
 def deleted_tokens(tokens: DataFrame, answers: DataFrame, bits: int, n: int, texts: int, words: int) -> DataFrame:
@@ -218,8 +227,8 @@ def deleted_tokens(tokens: DataFrame, answers: DataFrame, bits: int, n: int, tex
         out = []
         for t in left.to_pylist():
             own, counts = looked_up(t, right.to_pylist(), bits, "kept")
-            context, p = estimates(*parts(own, counts, n, texts), n, words)
-            out.append(pa.table([pa.array(context, pa.int32()), *[pa.array(x) for x in p]], schema=pa.schema(kinds)))
+            found = parts(own, counts, texts)
+            out.append(pa.table([pa.array(context_class(found[2], found[4])), *map(pa.array, estimates(*found, n, words))], schema=pa.schema(kinds)))
         return pa.concat_tables(out) if out else pa.schema(kinds).empty_table()
 
     mine = tokens.filter(F.col("class") == DROPPED).drop("rows", "doc_ids", "counts")
@@ -275,10 +284,12 @@ def scored(docs: DataFrame) -> DataFrame:
         out = []
         for t in left.to_pylist():
             own, counts = looked_up(t, right.to_pylist(), bits, "total")
-            found = parts(own, counts, n, texts)
-            context, p = estimates(*found, n, v)
-            mine = weights[context]
-            score = np.log10(sum(mine[:, i] * p[i] for i in range(4)))
+            found = parts(own, counts, texts)
+            del counts, own.keys
+            context, score = context_class(found[2], found[4]), np.zeros(len(own.row))
+            for i, p in enumerate(estimates(*found, n, v)):
+                score += weights[context, i] * p
+            score = np.log10(score)
             base = np.log10((found[0] + 1) / (n + v + 1))
             by = lambda x: np.bincount(own.row, x, len(own.tokens))
             out.append(pa.table({"row": pa.array(t["rows"], pa.int64()), "doc_id": pa.array(t["doc_ids"], pa.int64()), "held_out": pa.array([t["class"] == HELD] * len(own.tokens)), "n_tokens": own.tokens, "n_known": by(found[0] > 0).astype(np.int64), "base_score": by(base), "score": by(score)}))
