@@ -40,6 +40,8 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 TERM = r"\p{L}+"
 REACH = 8
+#: Characters beside a span that are looked at for REACH words, one window after the other until one holds them; then all.
+WINDOWS = (320, 4096)
 SUPPORT = 3
 GENERALISE, REMOVE = 0.85, 0.97
 LEAST_LETTERS = 4
@@ -102,12 +104,26 @@ def terms(text: Column) -> Column:
 
 def around(text: str, span: Column) -> Column:
     """The distinct lower-cased terms of the REACH words on either side of a span, sorted."""
-    reach = 40 * REACH  # characters that hold REACH words, or else those that there are
-    before = F.slice(F.reverse(terms(F.substring(F.col(text), F.greatest(span["start"] - reach + 1, F.lit(1)), F.least(span["start"], F.lit(reach))))), 1, REACH)
-    after = F.slice(terms(F.substring(F.col(text), span["end"] + 1, F.lit(reach))), 1, REACH)
+    whole = F.col(text)
+    before = F.coalesce(*[words_beside(span["start"] <= n, F.substring(whole, F.greatest(span["start"] - n + 1, F.lit(1)), F.least(span["start"], F.lit(n))), True) for n in WINDOWS], words_beside(F.lit(True), F.substring(whole, F.lit(1), span["start"]), True))
+    after = F.coalesce(*[words_beside(F.length(whole) - span["end"] <= n, F.substring(whole, span["end"] + 1, F.lit(n)), False) for n in WINDOWS], words_beside(F.lit(True), F.substring(whole, span["end"] + 1, F.length(whole)), False))
     return F.array_sort(F.array_distinct(F.filter(F.transform(F.concat(before, after), lambda x: F.lower(x)), lambda x: F.length(x) >= LEAST_LETTERS)))
 
 
+def words_beside(reaches: Column, window: Column, before: bool) -> Column:
+    """The last, or first, REACH words of a window beside a span; null if the window holds fewer and doesn't reach the text's end.
+
+    A word at the window's far edge may go on beyond it, so it doesn't count there."""
+
+    def chosen(found: Column) -> Column:
+        n = F.size(found)
+        edge = (~reaches & F.regexp_like(window, F.lit(rf"^{TERM}" if before else rf"{TERM}$"))).cast("int")
+        near = F.slice(F.reverse(found) if before else found, 1, F.least(n - edge, F.lit(REACH)))
+        return F.when(reaches | (n - edge >= REACH), near)
+
+    return F.get(F.transform(F.array(terms(window)), chosen), F.lit(0))
+
+
 def entities(spans: str) -> Column:
     """The distinct entities of base spans."""
     return F.array_distinct(F.transform(spans, entity))

@@ -404,7 +404,7 @@ def plain_disclosure(rows):
         for kind, a, b in base[t]:
             e = f"{kind}:{t[a:b].lower()}"
             of[e].add(t)
-            for w in words(t[max(0, a - 320) : a])[::-1][:8] + words(t[b : b + 320])[:8]:
+            for w in words(t[:a])[::-1][:8] + words(t[b:])[:8]:
                 if len(w) >= 4:
                     near[e, w].add(t)
     strong, n = collections.defaultdict(dict), len(texts)
@@ -443,6 +443,19 @@ def test_disclosure_against_counting(spark, monkeypatch, copies, few):
     assert sum("term" in s for s in expected.values()) == 50
 
 
+@pytest.mark.parametrize("length", [300, 330, 5000])
+def test_words_around_long_ones(spark, length):
+    """A word counts as one however long it is, and what a window cuts is no term."""
+    rows = [(i, f"common words number {i} here", "") for i in range(100)]
+    rows += [(1000 + i, f"{x} gammaword {'y' * length} me@mail.example.com {'z' * length} deltaword {x}", "") for i, x in enumerate(("one", "two", "three", "four"))]
+    rows = [(i, t) for i, t, _ in rows]
+    expected = plain_disclosure(rows)
+    out = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {i: expected[t] for i, t in rows}
+    at = rows[-1][1].index("gammaword"), rows[-1][1].index("deltaword")
+    assert all(f"term:{k}:{k + 9}" in out[1003] for k in at)
+
+
 def test_disclosure_clashing_names(spark):
     rows = [(1, "a@b.example.com", "k", "t", "s", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, _key string, _told string, _spans string, key string").select("*", *[F.lit("clash").alias(c) for c in ("spans", "row", "t", "base", "told", "n")])
