@@ -7,7 +7,7 @@ follow its last.  A prefix scan over the blocks' summaries (one row for each blo
 and numbers them.
 
 `write_tokens` makes such files from texts with Spark's text writer: a row is the document's bytes, the line separator is the
-identifier.  Files get as many rows as stay below FILE_BYTES even if all are as long as the longest, since a reader holds one file.
+identifier.  A task begins a file when the one before would pass FILE_BYTES, by a running sum of bytes, since a reader holds one file.
 Tokens there are words hashed to 16 bits, 0 being the separator: a stand-in for a tokenizer that costs little; the scan doesn't
 depend on it.  A document begins with KEY tokens that spell its doc_id, so that the scan can say whose length it found; blocks
 overlap by as many tokens, for documents that begin at a block's end.
@@ -57,26 +57,32 @@ def doc_id_of(tokens: np.ndarray) -> int | None:
 
 
 def write_tokens(docs: DataFrame, path: str) -> None:
-    """Token files of the documents under `path`."""
+    """Token files of the documents under `path`, in a folder for each place in a task's sequence of files."""
+    most = FILE_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, size = 0, 0
         for b in batches:
-            tokens = [key_tokens(i) + word_tokens(t.as_py()) for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.binary())], ["tokens"])
+            tokens, files = [], []
+            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                tokens.append(key_tokens(i) + word_tokens(t.as_py()))
+                own = len(tokens[-1]) + WIDTH
+                if size and size + own > most:
+                    file, size = file + 1, 0
+                size += own
+                files.append(file)
+            yield pa.RecordBatch.from_arrays([pa.array(files, pa.int32()), pa.array(tokens, pa.binary())], ["file", "tokens"])
 
-    text = F.col("text").cast("string")
-    longest = docs.agg(F.coalesce(F.max(F.octet_length(text)), F.lit(0))).first()[0]  # a word has a byte and, but for the last, a blank: no more bytes as tokens
-    rows = docs.select(F.col("doc_id").cast("long"), text).mapInArrow(run, "tokens binary")
-    most = max(1, FILE_BYTES // (longest + 2 * (KEY + 2)))
-    rows.select(F.col("tokens").cast("string").alias("value")).write.option("lineSep", "\0" * WIDTH).option("maxRecordsPerFile", most).option("compression", "none").text(path)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "file int, tokens binary")
+    rows.select("file", F.col("tokens").cast("string").alias("value")).write.partitionBy("file").option("lineSep", "\0" * WIDTH).option("compression", "none").text(path)
 
 
 def blocks(spark: SparkSession, path: str, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
     """(file, block, tokens, after): the files' bytes in blocks of `block` tokens, and the KEY tokens that follow each."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).filter("length > 0")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).filter("length > 0")
     step = width * block
     number = F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / step).cast("int")))
-    cells = files.select(F.regexp_extract("path", "[^/]*$", 0).alias("file"), "content", number.alias("block"))
+    cells = files.select(F.regexp_extract("path", "(file=[^/]*/)?[^/]*$", 0).alias("file"), "content", number.alias("block"))
     return cells.select("file", "block", F.expr(f"substring(content, block * {step} + 1, {step})").alias("tokens"), F.expr(f"substring(content, (block + 1) * {step} + 1, {width * KEY})").alias("after"))
 
 

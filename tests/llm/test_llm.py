@@ -310,6 +310,14 @@ def test_pieces_report(which, most, request, model, library):
     assert len({r.checksum for r in out if r.n_tokens}) == len({t for _, t in rows_of(df) if t})
 
 
+@pytest.mark.parametrize("counts, most", [([20_000] * 20, 5), ([20_000 + 900 * k for k in range(20)], 5), ([3] * 50 + [4] * 4, 6), ([3] * 50 + [4] * 4, 54), ([7], 0), ([], 3), ([1] * 3000 + [10**9, 9999, 10_000, 10_001], 100)])
+def test_known_words_have_a_bound(spark, counts, most):
+    spelt = spark.createDataFrame([(k, k * 7919 % 100_003, n) for k, n in enumerate(counts)], "a long, b long, n long")
+    known = [r.n for r in spelt.filter(pieces.known_words(spelt, most)).collect()]
+    assert min(most, len(counts)) * 0.8 <= len(known) <= most
+    assert not known or min(known) * 1.011 + 1 >= max([n for n in counts if n not in known] or [0])
+
+
 def test_keys_of_words(spark):
     texts = ["one two", " lead", "trail ", "a\nb c\n\nd", "a \n b", "a  b", "\n", " ", "x\0y \0z", "\0", "p\nq", "\u2581u\u2581v w"]
     df = spark.createDataFrame([(t,) for t in texts], "text string").select("text", pieces.words(F.col("text")).alias("w"))
@@ -470,19 +478,30 @@ def test_disclosure_clashing_names(spark):
 
 @pytest.mark.parametrize("block", [1 << 19, 1000, 7, 1])
 def test_token_scan(spark, odd, tmp_path, block, monkeypatch):
-    monkeypatch.setattr(token_scan, "FILE_BYTES", 40_000)
+    monkeypatch.setattr(token_scan, "FILE_BYTES", 2_000)
     path = str(tmp_path / "tokens")
     token_scan.write_tokens(odd.repartition(2), path)
-    files = list(Path(path).glob("part-*"))
-    assert len(files) > 2 and all(f.stat().st_size <= 40_000 for f in files)
+    files = list(Path(path).rglob("part-*"))
+    assert len(files) > 2 and all(f.stat().st_size <= 2_000 for f in files)
     out = token_scan.scan(spark, path, block=block, keyed=True).collect()
     for f in files:
         ends = np.flatnonzero(np.fromfile(f, "<u2") == 0)
         starts = np.append(0, ends[:-1] + 1)[: len(ends)]
-        assert sorted((r.document, r.start, r.n_tokens) for r in out if r.file == f.name) == [(i, s, e - s - token_scan.KEY) for i, (s, e) in enumerate(zip(starts, ends, strict=True))]
+        assert sorted((r.document, r.start, r.n_tokens) for r in out if r.file == f"{f.parent.name}/{f.name}") == [(i, s, e - s - token_scan.KEY) for i, (s, e) in enumerate(zip(starts, ends, strict=True))]
     assert collections.Counter((r.doc_id, r.n_tokens) for r in out) == collections.Counter((i, len((t or "").encode().split())) for i, t in helpers.AWKWARD)
 
 
+def test_a_long_text_shares_a_file(spark, tmp_path, monkeypatch):
+    """One long text among 500 short ones doesn't split all files; one beyond FILE_BYTES has a file of its own."""
+    monkeypatch.setattr(token_scan, "FILE_BYTES", 1 << 20)
+    rows = [(k, "word " * (200_000 if k == 250 else 700_000 if k == 400 else 5)) for k in range(501)]
+    path = str(tmp_path / "tokens")
+    token_scan.write_tokens(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), path)
+    assert len(list(Path(path).rglob("part-*"))) == 3
+    out = token_scan.scan(spark, path, keyed=True).collect()
+    assert sorted((r.doc_id, r.n_tokens, r.ended) for r in out) == [(k, t.count(" "), True) for k, t in rows]
+
+
 @pytest.mark.parametrize("which", ["docs", "odd", "empty"])
 def test_token_counts(which, request):
     df = request.getfixturevalue(which)
