@@ -22,13 +22,16 @@ SUMMARY = "struct<title:string,subject:string,author:string,app_name:string,mana
 SECTION = "struct<char_pos:bigint,new_page:boolean>"
 HEADER = "struct<section:int,kind:string,text:string>"
 SCHEMA = f"path string, guess int, version int, old_mac boolean, fast_saved boolean, error_code string, error_msg string, paragraphs array<{PARAGRAPH}>, pieces array<{PIECE}>, summary {SUMMARY}, sections array<{SECTION}>, headers array<{HEADER}>"
-#: Larger files aren't loaded: a row can't hold them.
+#: Larger files aren't loaded, since a row can't hold them; they are rows with an error.
 MOST_BYTES = 1 << 30
 
 
 def files(spark: SparkSession, path: str, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """(path, length, content) of all files under a path; the size limit is pushed to the listing."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter(F.col("length") <= most_bytes).select("path", "length", "content")
+    """(path, length, content) of all files under a path.  The content of larger files than `most_bytes` is null and isn't read: the size is
+    known from the listing; `parsed` makes error rows of them."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    small = found.filter(F.col("length") <= most_bytes).select("path", "length", "content")
+    return small.unionByName(found.filter(F.col("length") > most_bytes).select("path", "length", F.lit(None).cast("binary").alias("content")))
 
 
 def stream_files(spark: SparkSession, path: str) -> DataFrame:
@@ -43,11 +46,13 @@ def parsed(rows: DataFrame, show_hidden: bool = False, show_removed: bool = Fals
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow_schema()
         for b in batches:
-            for path, content in zip(*b.columns, strict=True):
-                row = asdict(parser.parse(content.as_py(), show_hidden, show_removed, text_compat)) | {"path": path.as_py()}
+            for path, content, unread in zip(*b.columns, strict=True):
+                found = parser.Parsed(error_code="too_large", error_msg="the file is larger than a row can be") if unread.as_py() else parser.parse(content.as_py(), show_hidden, show_removed, text_compat)
+                row = asdict(found) | {"path": path.as_py()}
                 yield pa.RecordBatch.from_pylist([row], schema)
 
-    return rows.select(F.col("path").cast("string"), F.col("content").cast("binary")).mapInArrow(run, SCHEMA)
+    unread = F.col("content").isNull() & (F.col("length") > 0) if "length" in rows.columns else F.lit(False)
+    return rows.select(F.col("path").cast("string"), F.col("content").cast("binary"), unread.alias("unread")).mapInArrow(run, SCHEMA)
 
 
 def arrow_schema() -> pa.Schema:

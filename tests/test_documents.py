@@ -268,3 +268,13 @@ def test_text_compat():
 def test_capitals():
     raw = word8([("stra\xdfe \xff\r".encode("cp1252"), False)], [9], characters=[(0, 9, sprm(0x083B, 1))])
     assert lines(parse.parse(raw)) == ["STRA\xdfE \xff"]
+
+
+def test_files_above_the_limit(spark, tmp_path):
+    """They are rows with an error, and their bytes aren't read."""
+    (tmp_path / "small.doc").write_bytes(dos(b"small\r"))
+    (tmp_path / "large.doc").write_bytes(dos(b"large " * 500 + b"\r"))
+    found = documents.files(spark, str(tmp_path), 2000)
+    assert {r.path[-9:]: r.content is None for r in found.collect()} == {"small.doc": False, "large.doc": True}
+    codes = {r.path[-9:]: r.error_code for r in documents.metadata(documents.parsed(found)).collect()}
+    assert codes == {"small.doc": None, "large.doc": "too_large"}
