@@ -123,14 +123,14 @@ class Open:
         }
 
 
-def token_blocks(docs: DataFrame, word: np.ndarray, lead: int = 0, hashed: bool = False) -> DataFrame:
+def token_blocks(docs: DataFrame, word: np.ndarray, lead: int = 0, hashed: bool = False, block: int | None = None) -> DataFrame:
     """Blocks of docs(doc_id long, text string, class int); a block's documents are of one class.
 
     `rows` numbers the documents of all blocks; `words` holds the distinct words, `counts` how often each occurs; if hashed,
     `words` holds their 64-bit hashes alone.
     """
     schema = SCHEMA.format(words="binary" if hashed else "array<string>")
-    block, empty = BLOCK, pa.array([], pa.string())
+    block, empty = block or BLOCK, pa.array([], pa.string())
     kinds = {"block": pa.int64(), "class": pa.int32(), "rows": pa.list_(pa.int64()), "doc_ids": pa.list_(pa.int64()), "sizes": pa.list_(pa.int32()), "before": pa.int64(), "lead": pa.int32(), "ended": pa.bool_(), "n_words": pa.int64(), "words": pa.binary() if hashed else pa.list_(pa.string()), "counts": pa.list_(pa.int32()), "ids": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

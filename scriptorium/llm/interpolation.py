@@ -32,6 +32,8 @@ from scriptorium.llm.common import written
 #: Documents with this remainder modulo FOLDS are held out; one in DELETED of the others teaches the weights.
 FOLDS, HELD_OUT, DELETED = 7, 2, 10
 ORDER = 3
+#: Words of a block: a task holds several arrays of as many numbers.
+BLOCK = 1 << 19
 #: N-grams an owner holds, about.
 OWNED = 1 << 22
 #: Expectation-maximisation ends when the mean log-likelihood gains less, or after so many rounds.
@@ -116,8 +118,8 @@ def small(numbers: np.ndarray) -> tuple[bytes, int]:
     return blocks.packed(numbers.astype(np.uint64), width), width
 
 
-def asked(tokens: DataFrame, bits: int) -> DataFrame:
-    """(n_gram, owner, of, class, n, keys, counts, width): each block's distinct n-grams by owner."""
+def asked(tokens: DataFrame, bits: int, orders: tuple[int, ...]) -> DataFrame:
+    """(n_gram, owner, of, class, n, keys, counts, width): each block's distinct n-grams of some lengths, by owner."""
     schema = "n_gram int, owner int, of long, class int, n int, keys binary, counts binary, width int"
     kinds = pa.schema([("n_gram", pa.int32()), ("owner", pa.int32()), ("of", pa.int64()), ("class", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("width", pa.int32())])
 
@@ -125,7 +127,7 @@ def asked(tokens: DataFrame, bits: int) -> DataFrame:
         for b in batches:
             for t in b.to_pylist():
                 own, out = Tokens(t, bits), []
-                for order in range(ORDER):
+                for order in orders:
                     keys, counts, _ = own.distinct(order)
                     for owner, a, z in owned(keys, order, bits):
                         data, width = small(counts[a:z])
@@ -267,14 +269,15 @@ def learned(events: DataFrame, parts: int = 4, classes: int = 128) -> np.ndarray
 def scored(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tokens = written(blocks.token_blocks(rows.withColumn("class", class_of(F.col("doc_id"))), blocks.spaced(), lead=ORDER - 1, hashed=True), "tokens")
+    tokens = written(blocks.token_blocks(rows.withColumn("class", class_of(F.col("doc_id"))), blocks.spaced(), lead=ORDER - 1, hashed=True, block=BLOCK), "tokens")
     ends = F.size("rows") - F.when(F.col("ended"), 0).otherwise(1)
     words = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)
     sizes = {r["class"]: (r.n, r.texts) for r in tokens.groupBy("class").agg(F.sum(words + ends).alias("n"), F.sum(ends).alias("texts")).collect()}  # three rows
     n_kept, texts_kept = sizes.get(KEPT, (0, 0))
     n, texts = (x + y for x, y in zip(sizes.get(KEPT, (0, 0)), sizes.get(DROPPED, (0, 0)), strict=True))
     bits = max(0, math.ceil(math.log2(max(1, sum(x for x, _ in sizes.values())) / OWNED)))
-    answers = written(answered(asked(tokens, bits)), "answers")
+    # in two steps, of which the first one's shuffle files are gone when the second begins
+    answers = written(answered(asked(tokens, bits, (0, 1))), "answers").unionByName(written(answered(asked(tokens, bits, (2,))), "answers"))
     vocabulary = answers.filter("of = -1 AND n_gram = 0").agg(F.sum("n").alias("n"), F.sum("n_kept").alias("kept")).first()
     v, v_kept = vocabulary.n or 0, vocabulary.kept or 0
     events = written(deleted_tokens(tokens, answers, bits, n_kept, texts_kept, v_kept), "deleted")

@@ -86,7 +86,7 @@ def same(got, want):
 @pytest.mark.parametrize("block, owned", [(1 << 20, 1 << 22), (300, 200), (40, 1 << 22)])
 @pytest.mark.parametrize("which", ["docs", "odd", "empty", "untrained"])
 def test_scores(spark, monkeypatch, which, block, owned):
-    monkeypatch.setattr(blocks, "BLOCK", block)
+    monkeypatch.setattr(interpolation, "BLOCK", block)
     monkeypatch.setattr(blocks, "PIECE", 1 << 22 if block > 300 else 150)
     monkeypatch.setattr(interpolation, "OWNED", owned)
     rows = {"docs": [], "odd": helpers.AWKWARD, "empty": [], "untrained": [(2, "a b a"), (7, None)]}[which]
