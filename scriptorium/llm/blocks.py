@@ -19,6 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.llm.common import dealt
+
 #: Words from which a block is closed, and bytes of text that are looked at at once.
 BLOCK, PIECE = 1 << 20, 1 << 20
 #: Lower-case A-Z; all other bytes stay.
@@ -169,7 +171,7 @@ def token_blocks(docs: DataFrame, word: np.ndarray, lead: int = 0, hashed: bool
             if opened[kind].rows:
                 yield close(kind, True, empty, 0)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("class").cast("int")).mapInArrow(run, schema)
+    return dealt(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("class").cast("int"))).mapInArrow(run, schema)
 
 
 def by_row(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:

@@ -82,5 +82,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def dealt(docs: DataFrame) -> DataFrame:
+    """Rows for a costly step: an input of fewer parts than there are cores, such as one small file, is dealt to all; others stay where they lie."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def n_chars(docs: DataFrame) -> Column:
     return F.length(F.coalesce(docs["text"].cast("string"), F.lit(""))).cast(docs.schema["n_chars"].dataType)

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.llm.common import dealt
+
 EXPONENT, LEAST = 4, 6
 #: Cuts by rare words go so many levels deep; what is left then goes to the automaton as it is.
 LEVELS = 12
@@ -207,7 +209,7 @@ def collapsed(docs: DataFrame, exponent: int = EXPONENT, least: int = LEAST, pre
                 texts.append(b" ".join(kept_words(words, runs)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, kind), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "runs", "text"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return dealt(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(run, schema)
 
 
 def repeated(doc_id: int | None, words: list[bytes]) -> list[bytes]:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import written
+from scriptorium.llm.common import dealt, written
 
 FIT_ROWS = 20_000
 #: A toxic word is in at least so many of the rows with the label, its share there is RATIO times that in the others, and its
@@ -48,6 +48,7 @@ READ, FURTHER, SKIP, REPEAT, TWICE, END = -1.0, -0.3, -0.5, -0.7, -6.0, -0.3
 EDGE = ".,;:?\"')[]{}<>«»“”…~=^-_/\\"
 _SIGNS = re.escape("".join(READINGS).replace("*", ""))
 SPACED = re.compile(rf"(?<!\S)(?:[^\W\d_]|[{_SIGNS}])(?:[\s.\-_*]{{1,2}}(?:[^\W\d_]|[{_SIGNS}])){{2,}}(?=[\s.,;:?!]|$)")
+BLANK = re.compile(r"\s")
 TWO = re.compile(r"([^\W\d_])\1")
 #: Readings that a worker keeps.
 KEPT = 500_000
@@ -97,13 +98,17 @@ def letter_counts(docs: DataFrame) -> DataFrame:
         for b in batches:
             for t in b.column(0):
                 text = (t.as_py() or "").lower()
-                for k in range(0, len(text), STEP):  # longer texts are cut: a word there counts as two
-                    if len(g := grams_of(text[k : k + STEP])):
+                k = 0
+                while k < len(text):  # longer texts are cut between words
+                    cut = BLANK.search(text, k + STEP) if len(text) - k > STEP else None
+                    end = cut.start() if cut else len(text)
+                    if len(g := grams_of(text[k:end])):
                         parts.append(g)
                         n += len(g)
                     if n >= STEP:
                         add(parts)
                         parts, n = [], 0
+                    k = end
         if parts:
             add(parts)
         yield pa.RecordBatch.from_arrays([pa.array(codes.astype(np.int64)), pa.array(counts)], ["gram", "n"])
@@ -131,21 +136,30 @@ class Letters:
         at, whole = np.unique(context, return_inverse=True)
         total, kinds = np.bincount(whole, counts, len(at)), np.bincount(whole, minlength=len(at))
         lower = p.reshape(-1)[short]
-        self.grams, self.seen = grams, np.log((counts + kinds[whole] * lower) / (total + kinds)[whole]).astype(np.float32) if len(grams) else np.zeros(0, np.float32)
+        self.grams, self.seen = grams.astype(np.int32), np.log((counts + kinds[whole] * lower) / (total + kinds)[whole]).astype(np.float32) if len(grams) else np.zeros(0, np.float32)
         self.contexts, self.less = at, np.log(kinds / (total + kinds)).astype(np.float32)
         self.key = xxhash.xxh64_hexdigest(self.grams.tobytes() + counts.tobytes())
-        self._known = None
+        self._table = None
+
+    @property
+    def table(self) -> memoryview:
+        """The log probability of each n-gram's last letter: LETTERS ** ORDER floats, put together once in each task."""
+        if self._table is None:
+            less = np.zeros(LETTERS ** (ORDER - 1), np.float32)
+            less[self.contexts] = self.less
+            whole = np.tile(self.base.reshape(-1, LETTERS), (LETTERS, 1))  # by the letters before but for the first
+            whole += less[:, None]
+            whole = whole.reshape(-1)
+            whole[self.grams] = self.seen
+            self._table = memoryview(whole)
+        return self._table
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_table": None}
 
     def of(self, context: int, letter: int) -> float:
         """The log probability of a letter after the code of the ORDER - 1 before it."""
-        if self._known is None:  # once in each worker
-            self._known = dict(zip(self.grams.tolist(), self.seen.tolist(), strict=True))
-            self._less = dict(zip(self.contexts.tolist(), self.less.tolist(), strict=True))
-        code = context * LETTERS + letter
-        p = self._known.get(code)
-        if p is None:
-            p = self._known[code] = self._less.get(context, 0.0) + float(self.base[code % LETTERS ** (ORDER - 1)])
-        return p
+        return self.table[context * LETTERS + letter]
 
 
 def letter_model(docs: DataFrame) -> Letters:
@@ -190,36 +204,42 @@ def lattice(token: str) -> list[tuple[list[tuple[str, int, float]], float | None
 
 
 def decode_one(token: str, model: Letters) -> str:
-    states: dict[int, tuple[float, str]] = {0: (0.0, "")}
-    of, low = model.of, LETTERS ** (ORDER - 2)
+    """The most likely reading.  A state keeps its last letter and the way to it, so that a long token takes linear time and room."""
+    states: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
+    table, low = model.table, LETTERS ** (ORDER - 2)
     for readings, skip in lattice(token):
         if skip is None:
-            now: dict[int, tuple[float, str]] = {}
+            now: dict[int, tuple[float, tuple | None]] = {}
         elif readings:
-            now = {context: (score + skip, word) for context, (score, word) in states.items()}
+            now = {context: (score + skip, way) for context, (score, way) in states.items()}
         else:  # costs all states the same
             continue
-        for context, (score, word) in states.items():
-            to = (context % low) * LETTERS
+        for context, (score, way) in states.items():
+            to, at = (context % low) * LETTERS, context * LETTERS
             for letter, symbol, cost in readings:
-                s = score + cost + of(context, symbol)
+                s = score + cost + table[at + symbol]
                 if to + symbol not in now or s > now[to + symbol][0]:
-                    now[to + symbol] = (s, word + letter)
+                    now[to + symbol] = (s, (letter, way))
         states = now
-    return max(((score + of(context, 0), word) for context, (score, word) in states.items()), key=lambda x: x[0])[1]
+    way = max(((score + table[context * LETTERS], way) for context, (score, way) in states.items()), key=lambda x: x[0])[1]
+    letters = []
+    while way:
+        letter, way = way
+        letters.append(letter)
+    return "".join(reversed(letters))
 
 
 def halved(word: str, k: int, model: Letters) -> bool:
     """Whether decode_one reads the only two equal letters running of a plain word, at k and k + 1, as one: its lattice has two paths."""
-    low, of = LETTERS ** (ORDER - 2), model.of
+    low, table = LETTERS ** (ORDER - 2), model.table
     symbols = [ord(c) - 96 if "a" <= c <= "z" else 27 for c in word]
     twice = 0
     for x in symbols[max(0, k + 2 - ORDER) : k + 1]:
         twice = (twice % low) * LETTERS + x
-    once, gain = twice, TWICE - of(twice, symbols[k])
+    once, gain = twice, TWICE - table[twice * LETTERS + symbols[k]]
     twice = (twice % low) * LETTERS + symbols[k]
     for x in [*symbols[k + 2 :], 0]:
-        gain += of(once, x) - of(twice, x)
+        gain += table[once * LETTERS + x] - table[twice * LETTERS + x]
         once, twice = (once % low) * LETTERS + x, (twice % low) * LETTERS + x
         if once == twice:  # from here on the paths are the same
             break
@@ -370,6 +390,7 @@ def weight(toxic: int, clean: int, n_toxic: int, n_clean: int) -> float:
 
 def scored(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted, and toxic_words (comma-joined) of each row."""
+    docs = dealt(docs)
     model = letter_model(docs)
     weights, b = learn(docs, labels, model, fit_rows)
 

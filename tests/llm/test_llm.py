@@ -6,6 +6,7 @@ import itertools
 import math
 import re
 import sys
+import time
 import zlib
 from pathlib import Path
 
@@ -248,6 +249,32 @@ def test_viterbi_against_all_readings(letters):
         assert abs(scores[toxicity.decode([token], letters)[0]] - max(scores.values())) < 1e-4
 
 
+def test_long_texts_are_cut_between_words(docs, monkeypatch):
+    whole = {r.gram: r.n for r in toxicity.letter_counts(docs).collect()}
+    monkeypatch.setattr(toxicity, "STEP", 40)
+    assert {r.gram: r.n for r in toxicity.letter_counts(docs).collect()} == whole
+
+
+def test_long_tokens_take_linear_time(letters):
+    times = []
+    for n in (10_000, 80_000):
+        began = time.process_time()
+        out = toxicity.decode_one("0*1" * (n // 3), letters)
+        times.append(time.process_time() - began)
+        assert len(out) >= n // 3
+    assert times[1] < 8 * 2.5 * max(times[0], 0.05)
+
+
+def test_table_is_what_its_parts_say(letters):
+    rng = np.random.default_rng(5)
+    seen = dict(zip(letters.grams.tolist(), letters.seen.tolist()))
+    less = dict(zip(letters.contexts.tolist(), letters.less.tolist()))
+    for code in [*rng.integers(0, toxicity.LETTERS**toxicity.ORDER, 500).tolist(), *letters.grams[:200].tolist()]:
+        context, letter = divmod(code, toxicity.LETTERS)
+        p = seen.get(code, less.get(context, 0.0) + float(letters.base[code % toxicity.LETTERS ** (toxicity.ORDER - 1)]))
+        assert abs(letters.of(context, letter) - p) < 1e-5
+
+
 def test_doubled_letters(docs, letters):
     """The shortcut for words of one doubled letter reads as the decode does."""
     words = {w for _, t in rows_of(docs) for w in (t or "").lower().split() if w.isalpha() and toxicity.TWO.search(w)} | {"iddiot", "clowwn", "stuupid", "aa", "baa", "aab", "éé", "moronn", "llooser", "aaa"}
