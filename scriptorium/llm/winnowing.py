@@ -4,7 +4,7 @@ A text's characters above U+0020, with A-Z lower-cased, form k-grams, whose hash
 step.  Of each window of W consecutive hashes the least is chosen, of equal ones the rightmost.  So any passage of at least
 K + W - 1 such characters that two texts share gives both a common hash.  The place of a chosen k-gram in the original text is
 kept: a fingerprint is a row of 16 hex digits for each choice, eight for the place (code points) and eight for the hash.
-Likeness is the Jaccard index of the chosen hashes.
+Likeness is the Jaccard index of the hashes in the fingerprints.
 
 Defined results: a text of fewer than K such characters is one k-gram as long as it is; a text without any has an empty
 fingerprint, of likeness 1 to another empty one and 0 to others; null is empty; documents of one doc_id follow one another by
@@ -128,7 +128,7 @@ def report(docs: DataFrame) -> DataFrame:
 
     def measured(text: str) -> tuple[str, str, np.ndarray]:
         found = winnow(text)
-        return text, printed(found), np.unique(found[1])
+        return text, printed(found), np.unique(found[1] >> np.uint64(8))  # as printed
 
     def row(doc_id: int | None, own: tuple, after: tuple) -> tuple:
         text = own[0]
