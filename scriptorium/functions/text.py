@@ -7,19 +7,17 @@ from pyspark.sql import functions as F
 
 #: Characters that never reach the output.
 IGNORED = "\x00\x03\x04\x05\x08\x0a\x1f‧"
-#: Characters shown as US-ASCII in 8-bit output, then what each becomes.
-LOOK_FROM = (
-    "ƒΧυˆ↑˜∼           ░▒▓"
-    "“”„‟″‘’‚‛′‐‑‒–—―−─═‖│║‗†‡"
-    "․‥«‣‹←»›→‿∑€○□№K↓⁄∕∗∶■"
-    "•∙♣"
-)
-LOOK_TO = "fXv^^~~              \"\"\"\"\"'''''---------|||_+#..<<<<>>>-SEOONKv//*:+..."
-#: Box-drawing corners and crossings become a plus sign.
-CORNERS = "┌┐└┘├┤┬┴┼╔╗╚╝╠╣╦╩╬"
-#: Characters without a width or a likeness, dropped in 8-bit output.
-DROPPED = " ​‌‍‎‏‪‫‬‭‮﻿™"
-ELLIPSIS = "…"
+#: Characters and what shows for them as US-ASCII in 8-bit output; empty: nothing does.
+LOOKALIKES = {
+    "«": "<", "»": ">", "ƒ": "f", "ˆ": "^", "˜": "~", "Χ": "X", "υ": "v", "\u2000": " ", "\u2001": " ", "\u2002": " ", "\u2003": " ", "\u2004": " ", "\u2005": " ", "\u2006": " ",
+    "\u2007": " ", "\u2008": " ", "\u2009": " ", "\u200a": "", "\u200b": "", "\u200c": "", "\u200d": "", "\u200e": "", "\u200f": "", "‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "-",
+    "―": "-", "‖": "|", "‗": "_", "‘": "'", "’": "'", "‚": "'", "‛": "'", "“": '"', "”": '"', "„": '"', "‟": '"', "†": "+", "‡": "#", "•": ".",
+    "‣": "<", "․": ".", "‥": ".", "…": "...", "\u202a": "", "\u202b": "", "\u202c": "", "\u202d": "", "\u202e": "", "\u202f": " ", "′": "'", "″": '"', "‹": "<", "›": ">",
+    "‿": "-", "⁄": "/", "€": "E", "№": "N", "™": "", "K": "K", "←": "<", "↑": "^", "→": ">", "↓": "v", "∑": "S", "−": "-", "∕": "/", "∗": "*",
+    "∙": ".", "∶": ":", "∼": "~", "─": "-", "│": "|", "┌": "+", "┐": "+", "└": "+", "┘": "+", "├": "+", "┤": "+", "┬": "+", "┴": "+", "┼": "+",
+    "═": "-", "║": "|", "╔": "+", "╗": "+", "╚": "+", "╝": "+", "╠": "+", "╣": "+", "╦": "+", "╩": "+", "╬": "+", "░": " ", "▒": " ", "▓": " ",
+    "■": "+", "□": "O", "○": "O", "♣": ".", "\ufeff": "",
+}
 #: First and last characters that take two columns.
 WIDE_RANGES = (
     (0x1100, 0x115F), (0x2E80, 0x3009), (0x300C, 0x3019), (0x301C, 0x303E), (0x3040, 0xA4CF), (0xAC00, 0xD7A3),
@@ -58,8 +56,14 @@ def strip_ignored(text: Column) -> Column:
 
 
 def lookalikes(text: Column) -> Column:
-    """Typographic characters as US-ASCII; an ellipsis is three dots."""
-    return F.replace(F.translate(text, LOOK_FROM + CORNERS + DROPPED, LOOK_TO + "+" * len(CORNERS)), F.lit(ELLIPSIS), F.lit("..."))
+    """Typographic characters as US-ASCII, an ellipsis as three dots."""
+    single = {c: x for c, x in LOOKALIKES.items() if len(x) == 1}
+    gone = "".join(c for c, x in LOOKALIKES.items() if not x)
+    out = F.translate(text, "".join(single) + gone, "".join(single.values()))
+    for c, x in LOOKALIKES.items():
+        if len(x) > 1:
+            out = F.replace(out, F.lit(c), F.lit(x))
+    return out
 
 
 def upper(text: Column) -> Column:

@@ -15,6 +15,11 @@ add = catalog.add
 HEADS = ["31be000000ab", "dba52d00", "9ba52100", "fe37001c0000", "fe3700230000", "d0cf11e0a1b11ae1", "7b5c72746631", "ff575043", "00112233"]
 
 
+#: The look-alikes of one character and then those that go, and what they become, for SQL's translate().
+LOOK_FROM = "".join(c for c, x in text.LOOKALIKES.items() if len(x) == 1) + "".join(c for c, x in text.LOOKALIKES.items() if not x)
+LOOK_TO = "".join(x for x in text.LOOKALIKES.values() if len(x) == 1).replace("'", "''")
+
+
 @add("F1_classify_magic", f"""
 SELECT doc_id, CASE WHEN size >= 128 AND h = '31be000000ab' THEN 0 WHEN size >= 384 AND h IN ('9ba52100', 'dba52d00') THEN 2
   WHEN h IN ('fe37001c0000', 'fe3700230000') THEN 5 WHEN h = 'd0cf11e0a1b11ae1' AND size >= 1536 AND (size % 512 = 0 OR (size % 512 IN (1, 2) AND size % 3 <> size % 512)) THEN 6 ELSE -1 END AS guess,
@@ -88,7 +93,7 @@ def negative_widths(table):
 
 
 @add("C3_ascii_lookalikes", f"""
-SELECT doc_id, replace(translate(t, '{text.LOOK_FROM}{text.CORNERS}{text.DROPPED}', '{text.LOOK_TO.replace("'", "''")}{"+" * len(text.CORNERS)}'), '{text.ELLIPSIS}', '...') AS text
+SELECT doc_id, replace(translate(t, '{LOOK_FROM}', '{LOOK_TO}'), '…', '...') AS text
 FROM (SELECT doc_id, replace(replace(replace(text, 'the', '‘th’e'), 'e.', 'e…'), 'nd', 'n–d┌') AS t FROM documents)""")
 def ascii_lookalikes(table):
     t = F.replace(F.replace(F.replace("text", F.lit("the"), F.lit("‘th’e")), F.lit("e."), F.lit("e…")), F.lit("nd"), F.lit("n–d┌"))

@@ -9,9 +9,13 @@ from dataclasses import dataclass, field, replace
 from functools import cache
 
 from scriptorium.functions import codepages
+from scriptorium.functions.binary import COUNTED6 as COUNTED
+from scriptorium.functions.binary import FIVE, FOUR, THREE, TWELVE, TWO
+from scriptorium.functions.binary import TABS6 as TABS
 from scriptorium.functions.text import UPPER
 from scriptorium.sources import tables8
 from scriptorium.sources.container import Container, Damaged
+from scriptorium.sources.tables8 import BULLET, PAUSE, SEQUENCE, UNNUMBERED, list_mark
 
 LISTS = ("text", "footnote", "hdrftr", "macro", "annotation", "endnote", "textbox", "hdrtextbox")
 #: Lists that are printed, in order.
@@ -25,6 +29,7 @@ HEADER_BITS6, DOCUMENT_BITS6 = {7: "hdr_even", 6: "hdr_odd", 5: "ftr_even", 4: "
 BREAK6, HEADERS6 = 142, 153
 #: Twips that a heading has before and after it at least.
 HEADING_GAP = 120
+#: Identifiers of files whose text has two bytes a character.
 FAR_EAST = (0x8098, 0x8099, 0xA697, 0xA699)
 #: Stands for characters that don't show, so that the others keep their places.
 GONE = "\0"
@@ -168,15 +173,7 @@ def steps8(raw: bytes):
         at += size
 
 
-#: Bytes that follow an opcode of versions 6 and 7.  Those not named have one.
-TWO = (2, 16, 17, 18, 19, 21, 22, 26, 27, 28, 30, 31, 32, 33, 34, 35, 36, 38, 39, 40, 41, 42, 43, 45, 46, 47, 48, 49, 69, 72, 80, 93, 96, 97, 99, 101, 105, 106, 107, 109, 110, 121, 122, 123, 124,
-       140, 141, 144, 145, 148, 149, 154, 155, 156, 157, 160, 161, 164, 165, 166, 167, 168, 169, 170, 171, 182, 183, 184, 189, 195, 197, 198)
-THREE = (73, 95, 136, 137)
-FOUR = (20, 70, 74, 192, 194, 196, 200)
-FIVE = (68, 193, 199)
-TWELVE = (120, 187)
-#: The next byte says how many follow it; of 23 it is 255 if counts of tabs say so.
-COUNTED, TABS = (3, 12, 15, 81, 103, 108, 188, 190, 191), 23
+#: Bytes that follow an opcode of versions 6 and 7; those not named have one.
 OPERANDS6 = {op: n for n, ops in ((2, TWO), (3, THREE), (4, FOUR), (5, FIVE), (12, TWELVE)) for op in ops}
 
 
@@ -206,17 +203,6 @@ def signed(x: int) -> int:
 #: What paragraph opcodes of version 8 and of versions 6 and 7 set.
 PARAGRAPH8 = {0x2403: "alignment", 0x260A: "level", 0x460B: "list_index", 0x840E: "right", 0x840F: "left", 0x4610: "nest", 0xA413: "before", 0xA414: "after", 0x2416: "in_table", 0x2417: "row_end", 0x244B: "in_table", 0x244C: "row_end", 0xD608: "widths"}
 PARAGRAPH6 = {5: "alignment", 12: "number", 13: "old_level", 16: "right", 17: "left", 18: "nest", 21: "before", 22: "after", 24: "in_table", 25: "row_end", 190: "widths"}
-#: The number format of bullets, those without a number, and the level bytes of lists that go on and that pause.
-BULLET, UNNUMBERED, SEQUENCE, PAUSE = 23, (8, 23, 255), 11, 12
-#: Symbol-font codes of list marks as Unicode.
-MARKS = {
-    0x0000: "\u2022", 0x0096: "\u2013", 0x00A8: "\u2666", 0x00B7: "\u2022", 0x00DE: "\u21d2", 0x00E0: "\u25ca", 0x00E1: "\u2329", 0x00FE: "\u2022",
-    0xF020: " ", 0xF021: "\u2022", 0xF02D: "\u2013", 0xF041: "\u270c", 0xF043: "\u2022", 0xF066: "\u03d5", 0xF06C: "\u2022", 0xF06E: "\u25a0",
-    0xF06F: "\u25a1", 0xF070: "\u25a1", 0xF071: "\u2751", 0xF074: "\u25ca", 0xF075: "\u25c6", 0xF076: "\u2756", 0xF077: "\u25c6", 0xF093: "\u2022",
-    0xF0A7: "\u25aa", 0xF0A8: "\u25a1", 0xF0B7: "\u2022", 0xF0D8: "\u27a2", 0xF0E5: "\u2199", 0xF0F0: "\u21e8", 0xF0FC: "\u2713",
-}
-
-
 def old_number(run: Run, body: bytes) -> None:
     """The number description of versions 6 and 7: format, length of the text before, start and mark; short ones leave the rest as it is."""
     if body:
@@ -259,6 +245,7 @@ def paragraph_run(istd: int, raw: bytes, ver: int, run: Run | None = None) -> Ru
     return run
 
 
+#: Opcodes of version 8, and of versions 6 and 7, that switch a property of characters.
 TOGGLES8 = {0x0835: BOLD, 0x0836: ITALIC, 0x0837: STRIKE, 0x083A: SMALL_CAPS, 0x083B: CAPITALS, 0x083C: HIDDEN, 0x0800: DELETED}
 TOGGLES6 = {85: BOLD, 86: ITALIC, 87: STRIKE, 90: SMALL_CAPS, 91: CAPITALS, 92: HIDDEN, 65: DELETED}
 
@@ -409,16 +396,6 @@ class Assembler:
         self.began = self.here
 
 
-def list_mark(nfc: int, code: int) -> str:
-    """The mark after a list's number, or its bullet."""
-    if 0x20 <= code < 0x7F:
-        return chr(code)
-    if nfc not in UNNUMBERED:
-        return "."
-    unknown = 0xE000 <= code < 0xF900 or code < 0x80
-    return MARKS.get(code) or ("\u2022" if nfc == BULLET else "\u2190") * unknown or chr(code)
-
-
 def small_roman(n: int) -> str:
     out, n = "", n % 4000
     for value, sign in ((1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):

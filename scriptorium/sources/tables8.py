@@ -17,6 +17,27 @@ def u32(raw: bytes, at: int) -> int:
     return struct.unpack_from("<I", raw, at)[0] if len(raw) >= at + 4 else 0
 
 
+#: The number format of bullets, those without a number, and the level bytes of lists that go on and that pause.
+BULLET, UNNUMBERED, SEQUENCE, PAUSE = 23, (8, 23, 255), 11, 12
+#: Symbol-font codes of list marks as Unicode.
+MARKS = {
+    0x0000: "\u2022", 0x0096: "\u2013", 0x00A8: "\u2666", 0x00B7: "\u2022", 0x00DE: "\u21d2", 0x00E0: "\u25ca", 0x00E1: "\u2329", 0x00FE: "\u2022",
+    0xF020: " ", 0xF021: "\u2022", 0xF02D: "\u2013", 0xF041: "\u270c", 0xF043: "\u2022", 0xF066: "\u03d5", 0xF06C: "\u2022", 0xF06E: "\u25a0",
+    0xF06F: "\u25a1", 0xF070: "\u25a1", 0xF071: "\u2751", 0xF074: "\u25ca", 0xF075: "\u25c6", 0xF076: "\u2756", 0xF077: "\u25c6", 0xF093: "\u2022",
+    0xF0A7: "\u25aa", 0xF0A8: "\u25a1", 0xF0B7: "\u2022", 0xF0D8: "\u27a2", 0xF0E5: "\u2199", 0xF0F0: "\u21e8", 0xF0FC: "\u2713",
+}
+
+
+def list_mark(nfc: int, code: int) -> str:
+    """The mark after a list's number, or its bullet."""
+    if 0x20 <= code < 0x7F:
+        return chr(code)
+    if nfc not in UNNUMBERED:
+        return "."
+    unknown = 0xE000 <= code < 0xF900 or code < 0x80
+    return MARKS.get(code) or ("\u2022" if nfc == BULLET else "\u2190") * unknown or chr(code)
+
+
 @dataclass(frozen=True)
 class Style:
     """A style as stored: what it is based on, and its property lists."""
@@ -109,11 +130,9 @@ def list_levels(table: bytes, at: int, n: int) -> dict[tuple[int, int], Level]:
                 last = b
             mark = found.mark
             if text and found.nfc in (0x17, 0xFF):
-                mark = text[:2].decode("utf-16-le", "replace")
-                mark = mark if "!" <= mark <= "~" else "•"
+                mark = list_mark(found.nfc, u16(text, 0))
             elif last and 2 * last < len(text):
-                mark = text[2 * last : 2 * last + 2].decode("utf-16-le", "replace")
-                mark = mark if "!" <= mark <= "~" else "."
+                mark = list_mark(found.nfc, u16(text, 2 * last))
             out[u32(own, 0), level] = replace(found, mark=mark, left=left)
     return out
 

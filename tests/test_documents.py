@@ -6,7 +6,7 @@ import xml.etree.ElementTree as ET
 import pytest
 from files import container, dos, mac, summary, win, word6, word8
 
-from scriptorium.sources import documents, parse
+from scriptorium.sources import documents, parse, tables8
 
 
 def lines(p):
@@ -278,3 +278,9 @@ def test_files_above_the_limit(spark, tmp_path):
     assert {r.path[-9:]: r.content is None for r in found.collect()} == {"small.doc": False, "large.doc": True}
     codes = {r.path[-9:]: r.error_code for r in documents.metadata(documents.parsed(found)).collect()}
     assert codes == {"small.doc": None, "large.doc": "too_large"}
+
+
+def test_list_marks():
+    """Bullets by the symbol table, also those of version 8; other marks beyond ASCII are full stops."""
+    assert [tables8.list_mark(23, c) for c in (0x2A, 0xF0B7, 0xF0A7, 0xF0FC, 0xF0FF, 0x3B1)] == ["*", "\u2022", "\u25aa", "\u2713", "\u2022", "\u03b1"]
+    assert [tables8.list_mark(0, c) for c in (0x29, 0xF0B7)] == [")", "."] and tables8.list_mark(255, 0xF0FF) == "\u2190"
