@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from scriptorium.functions.units import MAX_WIDTH, MIN_WIDTH, PAPERS
 from scriptorium.sinks import pages
 from scriptorium.sinks.docbook import HEAD
-from scriptorium.sources import documents
+from scriptorium.sources import documents, resources
 
 
 @dataclass(frozen=True)
 class Options:
     """to: text, formatted, docbook, ps or pdf; width: characters a line, 0 for no breaks; show_hidden and show_removed: keep such text;
-    text_compat: only styles, not runs, hide, remove or capitalise text."""
+    text_compat: only styles, not runs, hide, remove or capitalise text; mapping: name of a mapping file, in the first of `folders` that has
+    it, whose characters the output is limited to: each is at its place in the code page, which the file's text is in."""
 
     to: str = "text"
     width: int = 76
@@ -28,6 +29,8 @@ class Options:
     show_hidden: bool = False
     show_removed: bool = False
     text_compat: bool = False
+    mapping: str | None = None
+    folders: tuple[str, ...] = ()
 
     def checked(self) -> Options:
         if self.to not in ("text", "formatted", "docbook", "ps", "pdf"):
@@ -37,6 +40,8 @@ class Options:
                 raise ValueError(f"no such paper: {self.paper}")
             if self.encoding == "utf_8" or self.to == "pdf" and self.encoding == "cyrillic":
                 raise ValueError(f"{self.to} can't hold {self.encoding}")
+        if self.mapping and self.to == "docbook":
+            raise ValueError("docbook is always in UTF-8")
         if not 0 <= self.image_level <= 3:
             raise ValueError("image levels are 0 to 3")
         return self
@@ -62,6 +67,9 @@ def convert(spark: SparkSession, path: str, options: Options = Options()) -> Dat
     o = options.checked()
     docs = documents.parsed(documents.files(spark, path), o.show_hidden, o.show_removed, o.text_compat)
     out = documents.rendered(docs, "text" if o.to in ("ps", "pdf") else o.to, o.line)
+    if o.mapping:
+        pairs = resources.char_map(spark, resources.found(spark, o.mapping, list(o.folders))).select("local", "unicode").limit(resources.MAPPING_ROWS).collect()  # the limit is the format's
+        out = out.withColumn("text", resources.in_code_page(F.col("text"), [tuple(p) for p in pairs]))
     return pages.printed(out, o.to, o.paper, o.landscape) if o.to in ("ps", "pdf") else out
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.functions.text import lookalikes
+
 #: Rows of a mapping file that count.
 MAPPING_ROWS = 256
 #: Mapping files whose characters are of another encoding than Latin 1.
@@ -45,6 +48,24 @@ SANS = ("Helvetica", "Helvetica-Bold", "Helvetica-Oblique", "Helvetica-BoldObliq
 FIXED = ("Courier", "Courier-Bold", "Courier-Oblique", "Courier-BoldOblique")
 
 
+#: Mapped characters wait here, a private area, while the others become look-alikes.
+WAITING = 0xF700
+
+
+def found(spark: SparkSession, name: str, folders: list[str]) -> str:
+    """Path of a resource file in the first of the folders that has it, listed by Spark, so that folders may be in any store."""
+    for folder in folders:
+        path = f"{folder.rstrip('/')}/{name}"
+        try:
+            spark.read.text(path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+        else:
+            return path
+    raise FileNotFoundError(f"{name} is in none of {', '.join(folders)}")
+
+
 def char_map(spark: SparkSession, path: str) -> DataFrame:
     """(mapping, local, unicode) of mapping files: lines of two hex numbers; characters that stand for themselves go."""
     rows = spark.read.text(path).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("mapping"), "value")
@@ -96,3 +117,11 @@ def to_local(text: Column, pairs: list[tuple[int, int]]) -> Column:
     """Unicode characters as those at their place in a code page (local, unicode); at most MAPPING_ROWS pairs."""
     pairs = pairs[:MAPPING_ROWS]
     return F.translate(text, "".join(chr(u) for _, u in pairs), "".join(chr(x) for x, _ in pairs))
+
+
+def in_code_page(text: Column, pairs: list[tuple[int, int]]) -> Column:
+    """A text for 8-bit output: characters of the code page (local, unicode) at their places, others as look-alikes in ASCII, else `?`."""
+    pairs = pairs[:MAPPING_ROWS]
+    waiting, places = "".join(chr(WAITING + x) for x, _ in pairs), "".join(chr(x) for x, _ in pairs)
+    held = lookalikes(F.translate(text, "".join(chr(u) for _, u in pairs), waiting))
+    return F.translate(F.regexp_replace(held, rf"[^\x00-\x7f\x{{{WAITING:x}}}-\x{{{WAITING + 255:x}}}]", "?"), waiting, places)

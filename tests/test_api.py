@@ -61,3 +61,25 @@ def test_set(spark, folder, tmp_path):
     text = "".join(p.read_text() for p in sorted((tmp_path / "set").glob("part-*")))
     assert text == "".join(p.text + "\n" for p in parts)
     assert len(ET.fromstring(text.split("\n", 2)[2]).findall("book")) == 2
+
+
+def test_search_path(spark, tmp_path):
+    for folder in ("second", "third"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "m.txt").write_text("0x41 0x0042\n")
+    folders = [f"{tmp_path}/{f}" for f in ("first", "second", "third/")]
+    assert resources.found(spark, "m.txt", folders) == f"{tmp_path}/second/m.txt" and resources.found(spark, "m.txt", folders[2:]) == f"{tmp_path}/third/m.txt"
+    with pytest.raises(FileNotFoundError):
+        resources.found(spark, "n.txt", folders)
+
+
+def test_output_in_a_code_page(spark, folder, tmp_path):
+    (tmp_path / "maps").mkdir()
+    (tmp_path / "maps" / "cp.txt").write_text("# a comment\n0x80 0x20AC\n0xE9 0x00E9\n0x41 0x0041\n0xB1 0x0105\n")
+    pairs = [tuple(r)[1:] for r in resources.char_map(spark, f"{tmp_path}/maps/cp.txt").collect()]
+    rows = spark.createDataFrame([("Aé€ą\n",), ("“ä” –\u0444…",), ("\x80",)], "t string")
+    assert [r.x for r in rows.select(resources.in_code_page(F.col("t"), pairs).alias("x")).collect()] == ["A\xe9\x80\xb1\n", '"?" -?...', "?"]
+    out = api.convert(spark, folder, api.Options(mapping="cp.txt", folders=(f"{tmp_path}/none", f"{tmp_path}/maps")))
+    assert {r.path[-5:] for r in out.collect()} == {"a.doc", "b.doc"}
+    with pytest.raises(ValueError):
+        api.Options(to="docbook", mapping="cp.txt").checked()
