@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scriptorium import api
-from scriptorium.functions import binary
+from scriptorium.functions import binary, text
+from scriptorium.functions.text import PRIVATE, SYMBOLS
 from scriptorium.operators import chains, lists, metrics, paging, streams, textblocks
 from scriptorium.operators import relations as ops
 from scriptorium.plans.common import Catalog
@@ -306,6 +307,16 @@ def metric_lines(table):
     return lines.select("doc_id", (F.col("line") + 1).cast("long").alias("line"), "l.text", "l.width")
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+@add("C1_private_symbols", f"SELECT doc_id, translate(text, '{LETTERS}.,', '{''.join(SYMBOLS[ord(c)] for c in LETTERS)}.?') AS text FROM documents")
+def private_symbols(table):
+    """Texts whose small letters and full stops a symbol font has put in the private area, and whose commas are a character that it doesn't have."""
+    moved = F.translate("text", LETTERS + ".,", "".join(chr(PRIVATE + ord(c)) for c in LETTERS) + chr(PRIVATE + ord(".")) + chr(PRIVATE + 0x80))
+    return table("documents").select("doc_id", text.private_symbols(moved).alias("text"))
+
+
 TAB_CHARS = 8
 
 

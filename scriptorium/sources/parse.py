@@ -12,7 +12,7 @@ from scriptorium.functions import codepages
 from scriptorium.functions.binary import COUNTED6 as COUNTED
 from scriptorium.functions.binary import FIVE, FOUR, THREE, TWELVE, TWO
 from scriptorium.functions.binary import TABS6 as TABS
-from scriptorium.functions.text import UPPER
+from scriptorium.functions.text import SHOWN, UPPER
 from scriptorium.sources import tables8
 from scriptorium.sources.container import Container, Damaged
 from scriptorium.sources.tables8 import BULLET, PAUSE, SEQUENCE, UNNUMBERED, list_mark
@@ -403,7 +403,7 @@ def small_roman(n: int) -> str:
     return out
 
 
-_DROP = dict.fromkeys(map(ord, "\x00\x03\x04\x05\x08\x0a\x1f‧"))
+_CLEAN = dict.fromkeys(map(ord, "\x00\x03\x04\x05\x08\x0a\x1f‧")) | SHOWN
 
 
 def upper(text: str) -> str:
@@ -411,8 +411,8 @@ def upper(text: str) -> str:
 
 
 def cleaned(text: str) -> str:
-    """Without characters that never show; hard line ends are line feeds, hard hyphens hyphens."""
-    return text.translate(_DROP).replace("\x0b", "\n").replace("\x1e", "-")
+    """Without characters that never show, and symbols of the private area as Unicode; hard line ends are line feeds, hard hyphens hyphens."""
+    return text.translate(_CLEAN).replace("\x0b", "\n").replace("\x1e", "-")
 
 
 def assemble(stream: bytes, pieces: list[tuple[int, int, bool, int]], lengths: list[int], page: str, paragraphs=((), ()), characters=((), ()), notes=(set(), set()), keep: int = 0, style_of=None, text_compat: bool = False) -> tuple[list[dict], list[dict]]:

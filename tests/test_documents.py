@@ -6,6 +6,7 @@ import xml.etree.ElementTree as ET
 import pytest
 from files import container, dos, mac, summary, win, word6, word8
 
+from scriptorium.functions import text as functions_text
 from scriptorium.sources import documents, parse, tables8
 
 
@@ -284,3 +285,10 @@ def test_list_marks():
     """Bullets by the symbol table, also those of version 8; other marks beyond ASCII are full stops."""
     assert [tables8.list_mark(23, c) for c in (0x2A, 0xF0B7, 0xF0A7, 0xF0FC, 0xF0FF, 0x3B1)] == ["*", "\u2022", "\u25aa", "\u2713", "\u2022", "\u03b1"]
     assert [tables8.list_mark(0, c) for c in (0x29, 0xF0B7)] == [")", "."] and tables8.list_mark(255, 0xF0FF) == "\u2190"
+
+
+def test_symbols_of_the_private_area(spark):
+    text = "a\uf061\uf0a3\uf020\uf042\uf080 \uf0b7"
+    (docs,) = [parse.cleaned(text)]
+    assert docs == "a\u03b1\u2264 \u0392? \u2022"
+    assert spark.createDataFrame([(text,)], "t string").select(functions_text.private_symbols("t").alias("x")).first().x == docs
