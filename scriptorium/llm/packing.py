@@ -9,7 +9,9 @@ most buckets * SHARDS counts gives each shard its offset, and rows are numbered
 as many rows as fit the token budget at the bucket's padded length.
 
 Defined results: a null text has length 1 (its end mark) like an empty one; a row longer than the budget gets a batch
-of its own; ties in length share a bucket; repeated rows take a place each; no rows give no rows.
+of its own; ties in length share a bucket; repeated rows take a place each; no rows give no rows; `pack` replaces columns that have the
+names of its own (bucket, bucket_len, batch, place, padding, and some that begin with an underscore), `pack_documents` reads none but
+doc_id and text.
 """
 
 from __future__ import annotations
