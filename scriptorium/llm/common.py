@@ -83,7 +83,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def dealt(docs: DataFrame) -> DataFrame:
-    """Rows for a costly step: an input of fewer parts than there are cores, such as one small file, is dealt to all; others stay where they lie."""
+    """Rows for a costly step: an input of fewer parts than there are cores, such as one small file, is dealt to all; others stay where they lie.
+
+    For tables as they are read: asking for the parts of shuffled rows runs the shuffle."""
     cores = docs.sparkSession.sparkContext.defaultParallelism
     return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
 

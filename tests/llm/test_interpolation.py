@@ -83,8 +83,7 @@ def same(got, want):
     assert np.allclose([r[5:] for r in got], [r[5:] for r in want], rtol=1e-9, atol=1e-9) if want else not got
 
 
-@pytest.mark.parametrize("block, owned", [(1 << 20, 1 << 22), (300, 200), (40, 1 << 22)])
-@pytest.mark.parametrize("which", ["docs", "odd", "empty", "untrained"])
+@pytest.mark.parametrize("which, block, owned", [("docs", 1 << 20, 1 << 22), ("docs", 300, 200), ("odd", 1 << 20, 1 << 22), ("odd", 40, 100), ("empty", 40, 100), ("untrained", 40, 100)])
 def test_scores(spark, monkeypatch, which, block, owned):
     monkeypatch.setattr(interpolation, "BLOCK", block)
     monkeypatch.setattr(blocks, "PIECE", 1 << 22 if block > 300 else 150)
