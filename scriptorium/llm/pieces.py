@@ -15,8 +15,9 @@ up, is a property of the piece: `limits` has it for each length at its right and
 Characters without a piece become the pieces of their bytes.  The work is linear in a text's length but for a unit of n characters, whose path is an array of n entries that grows
 entry by entry; units end where letters, digits and signs meet, so long ones are rare.
 
-The query looks words up by hashes of 96 bits, so that rows are of fixed width: the KNOWN most frequent words are broadcast, 33 bytes
-each; occurrences of the others are joined by shuffle.
+The query looks words up by hashes of 96 bits: the ids of the KNOWN most frequent words are broadcast; occurrences of the others are joined
+by shuffle and fill the gaps that they left.  So each row gets its ids, and the text that these decode to is compared with its own.  The table is
+read twice for that, and its rows have to come in the same order; if they don't, the query fails.
 
 Defined results: null and empty texts have no tokens; repeated rows get equal results; rows of one doc_id with other texts are kept
 apart by a digest of the text; U+2581 in a text decodes as a blank, as the model has it; no rows give no rows; other columns aren't
@@ -51,7 +52,7 @@ FINE, SLICES = 10_000, 4096
 #: Words that a task remembers, and documents that it looks up at once.
 HELD, ROWS = 150_000, 500
 #: Different words that a task counts before it hands them on.
-COUNTED = 400_000
+COUNTED = 250_000
 ALONE = "\0"
 ODD = ("  ", "\n\n", " \n", "\n ", ALONE)
 _SPLIT = re.compile(WORD).findall
@@ -332,12 +333,13 @@ def counts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[str] = Counter()
         for b in batches:
-            for t in b.column(0).to_pylist():
-                if t:
-                    held.update(keys(t))
-                if len(held) >= COUNTED:
-                    yield rows(held)
-                    held.clear()
+            for k in range(0, b.num_rows, ROWS):
+                for t in b.column(0).slice(k, ROWS).to_pylist():
+                    if t:
+                        held.update(keys(t))
+                    if len(held) >= COUNTED:
+                        yield rows(held)
+                        held.clear()
         yield rows(held)
 
     def rows(held: Counter[str]) -> pa.RecordBatch:
@@ -398,61 +400,123 @@ def known_words(spelt: DataFrame, most: int) -> Column:
 
 
 def spelt_words(counted: DataFrame, coded: DataFrame) -> DataFrame:
-    """(a, b, n, n_tokens, x, exact): of each word, under the two hashes that stand for it, its count, its tokens, and a hash of their ids."""
-    each = counted.select(*[F.expr(x).alias(c) for c, x in KEY], "n", F.posexplode(units(F.col("word"))).alias("at", "unit")).join(coded, "unit")
-    tokens, x = F.sum(F.size("ids")).cast("int").alias("n_tokens"), F.expr("bit_xor(xxhash64(at, ids))").alias("x")
-    return each.groupBy("a", "b").agg(F.max("n").alias("n"), tokens, x, F.min("exact").alias("exact"))
+    """(a, b, n, ids): of each word, under the two hashes that stand for it, its count and the ids of its tokens in order."""
+    each = counted.select(*[F.expr(x).alias(c) for c, x in KEY], "n", F.posexplode(units(F.col("word"))).alias("at", "unit")).join(coded.select("unit", "ids"), "unit")
+    parts = F.array_sort(F.collect_list(F.struct("at", "ids")))  # a word's units
+    return each.groupBy("a", "b").agg(F.max("n").alias("n"), F.flatten(F.transform(parts, lambda p: p["ids"])).alias("ids"))
+
+
+class Known:
+    """The ids of the words that are broadcast; words are looked up by their hashes, and those that came lately are remembered."""
+
+    def __init__(self, table: pa.Table, dtype: type):
+        ids = table.sort_by("a").combine_chunks()
+        lists = ids["ids"].combine_chunks() if ids.num_rows else pa.array([], pa.list_(pa.int32()))
+        self.a, self.b = ids["a"].to_numpy(), ids["b"].to_numpy().astype(np.uint32)
+        # the last entry is a word that isn't known: a gap
+        self.starts = lists.offsets.to_numpy()
+        self.sizes = np.append(np.diff(self.starts), 1).astype(np.int32)
+        self.flat = np.append(lists.values.to_numpy().astype(dtype), np.array([np.iinfo(dtype).max], dtype))
+
+    def forget(self) -> None:
+        self.numbers = Numbered()
+        self.place, self.hash_a, self.hash_b = (np.zeros(0, np.int64) for _ in range(3))
+
+    def settle(self) -> None:
+        """Look up the words that came since."""
+        new = [word_of(w).encode("utf-8", "surrogatepass") for w in islice(self.numbers, len(self.place), None)]
+        a, b = np.array([xxhash.xxh64_intdigest(w, 42) for w in new], np.uint64).view(np.int64), np.array([zlib.crc32(w) for w in new], np.int64)
+        self.hash_a, self.hash_b = np.append(self.hash_a, a), np.append(self.hash_b, b)
+        place = np.minimum(np.searchsorted(self.a, a), max(len(self.a) - 1, 0))
+        same = (self.a[place] == a) & (self.b[place] == b) if len(self.a) else np.zeros(len(a), bool)
+        self.place = np.append(self.place, np.where(same, place, -1))
+
+    def looked_up(self, batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[str], np.ndarray, np.ndarray]]:
+        """ROWS rows at once, their texts, how many words each has, and the words' numbers."""
+        self.forget()
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
+            if len(self.numbers) > HELD:
+                self.forget()
+            texts = [t or "" for t in batch.column(column).to_pylist()]
+            own = [keys(t) if t else [] for t in texts]
+            sizes = np.array([len(w) for w in own], np.int64)
+            words = np.fromiter((self.numbers[w] for text in own for w in text), np.int64, int(sizes.sum()))
+            self.settle()
+            yield batch, texts, sizes, words
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, text); `row` numbers the rows, the same each time that a table is read."""
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def far_words(rows: DataFrame, known: Known) -> DataFrame:
+    """(row, at, a, b) of each word that isn't known; `at` is its place in the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, _, sizes, word in known.looked_up(batches, 2):
+            far = known.place[word] < 0
+            row = np.repeat(np.arange(len(sizes)), sizes)[far]
+            at = (np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[far]
+            word = word[far]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(at.astype(np.int32)), pa.array(known.hash_a[word]), pa.array(known.hash_b[word])], ["row", "at", "a", "b"])
+
+    return rows.mapInArrow(run, "row long, at int, a long, b long")
 
 
-def looked_up(docs: DataFrame, known: pa.Table) -> DataFrame:
-    """A row (row, doc_id, n_words, n_tokens, checksum, exact) for each document, of its known words, and one (row, at, a, b) for each other word.
+def partly_encoded(rows: DataFrame, known: Known) -> DataFrame:
+    """(row, doc_id, n_words, wanted, n, partial): the ids of a text's known words, with a gap for each other word, as n compressed numbers.
 
-    known: (a, b, n_tokens, x, exact) by a.  `row` numbers the rows of docs.
+    wanted: hash of the text that the ids are to decode to.
     """
-    columns = [known[c].to_numpy() for c in ("a", "b", "n_tokens", "x", "exact")]
-    schema = "row long, doc_id long, n_words long, n_tokens long, checksum long, exact boolean, at int, a long, b long"
-    types = [pa.int64()] * 5 + [pa.bool_(), pa.int32(), pa.int64(), pa.int64()]
-    names = [c.split()[0] for c in schema.split(", ")]
+    names = ["row", "doc_id", "n_words", "wanted", "n", "partial"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hash_a, hash_b, n_tokens, x, exact = columns
-        find = Numbered()
-        at_known = at_a = at_b = np.zeros(0, np.int64)  # of the words in `find`: the place in `known` or -1, and the hashes
-
-        def settle() -> None:
-            """Look up the words that came since."""
-            nonlocal at_known, at_a, at_b
-            new = [word_of(w).encode("utf-8", "surrogatepass") for w in islice(find, len(at_known), None)]
-            a, b = np.array([xxhash.xxh64_intdigest(w, 42) for w in new], np.uint64).view(np.int64), np.array([zlib.crc32(w) for w in new], np.int64)
-            at_a, at_b = np.append(at_a, a), np.append(at_b, b)
-            place = np.minimum(np.searchsorted(hash_a, a), max(len(hash_a) - 1, 0))
-            same = (hash_a[place] == a) & (hash_b[place] == b) if len(hash_a) else np.zeros(len(a), bool)
-            at_known = np.append(at_known, np.where(same, place, -1))
+        starts, sizes, flat = known.starts, known.sizes, known.flat
+        for batch, texts, n_words, word in known.looked_up(batches, 2):
+            place = known.place[word]
+            count = sizes[place].astype(np.int64)
+            ends = np.cumsum(count)
+            ids = flat[np.repeat(starts[place] - (ends - count), count) + np.arange(int(count.sum()))]
+            cuts = np.append(0, ends)[np.cumsum(np.append(0, n_words))]
+            partial = [pa.compress(ids[x:y].tobytes(), codec="zstd", asbytes=True) for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            wanted = [text_hash((" " + t.replace(BLANK, " ")).encode("utf-8", "surrogatepass") if t else b"") for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words), pa.array(wanted, pa.int64()), pa.array(np.diff(cuts)), pa.array(partial, pa.binary())], names)
+
+    return rows.mapInArrow(run, "row long, doc_id long, n_words long, wanted long, n long, partial binary")
+
+
+def text_hash(raw: bytes) -> int:
+    return xxhash.xxh64_intdigest(raw) - (1 << 63)
 
-        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
-            if len(find) > HELD:
-                find, at_known, at_a, at_b = Numbered(), *[np.zeros(0, np.int64)] * 3
-            places, sizes = [], []
-            for t in batch.column(2).to_pylist():
-                own = keys(t) if t else []
-                places.append(np.fromiter(map(find.__getitem__, own), np.int64, len(own)))
-                sizes.append(len(own))
-            settle()
-            word = np.concatenate([np.zeros(0, np.int64), *places])
-            row = np.repeat(np.arange(batch.num_rows), sizes)
-            at = np.arange(len(word)) - np.repeat(np.cumsum([0, *sizes[:-1]]), sizes)
-            place = at_known[word]
-            near = place >= 0
-            own, count = place[near], batch.num_rows
-            sums = [np.bincount(row[near], minlength=count), np.bincount(row[near], n_tokens[own], count).astype(np.int64), _sums(row[near], checked(at[near], x[own]), count)]
-            bad = np.bincount(row[near], ~exact[own], count) > 0
-            numbers, doc_ids = batch.column(0), batch.column(1)
-            yield pa.RecordBatch.from_arrays([numbers, doc_ids, *map(pa.array, sums), pa.array(~bad), *(pa.nulls(count, k) for k in types[6:])], names)
-            word = word[~near]
-            far = [numbers.take(pa.array(row[~near])), *(pa.nulls(len(word), k) for k in types[1:6]), at[~near].astype(np.int32), at_a[word], at_b[word]]
-            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in far], names)
-
-    return docs.select(F.monotonically_increasing_id(), F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+
+def whole(rows: DataFrame, model: Model, dtype: type) -> DataFrame:
+    """(doc_id, n_words, n_tokens, checksum, exact, ids, text) from (doc_id, n_words, wanted, n, partial, far); far: the ids of the words in the gaps."""
+    decode, gap = decoder(model), np.iinfo(dtype).max
+    names = ["doc_id", "n_words", "n_tokens", "checksum", "exact", "ids", "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
+            n = b.column(3).to_numpy()
+            raw = [pa.decompress(x, size * np.dtype(dtype).itemsize, codec="zstd", asbytes=True) if size else b"" for x, size in zip(b.column(4).to_pylist(), n.tolist(), strict=True)]
+            partial = np.frombuffer(b"".join(raw), dtype)
+            gaps = partial == gap
+            lists = b.column(5).flatten()  # of all rows, in order; rows without such words have null
+            if len(lists) != gaps.sum():
+                raise RuntimeError("the rows came in another order the second time")
+            times = np.ones(len(partial), np.int64)
+            times[gaps] = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            ids = np.repeat(partial, times).astype(np.int32)
+            ids[np.repeat(gaps, times)] = lists.flatten().to_numpy()
+            cuts = np.append(0, np.cumsum(times))[np.append(0, np.cumsum(n))]
+            found = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids))
+            text = decode(found)
+            exact = [text_hash(x) == y for x, y in zip(text.cast(pa.binary()).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            checksum = [text_hash(ids[x:y].tobytes()) for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.diff(cuts)), pa.array(checksum, pa.int64()), pa.array(exact, pa.bool_()), found, text], names)
+
+    rows = rows.select("doc_id", "n_words", "wanted", "n", "partial", "far")
+    return rows.mapInArrow(run, "doc_id long, n_words long, n_tokens long, checksum long, exact boolean, ids array<int>, text string")
 
 
 def keys(text: str) -> list[str]:
@@ -463,37 +527,18 @@ def keys(text: str) -> list[str]:
     return [w[1:] if w[0] == " " and len(w) > 1 and w[1] not in f" {ALONE}" else ALONE + w for w in _SPLIT(" " + text)]
 
 
-def checked(at: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """31 bits of a word's place and the hash of its ids."""
-    h = (x.view(np.uint64) ^ (at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (h >> np.uint64(33)).astype(np.int64)
-
-
-def _sums(row: np.ndarray, values: np.ndarray, count: int) -> np.ndarray:
-    """Whole-number sums by row, which is sorted."""
-    total = np.append(0, np.cumsum(values))
-    ends = np.searchsorted(row, np.arange(count + 1))
-    return total[ends[1:]] - total[ends[:-1]]
-
-
 def report(docs: DataFrame, model: Model, most: int = KNOWN) -> DataFrame:
-    """doc_id, n_words, n_tokens, checksum (of all words' ids with the word's place) and exact (the ids decode to the text) of each row."""
+    """doc_id, n_words, n_tokens, checksum (a hash of the ids), exact (the ids decode to the text), ids and the text that they decode to, of each row.
+
+    The ids of known words are put in at once and the others' come by join; what is shuffled of a text are its compressed ids.
+    """
     counted, coded = vocabulary(docs, model)
     spelt = written(spelt_words(counted, coded), "spelt")
-    known = spelt.filter(known_words(spelt, most)).select("a", "b", "n_tokens", "x", "exact").toArrow().sort_by("a")  # `most` rows of 33 bytes at most
-    found = written(looked_up(docs, known), "found")
-    own = found.filter("at is null").select("row", "doc_id", "n_words", "n_tokens", "checksum", "exact")
-    far = found.filter("at is not null").select("row", "at", "a", "b").join(spelt.select("a", "b", "n_tokens", "x", "exact"), ["a", "b"])
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h = checked(b.column(1).to_numpy(), b.column(2).to_numpy())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.ones(len(h), np.int64)), b.column(3), pa.array(h), b.column(4)], ["row", "n_words", "n_tokens", "checksum", "exact"])
-
-    far = far.select("row", "at", "x", F.col("n_tokens").cast("long"), "exact").mapInArrow(check, "row long, n_words long, n_tokens long, checksum long, exact boolean")
-    names = ("n_words", "n_tokens", "checksum")
-    total = own.unionByName(far, allowMissingColumns=True).groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in names], F.min("exact").alias("exact"))
-    return total.select("doc_id", *names, "exact")
+    dtype = np.uint16 if max((i for _, i, _ in model.pieces), default=0) + 256 < np.iinfo(np.uint16).max else np.uint32
+    known = Known(spelt.filter(known_words(spelt, most)).select("a", "b", "ids").toArrow(), dtype)  # `most` rows at most, of 16 bytes and the ids
+    found = far_words(numbered(docs), known).join(spelt.select("a", "b", "ids"), ["a", "b"]).select("row", "at", "ids")
+    far = written(found.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("far")).select("row", F.transform("far", lambda x: x["ids"]).alias("far")), "far")
+    return whole(partly_encoded(numbered(docs), known).join(far, "row", "left"), model, dtype)
 
 
 def with_model(spark: SparkSession, docs: DataFrame, path: str | None = None) -> DataFrame:

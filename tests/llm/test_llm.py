@@ -343,6 +343,15 @@ def test_pieces_report(which, most, request, model, library):
     assert len({r.checksum for r in out if r.n_tokens}) == len({t for _, t in rows_of(df) if t})
 
 
+@pytest.mark.parametrize("most", [200_000, 5, 0])
+def test_pieces_report_ids_and_text(spark, odd, model, library, most):
+    """The query itself gives each row's ids, those of the library, and the text that they decode to; words that aren't broadcast fill their gaps."""
+    rows = odd.select("doc_id", "text").union(spark.createDataFrame([(200_000 + k, t) for k, t in enumerate(RUNS)], "doc_id long, text string"))
+    out = pieces.report(rows, model, most).collect()
+    wanted = [(i, tuple(library.encode(t or "")), " " + t.replace("\u2581", " ") if t else "", True) for i, t in rows_of(rows)]
+    assert collections.Counter((r.doc_id, tuple(r.ids), r.text, r.exact) for r in out) == collections.Counter(wanted)
+
+
 @pytest.mark.parametrize("counts, most", [([20_000] * 20, 5), ([20_000 + 900 * k for k in range(20)], 5), ([3] * 50 + [4] * 4, 6), ([3] * 50 + [4] * 4, 54), ([7], 0), ([], 3), ([1] * 3000 + [10**9, 9999, 10_000, 10_001], 100)])
 def test_known_words_have_a_bound(spark, counts, most):
     spelt = spark.createDataFrame([(k, k * 7919 % 100_003, n) for k, n in enumerate(counts)], "a long, b long, n long")
