@@ -27,7 +27,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def u8(content: Column, at: Column) -> Column:
     """The byte at a place, counted from 0; beyond the end 0."""
-    return F.coalesce(F.conv(F.hex(F.substring(content, (at + 1).cast("int"), 1)), 16, 10).cast("int"), F.lit(0))
+    return F.coalesce(F.ascii(F.decode(F.substring(content, (at + 1).cast("int"), 1), "ISO-8859-1")), F.lit(0))
 
 
 def u16(content: Column, at: Column) -> Column:

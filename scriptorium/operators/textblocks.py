@@ -38,17 +38,23 @@ def pieces(content: Column) -> Column:
     """
 
     def of_table(t: Column) -> Column:
-        first = t["at"] + 5
-        n = F.floor((u32(content, t["at"] + 1) - 4) / 12).cast("int")
+        return let(F.struct((t["at"] + 5).alias("first"), u32(content, t["at"] + 1).alias("size")), of_size)
+
+    def of_size(t: Column) -> Column:
+        first = t["first"]
+        n = F.floor((t["size"] - 4) / 12).cast("int")
 
         def piece(i: Column) -> Column:
             at = first + (n + 1) * 4 + i * 8
-            start, raw = u32(content, first + i * 4), u32(content, at + 2)
-            chars, wide = u32(content, first + i * 4 + 4) - start, raw.bitwiseAND(NARROW) == 0
-            place = F.when(wide, raw).otherwise(F.floor(raw.bitwiseAND(~NARROW) / 2))
-            return F.struct(start.alias("start"), place.cast("long").alias("file_offset"), F.when(wide, chars * 2).otherwise(chars).alias("length"), wide.alias("is_unicode"), u16(content, at + 6).alias("prop_mod"))
+            read = F.struct(u32(content, first + i * 4).alias("start"), u32(content, first + i * 4 + 4).alias("end"), u32(content, at + 2).alias("raw"), u16(content, at + 6).alias("mod"))
+            return let(read, described)
+
+        def described(x: Column) -> Column:
+            chars, wide = x["end"] - x["start"], x["raw"].bitwiseAND(NARROW) == 0
+            place = F.when(wide, x["raw"]).otherwise(F.floor(x["raw"].bitwiseAND(~NARROW) / 2))
+            return F.struct(x["start"].alias("start"), place.cast("long").alias("file_offset"), F.when(wide, chars * 2).otherwise(chars).alias("length"), wide.alias("is_unicode"), x["mod"].alias("prop_mod"))
 
-        return F.when(u32(content, t["at"] + 1) < 4, F.lit(None)).otherwise(F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), piece)).otherwise(none))
+        return F.when(t["size"] < 4, F.lit(None)).otherwise(F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), piece)).otherwise(none))
 
     none = F.expr("cast(array() as array<struct<start:bigint,file_offset:bigint,length:bigint,is_unicode:boolean,prop_mod:int>>)")
     last = lambda p: F.filter(p, lambda x: ~x["kind"].isin(PADDING, PROPERTIES))

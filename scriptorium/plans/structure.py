@@ -24,7 +24,7 @@ SIZE = 512
 def little(number, width: int):
     """A number as hex digits of `width` bytes, the low byte first."""
     digits = F.lpad(F.hex(number.cast("long")), 2 * width, "0")
-    return F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in reversed(range(width))])
+    return binary.let(digits, lambda d: F.concat(*[F.substring(d, 2 * i + 1, 2) for i in reversed(range(width))]))
 
 
 # chains of blocks
