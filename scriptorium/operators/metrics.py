@@ -6,11 +6,11 @@ emphasis; a line's width and its breaks are sums over the array's entries, witho
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.functions.binary import let
-
 CODES = 256
 #: Width of a character that the metrics don't have.
 MISSING = 600
@@ -68,18 +68,35 @@ def broken(text: Column, widths: Column, size: Column, room: Column | int) -> Co
     A word that is wider has a line of its own.  Lines take words while the running width, blanks included, fits.
     """
     room = F.lit(room) if isinstance(room, int) else room
-    blank = F.get(widths, F.lit(32))
-    entry = "struct<text:string,width:bigint>"
-    zero = F.struct(F.expr(f"cast(array() as array<{entry}>)").alias("done"), F.lit(None).cast("string").alias("text"), F.lit(0).cast("long").alias("width"))
-
-    def step(a: Column, word: Column) -> Column:
-        def by_width(own: Column) -> Column:
-            longer = a["width"] + blank + own
-            fits = a["text"].isNotNull() & (absolute(longer, size) <= room)
-            begun = F.struct(F.when(a["text"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(F.struct(a["text"].alias("text"), absolute(a["width"], size).alias("width"))))).alias("done"), word.alias("text"), own.alias("width"))
-            return F.when(fits, F.struct(a["done"].alias("done"), F.concat(a["text"], F.lit(" "), word).alias("text"), longer.alias("width"))).otherwise(begun)
-
-        return let(relative(word, widths), by_width)
-
-    words = F.split(F.coalesce(text, F.lit("")), " ")
-    return F.aggregate(words, zero, step, lambda a: F.concat(a["done"], F.array(F.struct(a["text"].alias("text"), absolute(a["width"], size).alias("width")))))
+    return F.arrow_udf(_broken, "array<struct<text:string,width:bigint>>")(F.coalesce(text, F.lit("")), widths, size.cast("long"), room.cast("long"))
+
+
+def _broken(text: pa.Array, widths: pa.Array, size: pa.Array, room: pa.Array) -> pa.Array:
+    return pa.array([lines_of(*row) for row in zip(text.to_pylist(), widths.to_pylist(), size.to_pylist(), room.to_pylist(), strict=True)], pa.list_(pa.struct([("text", pa.string()), ("width", pa.int64())])))
+
+
+def lines_of(text: str, widths: list[int | None] | None, size: int | None, room: int | None) -> list[dict]:
+    """The lines of one text by running sums of its characters' widths: a search for each line.  What can't be measured is broken at each blank."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    known = np.array([MISSING if w is None else w for w in widths or []] + [MISSING], np.int64)
+    total = np.append(0, np.cumsum(known[np.minimum(codes, len(known) - 1)]))
+    blanks = np.flatnonzero(codes == 32)
+    ends = np.append(blanks, len(codes))
+    at = total[ends]
+    can = size is not None and room is not None and len(widths or []) > 32 and widths[32] is not None
+    # the greatest width that fits: (width * size + 1) // 2 <= room
+    most = (int(room * 2 // size) if size > 0 else np.iinfo(np.int64).max // 2 if room >= 0 else -1) if can else -1
+    lines, i, start = [], 0, 0
+    rising = not (known < 0).any()
+    while i < len(ends):
+        if not can:
+            j = i
+        elif rising:
+            j = max(int(np.searchsorted(at, total[start] + most, "right")) - 1, i)
+        else:
+            over = np.flatnonzero(at[i + 1 :] - total[start] > most)
+            j = i + int(over[0]) if len(over) else len(ends) - 1
+        end = int(ends[j])
+        lines.append({"text": text[start:end], "width": None if size is None else (int(at[j] - total[start]) * size + 1) // 2})
+        i, start = j + 1, end + 1
+    return lines

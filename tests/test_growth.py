@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from scriptorium.operators import textblocks
+from scriptorium.operators import metrics, textblocks
 
 
 def plan(df):
@@ -19,3 +19,16 @@ def counted(monkeypatch, module):
 def test_pieces_read_each_byte_once(spark):
     df = spark.createDataFrame([(bytearray(b"\x00\x00"),)], "content binary").select(textblocks.pieces(F.col("content")).alias("p"))
     assert df._jdf.queryExecution().optimizedPlan().toString().count("substring") < 40
+
+
+def test_lines_are_broken_in_arrow(spark):
+    df = spark.createDataFrame([("aa b  c", [10] * 256), ("a b", None), (None, [10] * 256)], "t string, w array<int>")
+    df = df.select(metrics.broken(F.col("t"), F.col("w"), F.lit(2), 40).alias("l"))
+    assert "ArrowEvalPython" in plan(df)
+    assert [[tuple(x) for x in r.l] for r in df.collect()] == [[("aa b", 40), (" c", 20)], [("a", 600), ("b", 600)], [("", 0)]]
+
+
+def test_negative_widths():
+    widths = [10] * 256
+    widths[ord("-")] = -10
+    assert [x["text"] for x in metrics.lines_of("aaaa -- a", widths, 2, 40)] == ["aaaa --", "a"]
