@@ -136,22 +136,27 @@ def note_kind(found_in: Column, n_footnotes: Column, n_endnotes: Column) -> Colu
 def base_chain(styles: DataFrame, key: list[str], style: str, base: str, value: str, circular: str | None = None) -> DataFrame:
     """Each style's value, or that of the nearest style it is based on; null at the end of a chain without one.
 
-    Pointers double until none is left that could still find a value, so a chain of n styles takes log n rounds, whatever n is.  Styles whose bases
-    run in a circle without a value keep a pointer for ever: after enough rounds for a chain through all styles they are unresolved, and
-    the column `circular`, if named, says so.
+    Pointers double until none is left that could still find a value, so a chain of n styles takes log n rounds, whatever n is.  Only styles that
+    others are based on take part; the others look their base up at the end.  Styles whose bases run in a circle without a value keep a
+    pointer for ever: after enough rounds for a chain through all that take part they are unresolved, and the column `circular`, if named,
+    says so.  All joins are by shuffle, so no round sends a table through the driver.
     """
-    df = styles.select(*key, style, F.col(base).alias("_b"), F.col(value).alias("_v"))
+    rows = styles.select(*key, style, F.col(base).alias("_b"), F.col(value).alias("_v"))
     on = [*key, "_b"]
+    bases = rows.filter("_v is null and _b is not null").select(*key, F.col("_b").alias(style)).distinct()
+    df = cut(rows.join(bases.hint("merge"), [*key, style], "left_semi"))
     n, reach = None, 1
     while True:
         up = df.select(*key, F.col(style).alias("_b"), F.col("_b").alias("_b2"), F.col("_v").alias("_v2"))
-        joined = df.join(up, on, "left").select(*key, style, F.when(F.col("_v").isNull(), F.col("_b2")).alias("_b"), F.coalesce("_v", "_v2").alias("_v"))
+        joined = df.join(up.hint("merge"), on, "left").select(*key, style, F.when(F.col("_v").isNull(), F.col("_b2")).alias("_b"), F.coalesce("_v", "_v2").alias("_v"))
         df, reach = cut(joined.withColumn("_b", F.when(F.col("_v").isNull(), F.col("_b")))), reach * 2
         state = df.agg(F.count(F.lit(1)).alias("n"), F.count("_b").alias("open")).first()
         n = n or state.n
         if not state.open or reach > n:
             break
-    return df.select(*key, style, F.col("_v").alias(value), *([F.col("_b").isNotNull().alias(circular)] if circular else []))
+    found = df.select(*key, F.col(style).alias("_b"), F.col("_v").alias("_v2"), F.col("_b").isNotNull().alias("_open"))
+    out = rows.withColumn("_b", F.when(F.col("_v").isNull(), F.col("_b"))).join(found.hint("merge"), on, "left")
+    return out.select(*key, style, F.coalesce("_v", "_v2").alias(value), *([F.coalesce("_open", F.lit(False)).alias(circular)] if circular else []))
 
 
 def concatenated(lists: list[tuple[str, DataFrame]]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from scriptorium.operators import metrics, textblocks
+from scriptorium.operators import metrics, relations, textblocks
 
 
 def plan(df):
@@ -32,3 +32,12 @@ def test_negative_widths():
     widths = [10] * 256
     widths[ord("-")] = -10
     assert [x["text"] for x in metrics.lines_of("aaaa -- a", widths, 2, 40)] == ["aaaa --", "a"]
+
+
+def test_circles_take_rounds_by_their_own_size(spark, monkeypatch):
+    calls = counted(monkeypatch, relations)
+    rows = spark.range(3, 2000).select(F.col("id").alias("k"), (F.col("id") % 3).alias("b"), F.lit(None).cast("long").alias("v"))
+    rows = rows.union(spark.createDataFrame([(0, 1, None), (1, 0, None), (2, 9999, 7)], "k long, b long, v long"))
+    out = {r.k: (r.v, r.circular) for r in relations.base_chain(rows, [], "k", "b", "v", "circular").collect()}
+    assert len(out) == 2000 and all(x == ((7, False) if k % 3 == 2 else (None, True)) for k, x in out.items())
+    assert len(calls) <= 4 and all("BroadcastExchange" not in plan(df) for df in calls)
