@@ -131,9 +131,10 @@ SELECT k, o, CAST(l AS BIGINT) AS l, value FROM f WHERE o > 0""")
 def list_values(table):
     from pyspark.sql import Window
 
-    o = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")).cast("long")
-    rows = table("lineitem").select(F.col("l_orderkey").alias("k"), o.alias("o"), (F.col("l_partkey") % 3).alias("l"), (F.col("l_suppkey") % 4).alias("s"), (F.col("l_suppkey") % 2 == 0).alias("r"), F.lit(1).alias("list"))
-    return numbering.list_values(rows, ["k"], "o", "list", "l", "s", "r").select("k", "o", "l", "value")
+    order = ["l_linenumber", "l_partkey", "l_suppkey"]
+    rows = table("lineitem").select(F.col("l_orderkey").alias("k"), *order, (F.col("l_partkey") % 3).alias("l"), (F.col("l_suppkey") % 4).alias("s"), (F.col("l_suppkey") % 2 == 0).alias("r"), F.lit(1).alias("list"))
+    o = F.row_number().over(Window.partitionBy("k", "list").orderBy(*order)).cast("long")  # by the same sort
+    return numbering.list_values(rows, ["k"], order, "list", "l", "s", "r").select("k", o.alias("o"), "l", "value")
 
 
 @add("W8_old_list_values", """

@@ -1,8 +1,9 @@
 """What keeps the work of queries in proportion to their input."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from scriptorium.operators import metrics, relations, textblocks
+from scriptorium.operators import metrics, numbering, relations, textblocks
 
 
 def plan(df):
@@ -41,3 +42,10 @@ def test_circles_take_rounds_by_their_own_size(spark, monkeypatch):
     out = {r.k: (r.v, r.circular) for r in relations.base_chain(rows, [], "k", "b", "v", "circular").collect()}
     assert len(out) == 2000 and all(x == ((7, False) if k % 3 == 2 else (None, True)) for k, x in out.items())
     assert len(calls) <= 4 and all("BroadcastExchange" not in plan(df) for df in calls)
+
+
+def test_list_values_take_one_sort(spark):
+    rows = spark.createDataFrame([(1, 1, 1, 0, 5, False)], "k int, list int, o int, l int, s int, r boolean")
+    df = numbering.list_values(rows, ["k"], "o", "list", "l", "s", "r")
+    df = df.withColumn("n", F.row_number().over(Window.partitionBy("k", "list").orderBy("o")))
+    assert plan(df).split("== Initial Plan ==")[-1].count("Sort [") == 1
