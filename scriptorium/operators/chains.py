@@ -28,6 +28,7 @@ def followed(entries: DataFrame, starts: DataFrame, key: list[str], block: str =
     entries: one row a block; starts: first blocks.  A chain goes on as far as entries are known.  One that runs in a circle ends after as many
     blocks as its key has entries; `damaged` names it.
     """
+    entries = cut(entries.select(*key, block, following))
     size = entries.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
     step = entries.filter(F.col(following) >= 0).select(*key, F.col(block).alias("_block"), F.col(following).cast("long").alias("_to"))
     known = entries.select(*key, F.col(block).cast("long").alias(block))
@@ -35,14 +36,18 @@ def followed(entries: DataFrame, starts: DataFrame, key: list[str], block: str =
     found = cut(found.join(size, key).select(*key, start, F.lit(0).cast("long").alias("rank"), block, "_n"))
     # only steps to blocks that have entries
     jump = cut(step.join(known.withColumnRenamed(block, "_to"), [*key, "_to"], "left_semi").select(*key, "_block", "_to"))
-    reach = 1
-    while not jump.isEmpty():
-        more = cut(found.withColumnRenamed(block, "_block").join(jump, [*key, "_block"]).select(*key, start, (F.col("rank") + reach).alias("rank"), F.col("_to").alias(block), "_n").filter("rank < _n"))
+    reach, none = 1, lambda c: F.lit(None).cast("long").alias(c)
+    while True:
+        # chains so far and steps go on together: both take the steps that begin where they end
+        both = found.select(*key, start, "rank", "_n", none("_from"), F.col(block).alias("_at"))
+        both = both.unionByName(jump.select(*key, none(start), none("rank"), none("_n"), F.col("_block").alias("_from"), F.col("_to").alias("_at")))
+        went = both.join(jump.withColumnRenamed("_block", "_at"), [*key, "_at"]).select(*key, start, (F.col("rank") + reach).alias("rank"), "_n", "_from", "_to")
+        went = cut(went.filter("_from is not null or rank < _n"))
+        more = went.filter("_from is null").select(*key, start, "rank", F.col("_to").alias(block), "_n")
         if more.isEmpty():
             break
         found = found.unionByName(more)  # one table a round
-        after = jump.select(*key, F.col("_block").alias("_to"), F.col("_to").alias("_then"))
-        jump, reach = cut(jump.join(after, [*key, "_to"]).select(*key, "_block", F.col("_then").alias("_to"))), reach * 2
+        jump, reach = went.filter("_from is not null").select(*key, F.col("_from").alias("_block"), "_to"), reach * 2
     return found.drop("_n")
 
 

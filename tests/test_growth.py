@@ -1,9 +1,10 @@
 """What keeps the work of queries in proportion to their input."""
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from scriptorium.operators import metrics, numbering, relations, textblocks
+from scriptorium.operators import chains, metrics, numbering, relations, textblocks
 
 
 def plan(df):
@@ -49,3 +50,12 @@ def test_list_values_take_one_sort(spark):
     df = numbering.list_values(rows, ["k"], "o", "list", "l", "s", "r")
     df = df.withColumn("n", F.row_number().over(Window.partitionBy("k", "list").orderBy("o")))
     assert plan(df).split("== Initial Plan ==")[-1].count("Sort [") == 1
+
+
+@pytest.mark.parametrize("n", [1, 2, 40])
+def test_chains_write_one_table_a_round(spark, monkeypatch, n):
+    calls = counted(monkeypatch, chains)
+    entries = spark.range(n).select(F.lit(1).alias("k"), F.col("id").alias("block"), (F.col("id") + 1).alias("next"))
+    found = chains.followed(entries, spark.createDataFrame([(1, 0)], "k int, start long"), ["k"]).collect()
+    assert sorted((r.rank, r.block) for r in found) == [(i, i) for i in range(n)]
+    assert len(calls) <= 3 + (n - 1).bit_length() + 1
