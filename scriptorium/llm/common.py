@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,9 +35,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the shared folder."""
+    """Cut the lineage with a checkpoint in the shared folder; the shuffle files behind it aren't needed any more and go."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with cleaning(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)  # a new statement, under that setting
 
 
 def words(text: Column) -> Column:
@@ -70,15 +73,22 @@ def lookup(left: DataFrame, right: DataFrame, key: str, spread: str, total: int)
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` written as Parquet in the shared folder and read again; the shuffle files behind it aren't needed any more and go."""
-    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+@contextmanager
+def cleaning(spark: SparkSession) -> Iterator[None]:
+    """Statements begun here let their shuffle files go when they end."""
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        yield
     finally:
         spark.conf.set(CLEANUP, before)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` written as Parquet in the shared folder and read again; the shuffle files behind it aren't needed any more and go."""
+    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    with cleaning(spark):
+        df.write.parquet(path)
     return spark.read.parquet(path)
 
 

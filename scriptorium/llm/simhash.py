@@ -40,6 +40,8 @@ BUCKET = 4096
 COMPARE = 0.05
 #: Buckets with so few free bits aren't split.
 FEW = 10
+#: So many edges are connected in one task.
+SMALL = 100_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -266,16 +268,18 @@ def links(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node of each connected component, by alternating large and small stars."""
+    """(node, root): the smallest node of each connected component, by alternating large and small stars.  SMALL edges or fewer take one task."""
     edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    few = edges.count() <= SMALL
+    dealt = lambda df: df.coalesce(1) if few else df  # noqa: E731  else each round leaves as many small files as there are partitions
     seen = None
     while True:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = dealt(edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").union(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = cut(small)
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").union(low.select("u", F.col("m").alias("v")))
+        edges = cut(dealt(small).distinct())
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

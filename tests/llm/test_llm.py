@@ -860,6 +860,37 @@ def test_near_copies_beyond_sketches(spark, monkeypatch, far):
     assert sorted(r.doc_id for r in out.collect()) == sorted(i for i, least in plain_groups(rows).items() if i == least)
 
 
+def test_near_copies_frequent_in_any_table(spark, monkeypatch):
+    """What counts as frequent doesn't grow with the table beyond the sample; the rarest come first."""
+    monkeypatch.setattr(near_copies, "SAMPLE", 100)
+    line, other = ([f"{x}{k}" for k in range(12)] for x in ("line", "other"))
+    rows = [(i, " ".join([*(f"own{i * 40 + k}" for k in range(20)), *(line if i % 10 < 2 else []), *(other if i % 5 < 2 else [])])) for i in range(1000)]
+    known, places = near_copies.frequent(spark.createDataFrame(rows, "doc_id long, text string"))
+    lines, others = (near_copies.shingles(" ".join(x)) for x in (line, other))
+    assert np.isin(lines, known).all() and np.isin(others, known).all()
+    assert places[np.isin(known, lines)].max() < places[np.isin(known, others)].min()
+    own = near_copies.shingles(rows[0][1])
+    assert not np.isin(near_copies.prefix(own, (known, places)), known).any()
+
+
+def test_cut_lets_shuffle_files_go(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    names = lambda: {x for x in disk.getAllBlocks().mkString(" ").split() if x.startswith("shuffle_")}
+    before = names()
+    assert len(common.cut(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()).collect()) == 7
+    for _ in range(50):
+        if names() <= before:
+            break
+        time.sleep(0.2)
+    assert names() <= before
+
+
+def test_few_links_take_one_task(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "a long, b long").repartition(4, "a")
+    out = simhash.components(edges)
+    assert {(r.node, r.root) for r in out.collect()} == {(k, 0) for k in range(41)} | {(100, 100), (101, 100)} and out.count() == 43
+
+
 def test_pipeline_drops_edited_copies(spark):
     base = [f"w{k * k % 997}" for k in range(150)]
     edited = [f"new{k}" if k in (40, 90) else w for k, w in enumerate(base)]
