@@ -1,9 +1,8 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-A text is cut into words, before blanks and around line ends, and words into units of letters, digits or other signs; no piece of
-the model reaches across either, which is checked.  The distinct units make the lattice: their substrings of bounded length are
-exploded and equi-joined to the piece table, the edges are grouped by unit, and a Viterbi fold by Spark's aggregate() walks them by
-their ends: it keeps the best token that ends at each place, with its predecessor.
+A text is cut into words, before blanks and around line ends; no piece of the model reaches across, which is checked.  The distinct
+words make the lattice: their substrings of bounded length are exploded and equi-joined to the piece table, the edges of a word stay
+together, and a Viterbi fold walks them by their ends, those of many words at once: it keeps the best token that ends at each place.
 
 For a unigram model the best is the greatest sum of scores.  The public model is a BPE model, whose scores are ranks of merges: the
 greatest sum of them is not what the model's encoder returns.  There a transition between two tokens is allowed only if the encoder
@@ -12,12 +11,11 @@ itself.  Two tokens part if some piece across their border, made of parts of bot
 merge than those that take up the parts (of equal ones the left goes first).  What parts a piece passes through, and at which merge each is taken
 up, is a property of the piece: `limits` has it for each length at its right and left end.
 
-Characters without a piece become the pieces of their bytes.  The work is linear in a text's length but for a unit of n characters, whose path is an array of n entries that grows
-entry by entry; units end where letters, digits and signs meet, so long ones are rare.
+Characters without a piece become the pieces of their bytes.  A place that no edge goes across cuts a word's lattice in two that don't
+depend on each other.  So the fold takes as many steps as the longest stretch between such places, and its work is linear in a text's length.
 
-The query looks words up by hashes of 96 bits: the ids of the KNOWN most frequent words are broadcast; occurrences of the others are joined
-by shuffle and fill the gaps that they left.  So each row gets its ids, and the text that these decode to is compared with its own.  The table is
-read twice for that, and its rows have to come in the same order; if they don't, the query fails.
+The query looks words up by hashes of 96 bits: the ids of the KNOWN most frequent words are broadcast once; occurrences of the others are
+joined by shuffle and fill the gaps that they left.  So each row gets its ids, and the text that these decode to is compared with its own.
 
 Defined results: null and empty texts have no tokens; repeated rows get equal results; rows of one doc_id with other texts are kept
 apart by a digest of the text; U+2581 in a text decodes as a blank, as the model has it; no rows give no rows; other columns aren't
@@ -29,13 +27,13 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from copy import copy
 from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,9 +41,10 @@ from scriptorium.llm.common import written
 
 BLANK = "▁"
 WORD = r" *[^ \n]+|\n+| +"
-UNIT = rf"{BLANK}*[\p{{L}}\p{{M}}]+|{BLANK}*[0-9]+|{BLANK}*[^{BLANK}\p{{L}}\p{{M}}0-9\n]+|\n+|{BLANK}+"
-#: Words that are broadcast; units of a task, in at most so many tasks.
-KNOWN, UNITS, PARTITIONS = 1_000_000, 100_000, 20_000
+#: Words that are broadcast.
+KNOWN = 1_000_000
+#: Edges that are folded at once, but for those of a longer word.
+EDGES = 300_000
 #: Counts that are classes of their own, and parts in which the last class of known words is cut.
 FINE, SLICES = 10_000, 4096
 #: Documents that a task looks up at once.
@@ -57,7 +56,6 @@ _SPLIT = re.compile(WORD).findall
 NEVER = 1 << 30
 #: Two hashes that stand for a word.
 KEY = (("a", "xxhash64(word)"), ("b", "crc32(cast(word as binary))"))
-EDGE = "struct<i:int,e:int,s:int,low:int,many:int,right:int,left:int,score:double>"
 #: Bits of a piece's place in the table and of its length; the others are the end's.
 PLACE_BITS, LENGTH_BITS = 20, 6
 
@@ -66,7 +64,6 @@ class Model:
     """The piece table of a SentencePiece file."""
 
     def __init__(self, path: str):
-        import regex
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as pb
 
@@ -83,8 +80,8 @@ class Model:
         self.pieces = [(sp.id_to_piece(i), i, float(sp.get_score(i))) for i in ids if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))]
         if len(self.pieces) >= 1 << PLACE_BITS or self.longest >= 1 << LENGTH_BITS:
             raise ValueError("the model has too many or too long pieces")
-        if any(not regex.fullmatch(UNIT, p) or not regex.fullmatch(WORD, p.replace(BLANK, " ")) for p, _, _ in self.pieces):
-            raise ValueError("the model has a piece that reaches across units")
+        if any(not re.fullmatch(WORD, p.replace(BLANK, " ")) for p, _, _ in self.pieces):
+            raise ValueError("the model has a piece that reaches across words")
 
     @property
     def longest(self) -> int:
@@ -126,163 +123,157 @@ def public_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def let(value: Column, body) -> Column:
-    """body(value), with the value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def words(text: Column) -> Column:
     """The words of a text, with the blank that the model puts before it."""
     text = F.replace(F.coalesce(text, F.lit("")), F.lit(BLANK), F.lit(" "))
     return F.when(text == "", F.expr("cast(array() as array<string>)")).otherwise(F.regexp_extract_all(F.concat(F.lit(" "), text), F.lit(WORD), F.lit(0)))
 
 
-def units(word: Column) -> Column:
-    return F.regexp_extract_all(F.replace(word, F.lit(" "), F.lit(BLANK)), F.lit(UNIT), F.lit(0))
-
-
 def cells(types: DataFrame, table: list[tuple], longest: int) -> DataFrame:
-    """(unit, cell): the substrings of each unit that are pieces, as longs of their end, start and place in the table.
+    """The columns of `types`, and `cell`: the substrings of each `unit` that are pieces, as longs of their end, start and place in the table.
 
-    `unit` stands in a unit's first row only.  A character that is no piece has the place after the last, so that none is lost.  The
-    pieces are found by a hash, which takes less room and time than the text, and then compared.
+    The columns of `types` stand in a unit's first row only.  A character that is no piece has the place after the last, so that none is
+    lost.  The pieces are found by a hash, which takes less room and time than the text, and then compared.
     """
-    pieces = types.sparkSession.createDataFrame([(p, k) for k, (p, *_) in enumerate(table)], "known string, at int").withColumn("h", F.xxhash64("known"))
-    each = types.select("unit", F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("e"))
-    each = each.select("unit", "e", F.explode(F.sequence(F.least("e", F.lit(longest)), F.lit(1), F.lit(-1))).alias("n"))  # by ends, then starts
-    each = each.withColumn("piece", F.expr("substring(unit, e - n + 1, n)")).withColumn("h", F.xxhash64("piece"))
+    pieces = types.sparkSession.createDataFrame(pa.table({"known": pa.array([p for p, *_ in table], pa.string()), "at": pa.array(range(len(table)), pa.int32())})).withColumn("h", F.xxhash64("known"))
+    each = types.select("*", F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("e"))
+    each = each.select("*", F.explode(F.sequence(F.least("e", F.lit(longest)), F.lit(1), F.lit(-1))).alias("size"))  # by ends, then starts
+    each = each.withColumn("piece", F.expr("substring(unit, e - size + 1, size)")).withColumn("h", F.xxhash64("piece"))
     found = each.join(F.broadcast(pieces), "h", "left").withColumn("at", F.when(F.col("piece") == F.col("known"), F.col("at")))  # the piece table: as large as the model
-    found = found.filter(F.col("at").isNotNull() | (F.col("n") == 1)).withColumn("at", F.coalesce("at", F.lit(len(table))))
-    cell = F.expr(f"shiftleft(cast(e as bigint), {LENGTH_BITS + PLACE_BITS}) + shiftleft(cast({longest} - n as bigint), {PLACE_BITS}) + at")
-    return found.select(F.when(F.col("e") == 1, F.col("unit")).alias("unit"), cell.alias("cell"))
+    found = found.filter(F.col("at").isNotNull() | (F.col("size") == 1)).withColumn("at", F.coalesce("at", F.lit(len(table))))
+    cell = F.expr(f"shiftleft(cast(e as bigint), {LENGTH_BITS + PLACE_BITS}) + shiftleft(cast({longest} - size as bigint), {PLACE_BITS}) + at")
+    return found.select(*[F.when(F.col("e") == 1, F.col(c)).alias(c) for c in types.columns], cell.alias("cell"))
 
 
-def grouped(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
-    """Units, their cells, and where each unit's begin, of whole units: a join with broadcast rows keeps the order, so they follow one another."""
-    held = pa.table({"unit": pa.array([], pa.string()), "cell": pa.array([], pa.int64())})
+def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """The rows of whole units, their cells, and where each unit's begin; a join with broadcast rows keeps the order, so they follow one another."""
+    held: list[pa.RecordBatch] = []
     for batch in _ended(batches):
-        rows = held if batch is None else pa.concat_tables([held, pa.table(batch.columns, names=["unit", "cell"])])
-        starts = np.flatnonzero(rows["unit"].is_valid().to_numpy())
-        end = rows.num_rows if batch is None else int(starts[-1]) if len(starts) else 0  # the last unit may go on
-        held = rows.slice(end)
-        starts = starts[starts < end]
-        if not len(starts):
+        held += [batch] if batch else []
+        if not held or batch and sum(b.num_rows for b in held) < EDGES:
             continue
-        rows = rows.slice(0, end).combine_chunks()
-        unit, cell = rows["unit"].combine_chunks().take(pa.array(starts)), rows["cell"].to_numpy()
-        single = (cell >> PLACE_BITS & ((1 << LENGTH_BITS) - 1)) == longest - 1
-        if (np.add.reduceat(single.astype(np.int64), starts) != pc.utf8_length(unit).to_numpy()).any():
-            raise RuntimeError("a unit's edges don't follow one another")
-        yield unit, cell, np.append(starts, end).astype(np.int32)
+        rows = pa.Table.from_batches(held).combine_chunks()
+        first = np.flatnonzero(rows["unit"].is_valid().to_numpy())
+        end = int(first[-1]) if batch else rows.num_rows  # the last unit may go on
+        held = rows.slice(end).to_batches()
+        first = first[first < end]
+        if len(first):
+            yield rows.drop_columns("cell").take(pa.array(first)).combine_chunks(), rows["cell"].to_numpy()[:end], np.append(first, end)
 
 
 def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
-    yield from batches
+    yield from (b for b in batches if b.num_rows)
     yield None
 
 
-def edges(types: DataFrame, model: Model) -> DataFrame:
-    """(unit, cells, edges, wide, limits): the lattice of each unit, as array<EDGE>.
+class Lattice:
+    """The edges of many units, by unit, end and start: the place in the table, and in the order of all characters their start and end.
 
-    wide: (s, e, rank) of the edges of two characters or more; those from `low` on, `many` of them, end inside an edge, or as late and
-    are longer: what could reach across its start.  limits: of each edge, from `right` and `left` on, the piece's limits.
+    lane: for each place the last one up to it that no edge goes across.
     """
-    table, longest = model.table(), model.longest
-    missing = min((x[3] for x in table), default=0.0) - (0 if model.bpe else 10)
-
-    rows = [*table, ("", None, NEVER, missing, [-1, NEVER], [-1, NEVER])]  # the last: a character without a piece
-    # as arrays, which a worker reads at once
-    ranks, scores = np.array([x[2] for x in rows], np.int32), np.array([x[3] for x in rows])
-    flat, ends = np.concatenate([x[4] + x[5] for x in rows]).astype(np.int32), np.cumsum([0, *(len(x[4]) + len(x[5]) for x in rows)]).astype(np.int32)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        limits = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-        for unit, cell, offsets in grouped(batches, longest):
-            place, e = cell & ((1 << PLACE_BITS) - 1), cell >> (LENGTH_BITS + PLACE_BITS)
-            n = longest - (cell >> PLACE_BITS & ((1 << LENGTH_BITS) - 1))
-            sizes = np.diff(offsets)
-            of = np.repeat(np.arange(len(unit)), sizes) << 40  # sorts by unit first
-            wide = n > 1
-            before = np.cumsum(wide) - wide  # wide edges before this one
-            first = np.searchsorted((of + e)[wide], of + e - n, "right")  # the first wide edge that ends behind the start
-            starts = np.append(before, wide.sum())[offsets].astype(np.int32)
-            own = limits.take(pa.array(place))
-            at = own.offsets.to_numpy()
-            right = at[:-1] - np.repeat(at[offsets[:-1]], sizes)
-            parts = [np.arange(len(cell)) - np.repeat(offsets[:-1], sizes), e, e - n, first - np.repeat(starts[:-1], sizes) + 1, before - first, right, right + n + 1]
-            ints = [pa.array(x.astype(np.int32)) for x in parts]
-            edge = pa.StructArray.from_arrays([*ints, pa.array(scores[place])], names=["i", "e", "s", "low", "many", "right", "left", "score"])
-            across = pa.StructArray.from_arrays([ints[2].filter(pa.array(wide)), ints[1].filter(pa.array(wide)), pa.array(ranks[place[wide]])], names=["s", "e", "rank"])
-            lists = [pa.ListArray.from_arrays(pa.array(x), y) for x, y in ((offsets, edge), (starts, across), (at[offsets], own.values))]
-            yield pa.RecordBatch.from_arrays([unit, pa.ListArray.from_arrays(pa.array(offsets), pa.array(cell)), *lists], ["unit", "cells", "edges", "wide", "limits"])
-
-    return cells(types, table, longest).mapInArrow(run, f"unit string, cells array<long>, edges array<{EDGE}>, wide array<struct<s:int,e:int,rank:int>>, limits array<int>")
-
 
-def merged_path(lattice: Column, wide: Column, limits: Column) -> Column:
-    """array<int>: for each place, from 1, the edge that ends there on the only path of allowed transitions."""
-
-    def crossed(x: Column, best: Column) -> Column:
-        """Whether a merge across the border of the best token before the edge x, and x, comes before theirs."""
-        before = F.get(lattice, F.get(best, x["s"]))
-
-        def earlier(y: Column) -> Column:
-            over = (y["s"] < x["s"]) & (y["rank"] <= F.get(limits, x["left"] + y["e"] - x["s"]))
-            return over & (y["s"] >= before["s"]) & (y["rank"] < F.get(limits, before["right"] + x["s"] - y["s"]))
-
-        return (x["s"] > 0) & (x["many"] > 0) & F.exists(F.slice(wide, x["low"], x["many"]), earlier)
-
-    return F.aggregate(lattice, F.array(F.lit(-1)), lambda best, x: F.when((F.size(best) > x["e"]) | crossed(x, best), best).otherwise(F.concat(best, F.array(x["i"]))))
-
-
-def greatest_path(lattice: Column) -> Column:
-    """array<int>: for each place, from 1, the edge that ends there on the path to it of the greatest sum of scores."""
-    start = F.array(F.struct(F.lit(-1).alias("i"), F.lit(0.0).alias("score")))
-
-    def better(best: Column, x: Column) -> Column:
-        score = F.get(best, x["s"])["score"] + x["score"]
-        now = F.array(F.struct(x["i"].alias("i"), score.alias("score")))
-        return F.when(F.size(best) <= x["e"], F.concat(best, now)).when(score > F.get(best, x["e"])["score"], F.concat(F.slice(best, 1, x["e"]), now)).otherwise(best)
-
-    return F.transform(F.aggregate(lattice, start, better), lambda b: b["i"])
+    def __init__(self, cell: np.ndarray, offsets: np.ndarray, longest: int):
+        self.piece = cell & ((1 << PLACE_BITS) - 1)
+        self.size = longest - (cell >> PLACE_BITS & ((1 << LENGTH_BITS) - 1))
+        e = cell >> (LENGTH_BITS + PLACE_BITS)
+        self.lengths = e[offsets[1:] - 1]
+        self.base = np.cumsum(self.lengths + 1) - self.lengths - 1  # the place before each unit's first character
+        self.end = np.repeat(self.base, np.diff(offsets)) + e
+        self.start = self.end - self.size
+        self.wide = np.flatnonzero(self.size > 1)
+        places = int(self.base[-1] + self.lengths[-1]) + 1
+        across = np.cumsum(np.bincount(self.start[self.wide] + 1, minlength=places) - np.bincount(self.end[self.wide], minlength=places))
+        self.lane = np.maximum.accumulate(np.where(across == 0, np.arange(places), 0))
+        step = self.end - self.lane[self.start]
+        self.order = np.argsort(step, kind="stable")
+        self.cuts = np.searchsorted(step[self.order], np.arange(1, step.max() + 2)).tolist()
+
+    def steps(self) -> Iterator[np.ndarray]:
+        """The edges in an order in which those that end at an edge's start come before it."""
+        yield from (self.order[x:y] for x, y in pairwise(self.cuts))
+
+    def tokens(self, best: np.ndarray) -> np.ndarray:
+        """The edges of the path, in order, from the one that is best at each place: from the lanes' ends back."""
+        on_path = np.zeros(len(best), bool)
+        at = np.flatnonzero(self.lane == np.arange(len(best)))
+        at = np.setdiff1d(at, self.base, assume_unique=True)
+        while len(at):
+            on_path[at] = True
+            at = self.start[best[at]]
+            at = at[self.lane[at] != at]
+        return best[on_path]
+
+
+def merged_path(x: Lattice, ranks: np.ndarray, flat: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """For each place the edge that ends there on the only path of allowed transitions.
+
+    ranks, by place in the table; own: where a piece's limits, at its right and then its left end, begin in `flat`.
+    An edge is out if a merge across the border of the best token before it, and it, comes before theirs.
+    """
+    best, out = np.full(len(x.lane), -1), np.zeros(len(x.piece), bool)
+    wide_before = np.cumsum(x.size > 1) - (x.size > 1)
+    first = np.searchsorted(x.end[x.wide], x.start, "right")  # the first wide edge that ends behind the start
+    many = np.where(x.lane[x.start] == x.start, 0, wide_before - first)[x.order]  # those up to this edge
+    edge = np.repeat(x.order, many)
+    over = x.wide[first[edge] + np.arange(len(edge)) - np.repeat(np.cumsum(many) - many, many)]
+    keep = x.start[over] < x.start[edge]
+    edge, over = edge[keep], over[keep]
+    keep = ranks[x.piece[over]] <= flat[own[x.piece[edge]] + x.size[edge] + 1 + x.end[over] - x.start[edge]]
+    edge, over = edge[keep], over[keep]
+    start, lower, rank = x.start[edge], x.start[over], ranks[x.piece[over]]
+    cuts = np.searchsorted(x.end[edge] - x.lane[start], np.arange(1, len(x.cuts) + 1))
+    for k, edges in enumerate(x.steps()):
+        part = slice(cuts[k], cuts[k + 1])
+        if part.start < part.stop:
+            before = best[start[part]]
+            able = lower[part] >= x.start[before]
+            reach = np.where(able, start[part] - lower[part], 0)
+            out[edge[part][able & (rank[part] < flat[own[x.piece[before]] + reach])]] = True
+        edges = edges[~out[edges]][::-1]  # of several the first stays
+        best[x.end[edges]] = edges
+    return best
+
+
+def greatest_path(x: Lattice, scores: np.ndarray) -> np.ndarray:
+    """For each place the edge that ends there on the path to it of the greatest sum of scores."""
+    best, total = np.full(len(x.lane), -1), np.full(len(x.lane), -np.inf)
+    for edges in x.steps():
+        start, end = x.start[edges], x.end[edges]
+        score = np.where(x.lane[start] == start, 0.0, total[start]) + scores[x.piece[edges]]  # each lane has a sum of its own
+        np.maximum.at(total, end, score)
+        edges = edges[score == total[end]][::-1]
+        best[x.end[edges]] = edges
+    return best
 
 
-def traced(found: DataFrame, model: Model) -> DataFrame:
-    """(unit, ids, exact) from (unit, cells, best): the tokens of the path, from the last place back; exact: whether they decode to the unit."""
-    longest, bytes_at, decode = model.longest, model.bytes_at, decoder(model)
-    ids = np.array([x[1] for x in model.table()] + [-1], np.int64)  # the last: a character without a piece
+def encode_units(types: DataFrame, model: Model) -> DataFrame:
+    """The columns of `types` and `ids`: the tokens of each distinct `unit`, a word or part of one."""
+    table, longest, bytes_at, bpe = model.table(), model.longest, model.bytes_at, model.bpe
+    missing = min((x[3] for x in table), default=0.0) - (0 if bpe else 10)
+    rows = [*table, ("", -1, NEVER, missing, [-1, NEVER], [-1, NEVER])]  # the last: a character without a piece
+    # as arrays, which a worker reads at once
+    numbers, ranks, scores = np.array([x[1] for x in rows]), np.array([x[2] for x in rows]), np.array([x[3] for x in rows])
+    flat, own = np.concatenate([x[4] + x[5] for x in rows]), np.cumsum([0, *(len(x[4]) + len(x[5]) for x in rows[:-1])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at, start = (b.column(k).offsets.to_numpy()[:-1].astype(np.int64) for k in (1, 2))
-            cell, best = (b.column(k).values.to_numpy() for k in (1, 2))
-            place = np.diff(b.column(2).offsets.to_numpy()).astype(np.int64) - 1  # the end of the token in hand
-            rows, ends, tokens, left = [], [], [], np.flatnonzero(place > 0)
-            while len(left):
-                own = cell[at[left] + best[start[left] + place[left]]]
-                rows.append(left)
-                ends.append(place[left])
-                tokens.append(ids[own & ((1 << PLACE_BITS) - 1)])
-                place[left] -= longest - (own >> PLACE_BITS & ((1 << LENGTH_BITS) - 1))
-                left = left[place[left] > 0]
-            row, end, token = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, ends, tokens))
-            order = np.lexsort((end, row))
-            row, end, token = row[order], end[order], token[order]
-            for k in np.flatnonzero(token < 0)[::-1].tolist():  # from the last, so that the others' places stay
-                raw = b.column(0)[int(row[k])].as_py()[end[k] - 1].encode("utf-8", "surrogatepass")
-                row, end = np.insert(row, k, [row[k]] * (len(raw) - 1)), np.insert(end, k, [end[k]] * (len(raw) - 1))
-                token = np.concatenate([token[:k], [bytes_at + x for x in raw], token[k + 1 :]])
-            offsets = np.searchsorted(row, np.arange(b.num_rows + 1)).astype(np.int32)
-            found_ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(token.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([b.column(0), found_ids, pc.equal(decode(found_ids), pc.replace_substring(b.column(0), BLANK, " "))], ["unit", "ids", "exact"])
-
-    return found.select("unit", "cells", "best").mapInArrow(run, "unit string, ids array<int>, exact boolean")
-
-
-def encode_units(types: DataFrame, model: Model) -> DataFrame:
-    """(unit, ids, exact) of the distinct units in (unit)."""
-    best = merged_path(F.col("edges"), F.col("wide"), F.col("limits")) if model.bpe else greatest_path(F.col("edges"))
-    return traced(edges(types, model).withColumn("best", best), model)
+        for units, cell, offsets in grouped(batches):
+            x = Lattice(cell, offsets, longest)
+            if (np.add.reduceat((x.size == 1).astype(np.int64), offsets[:-1]) != pc.utf8_length(units["unit"]).to_numpy()).any():
+                raise RuntimeError("a unit's edges don't follow one another")
+            path = x.tokens(merged_path(x, ranks, flat, own) if bpe else greatest_path(x, scores))
+            token, times = numbers[x.piece[path]], np.ones(len(path), np.int64)
+            row = np.searchsorted(offsets, path, "right") - 1
+            lost = np.flatnonzero(token < 0)
+            raw = [units["unit"][r].as_py()[k - 1].encode("utf-8", "surrogatepass") for r, k in zip(row[lost].tolist(), (x.end[path[lost]] - x.base[row[lost]]).tolist(), strict=True)]
+            times[lost] = [len(c) for c in raw]
+            token, row = np.repeat(token, times), np.repeat(row, times)
+            token[token < 0] = bytes_at + np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)
+            cuts = np.searchsorted(row, np.arange(len(offsets))).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(cuts), pa.array(token.astype(np.int32)))
+            yield from units.append_column("ids", ids).to_batches()
+
+    schema = ", ".join(f"{c} {t}" for c, t in types.dtypes)
+    return cells(types, table, longest).mapInArrow(run, f"{schema}, ids array<int>")
 
 
 def decoder(model: Model):
@@ -337,21 +328,19 @@ def counts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "word string, n long")
 
 
-def vocabulary(docs: DataFrame, model: Model) -> tuple[DataFrame, DataFrame]:
-    """(word, n) and (unit, ids, exact) of all distinct words and units, in the shared folder; exact: whether the ids decode to the unit."""
-    counted = written(counts(docs).groupBy("word").agg(F.sum("n").alias("n")), "words")
-    types = written(counted.select(F.explode(units(F.col("word"))).alias("unit")).distinct(), "units")
-    dealt = types.repartition(max(1, min(PARTITIONS, types.count() // UNITS)), "unit")
-    return counted, written(encode_units(dealt, model), "coded")
+def vocabulary(docs: DataFrame, model: Model) -> DataFrame:
+    """(word, n, ids) of all distinct words: how often each occurs and its tokens in order."""
+    counted = counts(docs).groupBy("word").agg(F.sum("n").alias("n"))
+    coded = encode_units(counted.select(F.replace("word", F.lit(" "), F.lit(BLANK)).alias("unit"), "n"), model)
+    return coded.select(F.replace("unit", F.lit(BLANK), F.lit(" ")).alias("word"), "n", "ids")
 
 
 def encode(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, h, ids) of each row with tokens: all ids in order; h: the text's hash, repeated rows once."""
-    _, coded = vocabulary(docs, model)
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("h"), text.alias("text")).dropDuplicates(["doc_id", "h"])
-    each = rows.select("doc_id", "h", F.posexplode(words(F.col("text"))).alias("at", "word")).select("doc_id", "h", "at", F.posexplode(units(F.col("word"))).alias("k", "unit"))
-    found = each.join(coded.select("unit", "ids"), "unit").groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("at", "k", "ids"))).alias("x"))
+    each = rows.select("doc_id", "h", F.posexplode(words(F.col("text"))).alias("at", "word"))
+    found = each.join(vocabulary(docs, model), "word").groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("x"))
     return found.select("doc_id", "h", F.flatten(F.transform("x", lambda x: x["ids"])).alias("ids"))
 
 
@@ -383,11 +372,9 @@ def known_words(spelt: DataFrame, most: int) -> Column:
     return (own > rank) | ((own == rank) & (part < least))
 
 
-def spelt_words(counted: DataFrame, coded: DataFrame) -> DataFrame:
+def spelt_words(coded: DataFrame) -> DataFrame:
     """(a, b, n, ids): of each word, under the two hashes that stand for it, its count and the ids of its tokens in order."""
-    each = counted.select(*[F.expr(x).alias(c) for c, x in KEY], "n", F.posexplode(units(F.col("word"))).alias("at", "unit")).join(coded.select("unit", "ids"), "unit")
-    parts = F.array_sort(F.collect_list(F.struct("at", "ids")))  # a word's units
-    return each.groupBy("a", "b").agg(F.max("n").alias("n"), F.flatten(F.transform(parts, lambda p: p["ids"])).alias("ids"))
+    return coded.select(*[F.expr(x).alias(c) for c, x in KEY], "n", "ids")
 
 
 class Known:
@@ -404,6 +391,13 @@ class Known:
         self.sizes = np.append(np.diff(self.starts), 1).astype(np.int32)
         self.flat = np.append(lists.values.to_numpy().astype(dtype), np.array([np.iinfo(dtype).max], dtype))
 
+    @classmethod
+    def of(cls, arrays: dict[str, np.ndarray]) -> Known:
+        """From vars() of another: a broadcast pickles plain arrays, and executors need no copy of this package."""
+        own = cls.__new__(cls)
+        own.__dict__.update(arrays)
+        return own
+
     def looked_up(self, batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, list[np.ndarray]]]:
         """ROWS rows at once, how many words each has, the words in order as places among the distinct ones, and these words' numbers and two hashes."""
         for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
@@ -429,54 +423,48 @@ def bytes_of(texts: pa.Array) -> list[bytes]:
     return [raw[x:y] for x, y in pairwise(ends)]
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, text); `row` numbers the rows, the same each time that a table is read."""
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
-
+def partly_encoded(docs: DataFrame, shared: Broadcast) -> DataFrame:
+    """(row, doc_id, n_words, wanted, partial, a, b): the numbers of a text's words, byte by byte and compressed; words that aren't known have the last number.
 
-def far_words(rows: DataFrame, known: Known) -> DataFrame:
-    """(row, at, a, b) of each word that isn't known; `at` is its place in the text."""
+    Numbers take less room than the ids.  wanted: hash of the text that the ids are to decode to.  a, b: the hashes of the words that
+    aren't known, in order.
+    """
+    names = ["row", "doc_id", "n_words", "wanted", "partial", "a", "b"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known.of(shared.value)
         for batch, sizes, own, (number, a, b) in known.looked_up(batches, 2):
+            each = number.astype("<u4").view(np.uint8).reshape(-1, 4)[own]
+            ends = np.append(0, np.cumsum(sizes))
+            partial = [pa.compress(each[x:y].T.tobytes(), codec="zstd", asbytes=True) for x, y in pairwise(ends.tolist())]
+            wanted = [text_hash(b" " + t if t else b"") for t in pc.replace_substring(pc.fill_null(batch.column(2), ""), BLANK, " ").cast(pa.binary()).to_pylist()]
             far = np.flatnonzero((number == len(known.a))[own])
-            row = np.repeat(np.arange(len(sizes)), sizes)[far]
-            at = far - (np.cumsum(sizes) - sizes)[row]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(at.astype(np.int32)), pa.array(a[own[far]]), pa.array(b[own[far]])], ["row", "at", "a", "b"])
+            cuts = pa.array(np.searchsorted(far, ends).astype(np.int32))
+            hashes = [pa.ListArray.from_arrays(cuts, pa.array(x[own[far]])) for x in (a, b)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes), pa.array(wanted, pa.int64()), pa.array(partial, pa.binary()), *hashes], names)
 
-    return rows.mapInArrow(run, "row long, at int, a long, b long")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return rows.mapInArrow(run, "row long, doc_id long, n_words long, wanted long, partial binary, a array<long>, b array<long>")
 
 
-def partly_encoded(rows: DataFrame, known: Known) -> DataFrame:
-    """(row, doc_id, n_words, wanted, partial): the numbers of a text's words, byte by byte and compressed; words that aren't known have the last number.
-
-    Numbers take less room than the ids.  wanted: hash of the text that the ids are to decode to.
-    """
-    names = ["row", "doc_id", "n_words", "wanted", "partial"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, sizes, own, (number, *_) in known.looked_up(batches, 2):
-            each = number.astype("<u4").view(np.uint8).reshape(-1, 4)[own]
-            cuts = np.append(0, np.cumsum(sizes)).tolist()
-            partial = [pa.compress(each[x:y].T.tobytes(), codec="zstd", asbytes=True) for x, y in pairwise(cuts)]
-            wanted = [text_hash(b" " + t if t else b"") for t in pc.replace_substring(pc.fill_null(batch.column(2), ""), BLANK, " ").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes), pa.array(wanted, pa.int64()), pa.array(partial, pa.binary())], names)
-
-    return rows.mapInArrow(run, "row long, doc_id long, n_words long, wanted long, partial binary")
+def far_words(rows: DataFrame, spelt: DataFrame) -> DataFrame:
+    """(row, far): the ids of the words of each row that aren't known, in order."""
+    each = rows.select("row", F.posexplode(F.arrays_zip("a", "b")).alias("at", "x")).select("row", "at", "x.a", "x.b")
+    found = each.join(spelt.select("a", "b", "ids"), ["a", "b"]).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("far"))
+    return found.select("row", F.transform("far", lambda x: x["ids"]).alias("far"))
 
 
 def text_hash(raw: bytes) -> int:
     return xxhash.xxh64_intdigest(raw) - (1 << 63)
 
 
-def whole(rows: DataFrame, model: Model, known: Known) -> DataFrame:
+def whole(rows: DataFrame, model: Model, shared: Broadcast, gap: int) -> DataFrame:
     """(doc_id, n_words, n_tokens, checksum, exact, ids, text) from (doc_id, n_words, wanted, partial, far); far: the ids of the words in the gaps."""
-    decode, gap = decoder(model), np.iinfo(known.flat.dtype).max
+    decode = decoder(model)
     names = ["doc_id", "n_words", "n_tokens", "checksum", "exact", "ids", "text"]
-    known = copy(known)
-    known.a = known.b = known.number = None  # only the ids go to the tasks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known.of(shared.value)
         for b in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             n_words = b.column(1).to_numpy()
             raw = [pa.decompress(x, 4 * n, codec="zstd", asbytes=True) if n else b"" for x, n in zip(b.column(3).to_pylist(), n_words.tolist(), strict=True)]
@@ -486,7 +474,7 @@ def whole(rows: DataFrame, model: Model, known: Known) -> DataFrame:
             gaps = partial == gap
             lists = b.column(4).flatten()  # of all rows, in order; rows without such words have null
             if len(lists) != gaps.sum():
-                raise RuntimeError("the rows came in another order the second time")
+                raise RuntimeError("a word isn't in the vocabulary")
             times = np.ones(len(partial), np.int64)
             times[gaps] = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
             ids = np.repeat(partial, times).astype(np.int32)
@@ -515,13 +503,14 @@ def report(docs: DataFrame, model: Model, most: int = KNOWN) -> DataFrame:
 
     The ids of known words are put in at once and the others' come by join; what is shuffled of a text are its compressed words' numbers.
     """
-    counted, coded = vocabulary(docs, model)
-    spelt = written(spelt_words(counted, coded), "spelt")
+    spelt = written(spelt_words(vocabulary(docs, model)), "spelt")
     dtype = np.uint16 if max((i for _, i, _ in model.pieces), default=0) + 256 < np.iinfo(np.uint16).max else np.uint32
-    known = Known(spelt.filter(known_words(spelt, most)).select("a", "b", "n", "ids").toArrow(), dtype)  # `most` rows at most, of 16 bytes and the ids
-    found = far_words(numbered(docs), known).join(spelt.select("a", "b", "ids"), ["a", "b"]).select("row", "at", "ids")
-    far = written(found.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("far")).select("row", F.transform("far", lambda x: x["ids"]).alias("far")), "far")
-    return whole(partly_encoded(numbered(docs), known).join(far, "row", "left"), model, known)
+    common = known_words(spelt, most)
+    known = Known(spelt.filter(common).select("a", "b", "n", "ids").toArrow(), dtype)  # `most` rows at most, of 16 bytes and the ids
+    shared = docs.sparkSession.sparkContext.broadcast(vars(known))  # one copy for both steps
+    rows = written(partly_encoded(docs, shared), "rows")
+    far = written(far_words(rows, spelt.filter(~common)), "far")
+    return whole(rows.join(far, "row", "left"), model, shared, np.iinfo(dtype).max)
 
 
 def with_model(spark: SparkSession, docs: DataFrame, path: str | None = None) -> DataFrame:

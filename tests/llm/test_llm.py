@@ -353,6 +353,25 @@ def test_pieces_report_ids_and_text(spark, odd, model, library, most):
     assert collections.Counter((r.doc_id, tuple(r.ids), r.text, r.exact) for r in out) == collections.Counter(wanted)
 
 
+def test_pieces_of_rows_in_any_order(spark, docs, library, model, monkeypatch):
+    """Known words go to the executors in one broadcast, not with each step's function, and no step relies on the order of rows of another."""
+
+    def pickled(_):
+        raise AssertionError("the known words were pickled with a function")
+
+    monkeypatch.setattr(pieces.Known, "__getstate__", pickled)
+    rows = docs.filter("doc_id < 200").select("doc_id", "text")
+    out = pieces.report(rows.orderBy(F.rand()), model, 50).collect()
+    assert {r.doc_id: r.ids for r in out} == {i: library.encode(t or "") for i, t in rows_of(rows)} and all(r.exact for r in out)
+
+
+def test_lanes_of_words(spark, model, library):
+    """Words whose lattice falls apart, long ones and short ones, are folded at once, and each on its own."""
+    texts = ["a" * 700 + "7" * 5 + "é語" * 90 + "the.then/others" * 60, "x", "語", "\u0378\u0378", "=" * 40 + "a", "__init__(self):" * 300]
+    found = pieces.encode_units(spark.createDataFrame([("\u2581" + t, k) for k, t in enumerate(texts)], "unit string, n long").coalesce(1), model).collect()
+    assert {r.n: r.ids for r in found} == {k: library.encode(t) for k, t in enumerate(texts)}
+
+
 @pytest.mark.parametrize("counts, most", [([20_000] * 20, 5), ([20_000 + 900 * k for k in range(20)], 5), ([3] * 50 + [4] * 4, 6), ([3] * 50 + [4] * 4, 54), ([7], 0), ([], 3), ([1] * 3000 + [10**9, 9999, 10_000, 10_001], 100)])
 def test_known_words_have_a_bound(spark, counts, most):
     spelt = spark.createDataFrame([(k, k * 7919 % 100_003, n) for k, n in enumerate(counts)], "a long, b long, n long")
