@@ -423,35 +423,49 @@ def bytes_of(texts: pa.Array) -> list[bytes]:
     return [raw[x:y] for x, y in pairwise(ends)]
 
 
-def partly_encoded(docs: DataFrame, shared: Broadcast) -> DataFrame:
-    """(row, doc_id, n_words, wanted, partial, a, b): the numbers of a text's words, byte by byte and compressed; words that aren't known have the last number.
+def marked(docs: DataFrame) -> DataFrame:
+    """(row, mark, doc_id, text); two hashes stand for a row, so that it doesn't matter in which order a table is read."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.select(F.xxhash64("doc_id", "text").alias("row"), F.hash("doc_id", "text").alias("mark"), "doc_id", "text")
 
-    Numbers take less room than the ids.  wanted: hash of the text that the ids are to decode to.  a, b: the hashes of the words that
-    aren't known, in order.
-    """
-    names = ["row", "doc_id", "n_words", "wanted", "partial", "a", "b"]
+
+def far_words(rows: DataFrame, shared: Broadcast) -> DataFrame:
+    """(row, mark, at, a, b) of each word that isn't known; `at` is its place in the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Known.of(shared.value)
         for batch, sizes, own, (number, a, b) in known.looked_up(batches, 2):
-            each = number.astype("<u4").view(np.uint8).reshape(-1, 4)[own]
-            ends = np.append(0, np.cumsum(sizes))
-            partial = [pa.compress(each[x:y].T.tobytes(), codec="zstd", asbytes=True) for x, y in pairwise(ends.tolist())]
-            wanted = [text_hash(b" " + t if t else b"") for t in pc.replace_substring(pc.fill_null(batch.column(2), ""), BLANK, " ").cast(pa.binary()).to_pylist()]
             far = np.flatnonzero((number == len(known.a))[own])
-            cuts = pa.array(np.searchsorted(far, ends).astype(np.int32))
-            hashes = [pa.ListArray.from_arrays(cuts, pa.array(x[own[far]])) for x in (a, b)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes), pa.array(wanted, pa.int64()), pa.array(partial, pa.binary()), *hashes], names)
+            row = np.repeat(np.arange(len(sizes)), sizes)[far]
+            at = far - (np.cumsum(sizes) - sizes)[row]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(row)) for k in (0, 1)), pa.array(at.astype(np.int32)), pa.array(a[own[far]]), pa.array(b[own[far]])], ["row", "mark", "at", "a", "b"])
+
+    return rows.select("row", "mark", "text").mapInArrow(run, "row long, mark int, at int, a long, b long")
+
+
+def far_ids(far: DataFrame, spelt: DataFrame) -> DataFrame:
+    """(row, mark, far): the ids of each row's words that aren't known, in order; repeated rows once."""
+    found = far.join(spelt.select("a", "b", "ids"), ["a", "b"]).groupBy("row", "mark").agg(F.array_sort(F.collect_set(F.struct("at", "ids"))).alias("far"))
+    return found.select("row", "mark", F.transform("far", lambda x: x["ids"]).alias("far"))
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "row long, doc_id long, n_words long, wanted long, partial binary, a array<long>, b array<long>")
 
+def partly_encoded(rows: DataFrame, shared: Broadcast) -> DataFrame:
+    """(row, mark, doc_id, n_words, wanted, partial): the numbers of a text's words, byte by byte and compressed; words that aren't known have the last number.
+
+    Numbers take less room than the ids.  wanted: hash of the text that the ids are to decode to.
+    """
+    names = ["row", "mark", "doc_id", "n_words", "wanted", "partial"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known.of(shared.value)
+        for batch, sizes, own, (number, *_) in known.looked_up(batches, 3):
+            each = number.astype("<u4").view(np.uint8).reshape(-1, 4)[own]
+            cuts = np.append(0, np.cumsum(sizes)).tolist()
+            partial = [pa.compress(each[x:y].T.tobytes(), codec="zstd", asbytes=True) for x, y in pairwise(cuts)]
+            wanted = [text_hash(b" " + t if t else b"") for t in pc.replace_substring(pc.fill_null(batch.column(3), ""), BLANK, " ").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes), pa.array(wanted, pa.int64()), pa.array(partial, pa.binary())], names)
 
-def far_words(rows: DataFrame, spelt: DataFrame) -> DataFrame:
-    """(row, far): the ids of the words of each row that aren't known, in order."""
-    each = rows.select("row", F.posexplode(F.arrays_zip("a", "b")).alias("at", "x")).select("row", "at", "x.a", "x.b")
-    found = each.join(spelt.select("a", "b", "ids"), ["a", "b"]).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("far"))
-    return found.select("row", F.transform("far", lambda x: x["ids"]).alias("far"))
+    return rows.mapInArrow(run, "row long, mark int, doc_id long, n_words long, wanted long, partial binary")
 
 
 def text_hash(raw: bytes) -> int:
@@ -507,10 +521,9 @@ def report(docs: DataFrame, model: Model, most: int = KNOWN) -> DataFrame:
     dtype = np.uint16 if max((i for _, i, _ in model.pieces), default=0) + 256 < np.iinfo(np.uint16).max else np.uint32
     common = known_words(spelt, most)
     known = Known(spelt.filter(common).select("a", "b", "n", "ids").toArrow(), dtype)  # `most` rows at most, of 16 bytes and the ids
-    shared = docs.sparkSession.sparkContext.broadcast(vars(known))  # one copy for both steps
-    rows = written(partly_encoded(docs, shared), "rows")
-    far = written(far_words(rows, spelt.filter(~common)), "far")
-    return whole(rows.join(far, "row", "left"), model, shared, np.iinfo(dtype).max)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(known))  # one copy for all steps
+    far = written(far_ids(far_words(marked(docs), shared), spelt.filter(~common)), "far")
+    return whole(partly_encoded(marked(docs), shared).join(far, ["row", "mark"], "left"), model, shared, np.iinfo(dtype).max)
 
 
 def with_model(spark: SparkSession, docs: DataFrame, path: str | None = None) -> DataFrame:
