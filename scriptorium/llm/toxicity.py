@@ -273,23 +273,35 @@ def plain(word: str, model: Letters) -> str:
     return word[:k] + word[k + 1 :] if halved(word, k, model) else word
 
 
-def restored(texts: list[str], model: Letters) -> list[list[str]]:
-    """The words of each text as they read once restored."""
+def read(token: str, model: Letters) -> str:
+    """What a lower-cased token says, without the signs around it."""
+    w = token.strip(EDGE)
+    return reading(w, model) if w and (not w.isalpha() or TWO.search(w)) else w
+
+
+def spaced(text: str, model: Letters) -> list[str]:
+    """The words of a lower-cased text that are spelt with blanks between their letters."""
+    return [w for m in SPACED.finditer(text) if any(c.isalpha() for c in m.group()) and any(c.isspace() for c in m.group()) and (w := reading(m.group().replace("*", " "), model))]
+
+
+def remember(model: Letters) -> None:
+    """Readings of another model, and too many, are forgotten."""
     if len(_READ) >= KEPT or _READ.get("") != model.key:  # no token is empty
         _READ.clear()
         _READ[""] = model.key
+
+
+def restored(texts: list[str], model: Letters) -> list[list[str]]:
+    """The words of each text as they read once restored."""
+    remember(model)
     out = []
     for t in texts:
         t = t.lower()
         words = []
         for w, n in Counter(t.split()).items():
-            w = w.strip(EDGE)
-            if w and (not w.isalpha() or TWO.search(w)):
-                w = reading(w, model)
-            if w:
+            if w := read(w, model):
                 words += [w] * n
-        words += [w for m in SPACED.finditer(t) if any(c.isalpha() for c in m.group()) and any(c.isspace() for c in m.group()) and (w := reading(m.group().replace("*", " "), model))]
-        out.append(words)
+        out.append(words + spaced(t, model))
     return out
 
 
@@ -302,14 +314,59 @@ def features(word: str) -> list[str]:
     return [word, *("^" + word[:k] for k in BEGINNINGS if len(word) > k)]
 
 
-def toxic_in(words: list[str], weights: dict[str, float]) -> dict[str, tuple[int, float]]:
+class Telling(dict):
+    """The weight of a word's most telling feature, 0 if none is; each word is looked at once."""
+
+    def __init__(self, weights: dict[str, float]):
+        self.weights, self.heads = weights, {x[1 : 1 + BEGINNINGS[0]] for x in weights if x[0] == "^"}
+
+    def __missing__(self, word: str) -> float:
+        if len(self) >= KEPT // 2:
+            self.clear()
+        self[word] = most = self.of(word)
+        return most
+
+    def of(self, word: str) -> float:
+        if word not in self.weights and word[: BEGINNINGS[0]] not in self.heads:  # most words, at little cost
+            return 0.0
+        return max((self.weights[x] for x in features(word) if x in self.weights), default=0.0)
+
+
+def toxic_in(words: list[str], telling: Telling) -> dict[str, tuple[int, float]]:
     """The toxic words: how often each occurs, and the weight of its most telling feature."""
-    found = {}
-    for w, n in Counter(words).items():
-        most = max((weights[x] for x in features(w) if x in weights), default=0.0)
-        if most:
-            found[w] = n, most
-    return found
+    return {w: (n, most) for w, n in Counter(words).items() if (most := telling[w])}
+
+
+class Judged(dict):
+    """A token's toxic word with its weight, an empty word if the token says nothing, None for any other; each token is read once."""
+
+    def __init__(self, model: Letters, weights: dict[str, float]):
+        self.model, self.telling = model, Telling(weights)
+
+    def __missing__(self, token: str) -> tuple[str, float] | None:
+        word = read(token, self.model)
+        most = self.telling.of(word) if word else 0.0
+        self[token] = found = (word, most) if most or not word else None
+        return found
+
+
+def toxic_of(texts: list[str], judged: Judged) -> tuple[list[dict[str, tuple[int, float]]], list[int]]:
+    """toxic_in() of the restored words of each text, and how many words it has."""
+    rows, sizes = [], []
+    for t in texts:
+        remember(judged.model)
+        if len(judged) >= KEPT // 2:
+            judged.clear()
+        t = t.lower()
+        tokens, more = t.split(), spaced(t, judged.model)
+        found: Counter[tuple[str, float]] = Counter()
+        for token, n in Counter(tokens).items():
+            if (x := judged[token]) is not None:
+                found[x] += n
+        found.update((w, most) for w in more if (most := judged.telling[w]))
+        sizes.append(len(tokens) + len(more) - found.pop(("", 0.0), 0))
+        rows.append({w: (n, most) for (w, most), n in found.items()})
+    return rows, sizes
 
 
 def hits(rows: list[dict[str, tuple[int, float]]], sizes: list[int]) -> np.ndarray:
@@ -369,9 +426,10 @@ def learn(docs: DataFrame, labels: DataFrame, model: Letters, fit_rows: int = FI
     weights = {w: x for w, k in toxic.items() if (x := weight(k, clean.get(w, 0), total.toxic, total.n - total.toxic))}
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        telling = Telling(weights)
         for b in batches:
             words = b.column(0).to_pylist()
-            x = hits([toxic_in(w, weights) for w in words], [len(w) for w in words])
+            x = hits([toxic_in(w, telling) for w in words], [len(w) for w in words])
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in x.T] + [b.column(1)], ["a", "b", "c", "d", "e", "y"])
 
     fit = rows.mapInArrow(featured, "a double, b double, c double, d double, e double, y int").toPandas()  # about fit_rows small rows
@@ -395,10 +453,10 @@ def scored(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Data
     weights, b = learn(docs, labels, model, fit_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judged = Judged(model, weights)
         for batch in batches:
-            rows = restored([t or "" for t in batch.column(1).to_pylist()], model)
-            found = [toxic_in(r, weights) for r in rows]
-            x = hits(found, [len(r) for r in rows])
+            found, sizes = toxic_of([t or "" for t in batch.column(1).to_pylist()], judged)
+            x = hits(found, sizes)
             score = np.zeros(len(x)) if not weights else 1 / (1 + np.exp(-np.clip(b[0] + x @ b[1:], -30, 30)))
             words = [",".join(sorted(f)) for f in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32)), pa.array(words, pa.string())], ["doc_id", "held_out", "score", "predicted", "toxic_words"])

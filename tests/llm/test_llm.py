@@ -307,6 +307,24 @@ def test_toxicity_odd(odd, empty, spark):
     assert toxicity.scored(odd, none).count() == len(helpers.AWKWARD) and toxicity.scored(empty, none).count() == 0
 
 
+def test_words_are_weighed_once(docs, monkeypatch):
+    """A token's reading and weight are found once however many texts have it, and come to what the restored words have."""
+    texts = [(r.text or "") for r in docs.select("text").limit(60).collect()]
+    texts += ["Idiot, i d i o t 1d10t ... idiot! -- *** m.o.r.o.n", "", "...", "IDIOTS iddiot idiot.", "a b c d"] * 3
+    codes, counts = np.unique(np.concatenate([toxicity.grams_of(t.lower()) for t in texts]), return_counts=True)
+    letters, weights = toxicity.Letters(codes, counts), {"idiot": 3.0, "^idio": 2.0, "moron": 1.5, "a": 0.5}
+    words = toxicity.restored(texts, letters)
+    plain = [{w: (n, most) for w, n in collections.Counter(r).items() if (most := max((weights.get(x, 0.0) for x in toxicity.features(w)), default=0.0))} for r in words]
+    assert toxicity.toxic_of(texts, toxicity.Judged(letters, weights)) == (plain, [len(r) for r in words])
+    assert [toxicity.toxic_in(r, toxicity.Telling(weights)) for r in words] == plain
+    seen, read = [], toxicity.read
+    monkeypatch.setattr(toxicity, "read", lambda w, model: seen.append(w) or read(w, model))
+    toxicity.toxic_of(["one two idiot."] * 50, toxicity.Judged(letters, weights))
+    assert sorted(seen) == ["idiot.", "one", "two"]
+    monkeypatch.setattr(toxicity, "KEPT", 2)
+    assert toxicity.toxic_of(["idiot moron a", "b idiot"] * 2, toxicity.Judged(letters, weights))[1] == [3, 2] * 2
+
+
 # 5 pieces
 
 
