@@ -47,8 +47,10 @@ KNOWN = 1_000_000
 EDGES = 300_000
 #: Counts that are classes of their own, and parts in which the last class of known words is cut.
 FINE, SLICES = 10_000, 4096
-#: Documents that a task looks up at once.
-ROWS = 2000
+#: Documents that a task cuts into words at once, at most, and bytes of their texts: to count the words, and to look them up.
+ROWS, COUNTED, LOOKED_UP = 2000, 8_000_000, 3_000_000
+#: Words whose ids a task puts in at once, but for those of a longer text.
+FILLED = 200_000
 ALONE = "\0"
 ODD = ("  ", "\n\n", " \n", "\n ", ALONE)
 _SPLIT = re.compile(WORD).findall
@@ -317,11 +319,24 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64), found, coded.indices.to_numpy(zero_copy_only=False)
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows, ROWS at once at most and so many that a column of texts, or of sizes, sums up to `most` bytes at most; one row at least."""
+    for batch in batches:
+        own = batch.column(column)
+        ends = np.cumsum((own if pa.types.is_integer(own.type) else pc.fill_null(pc.binary_length(own), 0)).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = 0
+        while start < batch.num_rows:
+            end = int(np.searchsorted(ends, most + (ends[start - 1] if start else 0), "right"))
+            end = min(max(end, start + 1), start + ROWS, batch.num_rows)
+            yield batch.slice(start, end - start)
+            start = end
+
+
 def counts(docs: DataFrame) -> DataFrame:
-    """(word, n): the words of ROWS texts at once."""
+    """(word, n): the words of many texts at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
+        for b in slices(batches, 0, COUNTED):
             _, found, own = tokens(b.column(0))
             yield pa.RecordBatch.from_arrays([found, pa.array(np.bincount(own, minlength=len(found)))], ["word", "n"])
 
@@ -387,8 +402,7 @@ class Known:
         self.number = np.argsort(a).astype(np.int32)
         self.a, self.b = a[self.number], ids["b"].to_numpy().astype(np.uint32)[self.number]
         # the last number is a word that isn't known: a gap
-        self.starts = lists.offsets.to_numpy()
-        self.sizes = np.append(np.diff(self.starts), 1).astype(np.int32)
+        self.starts = np.append(lists.offsets.to_numpy(), np.int32(len(lists.values) + 1))
         self.flat = np.append(lists.values.to_numpy().astype(dtype), np.array([np.iinfo(dtype).max], dtype))
 
     @classmethod
@@ -399,8 +413,8 @@ class Known:
         return own
 
     def looked_up(self, batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, list[np.ndarray]]]:
-        """ROWS rows at once, how many words each has, the words in order as places among the distinct ones, and these words' numbers and two hashes."""
-        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
+        """Many rows at once, how many words each has, the words in order as places among the distinct ones, and these words' numbers and two hashes."""
+        for batch in slices(batches, column, LOOKED_UP):
             sizes, found, own = tokens(batch.column(column))
             raw = bytes_of(found)
             a, b = np.array([xxhash.xxh64_intdigest(w, 42) for w in raw], np.uint64).view(np.int64), np.array([zlib.crc32(w) for w in raw], np.int64)
@@ -412,9 +426,10 @@ class Known:
 
     def spelt(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words, with a gap for each that isn't known, and how many each has."""
-        count = self.sizes[number].astype(np.int64)
+        starts = self.starts[number].astype(np.int64)
+        count = self.starts[number + 1] - starts
         ends = np.cumsum(count)
-        return self.flat[np.repeat(self.starts[number] - (ends - count), count) + np.arange(int(count.sum()))], count
+        return self.flat[np.repeat(starts - (ends - count), count) + np.arange(int(count.sum()))], count
 
 
 def bytes_of(texts: pa.Array) -> list[bytes]:
@@ -479,7 +494,7 @@ def whole(rows: DataFrame, model: Model, shared: Broadcast, gap: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Known.of(shared.value)
-        for b in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
+        for b in slices(batches, 1, FILLED):
             n_words = b.column(1).to_numpy()
             raw = [pa.decompress(x, 4 * n, codec="zstd", asbytes=True) if n else b"" for x, n in zip(b.column(3).to_pylist(), n_words.tolist(), strict=True)]
             number = np.concatenate([np.zeros(0, "<u4"), *(np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view("<u4").ravel() for x in raw if x)])
@@ -523,7 +538,8 @@ def report(docs: DataFrame, model: Model, most: int = KNOWN) -> DataFrame:
     known = Known(spelt.filter(common).select("a", "b", "n", "ids").toArrow(), dtype)  # `most` rows at most, of 16 bytes and the ids
     shared = docs.sparkSession.sparkContext.broadcast(vars(known))  # one copy for all steps
     far = written(far_ids(far_words(marked(docs), shared), spelt.filter(~common)), "far")
-    return whole(partly_encoded(marked(docs), shared).join(far, ["row", "mark"], "left"), model, shared, np.iinfo(dtype).max)
+    # by shuffle even if `far` is small: else both steps would run in one task, with two Python workers that hold the known words
+    return whole(partly_encoded(marked(docs), shared).join(far.hint("merge"), ["row", "mark"], "left"), model, shared, np.iinfo(dtype).max)
 
 
 def with_model(spark: SparkSession, docs: DataFrame, path: str | None = None) -> DataFrame:

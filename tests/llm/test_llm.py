@@ -7,6 +7,7 @@ import math
 import re
 import sys
 import time
+import types
 import zlib
 from pathlib import Path
 
@@ -383,6 +384,34 @@ def test_pieces_of_rows_in_any_order(spark, docs, library, model, monkeypatch):
     assert {r.doc_id: r.ids for r in out} == {i: library.encode(t or "") for i, t in rows_of(rows)} and all(r.exact for r in out)
 
 
+def test_pieces_steps_have_tasks_of_their_own(spark, docs, model):
+    """With few other words a broadcast of their ids would put both Python steps, each with the known words, in one task."""
+    plan = pieces.report(docs.select("doc_id", "text"), model)._jdf.queryExecution().executedPlan().toString()
+    filled, looked_up = [k for k, line in enumerate(plan.split("\n")) if "MapInArrow" in line]
+    assert any("Exchange hashpartitioning" in line for line in plan.split("\n")[filled:looked_up]), plan
+
+
+def test_pieces_hold_a_bounded_volume(spark, odd, model, library, monkeypatch):
+    """A task looks up and fills in words by volume, however many rows and however long texts these are in."""
+    monkeypatch.setattr(pieces, "FILLED", 6, raising=False)
+    texts = ["a b c", "d e f g", "", None, "h " * 7 + "h", "i", "j k"]
+    shared = types.SimpleNamespace(value=vars(pieces.Known(pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32()))}), np.uint16)))
+    frame = types.SimpleNamespace(mapInArrow=lambda run, _: run, select=lambda *_: frame)
+    rows = pa.record_batch([pa.array(range(7)), pa.array([0] * 7, pa.int32()), pa.array(range(7)), pa.array(texts)], ["row", "mark", "doc_id", "text"])
+    coded = pa.Table.from_batches(pieces.partly_encoded(frame, shared)(iter([rows])))
+    far = pa.array([[library.encode(w.strip()) for w in (t or "").split()] or None for t in texts], pa.list_(pa.list_(pa.int32())))
+    out = list(pieces.whole(frame, model, shared, 65535)(iter(coded.select(["doc_id", "n_words", "wanted", "partial"]).append_column("far", far).combine_chunks().to_batches())))
+    assert [b.column(1).to_pylist() for b in out] == [[3], [4, 0, 0], [8], [1, 2]]
+    assert [x for b in out for x in b.column(5).to_pylist()] == [library.encode(t or "") for t in [x and x.strip() for x in texts]]
+    assert [x for b in out for x in b.column(4).to_pylist()] == [True] * 7
+    for column, most, wanted in ((3, 4, [1, 1, 2, 1, 2]), (0, 9, [4, 2, 1])):
+        assert [b.num_rows for b in pieces.slices(iter([rows]), column, most)] == wanted
+    monkeypatch.setattr(pieces, "LOOKED_UP", 20)
+    monkeypatch.setattr(pieces, "COUNTED", 20)
+    found = pieces.report(odd.select("doc_id", "text"), model, 5).collect()
+    assert collections.Counter((r.doc_id, tuple(r.ids), r.exact) for r in found) == collections.Counter((i, tuple(library.encode(t or "")), True) for i, t in rows_of(odd))
+
+
 def test_lanes_of_words(spark, model, library):
     """Words whose lattice falls apart, long ones and short ones, are folded at once, and each on its own."""
     texts = ["a" * 700 + "7" * 5 + "é語" * 90 + "the.then/others" * 60, "x", "語", "\u0378\u0378", "=" * 40 + "a", "__init__(self):" * 300]
